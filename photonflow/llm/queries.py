@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from photonflow.llm import decontam, license, packing, quality, sharding, simhash, warc
+from photonflow.llm import decontam, license, packing, quality, sharding, simhash, substring, warc
 from photonflow.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_packing": packing.SQL, "op6_warc": warc.SQL, "op7_decontamination": decontam.SQL}
+    return {"op4_substring": substring.SQL, "op5_packing": packing.SQL, "op6_warc": warc.SQL, "op7_decontamination": decontam.SQL}
