@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from photonflow.llm import decontam, langid, license, packing, quality, sharding, simhash, substring, warc
+from photonflow.llm import decontam, langid, license, packing, quality, scoring, sharding, simhash, substring, warc
 from photonflow.llm.common import table
 
 
@@ -45,6 +45,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 7) == 2
+    found = scoring.score(docs, ~held_out)
+    return found.withColumn("held_out", held_out)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.remainder(F.col("doc_id"), 5) == 0
