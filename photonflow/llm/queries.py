@@ -11,7 +11,7 @@ from photonflow.llm.common import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from photonflow.llm.common import byte_rows, cut, only, space_words
 from photonflow.llm.components import connected_components
 
-SHINGLE = 4
+SHINGLE = 5
 RADIUS = 4
 #: Fingerprints compared in one tile of a block; larger blocks are dealt out as pairs of tiles.
 TILE = 2048
@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs without the documents whose component has a smaller id; rows with a null id stay."""
-    found = near_duplicates(only(docs, id_col, text_col), id_col, text_col)
+    found = near_duplicates(only(docs, id_col, text_col), id_col, text_col, shingle, radius)
     extra = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     return docs.join(extra, id_col, "left_anti")

@@ -6,16 +6,16 @@ import xxhash
 from photonflow.llm import simhash
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, size=4):
     words = (text or "").lower().split()
     if not words:
         return 0
-    grams = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    grams = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
     hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(fps):
+def slow_components(fps, radius=4):
     ids = sorted(fps)
     parent = {i: i for i in ids}
     changed = True
@@ -23,7 +23,7 @@ def slow_components(fps):
         changed = False
         for i in ids:
             for j in ids:
-                if (fps[i] ^ fps[j]).bit_count() <= 4 and parent[i] != parent[j]:
+                if (fps[i] ^ fps[j]).bit_count() <= radius and parent[i] != parent[j]:
                     parent[i] = parent[j] = min(parent[i], parent[j])
                     changed = True
     return parent
@@ -64,7 +64,7 @@ def test_near_duplicates_on_awkward_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, fp int, id string")
     for tile in (2048, 4):
         monkeypatch.setattr(simhash.links, "__defaults__", (4, tile))
-        got = simhash.near_duplicates(docs).collect()
+        got = simhash.near_duplicates(docs, shingle=4).collect()
         assert len(got) == len(rows)
         fps = {a: slow_fingerprint(b) for a, b in rows if a is not None}
         want = slow_components(fps)
@@ -75,7 +75,7 @@ def test_near_duplicates_on_awkward_rows(spark, monkeypatch):
             else:
                 assert int(r.fingerprint, 16) in by_text
         assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["3", "None"]
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, shingle=4)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {None} | {k for k, v in want.items() if k == v}
     assert simhash.near_duplicates(docs.where("false")).count() == 0
