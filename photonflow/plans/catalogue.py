@@ -1,15 +1,640 @@
-"""Registered queries of the point-table, image and event operators."""
+"""Registered queries of the point-table, image and event operators, each over whole tables, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from photonflow.functions.expr import with_mappings
+from photonflow.operators import aggregates, asof, clumping, images, kernels, spatial, tables, windows
+from photonflow.plans.recipe import Recipe
+from photonflow.sources.tabular import metadata_value
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+AXES = ("x", "y", "z")
+
+#: Minutes since the first day of the series.
+T_SQL = "epoch_us(ts) // 60000000 - 28401120"
+
+
+def query(sql: str = ""):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def frames_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with t: the frame (minute)."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").withColumn("t", (F.floor(micros / 60_000_000) - 28_401_120).cast("long"))
+
+
+def points_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = [F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(AXES)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *at)
+
+
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), places) for n in names})
+
+
+POINTS = "p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+EVENTS = f"e AS (SELECT *, {T_SQL} AS t FROM events)"
+
+
+# --- the minimum slice, as a recipe ---------------------------------------------------------------------------------
+SLICE = """
+- FilterTable: {inputName: merged, filters: {nPhotons: [0, 1.0e+300]}, outputName: output}
+- MergeClumps: {inputName: bright, labelKey: clumpIndex, discardTrivial: true, outputName: merged}
+- Mapping: {inputName: events, mappings: {A: value, nPhotons: value * 2}, outputName: mapped}
+- FilterTable: {inputName: mapped, filters: {value: [10, 50]}, outputName: bright}
+"""
+
+
+@query(f"WITH {EVENTS} SELECT user_id AS clumpIndex, count(*) AS n, round(avg(t), 6) AS t, round(sum(value), 6) AS A, round(sum(value * 2), 6) AS nPhotons FROM e WHERE value > 10 AND value < 50 AND user_id >= 1 GROUP BY 1")
+def minimum_slice(spark, sf_dir):
+    events = frames_of(spark, sf_dir).select(F.col("user_id").alias("clumpIndex"), "t", "value")
+    out = Recipe.from_yaml(SLICE).execute({"events": events})["output"]
+    return rounded(out, "t", "A", "nPhotons").select("clumpIndex", "n", "t", "A", "nPhotons")
+
+
+# --- filters, projections, unions -----------------------------------------------------------------------------------
+@query("SELECT event_id, user_id, value FROM events WHERE value > 10 AND value < 50")
+def filter_range_open(spark, sf_dir):
+    return tables.filter_table(table(spark, sf_dir, "events"), {"value": (10, 50)}).select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (1, 5, 9, 100)")
+def filter_by_ids(spark, sf_dir):
+    return tables.filter_by_ids(table(spark, sf_dir, "events"), "user_id", [1, 5, 9, 100]).select("event_id", "user_id")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END, 6) AS ratio,
+    round(sqrt(l_quantity) + exp(-l_discount * l_discount) * pi(), 6) AS mixed, CASE WHEN l_quantity >= 10 AND l_quantity < 30 THEN 1.0 ELSE 0.0 END AS flag FROM lineitem"""
+)
+def mapping_expr(spark, sf_dir):
+    maps = {
+        "net": "l_extendedprice * (1 - l_discount)", "ratio": "l_tax / l_discount", "mixed": "sqrt(l_quantity) + exp(-l_discount ** 2) * pi",
+        "flag": "(l_quantity >= 10) * (l_quantity < 30)",
+    }
+    out = with_mappings(table(spark, sf_dir, "lineitem"), maps)
+    return rounded(rounded(out, "net", places=4), "ratio", "mixed").select("l_orderkey", "l_linenumber", *maps)
+
+
+@query(f"WITH {EVENTS} SELECT event_id, least(greatest(t // 5000, 0), 3) AS multiviewChannel, t - 5000 * (t // 5000) AS t FROM e")
+def mapping_fold_mod(spark, sf_dir):
+    return tables.fold(frames_of(spark, sf_dir), "t", 5000, 4).select("event_id", "multiviewChannel", F.col("t").cast("long").alias("t"))
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part")
+def select_columns(spark, sf_dir):
+    return tables.select_columns(table(spark, sf_dir, "part"), "p_partkey  p_brand p_size")
+
+
+@query("SELECT c_acctbal AS acctbal, c_nationkey AS nationkey, 0.0 AS concatSource FROM customer UNION ALL SELECT s_acctbal, s_nationkey, 1.0 FROM supplier")
+def concat_tables(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal"), "c_mktsegment")
+    b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
+    return tables.concatenate(a, b)
+
+
+@query(
+    """WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS row_id, r_name AS name_region FROM region),
+    n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_id, n_name AS name_nation FROM nation WHERE n_nationkey < 5) SELECT * FROM r JOIN n USING (row_id)"""
+)
+def aggregate_tables_positional(spark, sf_dir):
+    r = tables.numbered_rows(table(spark, sf_dir, "region"), ["r_regionkey"]).select("row_id", F.col("r_name").alias("name"))
+    n = tables.numbered_rows(table(spark, sf_dir, "nation").where("n_nationkey < 5"), ["n_nationkey"]).select("row_id", F.col("n_name").alias("name"))
+    return tables.aggregate_positional([r, n], ["_region", "_nation"])
+
+
+@query(
+    """SELECT c.c_custkey AS label, coalesce(o.n, 0) AS label_n, round(coalesce(o.total, 0), 2) AS label_total FROM customer c
+    LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey"""
+)
+def label_join_zero_fill(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("label")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("label"))
+    return rounded(tables.add_measurements_by_label(points, found, "label"), "label_total", places=2)
+
+
+@query("WITH c AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS k FROM events) SELECT event_id, CASE WHEN k >= 60 AND user_id <> 0 THEN user_id ELSE 0 END AS label, CASE WHEN k >= 60 AND user_id <> 0 THEN k ELSE 0 END AS NEvents FROM c")
+def labels_min_count(spark, sf_dir):
+    return tables.drop_small_labels(table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("label")), "label", 60)
+
+
+@query(
+    """WITH c AS (SELECT user_id, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS a, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS b FROM events GROUP BY 1)
+    SELECT user_id, round(a, 4) AS p_click FROM c WHERE 0.01 + a + b <> 0 AND a / (0.01 + a + b) > 0.1 AND b / (0.01 + a + b) < 0.1"""
+)
+def colour_filter(spark, sf_dir):
+    total = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("value")).otherwise(0)).alias(f"p_{k}")
+    wide = table(spark, sf_dir, "events").groupBy("user_id").agg(total("click"), total("view")).withColumn("ColourNorm", F.lit(1.0))
+    return rounded(tables.colour_filter(wide, "click", ["click", "view"]), "p_click", places=4).select("user_id", "p_click")
+
+
+@query(f"WITH {EVENTS} SELECT event_id, CAST((t // 100) % 2 AS DOUBLE) AS p_block0, CAST(1 - (t // 100) % 2 AS DOUBLE) AS p_block1 FROM e")
+def time_blocks(spark, sf_dir):
+    return tables.time_blocks(frames_of(spark, sf_dir), 100).select("event_id", "p_block0", "p_block1")
+
+
+@query(
+    f"""WITH {EVENTS}, m AS (SELECT user_id, t AS frame FROM e WHERE event_type = 'error' AND user_id < 5), r AS (SELECT f AS t, count(*) AS n FROM (SELECT unnest(range(frame, frame + 30)) AS f FROM m) GROUP BY 1)
+    SELECT event_id, 1 - coalesce(n, 0) AS piezoUnstable FROM e LEFT JOIN r USING (t)"""
+)
+def motion_flags(spark, sf_dir):
+    e = frames_of(spark, sf_dir)
+    moves = e.where("event_type = 'error' and user_id < 5").select(F.col("t").alias("frame"))
+    return tables.motion_flags(e, moves, 30).select("event_id", "piezoUnstable")
+
+
+@query()
+def random_subset(spark, sf_dir):
+    return tables.random_subset(table(spark, sf_dir, "part"), 100)
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -1) AS k FROM events")
+def metadata_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", metadata_value(F.col("props"), "k", -1.0).alias("k"))
+
+
+# --- aggregation ----------------------------------------------------------------------------------------------------
+@query("SELECT user_id AS clumpIndex, count(*) AS n, round(sum(value), 4) AS A, round(avg(value), 6) AS m FROM events GROUP BY 1")
+def merge_clumps_mean_sum(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("clumpIndex"), F.col("value").alias("A"), F.col("value").alias("m"))
+    return rounded(rounded(aggregates.merge_clumps(rows, dense=False), "A", places=4), "m").select("clumpIndex", "n", "A", "m")
+
+
+@query(
+    """SELECT l_suppkey AS clumpIndex, count(*) AS n, round(sum(l_quantity / ((l_discount + 0.01) * (l_discount + 0.01))) / sum(1 / ((l_discount + 0.01) * (l_discount + 0.01))), 6) AS x,
+    round(sqrt(1 / sum(1 / ((l_discount + 0.01) * (l_discount + 0.01)))), 8) AS error_x FROM lineitem WHERE l_suppkey >= 1 GROUP BY 1"""
+)
+def merge_clumps_weighted(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("clumpIndex"), F.col("l_quantity").alias("x"), (F.col("l_discount") + 0.01).alias("error_x"))
+    return rounded(rounded(aggregates.merge_clumps(rows, discard_trivial=True), "x"), "error_x", places=8)
+
+
+@query(f"WITH {EVENTS} SELECT user_id, CAST(min(t) AS DOUBLE) AS tIndex, count(*) AS nFrames, max(t) - min(t) + 1 AS burstDuration, round(sum(value), 4) AS nPhotons, round(avg(value), 6) AS photonRate FROM e GROUP BY 1")
+def coalesce_clumps(spark, sf_dir):
+    return rounded(rounded(aggregates.coalesce_clumps(frames_of(spark, sf_dir), "user_id", "t", "value"), "nPhotons", places=4), "photonRate")
+
+
+@query("WITH g AS (SELECT user_id * 2 AS c, count(*) AS n, avg(value) AS m FROM events WHERE user_id <> 3 GROUP BY 1) SELECT CAST(i AS BIGINT) AS clumpIndex, coalesce(n, 0) AS n, round(coalesce(m, 0), 6) AS m FROM range(0, (SELECT max(c) + 1 FROM g)) r(i) LEFT JOIN g ON c = i")
+def merge_clumps_dense(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("user_id <> 3").select((F.col("user_id") * 2).alias("clumpIndex"), F.col("value").alias("m"))
+    return rounded(aggregates.merge_clumps(rows), "m")
+
+
+@query(
+    f"""WITH {EVENTS}, k AS (SELECT unnest(range(1, 10)) AS k), g AS (SELECT k, user_id, count(*) AS n FROM e, k WHERE t > 0 AND t < 45000 AND t < k * 5000 AND user_id <> 0 GROUP BY 1, 2)
+    SELECT k * 5000 AS t, count(user_id) FILTER (n >= 20) AS n_low, count(user_id) FILTER (n >= 30) AS n_high FROM k LEFT JOIN g USING (k) GROUP BY 1"""
+)
+def cluster_count_vs_time(spark, sf_dir):
+    return aggregates.cluster_count_vs_time(frames_of(spark, sf_dir), "user_id", "t", 20, 30, 5000, 45000)
+
+
+@query("WITH h AS (SELECT least(CAST(floor((l_quantity - 1) / 7) AS INTEGER), 6) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, 1 + i * 7.0 AS bin_left, coalesce(n, 0) AS n FROM range(0, 7) r(i) LEFT JOIN h ON bin = i")
+def histogram_closed_last(spark, sf_dir):
+    return aggregates.histogram(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), 8, 1.0, 50.0)
+
+
+BINNED = "WITH b AS (SELECT CAST(floor((l_quantity - 0) / 5) AS INTEGER) AS bin, l_extendedprice AS v FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 60)"
+
+
+@query(BINNED + " SELECT CAST(i AS INTEGER) AS bin, count(v) AS n, round(coalesce(avg(v), 0), 4) AS mean, round(coalesce(stddev_pop(v), 0), 4) AS std FROM range(0, 12) r(i) LEFT JOIN b ON bin = i GROUP BY 1")
+def binned_average(spark, sf_dir):
+    out = aggregates.binned(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"), 0.0, 5.0, 12)
+    return rounded(out, "mean", "std", places=4).select("bin", "n", "mean", "std")
+
+
+@query(BINNED + " SELECT CAST(i AS INTEGER) AS bin, round(coalesce(median(v), 0), 4) AS median FROM range(0, 12) r(i) LEFT JOIN b ON bin = i GROUP BY 1")
+def binned_median(spark, sf_dir):
+    out = aggregates.binned(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"), 0.0, 5.0, 12)
+    return rounded(out, "median", places=4).select("bin", "median")
+
+
+@query(
+    """WITH u AS (SELECT vec_id, CAST(CAST(round(CAST(unnest(embedding) AS DOUBLE) * 10) AS BIGINT) AS DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, v) AS k FROM u GROUP BY 1, 2)
+    SELECT vec_id, round(var_pop(u.v), 6) AS variance, round(avg(u.v), 6) AS mean, round(median(u.v), 6) AS median, any_value(m.v) AS mode FROM u JOIN m USING (vec_id) WHERE k = 1 GROUP BY 1"""
+)
+def stats_by_frame(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double") * 10).cast("long")).alias("pixels"))
+    return rounded(aggregates.pixel_statistics(rows, "vec_id", "pixels"), "variance", "mean", "median")
+
+
+@query("SELECT label, CAST(pos AS INTEGER) AS pos, round(max(v), 6) AS value FROM (SELECT label, unnest(range(0, 64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1, 2")
+def projection_max(spark, sf_dir):
+    return rounded(aggregates.projection(table(spark, sf_dir, "embeddings"), "embedding", "Max", ["label"]), "value")
+
+
+@query(
+    """SELECT round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(sum(l_quantity * l_extendedprice) / sqrt(sum(l_quantity * l_quantity) * sum(l_extendedprice * l_extendedprice)), 6) AS overlap,
+    round(sum(CASE WHEN l_extendedprice > 30000 THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS manders_a, round(sum(CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice), 6) AS manders_b FROM lineitem"""
+)
+def coloc_pearson_manders(spark, sf_dir):
+    return rounded(aggregates.colocalisation(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"), 25.0, 30000.0), "pearson", "overlap", "manders_a", "manders_b")
+
+
+@query(
+    """WITH j AS (SELECT least(greatest(floor(l_quantity / 10), 0), 4) AS i, least(greatest(floor(l_linenumber / 10), 0), 4) AS j, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2),
+    p AS (SELECT n / sum(n) OVER () AS p, sum(n) OVER (PARTITION BY i) / sum(n) OVER () AS a, sum(n) OVER (PARTITION BY j) / sum(n) OVER () AS b FROM j) SELECT round(sum(p * ln(p / (a * b))), 9) AS mutual_information FROM p"""
+)
+def mutual_information(spark, sf_dir):
+    return rounded(aggregates.mutual_information(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_linenumber"), 5, 0.0, 50.0), "mutual_information", places=9)
+
+
+@query(
+    f"""WITH {POINTS}, m AS (SELECT avg(x) AS mx, avg(y) AS my FROM p), k AS (SELECT unnest(range(0, 3)) AS k)
+    SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(avg(pow(x - mx, a.k) * pow(y - my, b.k)), 8) AS moment FROM p, m, k a, k b GROUP BY 1, 2"""
+)
+def centred_moments(spark, sf_dir):
+    return rounded(aggregates.centred_moments(points_of(spark, sf_dir), "x", "y", 2), "moment", places=8)
+
+
+@query(
+    f"""WITH {POINTS} SELECT label, count(*) AS count, round(avg(x), 6) AS x_mean, round(stddev_samp(x), 6) AS sigma_x, round(covar_samp(x, y), 8) AS cov_xy,
+    round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS gyrationRadius FROM p WHERE label > 0 GROUP BY 1"""
+)
+def cluster_moments(spark, sf_dir):
+    out = aggregates.cluster_moments(points_of(spark, sf_dir), "label")
+    return rounded(rounded(out, "x_mean", "sigma_x", "gyrationRadius"), "cov_xy", places=8).select("label", "count", "x_mean", "sigma_x", "cov_xy", "gyrationRadius")
+
+
+@query()
+def cluster_axes(spark, sf_dir):
+    return clumping.principal_axes(points_of(spark, sf_dir), "label")
+
+
+@query(f"WITH {POINTS} SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM p")
+def image_bounds(spark, sf_dir):
+    return aggregates.image_bounds(points_of(spark, sf_dir))
+
+
+# --- windows --------------------------------------------------------------------------------------------------------
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT event_id, sqrt((t - lag(t) OVER w) ** 2 + (value - lag(value) OVER w) ** 2) AS a, sqrt((t - lead(t) OVER w) ** 2 + (value - lead(value) OVER w) ** 2) AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+    SELECT event_id, round(CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE (a + b) / 2 END, 4) AS trackVelocity, CAST(a IS NULL OR b IS NULL AS INTEGER) AS clumpEdge FROM s"""
+)
+def track_velocity(spark, sf_dir):
+    return rounded(windows.track_velocity(frames_of(spark, sf_dir), "user_id", ["t", "event_id"], "t", "value"), "trackVelocity", places=4).select("event_id", "trackVelocity", "clumpEdge")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id) AS clumpSize FROM events")
+def clump_size(spark, sf_dir):
+    return windows.clump_size(table(spark, sf_dir, "events"), "user_id").select("event_id", "clumpSize")
+
+
+@query(
+    f"""WITH {EVENTS}, g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) - 1 AS o FROM (SELECT DISTINCT user_id, t FROM e)), c AS (SELECT user_id, o, count(*) AS k FROM g WHERE o > 0 GROUP BY 1, 2)
+    SELECT user_id, o AS off, round(sum(k) OVER (PARTITION BY user_id ORDER BY o) / sum(k) OVER (PARTITION BY user_id), 9) AS cdf FROM c"""
+)
+def offtime_cdf(spark, sf_dir):
+    return rounded(windows.offtime_cdf(frames_of(spark, sf_dir), "user_id", "t"), "cdf", places=9)
+
+
+@query(f"WITH {EVENTS} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1000 PRECEDING AND 1 PRECEDING), 6) AS background FROM e")
+def sliding_background(spark, sf_dir):
+    return rounded(windows.sliding_mean(frames_of(spark, sf_dir), "user_id", "t", "value", -1000, 0), "background").select("event_id", "background")
+
+
+@query(
+    f"""WITH {EVENTS}, h AS (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)) AS l FROM e)
+    SELECT event_id, l[CAST(floor(len(l) * 0.25) AS BIGINT) + 1] AS percentile FROM h"""
+)
+def sliding_percentile(spark, sf_dir):
+    return windows.sliding_percentile(frames_of(spark, sf_dir), "user_id", ["t", "event_id"], "value", 10, 0, 0.25).select("event_id", "percentile")
+
+
+@query(
+    f"""WITH {EVENTS}, f AS (SELECT *, CAST(value > 10 AS INTEGER) AS f FROM e), r AS (SELECT *, sum(1 - f) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS r FROM f)
+    SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n FROM r WHERE f = 1 GROUP BY user_id, r HAVING count(*) >= 3"""
+)
+def gaps_islands(spark, sf_dir):
+    return windows.runs(frames_of(spark, sf_dir), "user_id", ["t", "event_id"], F.col("value") > 10, 3)
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 200 THEN 0 ELSE 1 END AS b FROM e), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM s)
+    SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n FROM g GROUP BY user_id, g"""
+)
+def session_gap(spark, sf_dir):
+    return windows.sessions(frames_of(spark, sf_dir), "user_id", "t", 200)
+
+
+# --- as-of ----------------------------------------------------------------------------------------------------------
+@query(
+    """SELECT p.event_id, coalesce(v.value, -1.0) AS state FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+)
+def asof_event_state(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return asof.as_of(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), ["user_id"], "ts", "value", "state", F.lit(-1.0)).select("event_id", "state")
+
+
+@query(
+    """SELECT e.event_id, coalesce(s.event_type = 'view', false) AS state FROM (SELECT * FROM events WHERE event_type = 'click') e
+    ASOF LEFT JOIN (SELECT user_id, ts, max(event_type) AS event_type FROM events WHERE event_type IN ('view', 'error') GROUP BY 1, 2) s ON e.user_id = s.user_id AND e.ts >= s.ts"""
+)
+def bool_between_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return asof.state_between(e.where("event_type = 'click'"), e, ["user_id"], "ts", "event_type", "view", "error").select("event_id", "state")
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) * 100 AS frame FROM (SELECT DISTINCT user_id, t FROM e WHERE event_type = 'error')),
+    n AS (SELECT *, lead(frame) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM s)
+    SELECT e.event_id, least(n.frame + floor((e.t - n.t) / 7.0), n.nxt) AS frame FROM (SELECT * FROM e WHERE event_type = 'click') e ASOF LEFT JOIN n ON e.user_id = n.user_id AND e.t >= n.t"""
+)
+def frame_time_roundtrip(spark, sf_dir):
+    e = frames_of(spark, sf_dir)
+    from pyspark.sql import Window
+
+    starts = e.where("event_type = 'error'").select("user_id", "t").distinct()
+    starts = starts.withColumn("frame", F.row_number().over(Window.partitionBy("user_id").orderBy("t")) * 100)
+    return asof.times_to_frames(e.where("event_type = 'click'"), starts, ["user_id"], "t", 7.0).select("event_id", "frame")
+
+
+# --- space ----------------------------------------------------------------------------------------------------------
+DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
+
+
+@query(f"WITH {POINTS}, d AS (SELECT a.vec_id, b.vec_id AS o, {DIST} AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id) SELECT vec_id, arg_min(o, (d, o)) AS neighbour, round(min(d), 9) AS distance FROM d GROUP BY 1")
+def nearest_neighbour(spark, sf_dir):
+    _shared(spark)
+    p = points_of(spark, sf_dir).select("vec_id", *AXES)
+    return rounded(spatial.nearest(p, p, AXES, 0.02, "vec_id", same=True), "distance", places=9)
+
+
+@query(f"WITH {POINTS}, d AS (SELECT a.label, a.vec_id, b.vec_id AS o, {DIST} AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) SELECT label, vec_id, arg_min(o, (d, o)) AS pair, round(min(d), 9) AS distance FROM d GROUP BY 1, 2")
+def keep_pairs(spark, sf_dir):
+    p = points_of(spark, sf_dir)
+    return rounded(spatial.keep_pairs(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", AXES, "vec_id"), "distance", places=9)
+
+
+@query(f"WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(i * 0.01, 6) AS bin_left, coalesce(n, 0) AS n FROM range(0, 20) r(i) LEFT JOIN h ON bin = i")
+def pair_distance_hist(spark, sf_dir):
+    return rounded(spatial.pair_histogram(points_of(spark, sf_dir), AXES, 20, 0.01, "vec_id"), "bin_left")
+
+
+@query(
+    f"""WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1),
+    k AS (SELECT i, 1.0 / (SELECT count(*) * count(*) FROM p) * 2 * sum(coalesce(n, 0)) OVER (ORDER BY i) AS k FROM range(0, 20) r(i) LEFT JOIN h ON bin = i)
+    SELECT CAST(i AS INTEGER) AS bin, round(k, 9) AS K, round(cbrt(k * 3 / (4 * pi())), 9) AS L, round(cbrt(k * 3 / (4 * pi())) - (i + 1) * 0.01, 9) AS H FROM k"""
+)
+def ripley_l(spark, sf_dir):
+    return rounded(spatial.ripley(points_of(spark, sf_dir), AXES, 20, 0.01, "vec_id", 1.0), "K", "L", "H", places=9).select("bin", "K", "L", "H")
+
+
+@query(
+    f"""WITH {POINTS}, d AS (SELECT a.vec_id, {DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS k FROM p a JOIN p b ON a.vec_id <> b.vec_id WHERE {DIST} < 0.1)
+    SELECT vec_id, count(*) AS n, round(sum(d ** 3 * k) / sum(d ** 6), 2) AS density FROM d WHERE k <= 10 GROUP BY 1"""
+)
+def local_density(spark, sf_dir):
+    return rounded(spatial.local_density(points_of(spark, sf_dir), AXES, 10, 0.1, "vec_id"), "density", places=2)
+
+
+@query(
+    f"""WITH {EVENTS} SELECT CAST(abs(a.t - b.t) // 60 AS INTEGER) AS lag, count(*) AS n, round(avg((a.value - b.value) ** 2), 4) AS msd
+    FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id WHERE abs(a.t - b.t) < 600 GROUP BY 1"""
+)
+def msd_by_lag(spark, sf_dir):
+    return rounded(spatial.mean_square_displacement(frames_of(spark, sf_dir), "user_id", "t", ["value"], 10, 60, "event_id"), "msd", places=4)
+
+
+@query(f"WITH {POINTS} SELECT CAST(floor((x + 1) / 0.05) AS INTEGER) AS ix, CAST(floor((y + 1) / 0.05) AS INTEGER) AS iy, count(*) AS n FROM p GROUP BY 1, 2")
+def render_hist2d(spark, sf_dir):
+    return spatial.render_histogram(points_of(spark, sf_dir), F.col("x"), F.col("y"), -1.0, -1.0, 0.05)
+
+
+@query(
+    f"""WITH {POINTS}, s AS (SELECT x, y, 0.02 AS s, unnest(range(CAST(floor((x - 0.08 + 1) / 0.05) AS BIGINT), CAST(floor((x + 0.08 + 1) / 0.05) AS BIGINT) + 1)) AS ix FROM p),
+    q AS (SELECT *, unnest(range(CAST(floor((y - 0.08 + 1) / 0.05) AS BIGINT), CAST(floor((y + 0.08 + 1) / 0.05) AS BIGINT) + 1)) AS iy FROM s)
+    SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, round(sum(exp(-(((ix + 0.5) * 0.05 - 1 - x) ** 2 + ((iy + 0.5) * 0.05 - 1 - y) ** 2) / (2 * s * s)) / (2 * pi() * s * s) * 0.0025), 6) AS value FROM q GROUP BY 1, 2"""
+)
+def render_gauss2d(spark, sf_dir):
+    return rounded(spatial.render_gaussian(points_of(spark, sf_dir).withColumn("s", F.lit(0.02)), "x", "y", "s", -1.0, -1.0, 0.05), "value")
+
+
+@query(f"WITH {POINTS} SELECT l AS level, CAST(floor((x + 1) / 2 * pow(2, l)) AS BIGINT) AS ix, CAST(floor((y + 1) / 2 * pow(2, l)) AS BIGINT) AS iy, count(*) AS n FROM p, (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS l) GROUP BY 1, 2, 3")
+def quadtree_counts(spark, sf_dir):
+    return spatial.octree_cells(points_of(spark, sf_dir), ["x", "y"], [-1.0, -1.0], 2.0, 5)
+
+
+@query(
+    f"""WITH RECURSIVE {POINTS}, n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON {DIST} < 0.08), core AS (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) >= 4),
+    e AS (SELECT n.a, n.b FROM n JOIN core c ON c.id = n.a JOIN core d ON d.id = n.b), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+    comp AS (SELECT a AS id, min(b) + 1 AS c FROM reach GROUP BY 1), edge AS (SELECT n.b AS id, min(c) AS c FROM n JOIN comp ON comp.id = n.a GROUP BY 1)
+    SELECT p.vec_id, coalesce(comp.c, edge.c, 0) AS "dbscanClumpID" FROM p LEFT JOIN comp ON comp.id = p.vec_id LEFT JOIN edge ON edge.id = p.vec_id"""
+)
+def dbscan(spark, sf_dir):
+    _shared(spark)
+    return clumping.dbscan(points_of(spark, sf_dir), AXES, 0.08, 4, "vec_id").select("vec_id", "dbscanClumpID")
+
+
+@query()
+def find_clumps(spark, sf_dir):
+    e = frames_of(spark, sf_dir).withColumns({"x": F.col("value"), "y": F.lit(0.0), "r": F.lit(2.0)})
+    return windows.clump_size(clumping.find_clumps(e, "user_id", "t", "x", "y", "r", 300, "event_id"), "clumpIndex").select("event_id", "user_id", "clumpIndex", "clumpSize")
+
+
+@query()
+def overlap_reject(spark, sf_dir):
+    _shared(spark)
+    return clumping.overlap_rejection(points_of(spark, sf_dir), ("x", "y"), 0.02, "vec_id").select("vec_id", "rejected")
+
+
+@query()
+def gmm_label(spark, sf_dir):
+    return clumping.mixture_labels(points_of(spark, sf_dir), AXES, 3, "vec_id").select("vec_id", "gmmLabel")
+
+
+@query()
+def tsp_order(spark, sf_dir):
+    return clumping.route_order(points_of(spark, sf_dir), "x", "y", 0.2, "vec_id")
+
+
+@query()
+def track_features(spark, sf_dir):
+    e = frames_of(spark, sf_dir)
+    return clumping.track_frames(e, "event_type", "t", ["value"], "event_id", r0=5.0).select("event_id", "event_type", "clumpIndex")
+
+
+# --- images ---------------------------------------------------------------------------------------------------------
+def image_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a frame of 8 x 8 pixels, its label being the series."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(8).alias("height"), F.lit(8).alias("width"), F.transform("embedding", lambda v: v.cast("double")).alias("pixels"))
+
+
+def exploded(frames: DataFrame) -> DataFrame:
+    return frames.select("vec_id", F.posexplode("pixels").alias("pos", "value"))
+
+
+PIXELS = "u AS (SELECT vec_id, label, CAST(unnest(range(0, 64)) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, pos, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w), 6) AS value FROM u WINDOW w AS (PARTITION BY vec_id)")
+def image_normalise(spark, sf_dir):
+    return rounded(exploded(images.normalise(image_frames(spark, sf_dir))), "value")
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, pos, CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END AS value FROM u")
+def image_threshold(spark, sf_dir):
+    return exploded(images.threshold(image_frames(spark, sf_dir), 0.1))
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, CAST((pos // 8 - 2) * 3 + pos % 8 - 1 AS INTEGER) AS pos, v AS value FROM u WHERE pos // 8 >= 2 AND pos % 8 BETWEEN 1 AND 3")
+def image_crop(spark, sf_dir):
+    return exploded(images.crop(image_frames(spark, sf_dir), (2, -1), (1, 4)))
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, pos, round(v - avg(v) OVER (PARTITION BY label, pos ORDER BY vec_id RANGE BETWEEN 32 PRECEDING AND 1 PRECEDING), 6) AS value FROM u")
+def image_background(spark, sf_dir):
+    out = images.background_subtract(image_frames(spark, sf_dir), "label", "vec_id", -32, 0)
+    return rounded(out.select("vec_id", F.posexplode("pixels").alias("pos", "value")), "value")
+
+
+@query()
+def image_gaussian(spark, sf_dir):
+    return rounded(exploded(images.frame_filter(image_frames(spark, sf_dir), images.gaussian(1.0))), "value")
+
+
+@query()
+def image_median(spark, sf_dir):
+    return exploded(images.frame_filter(image_frames(spark, sf_dir), images.median3))
+
+
+@query()
+def detect_spots(spark, sf_dir):
+    return rounded(images.detect_spots(image_frames(spark, sf_dir), 0.1, ["vec_id"]), "x", "y", "A")
+
+
+def box_sql(how: str) -> str:
+    """A 3 x 3 box around each pixel with reflected edges."""
+    near = "least(greatest({c} + {d}, 0), 7)"
+    row, col = near.format(c="pos // 8", d="dy"), near.format(c="pos % 8", d="dx")
+    return f"""WITH {PIXELS}, m AS (SELECT a.d AS dy, b.d AS dx FROM (SELECT unnest([-1, 0, 1]) AS d) a, (SELECT unnest([-1, 0, 1]) AS d) b)
+    SELECT p.vec_id, p.pos, round({how}(q.v), 6) AS value FROM (SELECT vec_id, pos, {row} * 8 + {col} AS near FROM u, m) p JOIN u q ON q.vec_id = p.vec_id AND q.pos = p.near GROUP BY 1, 2"""
+
+
+def filtered(spark, sf_dir, kernel) -> DataFrame:
+    return rounded(exploded(images.frame_filter(image_frames(spark, sf_dir), kernel)), "value")
+
+
+@query(box_sql("max"))
+def image_max_filter(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.neighbourhood(np.max))
+
+
+@query(box_sql("min"))
+def image_min_filter(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.neighbourhood(np.min))
+
+
+@query(box_sql("avg"))
+def image_mean_filter(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.neighbourhood(np.mean))
+
+
+@query(box_sql("median"))
+def image_median_filter(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.neighbourhood(np.median))
+
+
+@query()
+def image_dog(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.difference_of_gaussians(1.0, 2.0))
+
+
+@query()
+def image_tophat(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.white_tophat(1.0))
+
+
+@query()
+def image_otsu(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.threshold_by(kernels.otsu_level))
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, pos, CASE WHEN pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5 THEN round(v, 6) ELSE 0 END AS value FROM u")
+def image_mask_edges(spark, sf_dir):
+    return filtered(spark, sf_dir, kernels.mask_edges(2))
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, CAST(63 - pos AS INTEGER) AS pos, v AS value FROM u")
+def image_rotate180(spark, sf_dir):
+    return exploded(images.rotate180(image_frames(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PIXELS} SELECT vec_id, round(sum(v) FILTER ((pos % 8 - 3) ** 2 + (pos // 8 - 4) ** 2 <= 4), 6) AS r2, round(sum(v) FILTER ((pos % 8 - 3) ** 2 + (pos // 8 - 4) ** 2 <= 9), 6) AS r3 FROM u GROUP BY 1"""
+)
+def intensity_at_points(spark, sf_dir):
+    frames = image_frames(spark, sf_dir)
+    points = frames.select("vec_id", F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))
+    return rounded(images.intensity_at_points(frames, points, ["vec_id"], [2, 3]).select("vec_id", "r2", "r3"), "r2", "r3")
+
+
+@query(
+    f"""WITH {PIXELS} SELECT vec_id, CAST(pos % 3 + 1 AS BIGINT) AS label, count(*) AS area, round(avg(pos % 8), 6) AS x, round(avg(pos // 8), 6) AS y, round(sum(v), 6) AS total, round(avg(v), 6) AS mean FROM u WHERE pos % 3 < 2 GROUP BY 1, 2"""
+)
+def region_measurements(spark, sf_dir):
+    frames = image_frames(spark, sf_dir)
+    ids = frames.withColumn("pixels", F.transform("pixels", lambda _, i: F.when(i % 3 < 2, i % 3 + 1).otherwise(0)))
+    return rounded(images.regions(frames, ids, ["vec_id"]), "x", "y", "total", "mean")
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+@query(f"WITH {EVENTS} SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, min(t) AS \"tIndex\", max(t) - min(t) + 1 AS \"burstDuration\" FROM e GROUP BY 1")
+def stream_merge_clumps(spark, sf_dir):
+    """The running totals of a stream that has read all of the table: state in the engine, last update of each label."""
+    from photonflow.streaming import clumps
+
+    _shared(spark)
+    source = table(spark, sf_dir, "events")
+    stream = clumps.read_points(spark, f"{sf_dir}/events.parque[t]", source.schema)  # a pattern: the table may be a file or a folder
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    stream = stream.withColumn("t", (F.floor(micros / 60_000_000) - 28_401_120).cast("long"))
+    target = _scratch(spark, "totals")
+    last = clumps.merge_by_label(stream, "user_id", "t", "value").writeStream.outputMode("complete").option("checkpointLocation", f"{target}-state").trigger(availableNow=True)
+    last.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(target)).start().awaitTermination()
+    return rounded(spark.read.parquet(target), "total", places=4)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own only where none is named."""
+    import tempfile
+
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="photonflow-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
