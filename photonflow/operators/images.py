@@ -138,13 +138,17 @@ def intensity_at_points(frames: DataFrame, points: DataFrame, keys: list[str], r
     """
     joined = points.join(frames.select(*keys, "height", "width", "pixels"), keys)
     places = F.sequence(F.lit(0), F.size("pixels") - 1)
-    out = joined
-    for r in radii:
-        dx = lambda i: i % F.col("width") - F.col("x")
-        dy = lambda i: F.floor(i / F.col("width")) - F.col("y")
-        inside = F.filter(places, lambda i, r=r, dx=dx, dy=dy: dx(i) * dx(i) + dy(i) * dy(i) <= r * r)
+
+    def disc(r: float) -> Column:
+        def near(i: Column) -> Column:
+            dx, dy = i % F.col("width") - F.col("x"), F.floor(i / F.col("width")) - F.col("y")
+            return dx * dx + dy * dy <= r * r
+
+        inside = F.filter(places, near)
         total = F.aggregate(inside, F.lit(0.0), lambda a, i: a + F.element_at("pixels", (i + 1).cast("int")).cast("double"))
-        out = out.withColumn(f"r{r:g}", F.try_divide(total, F.size(inside)) if mean else total)
+        return F.try_divide(total, F.size(inside)) if mean else total
+
+    out = joined.withColumns({f"r{r:g}": disc(r) for r in radii})
     return out.drop("height", "width", "pixels")
 
 

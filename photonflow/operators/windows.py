@@ -24,10 +24,10 @@ def clump_size(df: DataFrame, clump: str) -> DataFrame:
 def offtime_cdf(df: DataFrame, site: str, frame: str) -> DataFrame:
     """Of each site, the gaps (frames between events, less one, above 0) in order, and the share of gaps up to each."""
     gaps = df.select(site, frame).distinct().withColumn("off", F.col(frame) - F.lag(frame).over(Window.partitionBy(site).orderBy(frame)) - 1).where("off > 0")
-    counts = gaps.groupBy(site, "off").agg(F.count("*").alias("k"))
+    counts = gaps.groupBy(site, "off").agg(F.count("*").alias("_k"))
     w = Window.partitionBy(site)
-    running = F.sum("k").over(w.orderBy("off").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(site, "off", (running / F.sum("k").over(w)).alias("cdf"))
+    running = F.sum("_k").over(w.orderBy("off").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(site, "off", (running / F.sum("_k").over(w)).alias("cdf"))
 
 
 def sliding_mean(df: DataFrame, key: str, t: str, value: str, start: int, stop: int) -> DataFrame:
