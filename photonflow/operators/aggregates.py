@@ -156,3 +156,22 @@ def cluster_moments(df: DataFrame, label: str, axes: Sequence[str] = ("x", "y",
 
 def image_bounds(df: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     return df.agg(*(f(c).alias(f"{c}{n}") for c in axes for f, n in ((F.min, "0"), (F.max, "1"))))
+
+
+def dark_and_variance(frames: DataFrame, pixels: str, dark_limit: float, variance_limit: float, blemish: float) -> DataFrame:
+    """Mean and variance (population) of each pixel over all frames; pixels beyond either limit get the blemish variance."""
+    each = frames.select(F.posexplode(pixels).alias("pos", "v")).groupBy("pos").agg(F.avg(F.col("v").cast("double")).alias("dark"), F.var_pop(F.col("v").cast("double")).alias("variance"))
+    bad = (F.col("dark") > dark_limit) | (F.col("variance") > variance_limit)
+    return each.withColumn("variance", F.when(bad, F.lit(blemish)).otherwise(F.col("variance")))
+
+
+def average_by_step(frames: DataFrame, z: Column, pixels: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean of each pixel over the frames of one z, rounded to three decimals."""
+    each = frames.select(*keys, F.bround(z, 3).alias("z"), F.posexplode(pixels).alias("pos", "v"))
+    return each.groupBy(*keys, "z", "pos").agg(F.avg(F.col("v").cast("double")).alias("value"))
+
+
+def tile_pyramid(pixels: DataFrame, levels: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Pixels (x, y, v) averaged over squares of 2 ** level, for all levels at once."""
+    spread = pixels.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return spread.groupBy(*keys, "level", F.floor(F.col("x") / F.pow(F.lit(2.0), "level")).alias("tx"), F.floor(F.col("y") / F.pow(F.lit(2.0), "level")).alias("ty")).agg(F.avg("v").alias("value"))

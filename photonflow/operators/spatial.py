@@ -132,3 +132,50 @@ def octree_cells(df: DataFrame, axes: Sequence[str], origin: Sequence[float], si
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
     at = [F.floor((F.col(c) - o) / size * F.pow(F.lit(2.0), F.col("level"))).cast("long").alias(f"i{c}") for c, o in zip(axes, origin, strict=True)]
     return df.select(*axes, levels).groupBy("level", *at).agg(F.count("*").alias("n"))
+
+
+def in_cone(dx: Column, dy: Column, dz: Column, azimuth: float, zenith: float, half_angle: float, reach: float) -> Column:
+    """Whether a displacement lies in a cone around a direction, up to a distance."""
+    from math import cos, sin
+
+    r = F.sqrt(dx * dx + dy * dy + dz * dz)
+    along = dx * (sin(zenith) * cos(azimuth)) + dy * (sin(zenith) * sin(azimuth)) + dz * cos(zenith)
+    return (r <= reach) & (along >= r * cos(half_angle))
+
+
+def drift(points: DataFrame, t: str, x: str, y: str, step: int, width: int, bin_size: float, shape: tuple[int, int], origin: tuple[float, float]) -> DataFrame:
+    """window, n, dy, dx: shifts of overlapping time windows against the first, from histograms of their points.
+
+    Points are counted by window and bin in Spark. A histogram has a fixed number of bins, so a window's is one row, and
+    the first one, which all are compared with, is a small constant.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    from photonflow.operators.kernels import registration_shift
+
+    rows, columns = shape
+    last = F.floor(F.col(t) / step)
+    first = F.greatest(F.lit(0), F.floor((F.col(t) - width) / step) + 1)
+    place = F.floor((F.col(y) - origin[1]) / bin_size) * columns + F.floor((F.col(x) - origin[0]) / bin_size)
+    inside = (F.col(x) >= origin[0]) & (F.col(x) < origin[0] + columns * bin_size) & (F.col(y) >= origin[1]) & (F.col(y) < origin[1] + rows * bin_size)
+    counts = points.where(inside).select(F.explode(F.sequence(first, last)).alias("window"), place.cast("int").alias("place")).groupBy("window", "place").agg(F.count("*").alias("n"))
+    images = counts.groupBy("window").agg(F.collect_list(F.struct("place", "n")).alias("cells"), F.sum("n").alias("n"))
+
+    def image(cells) -> np.ndarray:
+        out = np.zeros(rows * columns)
+        for c in cells:
+            out[c["place"]] = c["n"]
+        return out.reshape(shape)
+
+    start = images.orderBy("window").limit(1).collect()
+    reference = image(start[0]["cells"]) if start else None
+
+    def shift(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [registration_shift(reference, image(c)) for c in part["cells"]]
+            yield pd.DataFrame({"window": part["window"], "n": part["n"], "dy": [f[0] for f in found], "dx": [f[1] for f in found]})
+
+    return images.mapInPandas(shift, "window long, n long, dy double, dx double")

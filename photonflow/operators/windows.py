@@ -63,3 +63,18 @@ def autocorrelation_shift(df: DataFrame, key: str, t: str, value: str, lag: int)
     w = Window.partitionBy(key).orderBy(t)
     m = df.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(key))).withColumn("_e", F.lag("_d", lag).over(w))
     return m.groupBy(key).agg(F.try_divide(F.sum(F.col("_d") * F.col("_e")), F.sum(F.col("_d") * F.col("_d"))).alias("autocorrelation"))
+
+
+def resample(df: DataFrame, key: str, z: str, value: str, step: float) -> DataFrame:
+    """A series' values on an even grid from its least z, by linear interpolation: each row fills the grid up to the next.
+
+    A z that repeats within a series has no value of its own; such rows raise an error when the plan runs.
+    """
+    w = Window.partitionBy(key).orderBy(z)
+    marked = df.withColumns({"_z0": F.min(z).over(Window.partitionBy(key)), "_next": F.lead(z).over(w), "_to": F.lead(value).over(w)}).where("_next is not null")
+    marked = marked.where(F.when(F.col("_next") == F.col(z), F.raise_error(F.lit("a z value repeats")).cast("boolean")).otherwise(F.lit(True)))
+    first, last = F.ceil((F.col(z) - F.col("_z0")) / step), F.ceil((F.col("_next") - F.col("_z0")) / step) - 1
+    grid = marked.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    at = F.col("_z0") + F.col("k") * step
+    share = (at - F.col(z)) / (F.col("_next") - F.col(z))
+    return grid.select(key, "k", at.alias(z), (F.col(value) + share * (F.col("_to") - F.col(value))).alias(value))

@@ -603,6 +603,50 @@ def region_measurements(spark, sf_dir):
     return rounded(images.regions(frames, ids, ["vec_id"]), "x", "y", "total", "mean")
 
 
+@query(
+    f"""WITH {PIXELS}, g AS (SELECT pos, avg(v) AS d, var_pop(v) AS s FROM u GROUP BY 1) SELECT pos, round(d, 6) AS dark, round(CASE WHEN d > 0.005 OR s > 0.02 THEN 1 ELSE s END, 6) AS variance FROM g"""
+)
+def dark_variance_map(spark, sf_dir):
+    return rounded(aggregates.dark_and_variance(table(spark, sf_dir, "embeddings"), "embedding", 0.005, 0.02, 1.0), "dark", "variance")
+
+
+@query(f"WITH {PIXELS} SELECT CAST(label AS DOUBLE) / 4 AS z, pos, round(avg(v), 6) AS value FROM u GROUP BY 1, 2")
+def average_by_step(spark, sf_dir):
+    return rounded(aggregates.average_by_step(table(spark, sf_dir, "embeddings"), F.col("label") / 4.0, "embedding"), "value")
+
+
+@query(
+    f"""WITH {PIXELS} SELECT vec_id, l AS level, CAST((pos % 8) // (1 << l) AS BIGINT) AS tx, CAST((pos // 8) // (1 << l) AS BIGINT) AS ty, round(avg(v), 6) AS value
+    FROM u, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS l) GROUP BY 1, 2, 3, 4"""
+)
+def tile_pyramid(spark, sf_dir):
+    each = exploded(image_frames(spark, sf_dir))
+    pixels = each.select("vec_id", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), F.col("value").alias("v"))
+    return rounded(aggregates.tile_pyramid(pixels, 3, ["vec_id"]), "value")
+
+
+@query(
+    f"""WITH {EVENTS}, d AS (SELECT user_id, CAST(t AS DOUBLE) AS t, avg(value) AS v FROM e GROUP BY 1, 2), n AS (SELECT *, min(t) OVER (PARTITION BY user_id) AS z, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM d WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+    g AS (SELECT *, unnest(range(CAST(ceil((t - z) / 500) AS BIGINT), CAST(ceil((nt - z) / 500) AS BIGINT))) AS k FROM n WHERE nt IS NOT NULL)
+    SELECT user_id, k, z + k * 500 AS t, round(v + (z + k * 500 - t) / (nt - t) * (nv - v), 4) AS v FROM g"""
+)
+def resample_linear(spark, sf_dir):
+    e = frames_of(spark, sf_dir).groupBy("user_id", F.col("t").cast("double").alias("t")).agg(F.avg("value").alias("v"))
+    return rounded(windows.resample(e, "user_id", "t", "v", 500.0), "v", places=4)
+
+
+@query()
+def drift_shifts(spark, sf_dir):
+    e = frames_of(spark, sf_dir).withColumns({"x": F.col("user_id").cast("double"), "y": F.col("value")})
+    return spatial.drift(e, "t", "x", "y", 4000, 10000, 5.0, (32, 32), (0.0, 0.0))
+
+
+@query(f"WITH {POINTS} SELECT vec_id FROM p WHERE sqrt(x * x + y * y + z * z) <= 0.3 AND z >= sqrt(x * x + y * y + z * z) * cos(0.8)")
+def points_in_cone(spark, sf_dir):
+    p = points_of(spark, sf_dir)
+    return p.where(spatial.in_cone(F.col("x"), F.col("y"), F.col("z"), 0.0, 0.0, 0.8, 0.3)).select("vec_id")
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 @query(f"WITH {EVENTS} SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, min(t) AS \"tIndex\", max(t) - min(t) + 1 AS \"burstDuration\" FROM e GROUP BY 1")
 def stream_merge_clumps(spark, sf_dir):

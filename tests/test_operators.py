@@ -158,3 +158,21 @@ def test_sources_and_recipe_over_files(spark, tmp_path):
         Recipe.from_yaml("- FilterTable: {inputName: a, filters: {}, outputName: b}").execute({})
     with pytest.raises(KeyError, match="no operator"):
         Recipe([{"Nothing": {"outputName": "x"}}])
+
+
+def test_resample_and_cone(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 10.0), (1, 3.0, 30.0)], "k int, z double, v double")
+    assert [(r.z, r.v) for r in windows.resample(df, "k", "z", "v", 0.75).orderBy("z").collect()] == [(0, 0), (0.75, 7.5), (1.5, 15), (2.25, 22.5)]
+    with pytest.raises(Exception, match="repeats"):
+        windows.resample(df.union(df), "k", "z", "v", 0.5).collect()
+    p = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 0.0, 3.0), (1.0, 0.0, 0.2)], "x double, y double, z double")
+    assert p.where(spatial.in_cone(F.col("x"), F.col("y"), F.col("z"), 0.0, 0.0, 0.3, 2.0)).count() == 1
+
+
+def test_drift_follows_a_moving_pattern(spark):
+    rng = random.Random(2)
+    spots = [(rng.uniform(10, 22), rng.uniform(10, 22)) for _ in range(12)]
+    rows = [(t, x + 3 * (t >= 100), y) for t in range(200) for x, y in spots]
+    df = spark.createDataFrame(rows, "t long, x double, y double")
+    got = {r.window: (r.dy, r.dx) for r in spatial.drift(df, "t", "x", "y", 100, 100, 1.0, (32, 32), (0.0, 0.0)).collect()}
+    assert abs(got[0][1]) < 0.5 and abs(got[1][1] - 3) < 0.7 and abs(got[1][0]) < 0.7
