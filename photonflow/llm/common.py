@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; one of our own only where none is named (tests, local runs)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="photonflow-")
+        own = tempfile.mkdtemp(prefix="photonflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
