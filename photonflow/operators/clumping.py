@@ -161,41 +161,75 @@ def route_order(points: DataFrame, x: str, y: str, chunk: float, row_id: str, ep
     return routed.select(F.col("id").alias(row_id), "cy", across.alias("across"), "place").orderBy("cy", "across", "place")
 
 
+def link_frame(before: np.ndarray, now: np.ndarray, ids: np.ndarray, p_new: float, r0: float, cutoff: float) -> np.ndarray:
+    """The track of each point of a frame, from the points and tracks of the frame before; 0 for new tracks. Best links go first."""
+    mine = np.zeros(len(now), int)
+    if not len(before):
+        return mine
+    w = np.exp(-np.sqrt(((now[:, None] - before[None]) ** 2).sum(axis=2)) / r0)
+    w /= w.sum(axis=1, keepdims=True) + p_new
+    used: set[int] = set()
+    for k in np.argsort(-w, axis=None, kind="stable"):
+        i, j = divmod(int(k), w.shape[1])
+        if w[i, j] < cutoff:
+            break
+        if not mine[i] and j not in used:
+            mine[i] = ids[j]
+            used.add(j)
+    return mine
+
+
 def track_frames(df: DataFrame, series: str, t: str, axes: Sequence[str], row_id: str, p_new: float = 0.2, r0: float = 500.0, cutoff: float = 0.2, out: str = "clumpIndex") -> DataFrame:
     """Probabilistic linkage of each frame's points to the tracks of the frame before, best links first, for each series.
 
     A link's weight is exp(-d / r0), a new track's p_new; weights are normalised for each point, and links below the
-    cutoff are not taken. A series is scanned in one group, frame by frame.
+    cutoff are not taken. Tracks end where a frame is missing, so a series is cut there and its segments are scanned apart;
+    what is held is one frame and the next.
     """
-    slim = df.select(F.col(series).alias("series"), F.col(row_id).alias("row_id"), F.col(t).cast("long").alias("t"), *(F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(axes)))
-    names = [f"f{i}" for i in range(len(axes))]
+    frame = F.col(t).cast("long")
+    w = Window.partitionBy(series).orderBy(t, row_id)
+    cut = F.coalesce((frame - F.lag(frame).over(w) > 1).cast("long"), F.lit(0))
+    marked = df.withColumn("_cut", cut).withColumn("_segment", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slim = marked.select(F.col(series).alias("series"), F.col("_segment").alias("segment"), F.col(row_id).alias("row_id"), frame.alias("t"), F.array(*(F.col(c).cast("double") for c in axes)).alias("at"))
 
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "row_id"])
-        last_at, last_ids, count, labels = np.zeros((0, len(names))), np.zeros(0, int), 0, []
-        before = None
-        for now, rows in part.groupby("t"):
-            at = rows[names].to_numpy()
-            if before is None or now != before + 1:
-                last_at, last_ids = at[:0], last_ids[:0]
-            w = np.exp(-np.sqrt(((at[:, None] - last_at[None]) ** 2).sum(axis=2)) / r0)
-            w = w / (w.sum(axis=1, keepdims=True) + p_new)
-            mine = np.zeros(len(at), int)
-            for k in np.argsort(-w, axis=None, kind="stable"):
-                i, j = divmod(int(k), max(1, w.shape[1]))
-                if w[i, j] < cutoff:
-                    break
-                if not mine[i] and last_ids[j] not in mine:
-                    mine[i] = last_ids[j]
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = segment = None
+        rows: list[tuple] = []  # row id and place of the frame that is being gathered
+        before, ids, count = np.zeros((0, len(axes))), np.zeros(0, int), 0
+
+        def settle() -> list[tuple]:
+            nonlocal before, ids, count, rows
+            if not rows:
+                return []
+            now = np.array([r[1] for r in rows])
+            mine = link_frame(before, now, ids, p_new, r0, cutoff)
             fresh = mine == 0
             mine[fresh] = count + 1 + np.arange(fresh.sum())
             count += int(fresh.sum())
-            labels += mine.tolist()
-            last_at, last_ids, before = at, mine, now
-        return part.assign(track=labels)[["row_id", "track"]]
+            found = [(*segment, r[0], int(m)) for r, m in zip(rows, mine, strict=True)]
+            before, ids, rows = now, mine, []
+            return found
+
+        names = ["series", "segment", "row_id", "track"]
+        for part in parts:
+            done: list[tuple] = []
+            for s, g, row, frame_, at in part[["series", "segment", "row_id", "t", "at"]].itertuples(index=False):
+                if (s, g, frame_) != key:
+                    done += settle()
+                    if (s, g) != segment:
+                        before, ids, count = before[:0], ids[:0], 0
+                    key, segment = (s, g, frame_), (s, g)
+                rows.append((row, at))
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame(settle(), columns=names)
 
-    found = slim.groupBy("series").applyInPandas(scan, f"row_id {dict(slim.dtypes)['row_id']}, track long")
-    return df.join(found.select(F.col("row_id").alias(row_id), F.col("track").alias(out)), row_id)
+    kinds = dict(slim.dtypes)
+    dealt = slim.repartition("series", "segment").sortWithinPartitions("series", "segment", "t", "row_id")
+    found = dealt.mapInPandas(scan, f"series {kinds['series']}, segment long, row_id {kinds['row_id']}, track long")
+    counts = found.groupBy("series", "segment").agg(F.max("track").alias("n"))
+    before_ = counts.select("series", "segment", (F.sum("n").over(Window.partitionBy("series").orderBy("segment")) - F.col("n")).alias("before"))
+    numbers = found.join(before_, ["series", "segment"]).select(F.col("row_id").alias(row_id), (F.col("track") + F.col("before")).alias(out))
+    return df.join(numbers, row_id)
 
 
 def mixture_labels(points: DataFrame, axes: Sequence[str], n: int, row_id: str, seed: int = 1, out: str = "gmmLabel") -> DataFrame:

@@ -666,12 +666,16 @@ def stream_merge_clumps(spark, sf_dir):
 
 def _shared(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where none is named."""
+    import atexit
+    import shutil
     import tempfile
 
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="photonflow-")
+        own = tempfile.mkdtemp(prefix="photonflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", named)
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(named)

@@ -176,3 +176,11 @@ def test_drift_follows_a_moving_pattern(spark):
     df = spark.createDataFrame(rows, "t long, x double, y double")
     got = {r.window: (r.dy, r.dx) for r in spatial.drift(df, "t", "x", "y", 100, 100, 1.0, (32, 32), (0.0, 0.0)).collect()}
     assert abs(got[0][1]) < 0.5 and abs(got[1][1] - 3) < 0.7 and abs(got[1][0]) < 0.7
+
+
+def test_tracks(spark):
+    rows = [(t, 0.0 + t, 0.0) for t in range(5)] + [(t, 50.0, 9.0 - t) for t in range(5)] + [(9, 4.0, 0.0), (10, 5.0, 0.0)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "series long, row_id long, t long, x double, y double").repartition(3)
+    got = [r.clumpIndex for r in clumping.track_frames(df, "series", "t", ["x", "y"], "row_id", r0=5.0).orderBy("row_id").collect()]
+    assert got == [1] * 5 + [2] * 5 + [3, 3]
+    assert clumping.link_frame(np.array([[0.0], [1.0]]), np.array([[0.9]]), np.array([4, 7]), 0.2, 1.0, 0.2).tolist() == [7]
