@@ -1,4 +1,9 @@
-"""SimHash near-duplicates: fingerprints, banded candidate blocks, bit-sliced comparison, components."""
+"""SimHash near-duplicates: fingerprints, candidate blocks, bit-sliced comparison, components.
+
+near_duplicates() links fingerprints of 64 bits within a few bits; their pieces make the blocks, so no pair is missed.
+Texts that share 0.8 of their shingles differ in about ten of 64 bits, too many for such pieces: near_copies() takes
+256 bits, which tell such texts from less alike ones, and blocks of texts that share a band of least shingle hashes.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +22,61 @@ SHINGLE = 5
 RADIUS = 4
 #: Fingerprints compared in one tile of a block; larger blocks are dealt out as pairs of tiles.
 TILE = 2048
+#: Words of a wide fingerprint.
+WIDE = 4
+#: Differing bits of wide fingerprints: texts that share 0.8 of their shingles differ in 39 of 256 on average.
+WIDE_RADIUS = 44
+#: Bands and least hashes of a band: texts that share 0.8 of their shingles share none in one of 38,000 cases.
+BANDS, BAND_ROWS = 20, 4
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDE + BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of all word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of all word shingles, A-Z lowered, repeats included; of the whole sequence where words are fewer."""
     words = space_words(text.lower() if text else text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = np.array(hashes[i : i + 4096], np.uint64)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def _majority(parts: Iterator[np.ndarray], words: int) -> np.ndarray:
+    """The bits that over half of the rows (uint64 words each) have set, as uint64 words."""
+    ones, n = np.zeros(64 * words, np.int64), 0
+    for part in parts:
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of all word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    return int(_majority((hashes[i : i + 4096] for i in range(0, len(hashes), 4096)), 1).view(np.int64)[0])
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """SimHash of 256 bits over the distinct shingles, and the keys of the bands of their least hashes (none without words)."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    if not len(hashes):
+        return bytes(8 * WIDE), np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, _ONES)
+    parts = []
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 2048):
+            part = hashes[i : i + 2048]
+            least = np.minimum(least, (part[None, :] * _ODD[WIDE:, None]).min(axis=1))
+            mixed = (part[:, None] ^ (part[:, None] >> np.uint64(31))) * _ODD[None, :WIDE]
+            parts.append((mixed ^ (mixed >> np.uint64(29))) * _ODD[None, :WIDE])
+            parts[-1] ^= parts[-1] >> np.uint64(32)
+    bands = [xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return _majority(iter(parts), WIDE).tobytes(), np.array(bands, np.uint64).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -53,20 +92,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(64, blocks): bit j of planes[b, k] is bit b of fingerprint 64k + j."""
-    blocks = max(1, -(-len(fps) // 64))
-    lanes = np.zeros(blocks * 64, np.uint64)
+    """fps: a row of uint64 words for each fingerprint. Bit j of planes[b, k] is bit b of fingerprint 64k + j."""
+    blocks, words = max(1, -(-len(fps) // 64)), fps.shape[1]
+    lanes = np.zeros((blocks * 64, words), np.uint64)
     lanes[: len(fps)] = fps
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    packed = np.packbits(np.ascontiguousarray(bits.T).reshape(64, blocks, 64), axis=2, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64).reshape(64, blocks)
+    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+    packed = np.packbits(np.ascontiguousarray(bits.T).reshape(64 * words, blocks, 64), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64).reshape(64 * words, blocks)
 
 
-def _over(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose 3-bit counter exceeds the radius."""
-    more, same = np.zeros_like(c0), np.full_like(c0, _ONES)
-    for bit, c in ((4, c2), (2, c1), (1, c0)):
-        if radius & bit:
+def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose vertical counter (lowest bit first) exceeds the radius."""
+    more, same = np.zeros_like(counters[0]), np.full_like(counters[0], _ONES)
+    for k, c in reversed(list(enumerate(counters))):
+        if radius >> k & 1:
             same = same & c
         else:
             more |= same & c
@@ -77,37 +116,35 @@ def _over(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.nda
 def close_lanes(planes: np.ndarray, query: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Which lanes of each (query, block) lie within the radius: indices of the items that have any, and their lane masks.
 
-    Two planes at a time go through a carry-save adder into three vertical counter bits and a sticky overflow. Every
-    eight planes, items all of whose lanes exceed the radius are abandoned.
+    Two planes at a time go through a carry-save adder into vertical counter bits and a sticky overflow. Every eight
+    planes, items all of whose lanes exceed the radius are abandoned.
     """
     left = np.arange(len(query))
-    zero = np.uint64(0)
-    one = np.uint64(1)
-    c0 = np.zeros(len(query), np.uint64)
-    c1, c2, lost = c0.copy(), c0.copy(), c0.copy()
-    for b in range(0, 64, 2):
-        x = planes[b][block] ^ (zero - ((query >> np.uint64(b)) & one))
-        y = planes[b + 1][block] ^ (zero - ((query >> np.uint64(b + 1)) & one))
-        half = c0 ^ x
-        carry = (c0 & x) | (y & half)
-        c0 = half ^ y
-        up = c1 & carry
-        c1 = c1 ^ carry
-        lost |= c2 & up
-        c2 = c2 ^ up
+    zero, one = np.uint64(0), np.uint64(1)
+    counters = [np.zeros(len(query), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    lost = np.zeros(len(query), np.uint64)
+    for b in range(0, len(planes), 2):
+        word = query[:, b >> 6]
+        x = planes[b][block] ^ (zero - ((word >> np.uint64(b & 63)) & one))
+        y = planes[b + 1][block] ^ (zero - ((word >> np.uint64((b & 63) + 1)) & one))
+        half = counters[0] ^ x
+        carry = (counters[0] & x) | (y & half)
+        counters[0] = half ^ y
+        for k in range(1, len(counters)):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        lost |= carry
         if b % 8 == 6:
-            alive = lanes & ~(lost | _over(c0, c1, c2, radius))
+            alive = lanes & ~(lost | _over(counters, radius))
             keep = alive != 0
-            if b == 62:
+            if b == len(planes) - 2:
                 return left[keep], alive[keep]
+            lanes = alive
             if keep.sum() * 4 < 3 * len(keep):
-                left, query, block, c0, c1, c2, lost = (v[keep] for v in (left, query, block, c0, c1, c2, lost))
-                lanes = alive[keep]
-            else:
-                lanes = alive
+                left, query, block, lost, lanes = (v[keep] for v in (left, query, block, lost, lanes))
+                counters = [c[keep] for c in counters]
             if not len(left):
                 break
-    return left, lanes[: len(left)]
+    return left, lanes
 
 
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -126,6 +163,7 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def link_blocks(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS, items_at_once: int = 1 << 16) -> np.ndarray:
     """For fingerprints laid out block by block (ends: where each lane's block ends), the root lane of each lane's tree of links."""
     parent = np.arange(len(fps))
+    fps = fps.reshape(len(fps), -1)
     planes = bit_planes(fps)
     lane = np.arange(len(fps))
     first, last = (lane + 1) // 64, (ends - 1) // 64
@@ -170,7 +208,16 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
     if not 0 <= radius <= 6:
         raise ValueError("radius must be 0 to 6")
     masks = F.array(*(F.struct(F.lit(i).alias("pick"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(_masks(radius + 2, 2))))
-    keys = classes.select("fp", "rep", F.explode(masks).alias("key")).select("fp", "rep", "key.*")
+    return block_links(classes.select("fp", "rep", F.explode(masks).alias("key")).select("fp", "rep", "key.*"), radius, tile)
+
+
+def band_links(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """classes: fp (binary), rep, bands. Returns a, b: enough links for the components of those that share a band, all exact."""
+    return block_links(classes.select("fp", "rep", F.posexplode("bands").alias("pick", "bits")), radius, tile)
+
+
+def block_links(keys: DataFrame, radius: int, tile: int) -> DataFrame:
+    """keys: fp, rep, and the block's pick and bits. Each block is compared whole, a large one as pairs of tiles."""
     large = keys.groupBy("pick", "bits").count().where(F.col("count") > tile).select("pick", "bits", F.ceil(F.col("count") / (tile / 2)).cast("int").alias("tiles"))
     dealt = keys.join(large, ["pick", "bits"], "left")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
@@ -187,7 +234,11 @@ def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFra
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
                 sizes = part.column("fps").value_lengths().to_numpy(zero_copy_only=False)
-                fps = part.column("fps").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                fps = part.column("fps").flatten()
+                if pa.types.is_int64(fps.type):
+                    fps = fps.to_numpy(zero_copy_only=False).view(np.uint64)
+                else:
+                    fps = np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(len(fps), -1)
                 reps = part.column("reps").flatten().to_numpy(zero_copy_only=False)
                 root = link_blocks(fps, np.repeat(np.cumsum(sizes), sizes), radius)
                 linked = root != np.arange(len(root))
@@ -206,15 +257,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marks = cut(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = marks.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    found = connected_components(links(classes, radius)).withColumnRenamed("node", "rep")
-    classes = classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(classes, "fp", "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _members(marks, classes, links(classes, radius))
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(marks: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """marks with the component_id of their class."""
+    found = connected_components(linked).withColumnRenamed("node", "rep")
+    return marks.join(classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fp", "left")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row per row of docs: id, fingerprint (64 hex digits), component_id, for a similarity of about 0.8 or more.
+
+    Fingerprints within the radius link if their texts share a band of least shingle hashes. Equal fingerprints form one
+    class, that of texts without words among them. Null ids, repeated rows and empty tables: as in near_duplicates().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *wide_fingerprint(t, shingle)) for k, t in byte_rows(batch, "id", "text")]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "fp", "bands"])
+
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marks = cut(docs.mapInArrow(run, "id long, fp binary, bands array<long>"), "simhash")
+    classes = marks.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    found = _members(marks.drop("bands"), classes, band_links(classes, radius))
+    return found.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs without the documents whose component has a smaller id; rows with a null id stay."""
-    found = near_duplicates(only(docs, id_col, text_col), id_col, text_col, shingle, radius)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
+    """docs without the documents whose component of near_copies() has a smaller id; rows with a null id stay."""
+    found = near_copies(only(docs, id_col, text_col), id_col, text_col, shingle, radius)
     extra = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     return docs.join(extra, id_col, "left_anti")

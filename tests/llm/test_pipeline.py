@@ -6,7 +6,7 @@ import corpus_pipeline
 from photonflow.llm import packing, quality
 from tests.llm.test_decontam import slow as slow_hits
 from tests.llm.test_quality import slow_base
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_near
 from tests.llm.test_substring import slow as slow_repeats
 
 
@@ -36,9 +36,9 @@ def test_run_equals_brute_force(spark, tmp_path):
         assert not (verdict[i] and (n < 20 or 100 * again > 30 * n))
     assert not verdict[53] and sum(not verdict[i] for i in range(50)) <= 1
     left = {i: t for i, t, *_ in rows if verdict[i]}
-    parent = slow_components({i: slow_fingerprint(t, 5) for i, t in left.items()}, 5)
+    parent = slow_near(left)
     left = {i: t for i, t in left.items() if parent[i] == i}
-    assert len(set(range(40, 45)) & set(left)) < 5
+    assert not set(range(40, 45)) & set(left)
     totals = {}
     for key, n, gone, _ in slow_repeats(list(left.items())):
         if gone < n:

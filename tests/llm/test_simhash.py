@@ -75,7 +75,65 @@ def test_near_duplicates_on_awkward_rows(spark, monkeypatch):
             else:
                 assert int(r.fingerprint, 16) in by_text
         assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["3", "None"]
-    kept = simhash.one_of_each(docs, shingle=4)
+    assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def slow_near(texts, size=5, least=0.8):
+    """Components of texts (by id) whose sets of shingles share so much."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or {tuple(w)}
+    parent = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i in sets:
+            for j in sets:
+                if parent[i] != parent[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+                    changed = True
+    return parent
+
+
+def test_wide_distances_equal_brute_force():
+    rng = random.Random(8)
+    fps = []
+    for _ in range(150):
+        x = rng.choice(fps) if fps and rng.random() < 0.6 else rng.getrandbits(256)
+        for b in rng.sample(range(256), rng.randrange(60)):
+            x ^= 1 << b
+        fps.append(x)
+    words = np.frombuffer(b"".join(x.to_bytes(32, "little") for x in fps), np.uint64).reshape(-1, 4)
+    for radius in (0, 7, 31, 44):
+        got = simhash.link_blocks(words, np.full(150, 150), radius, items_at_once=40)
+        want = slow_components(dict(enumerate(fps)), radius)
+        assert got.tolist() == [want[i] for i in range(150)]
+
+
+def test_near_copies_find_similar_texts_and_no_others(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    common = [rng.choice(words) for _ in range(100)]
+    rows = [(0, None), (1, ""), (2, "one Two"), (3, "ONE two"), (None, "one two"), (None, "lonely text here now")]
+    for i in range(10, 90):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 300, 900]))] + common * (i % 2)  # a passage of many texts
+        rows.append((i, " ".join(base)))
+        if i % 4 == 0:
+            rows.append((i, " ".join(base).upper()))
+        if i % 3:
+            for k in rng.sample(range(len(base)), max(1, len(base) // 100)):
+                base[k] = "edit"
+            rows.append((i + 1000, "\n".join(base)))
+    docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, fp int, bands string")
+    want = slow_near({a: b for a, b in rows if a is not None})
+    for tile in (2048, 4):
+        monkeypatch.setattr(simhash.band_links, "__defaults__", (simhash.WIDE_RADIUS, tile))
+        got = simhash.near_copies(docs).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+        assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["2", "None"]
+    kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {None} | {k for k, v in want.items() if k == v}
-    assert simhash.near_duplicates(docs.where("false")).count() == 0
+    assert simhash.near_copies(docs.where("false")).count() == 0
