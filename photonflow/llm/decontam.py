@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from photonflow.llm.common import ALNUM, alnum_words, byte_rows, only
 
@@ -217,17 +218,15 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     tries = docs.sparkSession.sparkContext.broadcast(automata(only(items, item_col, item_text), item_col, item_text, window))
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        def one(t):
-            if not t:
-                return t
-            new = without(raw := t.encode(), tries.value, coverage)
-            return t if new is raw else None if new is None else new.decode()
-
-        return texts.map(one)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                part = batch.slice(i, 512)
+                new = [without(t, tries.value, coverage) if t else t for _, t in byte_rows(part, text_col, text_col)]
+                yield part.append_column("_new", pa.array([x if x is None else x.decode() for x in new], pa.string()))
 
-    new = docs.withColumn("_new", cleaned(F.col(f"`{text_col}`"))).where(f"_new is not null or `{text_col}` is null")
+    schema = StructType([*docs.schema.fields, StructField("_new", StringType())])
+    new = docs.mapInArrow(run, schema).where(f"_new is not null or `{text_col}` is null")
     changed = ~F.col("_new").eqNullSafe(F.col(f"`{text_col}`"))
     columns = {text_col: F.col("_new")} | ({"n_chars": F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return new.withColumns(columns).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -218,16 +218,18 @@ def band_links(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE)
 
 def block_links(keys: DataFrame, radius: int, tile: int) -> DataFrame:
     """keys: fp, rep, and the block's pick and bits. Each block is compared whole, a large one as pairs of tiles."""
-    large = keys.groupBy("pick", "bits").count().where(F.col("count") > tile).select("pick", "bits", F.ceil(F.col("count") / (tile / 2)).cast("int").alias("tiles"))
-    dealt = keys.join(large, ["pick", "bits"], "left")
+    tiles = F.when(F.col("count") > tile, F.ceil(F.col("count") / (tile / 2)).cast("int")).alias("tiles")
+    shared = keys.groupBy("pick", "bits").count().where("count > 1").select("pick", "bits", tiles)
+    dealt = keys.join(shared, ["pick", "bits"])
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     pairs = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != own),
         lambda t: F.struct(F.least(t, own).alias("t1"), F.greatest(t, own).alias("t2")),
     )
     single = F.array(F.struct(F.lit(0).alias("t1"), F.lit(0).alias("t2")))
-    dealt = dealt.select("pick", "bits", "fp", "rep", F.explode(F.when(F.col("tiles").isNull(), single).otherwise(pairs)).alias("t"))
-    blocks = dealt.groupBy("pick", "bits", "t.t1", "t.t2").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")).where(F.size("fps") > 1).select("fps", "reps")
+    dealt = dealt.select("pick", "bits", "fp", "rep", F.explode(F.when(F.col("tiles").isNull(), single).otherwise(pairs)).alias("t")).select("pick", "bits", "fp", "rep", "t.*")
+    # by the tiles too: the join's own partitioning would keep all tiles of a block in one task
+    blocks = dealt.repartition("pick", "bits", "t1", "t2").groupBy("pick", "bits", "t1", "t2").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")).where(F.size("fps") > 1).select("fps", "reps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
