@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, asof, clumping, images, kernels, spatial, tables, windows
+from photonflow.operators import aggregates, asof, clumping, images, kernels, kinetics, spatial, tables, windows
 from photonflow.plans.recipe import Recipe
 from photonflow.sources.tabular import metadata_value
 
@@ -90,7 +90,7 @@ def filter_by_ids(spark, sf_dir):
 
 @query(
     """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, round(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END, 6) AS ratio,
-    round(sqrt(l_quantity) + exp(-l_discount * l_discount) * pi(), 6) AS mixed, CASE WHEN l_quantity >= 10 AND l_quantity < 30 THEN 1.0 ELSE 0.0 END AS flag FROM lineitem"""
+    round(sqrt(l_quantity) + exp(-l_discount * l_discount) * pi(), 6) AS mixed, CASE WHEN l_quantity >= 10 AND l_quantity < 30 THEN 1e0 ELSE 0e0 END AS flag FROM lineitem"""
 )
 def mapping_expr(spark, sf_dir):
     maps = {
@@ -111,7 +111,7 @@ def select_columns(spark, sf_dir):
     return tables.select_columns(table(spark, sf_dir, "part"), "p_partkey  p_brand p_size")
 
 
-@query("SELECT c_acctbal AS acctbal, c_nationkey AS nationkey, 0.0 AS concatSource FROM customer UNION ALL SELECT s_acctbal, s_nationkey, 1.0 FROM supplier")
+@query("SELECT c_acctbal AS acctbal, c_nationkey AS nationkey, 0e0 AS concatSource FROM customer UNION ALL SELECT s_acctbal, s_nationkey, 1e0 FROM supplier")
 def concat_tables(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_acctbal").alias("acctbal"), "c_mktsegment")
     b = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.col("s_acctbal").alias("acctbal"))
@@ -213,7 +213,7 @@ def cluster_count_vs_time(spark, sf_dir):
     return aggregates.cluster_count_vs_time(frames_of(spark, sf_dir), "user_id", "t", 20, 30, 5000, 45000)
 
 
-@query("WITH h AS (SELECT least(CAST(floor((l_quantity - 1) / 7) AS INTEGER), 6) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, 1 + i * 7.0 AS bin_left, coalesce(n, 0) AS n FROM range(0, 7) r(i) LEFT JOIN h ON bin = i")
+@query("WITH h AS (SELECT least(CAST(floor((l_quantity - 1) / 7) AS INTEGER), 6) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, 1 + i * 7e0 AS bin_left, coalesce(n, 0) AS n FROM range(0, 7) r(i) LEFT JOIN h ON bin = i")
 def histogram_closed_last(spark, sf_dir):
     return aggregates.histogram(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), 8, 1.0, 50.0)
 
@@ -391,7 +391,7 @@ def keep_pairs(spark, sf_dir):
     return rounded(spatial.keep_pairs(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", AXES, "vec_id"), "distance", places=9)
 
 
-@query(f"WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(i * 0.01, 6) AS bin_left, coalesce(n, 0) AS n FROM range(0, 20) r(i) LEFT JOIN h ON bin = i")
+@query(f"WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(i * 1e-2, 6) AS bin_left, coalesce(n, 0) AS n FROM range(0, 20) r(i) LEFT JOIN h ON bin = i")
 def pair_distance_hist(spark, sf_dir):
     return rounded(spatial.pair_histogram(points_of(spark, sf_dir), AXES, 20, 0.01, "vec_id"), "bin_left")
 
@@ -497,7 +497,7 @@ def image_normalise(spark, sf_dir):
     return rounded(exploded(images.normalise(image_frames(spark, sf_dir))), "value")
 
 
-@query(f"WITH {PIXELS} SELECT vec_id, pos, CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END AS value FROM u")
+@query(f"WITH {PIXELS} SELECT vec_id, pos, CASE WHEN v > 0.1 THEN 1e0 ELSE 0e0 END AS value FROM u")
 def image_threshold(spark, sf_dir):
     return exploded(images.threshold(image_frames(spark, sf_dir), 0.1))
 
@@ -628,11 +628,11 @@ def tile_pyramid(spark, sf_dir):
 @query(
     f"""WITH {EVENTS}, d AS (SELECT user_id, CAST(t AS DOUBLE) AS t, avg(value) AS v FROM e GROUP BY 1, 2), n AS (SELECT *, min(t) OVER (PARTITION BY user_id) AS z, lead(t) OVER w AS nt, lead(v) OVER w AS nv FROM d WINDOW w AS (PARTITION BY user_id ORDER BY t)),
     g AS (SELECT *, unnest(range(CAST(ceil((t - z) / 500) AS BIGINT), CAST(ceil((nt - z) / 500) AS BIGINT))) AS k FROM n WHERE nt IS NOT NULL)
-    SELECT user_id, k, z + k * 500 AS t, round(v + (z + k * 500 - t) / (nt - t) * (nv - v), 4) AS v FROM g"""
+    SELECT user_id, k, z + k * 500 AS t, round(v + (z + k * 500 - t) / (nt - t) * (nv - v), 9) AS v FROM g"""
 )
 def resample_linear(spark, sf_dir):
     e = frames_of(spark, sf_dir).groupBy("user_id", F.col("t").cast("double").alias("t")).agg(F.avg("value").alias("v"))
-    return rounded(windows.resample(e, "user_id", "t", "v", 500.0), "v", places=4)
+    return rounded(windows.resample(e, "user_id", "t", "v", 500.0), "v", places=9)
 
 
 @query()
@@ -647,6 +647,90 @@ def points_in_cone(spark, sf_dir):
     return p.where(spatial.in_cone(F.col("x"), F.col("y"), F.col("z"), 0.0, 0.0, 0.8, 0.3)).select("vec_id")
 
 
+# --- kinetics, joint statistics, fiducials --------------------------------------------------------------------------
+@query("SELECT l_returnflag, round(count(*) FILTER (l_quantity > 25 AND l_extendedprice > 30000) / count(*) FILTER (l_quantity > 25), 9) AS fraction_a, round(count(*) FILTER (l_quantity > 25 AND l_extendedprice > 30000) / count(*) FILTER (l_extendedprice > 30000), 9) AS fraction_b FROM lineitem GROUP BY 1")
+def area_fractions(spark, sf_dir):
+    out = kinetics.area_fractions(table(spark, sf_dir, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice"), 25.0, 30000.0, ["l_returnflag"])
+    return rounded(out, "fraction_a", "fraction_b", places=9)
+
+
+@query("WITH c AS (SELECT event_type, user_id, count(*) AS frames FROM events GROUP BY 1, 2) SELECT event_type, frames, count(*) AS n FROM c WHERE frames <= 19 GROUP BY 1, 2")
+def on_times(spark, sf_dir):
+    return kinetics.on_times(table(spark, sf_dir, "events"), "user_id", 19, ["event_type"])
+
+
+@query(
+    """WITH m AS (SELECT event_type, avg(value) * 6 / 99 AS width FROM events GROUP BY 1)
+    SELECT event_type, CAST(floor(value / width) AS INTEGER) AS bin, count(*) AS n, round(any_value(width), 6) AS width FROM events JOIN m USING (event_type) WHERE floor(value / width) BETWEEN 0 AND 98 GROUP BY 1, 2"""
+)
+def brightness_histogram(spark, sf_dir):
+    return rounded(kinetics.brightness_histogram(table(spark, sf_dir, "events"), "value", ["event_type"]), "width")
+
+
+DECAYS = f"""{EVENTS}, m AS (SELECT event_type, min(t) AS low, (max(t) - min(t)) / 100 AS step FROM e GROUP BY 1),
+    h AS (SELECT event_type, CAST(least(floor((t - low) / step), 99) AS INTEGER) AS bin, count(*) AS n, any_value(low) AS low, any_value(step) AS step FROM e JOIN m USING (event_type) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {DECAYS} SELECT event_type, bin, round(low + (bin + 0.5) * step, 6) AS at, n FROM h")
+def decay_histogram(spark, sf_dir):
+    return rounded(kinetics.decay_histogram(frames_of(spark, sf_dir), "t", ["event_type"]), "at")
+
+
+@query()
+def decay_fits(spark, sf_dir):
+    return kinetics.fit_decays(kinetics.decay_histogram(frames_of(spark, sf_dir), "t", ["event_type"]), ["event_type"])
+
+
+@query(
+    f"""WITH {POINTS}, d AS (SELECT {DIST} AS r, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2),
+    q AS (SELECT r, coalesce(CASE WHEN dx <> 0 THEN atan(dy / dx) END, sign(dy) * pi() / 2) + pi() / 2 AS theta, coalesce(CASE WHEN dx <> 0 OR dy <> 0 THEN atan(dz / sqrt(dx * dx + dy * dy)) END, sign(dz) * pi() / 2) + pi() / 2 AS phi FROM d)
+    SELECT CAST(floor(r / 0.05) AS INTEGER) AS r_bin, CAST(least(floor(theta * 8 / pi()), 7) AS INTEGER) AS theta_bin, CAST(least(floor(phi * 8 / pi()), 7) AS INTEGER) AS phi_bin, count(*) AS n FROM q GROUP BY 1, 2, 3"""
+)
+def vector_pair_histogram(spark, sf_dir):
+    return kinetics.vector_pair_histogram(points_of(spark, sf_dir), 4, 0.05, 8, "vec_id")
+
+
+@query(
+    f"""WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1),
+    k AS (SELECT i, 1.0 / (SELECT count(*) * count(*) FROM p) * 2 * sum(coalesce(n, 0)) OVER (ORDER BY i) AS k FROM range(0, 20) r(i) LEFT JOIN h ON bin = i),
+    l AS (SELECT i, cbrt(k * 3 / (4 * pi())) AS l FROM k), d AS (SELECT i, (lead(l) OVER (ORDER BY i) - lag(l) OVER (ORDER BY i)) / 2 AS d FROM l)
+    SELECT CAST(i AS INTEGER) AS bin, round(d / 0.01, 6) AS "dL", round(d / 0.01 - 1, 6) AS "dH" FROM d WHERE d IS NOT NULL"""
+)
+def ripley_differences(spark, sf_dir):
+    """Both are per unit of distance."""
+    curve = spatial.ripley(points_of(spark, sf_dir), AXES, 20, 0.01, "vec_id", 1.0)
+    slope = F.col("dL") / 0.01
+    return rounded(kinetics.central_difference(curve, "bin", "L", "dL").select("bin", slope.alias("dL"), (slope - 1).alias("dH")), "dL", "dH")
+
+
+@query(f"WITH {EVENTS} SELECT event_id, round(CASE WHEN t > 0 THEN least(t, 5000) * 5e-1 ELSE 0 END + CASE WHEN t > 5000 THEN least(t - 5000, 10000) * -25e-2 ELSE 0 END + CASE WHEN t > 15000 THEN (t - 15000) * 125e-3 ELSE 0 END, 6) AS shift FROM e")
+def piecewise_drift(spark, sf_dir):
+    shift = kinetics.piecewise_linear(F.col("t"), (0.0, 5000.0, 15000.0), (0.5, -0.25, 0.125))
+    return rounded(frames_of(spark, sf_dir).select("event_id", shift.alias("shift")), "shift")
+
+
+@query(
+    f"""WITH {PIXELS}, l AS (SELECT vec_id, pos, v, lag(v) OVER (PARTITION BY label, pos ORDER BY vec_id) AS was FROM u)
+    SELECT vec_id, CAST(count(*) FILTER (v > 0.05 AND abs(v - was) < 0.1) AS INTEGER) AS active FROM l GROUP BY 1"""
+)
+def wavefront_activity(spark, sf_dir):
+    return kinetics.wavefronts(image_frames(spark, sf_dir), "label", "vec_id", "pixels", 0.05, 0.1).select("vec_id", "active")
+
+
+@query(
+    f"""WITH {EVENTS}, c AS (SELECT event_type, user_id, avg(value) AS v FROM e GROUP BY 1, 2 HAVING count(*) >= 3),
+    m AS (SELECT e.event_type, t, avg(value - v) AS v FROM e JOIN c USING (event_type, user_id) GROUP BY 1, 2),
+    s AS (SELECT event_type, t, avg(v) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING) AS d FROM m),
+    b AS (SELECT e.event_id, e.value, e.t, (SELECT max(s.t) FROM s WHERE s.event_type = e.event_type AND s.t <= e.t) AS lo, (SELECT min(s.t) FROM s WHERE s.event_type = e.event_type AND s.t >= e.t) AS hi, event_type FROM e)
+    SELECT event_id, round(value - coalesce(p.d + CASE WHEN hi <> lo THEN (b.t - lo) / (hi - lo) ELSE 0 END * (n.d - p.d), p.d, n.d, 0), 6) AS value
+    FROM b LEFT JOIN s p ON p.event_type = b.event_type AND p.t = lo LEFT JOIN s n ON n.event_type = b.event_type AND n.t = hi"""
+)
+def fiducial_corrected(spark, sf_dir):
+    e = frames_of(spark, sf_dir)
+    moved = kinetics.fiducial_trajectory(e, "event_type", "user_id", "t", ["value"], 3, 500)
+    return rounded(kinetics.fiducial_correction(e, moved, "event_type", "t", ["value"]).select("event_id", "value"), "value")
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 @query(f"WITH {EVENTS} SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, min(t) AS \"tIndex\", max(t) - min(t) + 1 AS \"burstDuration\" FROM e GROUP BY 1")
 def stream_merge_clumps(spark, sf_dir):
