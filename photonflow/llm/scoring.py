@@ -25,8 +25,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 HEAVY = 1 << 20
 #: Words counted together in a task.
 CHUNK = 1 << 23
-#: One training text in so many teaches the network, at any size of the corpus; word and subword counts take all.
-TRAIN_EVERY = 32
+#: One training text in so many teaches the network: all of them. Counts of words, subwords and their pairs take all at any value.
+TRAIN_EVERY = 1
 ROUNDS = 2
 STEP = 192
 #: Words whose subwords a task remembers.
@@ -221,23 +221,25 @@ def _ranked(batches: Iterator[pa.RecordBatch], encoder: Encoder, vocabulary: Voc
         yield at, batch, texts, ids, starts, sums, inputs, ranks, places
 
 
-def _outputs(sample: DataFrame, vocabulary, path: str) -> attention.Outputs:
-    """Tables of what follows a subword, from counts over the sample."""
+def _outputs(training: DataFrame, vocabulary, path: str) -> attention.Outputs:
+    """Tables of what follows a subword, from counts over all training texts: each task adds up its own first."""
     width = attention.OUTPUTS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        table = np.zeros((attention.RANKS + 1) * width, np.int32)
+        table = np.zeros((attention.RANKS + 1) * width, np.int64)
         for *_, inputs, ranks, places in _ranked(batches, encoder, vocabulary.value):
             live = places >= 0
             pairs = inputs[:, attention.STRIDE :][live].astype(np.int64) * width + np.minimum(ranks[places[live]], attention.OUTPUTS)
             seen, n = np.unique(pairs, return_counts=True)
-            table[seen] += n.astype(np.int32)
+            table[seen] += n
         seen = np.flatnonzero(table)
-        yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(table[seen].astype(np.int64))], names=["i", "n"])
+        for i in range(0, len(seen), 1 << 16):
+            part = seen[i : i + (1 << 16)]
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["i", "n"])
 
     table = np.zeros((attention.RANKS + 1) * width)
-    found = sample.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    found = training.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     table[found.column("i").to_numpy()] = found.column("n").to_numpy()
     return attention.Outputs.of(table.reshape(-1, width))
 
@@ -297,8 +299,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     for r in sights.where("word is null and subword >= 0").collect():  # bounded by the vocabulary
         counts[r["subword"]] = r["n"]
     vocabulary = spark.sparkContext.broadcast(Vocabulary.of(counts))
-    sample = cut(seen.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(TRAIN_EVERY)) == 0), "sample")
-    outputs = spark.sparkContext.broadcast(_outputs(sample, vocabulary, path))
+    outputs = spark.sparkContext.broadcast(_outputs(seen, vocabulary, path))
+    sample = seen.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(TRAIN_EVERY)) == 0)
     weights = spark.sparkContext.broadcast(_train(sample, vocabulary, outputs, path))
 
     rare = _rare_rows(rows.select("key", "text", "train"), spark.sparkContext.broadcast(heavy))

@@ -80,3 +80,18 @@ def test_score_on_awkward_rows(spark, monkeypatch, heavy):
     held = [r for r in got if r.doc_id is not None and r.doc_id < 150 and zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert scoring.score(docs.where("false"), F.lit(True)).count() == 0
+
+
+def test_every_training_text_reaches_the_model(spark, monkeypatch):
+    tables, taught = [], []
+    of, train = attention.Outputs.of, scoring._train
+    monkeypatch.setattr(attention.Outputs, "of", classmethod(lambda cls, table: (tables.append(table.copy()), of(table))[1]))
+    monkeypatch.setattr(scoring, "_train", lambda sample, *a: (taught.append(sample.count()), train(sample, *a))[1])
+    docs = spark.createDataFrame([(i, f"one two three n{i}") for i in range(90)], "doc_id long, text string")
+    rows = scoring.score(docs, F.col("doc_id") < 80).collect()
+    encoder = scoring.subwords_of(scoring.VOCABULARY)
+    assert len(rows) == 90 and taught == [80]
+    assert tables[0].sum() == sum(1 + sum(len(encoder.ids(w.encode())) for w in f"one two three n{i}".split()) for i in range(80))
+    monkeypatch.setattr(scoring, "TRAIN_EVERY", 8)  # the table of what follows takes all texts even so
+    scoring.score(docs, F.col("doc_id") < 80).collect()
+    assert taught[1] < 80 and (tables[1] == tables[0]).all()
