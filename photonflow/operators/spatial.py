@@ -143,11 +143,15 @@ def in_cone(dx: Column, dy: Column, dz: Column, azimuth: float, zenith: float, h
     return (r <= reach) & (along >= r * cos(half_angle))
 
 
-def drift(points: DataFrame, t: str, x: str, y: str, step: int, width: int, bin_size: float, shape: tuple[int, int], origin: tuple[float, float]) -> DataFrame:
-    """window, n, dy, dx: shifts of overlapping time windows against the first, from histograms of their points.
+def drift(
+    points: DataFrame, t: str, x: str, y: str, step: int, width: int, bin_size: float | None = None, shape: tuple[int, int] = (32, 32), origin: tuple[float, float] | None = None
+) -> DataFrame:
+    """window, n, dy, dx: shifts (in units of y and x) of overlapping time windows against the first, from histograms of their points.
 
     Points are counted by window and bin in Spark. A histogram has a fixed number of bins, so a window's is one row, and
-    the first one, which all are compared with, is a small constant.
+    the first one, which all are compared with, is a small constant. Without a bin size and an origin (x first) the bins
+    reach from each axis' least to its greatest value, the last one closed, so every point with both is counted; with
+    them, points outside the grid are left out.
     """
     from collections.abc import Iterator
 
@@ -156,11 +160,21 @@ def drift(points: DataFrame, t: str, x: str, y: str, step: int, width: int, bin_
 
     from photonflow.operators.kernels import registration_shift
 
+    if (bin_size is None) != (origin is None):
+        raise ValueError("give both a bin size and an origin, or none")
     rows, columns = shape
     last = F.floor(F.col(t) / step)
     first = F.greatest(F.lit(0), F.floor((F.col(t) - width) / step) + 1)
-    place = F.floor((F.col(y) - origin[1]) / bin_size) * columns + F.floor((F.col(x) - origin[0]) / bin_size)
-    inside = (F.col(x) >= origin[0]) & (F.col(x) < origin[0] + columns * bin_size) & (F.col(y) >= origin[1]) & (F.col(y) < origin[1] + rows * bin_size)
+    if origin is None:
+        points = points.where(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+        x0, x1, y0, y1 = (float(v or 0) for v in points.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first())
+        wide, high = (x1 - x0) / columns or 1.0, (y1 - y0) / rows or 1.0
+        inside = F.col(x).isNotNull() & F.col(y).isNotNull()
+    else:
+        (x0, y0), wide, high = origin, bin_size, bin_size
+        inside = (F.col(x) >= x0) & (F.col(x) < x0 + columns * wide) & (F.col(y) >= y0) & (F.col(y) < y0 + rows * high)
+    at = lambda c, low, size, bins: F.least(F.floor((F.col(c) - low) / size), F.lit(bins - 1))
+    place = at(y, y0, high, rows) * columns + at(x, x0, wide, columns)
     counts = points.where(inside).select(F.explode(F.sequence(first, last)).alias("window"), place.cast("int").alias("place")).groupBy("window", "place").agg(F.count("*").alias("n"))
     images = counts.groupBy("window").agg(F.collect_list(F.struct("place", "n")).alias("cells"), F.sum("n").alias("n"))
 
@@ -176,6 +190,6 @@ def drift(points: DataFrame, t: str, x: str, y: str, step: int, width: int, bin_
     def shift(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [registration_shift(reference, image(c)) for c in part["cells"]]
-            yield pd.DataFrame({"window": part["window"], "n": part["n"], "dy": [f[0] for f in found], "dx": [f[1] for f in found]})
+            yield pd.DataFrame({"window": part["window"], "n": part["n"], "dy": [f[0] * high for f in found], "dx": [f[1] * wide for f in found]})
 
     return images.mapInPandas(shift, "window long, n long, dy double, dx double")

@@ -638,7 +638,7 @@ def resample_linear(spark, sf_dir):
 @query()
 def drift_shifts(spark, sf_dir):
     e = frames_of(spark, sf_dir).withColumns({"x": F.col("user_id").cast("double"), "y": F.col("value")})
-    return spatial.drift(e, "t", "x", "y", 4000, 10000, 5.0, (32, 32), (0.0, 0.0))
+    return spatial.drift(e, "t", "x", "y", 4000, 10000)
 
 
 @query(f"WITH {POINTS} SELECT vec_id FROM p WHERE sqrt(x * x + y * y + z * z) <= 0.3 AND z >= sqrt(x * x + y * y + z * z) * cos(0.8)")

@@ -178,6 +178,20 @@ def test_drift_follows_a_moving_pattern(spark):
     assert abs(got[0][1]) < 0.5 and abs(got[1][1] - 3) < 0.7 and abs(got[1][0]) < 0.7
 
 
+def test_drift_bins_every_event(spark):
+    from photonflow.plans import catalogue
+
+    for sf in ("sf0.001", "sf0.1"):
+        got = {r.window: r.n for r in catalogue.queries()["drift_shifts"](spark, f"/root/testdata/{sf}").collect()}
+        e = catalogue.frames_of(spark, f"/root/testdata/{sf}")
+        last, first = F.floor(F.col("t") / 4000), F.greatest(F.lit(0), F.floor((F.col("t") - 10000) / 4000) + 1)
+        assert got == {r.w: r["count"] for r in e.select(F.explode(F.sequence(first, last)).alias("w")).groupBy("w").count().collect()}
+    rows = [(t, -500.0 + 1000 * i + 30 * (t >= 5), 7.0) for t in range(10) for i in (0, 0.3, 0.35, 1)]
+    moved = spatial.drift(spark.createDataFrame([*rows, (0, None, 1.0)], "t long, x double, y double"), "t", "x", "y", 5, 5).collect()
+    assert sorted((r.window, r.n) for r in moved) == [(0, 20), (1, 20)]
+    assert abs({r.window: r.dx for r in moved}[1] - 30) < 1030 / 32
+
+
 def test_tracks(spark):
     rows = [(t, 0.0 + t, 0.0) for t in range(5)] + [(t, 50.0, 9.0 - t) for t in range(5)] + [(9, 4.0, 0.0), (10, 5.0, 0.0)]
     df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "series long, row_id long, t long, x double, y double").repartition(3)
