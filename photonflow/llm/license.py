@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from math import log
 
 import pyarrow as pa
@@ -32,7 +33,8 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software for any purpose with or without fee",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-#: A file's licence words looked up, highest IDF first; insertions tolerated; aligned share of a template's IDF needed.
+#: Of each template, the words looked up among those that the file has, highest IDF first; insertions tolerated; aligned share of a
+#: template's IDF needed.
 RARE = 16
 SLACK = 2
 SHARE = 0.6
@@ -44,21 +46,23 @@ def _words(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Postings (template, position) of every template word, and IDF weights of those words in the corpus."""
+    """Of every template, its words by falling IDF with their positions, and IDF weights of those words in the corpus."""
 
     idf: dict[bytes, float]
-    postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    rarest: list[list[tuple[bytes, list[int]]]] = field(default_factory=list)
     labels: list[str] = field(default_factory=list)
     words: list[list[bytes]] = field(default_factory=list)
     phrases: list[list[list[bytes]]] = field(default_factory=list)
 
     def __post_init__(self):
-        for t, (label, text, phrases) in enumerate(TEMPLATES):
+        for label, text, phrases in TEMPLATES:
             self.labels.append(label)
             self.words.append(_words(text))
             self.phrases.append([_words(p) for p in phrases])
+            at: dict[bytes, list[int]] = defaultdict(list)
             for q, w in enumerate(self.words[-1]):
-                self.postings[w].append((t, q))
+                at[w].append(q)
+            self.rarest.append(sorted(at.items(), key=lambda x: (-self.idf[x[0]], x[0])))
         self.base = [(_words(p), label) for p, label in BASE.items()]
         self.weight = [sum(self.idf[w] for w in words) for words in self.words]
 
@@ -84,13 +88,14 @@ def scan(text: bytes | None, index: Index) -> tuple:
     base = {label for _, label in found}
     score, labels = 0.0, set(base)
     votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)  # words of (template, relative position)
-    for w in sorted(known, key=lambda w: (-index.idf[w], w))[:RARE]:
-        for t, q in index.postings.get(w, ()):
-            for p in where[w]:
-                votes[t, p - q].add(w)
-    for t in {t for (t, _), ws in votes.items() if len(ws) > 1}:
+    for t, rarest in enumerate(index.rarest):
         if not all(places(words, where, p) for p in index.phrases[t]):
             continue
+        for w, at in islice((x for x in rarest if x[0] in known), RARE):
+            for p in where[w]:
+                for q in at:
+                    votes[t, p - q].add(w)
+    for t in {t for (t, _), ws in votes.items() if len(ws) > 1}:
         for start in sorted({at for (k, at), ws in votes.items() if k == t and len(ws) > 1}):
             share = sum(index.idf[w] for q, w in enumerate(index.words[t]) if any(start + q + s < len(words) and start + q + s >= 0 and words[start + q + s] == w for s in range(SLACK + 1))) / index.weight[t]
             if share >= SHARE:
@@ -119,8 +124,8 @@ def inverse_frequencies(docs: DataFrame) -> dict[bytes, float]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base labels are those of the base phrases found. A template's label is added where at least two of the file's rare
-    licence words agree on its place, its mandatory phrases stand in the file, and the aligned words carry SHARE of its
+    Base labels are those of the base phrases found. A template's label is added where at least two of its own rarest
+    words in the file agree on its place, its mandatory phrases stand in the file, and the aligned words carry SHARE of its
     IDF; the score is the largest such share, 0 without any. A null text counts as empty. Repeated rows are scanned
     alike; an empty table gives no rows; other columns are not read.
     """

@@ -31,3 +31,13 @@ def test_scan(spark):
     assert by_id[6].labels == "gpl,gpl-3.0" and by_id[7].labels == "cc-by-nc" and by_id[10].labels == "mit"
     assert by_id[8].labels == "" and by_id[9].base_labels == ""
     assert license.scan_licenses(docs.where("false")).count() == 0
+
+
+def test_every_notice_of_one_file_is_found(spark):
+    notices = " ... ".join(f"{text} filler{i}" for i, (_, text, _) in enumerate(license.TEMPLATES))
+    common = "licensed under the apache license version 2 0 gnu general public license version 3 cc by 4 0"
+    # words of the short notices are frequent in the corpus, those of the long ones rare
+    rows = [(0, notices), *((i, " ".join(reversed(common.split()))) for i in range(1, 60))]
+    got = {r.doc_id: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[0].labels.split(",")) == {label for label, _, _ in license.TEMPLATES} | {"mit", "apache", "gpl"}
+    assert got[1].labels == "" and got[0].score > 0.99
