@@ -44,8 +44,8 @@ def merge_clumps(df: DataFrame, label: str = "clumpIndex", discard_trivial: bool
 
 def densify(df: DataFrame, label: str) -> DataFrame:
     """A row for every label from 0 to the largest, zeros where there was none."""
-    top = df.agg(F.max(label).cast("long").alias("top"))
-    labels = top.select(F.explode(F.sequence(F.lit(0), F.col("top"))).alias(label))
+    top = df.agg(F.max(label).cast("long")).first()[0]
+    labels = df.sparkSession.range(0 if top is None else top + 1).withColumnRenamed("id", label)
     return labels.join(df.withColumn(label, F.col(label).cast("long")), label, "left").fillna(0)
 
 
@@ -175,3 +175,40 @@ def tile_pyramid(pixels: DataFrame, levels: int, keys: Sequence[str] = ()) -> Da
     """Pixels (x, y, v) averaged over squares of 2 ** level, for all levels at once."""
     spread = pixels.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     return spread.groupBy(*keys, "level", F.floor(F.col("x") / F.pow(F.lit(2.0), "level")).alias("tx"), F.floor(F.col("y") / F.pow(F.lit(2.0), "level")).alias("ty")).agg(F.avg("v").alias("value"))
+
+
+def ranked(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with a value, with `_rank` from 0 in order of it inside each key, and `_size`, how many the key has.
+
+    Rows are dealt by range, so that a key with most rows is ranked by many tasks; only counts by range meet.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.where(F.col(value).isNotNull()).repartitionByRange(parts, key, value).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    counts = counts.select(F.col(key).alias("_key"), F.col("_part").alias("_in"), (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("_size"))
+    joined = placed.join(counts, placed[key].eqNullSafe(counts["_key"]) & (placed["_part"] == counts["_in"]))
+    place = F.row_number().over(Window.partitionBy(key, "_part").orderBy(value)) - 1
+    return joined.withColumn("_rank", F.col("_before") + place).drop("_part", "_key", "_in", "_before")
+
+
+def exact_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """key, out: the median of a column, the mean of the two middle ones where they are two."""
+    middle = ranked(df.select(key, value), key, value).where((F.col("_rank") == F.floor((F.col("_size") - 1) / 2)) | (F.col("_rank") == F.floor(F.col("_size") / 2)))
+    return middle.groupBy(key).agg(F.avg(value).alias(out))
+
+
+def median_deviation(df: DataFrame, label: str, axes: Sequence[str], out: str = "median_abs_deviation") -> DataFrame:
+    """label, out: the median distance of a label's points from the point of their medians."""
+    rows = df.select(label, *axes)
+    square = F.lit(0.0)
+    for c in axes:
+        rows = rows.join(exact_median(df, label, c, f"_{c}"), label)
+        square = square + (F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}"))
+    return exact_median(rows.select(label, F.sqrt(square).alias("_d")), label, "_d", out)
+
+
+def cumulative_histogram(df: DataFrame, value: str) -> DataFrame:
+    """bins, counts: all values in order, and how far along each is, from 0 to 1."""
+    rows = ranked(df.select(F.lit(0).alias("_all"), value), "_all", value)
+    return rows.select(F.col(value).alias("bins"), F.coalesce(F.try_divide(F.col("_rank"), F.col("_size") - 1), F.lit(0.0)).cast("double").alias("counts"))

@@ -7,25 +7,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], t: str, value: str, out: str, default: Column | None = None, strict: bool = False) -> DataFrame:
+def as_of(
+    points: DataFrame, events: DataFrame, keys: Sequence[str], t: str, value: str, out: str, default: Column | None = None, strict: bool = False, ahead: bool = False, block: float | None = None
+) -> DataFrame:
     """points with the value of the last event of the same keys at or before t (before t alone, if strict).
 
-    Ties among events of one time go to the largest value. Before the first event the default holds (null if none).
+    With `ahead` it is the first event at or after t instead. Ties among events of one time go to the largest value. Before
+    the first event the default holds (null if none). `block`: a length of time by which series are cut. Each block is done by itself, and
+    what holds at its start comes from the blocks before, of which a series has a row each.
     """
     columns = points.columns
-    marks = points.withColumns({"_value": F.lit(None).cast(dict(events.dtypes)[value]), "_event": F.lit(0 if strict else 1)})
-    told = events.select(*keys, t, F.col(value).alias("_value"), F.lit(1 if strict else 0).alias("_event"), F.lit(True).alias("_drop"))
+    kind = dict(events.dtypes)[value]
+    marks = points.withColumns({"_value": F.lit(None).cast(kind), "_event": F.lit(0 if strict else 1)})
+    told = events.where(F.col(value).isNotNull()).select(*keys, t, F.col(value).alias("_value"), F.lit(1 if strict else 0).alias("_event"), F.lit(True).alias("_drop"))
     both = marks.withColumn("_drop", F.lit(False)).unionByName(told, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(t, "_event", F.col("_value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn(out, F.last("_value", ignorenulls=True).over(w)).where("not _drop")
+    time = F.desc(t) if ahead else F.asc(t)
+    order = [time, "_event", F.col("_value").asc_nulls_first()]
+    back = (Window.unboundedPreceding, 0)
+    if block is None:
+        found = both.withColumn(out, F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*back)))
+    else:
+        both = both.withColumn("_block", F.floor(F.col(t) / block))
+        inside = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(*back))
+        place = F.struct((-F.col(t) if ahead else F.col(t)).alias("t"), "_value")
+        last = told.groupBy(*keys, F.floor(F.col(t) / block).alias("_block")).agg(F.max(place)["_value"].alias("_last"))
+        last = last.unionByName(both.select(*keys, "_block").distinct(), allowMissingColumns=True).groupBy(*keys, "_block").agg(F.first("_last", ignorenulls=True).alias("_last"))
+        blocks = Window.partitionBy(*keys).orderBy(F.desc("_block") if ahead else "_block").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.withColumn("_before", F.last("_last", ignorenulls=True).over(blocks)).where("_before is not null").drop("_last")
+        same = both["_block"] == last["_block"]
+        for k in keys:
+            same = same & both[k].eqNullSafe(last[k])
+        joined = both.withColumn("_inside", inside).join(last, same, "left").select(*(both[c] for c in both.columns), "_inside", "_before")
+        found = joined.withColumn(out, F.coalesce("_inside", "_before"))
+    found = found.where("not _drop")
     found = found.withColumn(out, F.coalesce(out, default)) if default is not None else found
     return found.select(*columns, out)
 
 
-def state_between(points: DataFrame, events: DataFrame, keys: Sequence[str], t: str, kind: str, high: str, low: str, out: str = "state", default: bool = False) -> DataFrame:
+def state_between(points: DataFrame, events: DataFrame, keys: Sequence[str], t: str, kind: str, high: str, low: str, out: str = "state", default: bool = False, block: float | None = None) -> DataFrame:
     """Whether the last of the `high` and `low` events is a high one."""
     told = events.where(F.col(kind).isin(high, low)).select(*keys, t, (F.col(kind) == high).alias("_state"))
-    return as_of(points, told, keys, t, "_state", out, F.lit(default))
+    return as_of(points, told, keys, t, "_state", out, F.lit(default), block=block)
 
 
 def times_to_frames(points: DataFrame, starts: DataFrame, keys: Sequence[str], t: str, cycle: float) -> DataFrame:

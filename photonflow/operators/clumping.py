@@ -100,24 +100,24 @@ def dbscan(points: DataFrame, axes: Sequence[str], radius: float, minimum: int,
     return points.join(labels, row_id, "left").fillna(0, [out])
 
 
-def overlap_rejection(points: DataFrame, axes: Sequence[str], distance: float, row_id: str, out: str = "rejected") -> DataFrame:
+def overlap_rejection(points: DataFrame, axes: Sequence[str], distance: float, row_id: str, out: str = "rejected", rounds: int = 500) -> DataFrame:
     """Greedy in order of row_id: a point is rejected if a kept earlier point is closer than the distance.
 
-    Only points with a neighbour can be rejected; each connected group of them is scanned alone.
+    In rounds over the pairs that are still open: a point without an open earlier neighbour is kept and rejects its later
+    ones. No group of points is ever gathered; rounds are as many as the longest chain of decisions.
     """
-    pairs = self_pairs(points.select(row_id, *axes), axes, distance, row_id).select(F.col(f"a.{row_id}").alias("a"), F.col(f"b.{row_id}").alias("b")).checkpoint()
-    nodes = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    grouped = pairs.join(components(nodes, pairs).withColumnRenamed("id", "a"), "a")
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        for a, b in part.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):
-            if a not in gone:
-                gone.add(b)
-        return pd.DataFrame({"id": sorted(gone)}, dtype=part["a"].dtype)
-
-    rejected = grouped.groupBy("component").applyInPandas(scan, f"id {dict(points.dtypes)[row_id]}")
-    return points.join(rejected.select(F.col("id").alias(row_id), F.lit(1).alias(out)), row_id, "left").fillna(0, [out])
+    pairs = self_pairs(points.select(row_id, *axes), axes, distance, row_id).select(F.col(f"a.{row_id}").alias("a"), F.col(f"b.{row_id}").alias("b"))
+    open_ = pairs.checkpoint()
+    gone = None
+    for _ in range(rounds):
+        later = open_.select(F.col("b").alias("a")).distinct()
+        lost = open_.join(later, "a", "left_anti").select(F.col("b").alias("id")).distinct().checkpoint()
+        gone = lost if gone is None else gone.unionAll(lost)
+        firm = open_.join(lost, open_["b"] == lost["id"], "left_anti")
+        open_ = firm.join(lost, firm["a"] == lost["id"], "left_anti").join(later, "a", "left_semi").checkpoint()
+        if not open_.take(1):
+            return points.join(gone.select(F.col("id").alias(row_id), F.lit(1).alias(out)), row_id, "left").fillna(0, [out])
+    raise RuntimeError(f"rejection did not settle in {rounds} rounds")
 
 
 def two_opt(xy: np.ndarray, epsilon: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -162,12 +162,18 @@ def route_order(points: DataFrame, x: str, y: str, chunk: float, row_id: str, ep
 
 
 def link_frame(before: np.ndarray, now: np.ndarray, ids: np.ndarray, p_new: float, r0: float, cutoff: float) -> np.ndarray:
-    """The track of each point of a frame, from the points and tracks of the frame before; 0 for new tracks. Best links go first."""
+    """The track of each point of a frame, from the points and tracks of the frame before; 0 for new tracks.
+
+    Points that want the same track compete: a claim is weakened by the square of its size against the strongest one. Best links go first.
+    """
     mine = np.zeros(len(now), int)
     if not len(before):
         return mine
     w = np.exp(-np.sqrt(((now[:, None] - before[None]) ** 2).sum(axis=2)) / r0)
-    w /= w.sum(axis=1, keepdims=True) + p_new
+    whole = w.sum(axis=1, keepdims=True) + p_new
+    w, new = w / whole, p_new / whole
+    w = w * (w / np.maximum(w.max(axis=0), 1e-300)) ** 2
+    w /= w.sum(axis=1, keepdims=True) + new
     used: set[int] = set()
     for k in np.argsort(-w, axis=None, kind="stable"):
         i, j = divmod(int(k), w.shape[1])
@@ -182,8 +188,8 @@ def link_frame(before: np.ndarray, now: np.ndarray, ids: np.ndarray, p_new: floa
 def track_frames(df: DataFrame, series: str, t: str, axes: Sequence[str], row_id: str, p_new: float = 0.2, r0: float = 500.0, cutoff: float = 0.2, out: str = "clumpIndex") -> DataFrame:
     """Probabilistic linkage of each frame's points to the tracks of the frame before, best links first, for each series.
 
-    A link's weight is exp(-d / r0), a new track's p_new; weights are normalised for each point, and links below the
-    cutoff are not taken. Tracks end where a frame is missing, so a series is cut there and its segments are scanned apart;
+    A link's weight is exp(-d / r0), a new track's p_new; weights are normalised for each point, weakened where others claim the
+    same track, and normalised again. Links below the cutoff are not taken. Tracks end where a frame is missing, so a series is cut there and its segments are scanned apart;
     what is held is one frame and the next.
     """
     frame = F.col(t).cast("long")
@@ -243,8 +249,8 @@ def mixture_labels(points: DataFrame, axes: Sequence[str], n: int, row_id: str,
 
 
 def principal_axes(df: DataFrame, label: str, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Principal deviations and first axis of each label's points, and their anisotropy: covariances come from Spark, the
-    3 x 3 eigenproblem from numpy, a row a label."""
+    """Principal deviations and axes of each label's points, their anisotropy, and the first axis' theta and phi (of three axes):
+    covariances come from Spark, the eigenproblem from numpy, a row a label. An axis' largest component is positive."""
     cov = [F.covar_samp(a, b).alias(f"c{i}{j}") for i, a in enumerate(axes) for j, b in enumerate(axes) if i <= j]
     rows = df.where(F.col(label) > 0).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), *cov)
     size = len(axes)
@@ -257,10 +263,26 @@ def principal_axes(df: DataFrame, label: str, axes: Sequence[str] = ("x", "y", "
                     c[:, i, j] = c[:, j, i] = part[f"c{i}{j}"].fillna(0)
             value, vector = np.linalg.eigh(c)
             value = np.maximum(value[:, ::-1], 0)
-            total = np.maximum(value.sum(axis=1), 1e-300)
-            mixed = sum(value[:, i] * value[:, j] for i in range(size) for j in range(i + 1, size))
-            first = vector[:, :, -1]
-            first = first * np.where(np.take_along_axis(first, np.abs(first).argmax(axis=1)[:, None], 1) < 0, -1, 1)
-            yield pd.DataFrame({"label": part["label"], "n": part["n"], "sigmas": list(np.sqrt(value)), "axis0": list(first), "anisotropy": np.where(part["n"] > 2, 1 - 3 * mixed / total**2, 0.0)})
+            uneven = value.std(axis=1, ddof=1) / (np.sqrt(size) * np.maximum(value.mean(axis=1), 1e-300))
+            along = vector[:, :, ::-1].transpose(0, 2, 1)
+            along = along * np.where(np.take_along_axis(along, np.abs(along).argmax(axis=2)[..., None], 2) < 0, -1, 1)
+            first = along[:, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                theta, phi = np.arctan(first[:, 0] / first[:, 1]), np.arcsin(np.clip(first[:, -1], -1, 1))
+            found = {"label": part["label"], "n": part["n"], "sigmas": list(np.sqrt(value))} | {f"axis{i}": list(along[:, i]) for i in range(size)}
+            yield pd.DataFrame(found | {"anisotropy": np.where(part["n"] > 2, uneven, 0.0), "theta": theta, "phi": phi})
+
+    named = ", ".join(f"axis{i} array<double>" for i in range(size))
+    return rows.mapInPandas(solve, f"label {dict(rows.dtypes)['label']}, n long, sigmas array<double>, {named}, anisotropy double, theta double, phi double")
+
+
+def measure_clusters(df: DataFrame, label: str) -> DataFrame:
+    """A row for each label above 0: count, centre, deviations, radius of gyration, median deviation, principal axes, anisotropy, theta, phi.
+
+    One aggregation for the moments and one for the axes; medians are ranked by range, so no label is gathered.
+    """
+    from photonflow.operators.aggregates import cluster_moments, median_deviation
 
-    return rows.mapInPandas(solve, f"label {dict(rows.dtypes)['label']}, n long, sigmas array<double>, axis0 array<double>, anisotropy double")
+    inside = df.where(F.col(label) > 0)
+    axes = principal_axes(inside, label).drop("n").withColumnRenamed("label", label)
+    return cluster_moments(inside, label).join(axes, label).join(median_deviation(inside, label, ("x", "y", "z")), label)

@@ -30,6 +30,41 @@ def normalise(frames: DataFrame) -> DataFrame:
     return frames.withColumn("pixels", F.transform("pixels", lambda p: F.coalesce(F.try_divide(p - low, high - low), F.lit(0.0))))
 
 
+def normalise_mean(frames: DataFrame, offset: float = 0.0) -> DataFrame:
+    """Each frame less the offset, over its own mean of that; a frame of no mean becomes null."""
+    less = F.transform("pixels", lambda p: p.cast("double") - offset)
+    mean = F.try_divide(F.aggregate(less, F.lit(0.0), lambda s, p: s + p), F.size("pixels"))
+    return frames.withColumn("_mean", mean).withColumn("pixels", F.transform(less, lambda p: F.try_divide(p, F.col("_mean")))).drop("_mean")
+
+
+def zoom(frames: DataFrame, factor: float) -> DataFrame:
+    """Frames resampled by a factor, by linear interpolation between pixel centres; the corners stay where they are."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            done, heights, widths = [], [], []
+            for p, h, w in zip(part["pixels"], part["height"], part["width"], strict=True):
+                image, (nh, nw) = np.asarray(p, float).reshape(h, w), (max(1, round(h * factor)), max(1, round(w * factor)))
+                y, x = (np.linspace(0, n - 1, m) if m > 1 else np.zeros(1) for n, m in ((h, nh), (w, nw)))
+                rows = np.stack([np.interp(x, np.arange(w), r) for r in image])
+                done.append(np.stack([np.interp(y, np.arange(h), c) for c in rows.T], axis=1).ravel())
+                heights.append(nh)
+                widths.append(nw)
+            yield part.assign(pixels=done, height=heights, width=widths)
+
+    wide = frames.withColumn("pixels", F.transform("pixels", lambda p: p.cast("double")))
+    return wide.mapInPandas(run, wide.schema)
+
+
+def join_channels(channels: list[DataFrame]) -> DataFrame:
+    """Frames of several images as one, c being the number of the image."""
+    out = None
+    for i, frames in enumerate(channels):
+        one = frames.withColumn("c", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def combine(a: DataFrame, b: DataFrame, keys: list[str], f: Callable[[Column, Column], Column]) -> DataFrame:
     """Pixel by pixel combination of equal frames of two images."""
     return a.join(b.select(*keys, F.col("pixels").alias("_other")), keys).withColumn("pixels", F.zip_with("pixels", "_other", f)).drop("_other")
@@ -73,7 +108,9 @@ def gaussian(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
     def blur(image: np.ndarray) -> np.ndarray:
         for axis in (0, 1):
             padded = np.pad(image, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
-            image = np.apply_along_axis(np.convolve, axis, padded, k, "valid")
+            n = image.shape[axis]
+            parts = (padded[i : i + n] if axis == 0 else padded[:, i : i + n] for i in range(2 * reach + 1))
+            image = sum(w * part for w, part in zip(k, parts, strict=True))
         return image
 
     return blur
@@ -85,19 +122,22 @@ def median3(image: np.ndarray) -> np.ndarray:
 
 
 def label(image: np.ndarray) -> np.ndarray:
-    """Numbers of the 4-connected regions above 0, in raster order: least labels spread until nothing changes."""
+    """Numbers of the 4-connected regions above 0, in raster order, by union of neighbouring pixels' trees."""
     mask = image > 0
-    ids = np.where(mask, np.arange(1, image.size + 1).reshape(image.shape), 0)
-    far = image.size + 1
-    while True:
-        near = np.where(mask, ids, far)
-        padded = np.pad(near, 1, constant_values=far)
-        low = np.minimum.reduce([near, padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]])
-        new = np.where(mask, low, 0)
-        if np.array_equal(new, ids):
-            break
-        ids = new
-    return np.searchsorted(np.unique(ids[mask]), ids, "left") * mask + mask if mask.any() else ids
+    places = np.arange(image.size).reshape(image.shape)
+    right, down = mask[:, 1:] & mask[:, :-1], mask[1:] & mask[:-1]
+    a = np.concatenate([places[:, :-1][right], places[:-1][down]])
+    b = np.concatenate([places[:, 1:][right], places[1:][down]])
+    root = np.arange(image.size)
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    ids = root.reshape(image.shape)
+    return np.where(mask, np.searchsorted(np.unique(ids[mask]), ids) + 1, 0)
 
 
 def detect_spots(frames: DataFrame, level: float, keys: list[str]) -> DataFrame:
@@ -134,22 +174,27 @@ def labels_to_channels(frames: DataFrame) -> DataFrame:
 def intensity_at_points(frames: DataFrame, points: DataFrame, keys: list[str], radii: list[float], mean: bool = False) -> DataFrame:
     """Sums (or means) in discs around each point (x, y in pixels) of its frame, as a column r<radius> each.
 
-    Frames meet points on equal keys; a disc is summed inside the row.
+    A frame meets its points as one list, in one row, so that its pixels are not copied for every point; of a disc, only the
+    rows that it reaches are read. Points without a frame are left out.
     """
-    joined = points.join(frames.select(*keys, "height", "width", "pixels"), keys)
-    places = F.sequence(F.lit(0), F.size("pixels") - 1)
-
-    def disc(r: float) -> Column:
-        def near(i: Column) -> Column:
-            dx, dy = i % F.col("width") - F.col("x"), F.floor(i / F.col("width")) - F.col("y")
-            return dx * dx + dy * dy <= r * r
-
-        inside = F.filter(places, near)
-        total = F.aggregate(inside, F.lit(0.0), lambda a, i: a + F.element_at("pixels", (i + 1).cast("int")).cast("double"))
-        return F.try_divide(total, F.size(inside)) if mean else total
-
-    out = joined.withColumns({f"r{r:g}": disc(r) for r in radii})
-    return out.drop("height", "width", "pixels")
+    lists = points.groupBy(*keys).agg(F.collect_list(F.struct(*points.columns)).alias("_points"))
+    joined = lists.join(frames.select(*keys, "height", "width", "pixels"), keys)
+
+    def disc(p: Column, r: float) -> Column:
+        def row(y: Column) -> Column:  # [sum, pixels] of the disc in one row of the frame
+            half = F.sqrt(F.greatest(F.lit(r * r) - (y - p["y"]) * (y - p["y"]), F.lit(0.0)))
+            first = F.greatest(F.ceil(p["x"] - half), F.lit(0)).cast("int")
+            last = F.least(F.floor(p["x"] + half), F.col("width") - 1).cast("int")
+            part = F.slice("pixels", (y * F.col("width")).cast("int") + first + 1, F.greatest(last - first + 1, F.lit(0)))
+            return F.array(F.aggregate(part, F.lit(0.0), lambda s, v: s + v.cast("double")), F.size(part).cast("double"))
+
+        low, high = F.greatest(F.ceil(p["y"] - r), F.lit(0)).cast("int"), F.least(F.floor(p["y"] + r), F.col("height") - 1).cast("int")
+        rows = F.filter(F.transform(F.sequence(low, F.greatest(low, high)), row), lambda _: low <= high)
+        total = F.aggregate(rows, F.array(F.lit(0.0), F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+        return F.try_divide(total[0], total[1]) if mean else total[0]
+
+    found = F.transform("_points", lambda p: F.struct(*(p[c].alias(c) for c in points.columns), *(disc(p, r).alias(f"r{r:g}") for r in radii)))
+    return joined.select(F.inline(found))
 
 
 def regions(frames: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

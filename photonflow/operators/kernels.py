@@ -55,13 +55,18 @@ def disc(radius: float) -> np.ndarray:
 
 
 def grey_morphology(reduce: Callable[..., np.ndarray], radius: float) -> Kernel:
-    """np.max dilates, np.min erodes, over a disc."""
+    """np.max dilates, np.min erodes, over a disc: shifted frames are folded one by one."""
     shape = disc(radius)
     r = shape.shape[0] // 2
+    fold = {np.max: np.maximum, np.min: np.minimum}[reduce]
 
     def run(image: np.ndarray) -> np.ndarray:
         padded = np.pad(image, r, mode="symmetric")
-        return reduce(sliding_window_view(padded, shape.shape)[..., shape], axis=2)
+        out = None
+        for y, x in np.argwhere(shape):
+            part = padded[y : y + image.shape[0], x : x + image.shape[1]]
+            out = part.copy() if out is None else fold(out, part, out=out)
+        return out
 
     return run
 
@@ -120,14 +125,21 @@ def otsu_level(image: np.ndarray, bins: int = 255) -> float:
     return float(mid[np.nanargmax(np.where(np.isfinite(between), between, -1))])
 
 
-def isodata_level(image: np.ndarray, bins: int = 255) -> float:
-    """The level that lies midway between the means of the two sides."""
-    n, edges = np.histogram(image, bins)
+def isodata_level(image: np.ndarray, bins: int = 255, tolerance: float = 1e-5) -> float:
+    """The level midway between the means of the two sides, found from the middle of the range on; by a histogram of `bins` edges."""
+    n, edges = np.histogram(image, np.linspace(image.min(), image.max(), bins) if np.ptp(image) else bins)
     mid = (edges[1:] + edges[:-1]) / 2
-    w, m = np.cumsum(n), np.cumsum(n * mid)
-    low = m / np.maximum(w, 1)
-    high = (m[-1] - m) / np.maximum(w[-1] - w, 1)
-    return float(mid[np.abs((low + high) / 2 - mid)[:-1].argmin()])
+    count, total = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * mid)])
+    level = mid[len(edges) // 2]
+    for _ in range(10_000):
+        k = int(np.searchsorted(mid, level))
+        if not 0 < count[k] < count[-1]:
+            break
+        new = (total[k] / count[k] + (total[-1] - total[k]) / (count[-1] - count[k])) / 2
+        if abs(new - level) <= tolerance:
+            return float(new)
+        level = new
+    return float(level)
 
 
 def fractional_level(image: np.ndarray, share: float, bins: int = 5000) -> float:
@@ -147,17 +159,34 @@ def local_maxima(level: float, distance: int) -> Kernel:
     return lambda image: ((image == peak(image)) & (image > level)).astype(float)
 
 
+def _square_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared distance of each pixel to the nearest one of the mask: first along columns, then the best of all rows.
+
+    Rows are tried from near to far, and no farther than the largest distance that is left.
+    """
+    far = float(mask.shape[0] + mask.shape[1]) ** 2 + 1
+    up = np.full(mask.shape, far)
+    run = np.full(mask.shape[1], np.sqrt(far))
+    for order in (range(mask.shape[0]), reversed(range(mask.shape[0]))):
+        run[:] = np.sqrt(far)
+        for y in order:
+            run = np.where(mask[y], 0.0, run + 1)
+            up[y] = np.minimum(up[y], run * run)
+    out = up.copy()
+    for d in range(1, mask.shape[1]):
+        if d * d >= out.max():
+            break
+        out[:, d:] = np.minimum(out[:, d:], up[:, :-d] + d * d)
+        out[:, :-d] = np.minimum(out[:, :-d], up[:, d:] + d * d)
+    return out
+
+
 def distance_transform(image: np.ndarray) -> np.ndarray:
-    """Signed Euclidean distance to the edge of data > 0.5, negative inside. Frames are small: distances are taken outright."""
+    """Signed Euclidean distance to the edge of data > 0.5, negative inside; 0 where there is no edge."""
     mask = image > 0.5
-    inside, outside = np.argwhere(mask), np.argwhere(~mask)
-    out = np.zeros(image.shape)
-    for points, others, sign in ((outside, inside, 1), (inside, outside, -1)):
-        for i in range(0, len(points) if len(others) else 0, 256):
-            part = points[i : i + 256]
-            d = np.sqrt(((part[:, None] - others[None]) ** 2).sum(axis=2).min(axis=1))
-            out[part[:, 0], part[:, 1]] = sign * d
-    return out
+    if mask.all() or not mask.any():
+        return np.zeros(image.shape)
+    return np.sqrt(_square_distance(mask)) - np.sqrt(_square_distance(~mask))
 
 
 def subsample(step: int) -> Kernel:

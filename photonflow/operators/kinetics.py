@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from photonflow.operators.asof import as_of
 from photonflow.operators.spatial import self_pairs
 
 
@@ -138,14 +139,43 @@ def fiducial_trajectory(fiducials: DataFrame, series: str, clump: str, t: str, a
     return moved.select(series, t, *(F.avg(f"_{c}").over(w).alias(f"d_{c}") for c in axes))
 
 
-def fiducial_correction(points: DataFrame, trajectory: DataFrame, series: str, t: str, axes: Sequence[str]) -> DataFrame:
-    """points less the trajectory at their frame; between frames of the trajectory by linear interpolation, beyond its ends by its end."""
-    w = Window.partitionBy(series).orderBy(t)
-    ahead, behind = w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
-    frames = points.select(series, t).distinct().join(trajectory, [series, t], "full")
-    known = F.when(F.col(f"d_{axes[0]}").isNotNull(), F.struct(F.col(t).alias("at"), *(f"d_{c}" for c in axes)))
-    frames = frames.withColumns({"_p": F.last(known, True).over(behind), "_n": F.first(known, True).over(ahead)})
+def fiducial_correction(points: DataFrame, trajectory: DataFrame, series: str, t: str, axes: Sequence[str], block: int | None = None) -> DataFrame:
+    """points less the trajectory at their frame; between frames of the trajectory by linear interpolation, beyond its ends by its end.
+
+    `block`: a length of time by which series are cut, so that a long one is done by many tasks.
+    """
+    known = trajectory.select(series, t, F.struct(F.col(t).alias("at"), *(f"d_{c}" for c in axes)).alias("_at"))
+    frames = points.select(series, t).distinct()
+    frames = as_of(as_of(frames, known, [series], t, "_at", "_p", block=block), known, [series], t, "_at", "_n", ahead=True, block=block)
     share = F.coalesce(F.try_divide(F.col(t) - F.col("_p.at"), F.col("_n.at") - F.col("_p.at")), F.lit(0.0))
     at = {c: F.coalesce(F.col(f"_p.d_{c}") + share * (F.col(f"_n.d_{c}") - F.col(f"_p.d_{c}")), F.col(f"_p.d_{c}"), F.col(f"_n.d_{c}"), F.lit(0.0)) for c in axes}
     shifts = frames.select(series, t, *(v.alias(f"_{c}") for c, v in at.items()))
     return points.join(shifts, [series, t], "left").withColumns({c: F.col(c) - F.col(f"_{c}") for c in axes}).drop(*(f"_{c}" for c in axes))
+
+
+def jump_mixture(counts: np.ndarray, size: float, step: float, species: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Diffusion coefficients (rising) and shares of species whose plane jumps over a time `step` make a histogram (bins of `size` from 0).
+
+    Squared jumps of one species are exponential, so expectation and maximisation over the bins has closed steps.
+    """
+    square = (((np.arange(len(counts)) + 0.5) * size) ** 2)[:, None]
+    mean = np.average(square[:, 0], weights=counts)
+    d = mean / (4 * step) * np.geomspace(0.2, 5, species) if species > 1 else np.array([mean / (4 * step)])
+    share = np.full(species, 1 / species)
+    for _ in range(rounds):
+        p = share * np.exp(-square / (4 * d * step)) / (4 * d * step)
+        own = counts[:, None] * p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+        weight = np.maximum(own.sum(axis=0), 1e-12)
+        share, d = weight / weight.sum(), (own * square).sum(axis=0) / weight / (4 * step)
+    order = np.argsort(d)
+    return d[order], share[order]
+
+
+def fit_jumps(histogram: DataFrame, size: float, step: float, species: int = 2) -> DataFrame:
+    """species, diffusion, share from a histogram (bin, n) of jumps: its rows are few, whatever the tracks were."""
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        d, share = jump_mixture(np.bincount(rows["bin"].to_numpy(int), rows["n"].to_numpy(float)), size, step, species)
+        return pd.DataFrame({"species": np.arange(species), "diffusion": d, "share": share})
+
+    return histogram.groupBy(F.lit(0)).applyInPandas(fit, "species int, diffusion double, share double")

@@ -44,15 +44,18 @@ def self_pairs(points: DataFrame, axes: Sequence[str], radius: float, row_id: st
     return pairs_within(points, points, axes, radius).where(F.col(f"a.{row_id}") < F.col(f"b.{row_id}"))
 
 
-def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: float, row_id: str, same: bool = False, max_rounds: int = 40) -> DataFrame:
-    """row_id, neighbour, distance: of each point, the nearest of the others (the least id of equally near ones).
+def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: float, row_id: str, same: bool = False, max_rounds: int = 40, keys: Sequence[str] = ()) -> DataFrame:
+    """row_id, neighbour, distance: of each point, the nearest of the others of equal keys (the least id of equally near ones).
 
     Points that find none within the radius try again at twice of it, so each round joins fewer points, on larger
-    cells. If `same`, others are the points themselves and a point is not its own neighbour.
+    cells. If `same`, others are the points themselves and a point is not its own neighbour. Points whose keys no other has are left out.
     """
     found, open_, radius = None, points, start
+    if keys:
+        held = others.groupBy(*keys).agg(F.count("*").alias("_held")).where(F.col("_held") > int(same)).drop("_held")
+        open_ = points.join(held, list(keys), "left_semi")
     for _ in range(max_rounds):
-        pairs = pairs_within(open_, others, axes, radius)
+        pairs = pairs_within(open_, others, axes, radius, keys)
         if same:
             pairs = pairs.where(F.col(f"a.{row_id}") != F.col(f"b.{row_id}"))
         best = pairs.groupBy(F.col(f"a.{row_id}").alias(row_id)).agg(F.min(F.struct("distance", F.col(f"b.{row_id}").alias("neighbour"))).alias("m"))
@@ -65,13 +68,10 @@ def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: fl
     return found
 
 
-def keep_pairs(first: DataFrame, second: DataFrame, t: str, axes: Sequence[str], row_id: str) -> DataFrame:
-    """For each point of `first`, the nearest point of `second` in the same frame: frames are joined on equality."""
-    a = first.select(t, F.struct(row_id, *axes).alias("a"))
-    b = second.select(t, F.struct(row_id, *axes).alias("b"))
-    near = a.join(b, t).withColumn("distance", distance(axes))
-    best = near.groupBy(t, F.col(f"a.{row_id}").alias(row_id)).agg(F.min(F.struct("distance", F.col(f"b.{row_id}").alias("pair"))).alias("m"))
-    return best.select(t, row_id, "m.pair", "m.distance")
+def keep_pairs(first: DataFrame, second: DataFrame, t: str, axes: Sequence[str], row_id: str, start: float) -> DataFrame:
+    """For each point of `first`, the nearest point of `second` in the same frame; the search begins within `start`."""
+    best = nearest(first.select(t, row_id, *axes), second.select(t, row_id, *axes), axes, start, row_id, keys=[t])
+    return first.select(t, row_id).join(best.withColumnRenamed("neighbour", "pair"), row_id).select(t, row_id, "pair", "distance")
 
 
 def pair_histogram(points: DataFrame, axes: Sequence[str], bins: int, size: float, row_id: str) -> DataFrame:
@@ -93,6 +93,70 @@ def ripley(points: DataFrame, axes: Sequence[str], bins: int, size: float, row_i
     return out.withColumn("H", F.col("L") - F.col("r"))
 
 
+def masked_ripley(points: DataFrame, mask: DataFrame, axes: Sequence[str], bins: int, size: float, row_id: str, area: float, per_mask_point: float, keys: Sequence[str] = ()) -> DataFrame:
+    """bin, r, K with edge correction: each point's neighbours at a distance count as many times more as the mask's points at
+    that distance fall short of what open space would hold. A point is its own neighbour at 0, as it is the mask's.
+
+    `mask`: evenly spaced points of the region, of which each stands for per_mask_point. `keys` tells sets of points (simulations) apart.
+    """
+    near = F.floor(F.col("distance") / size).cast("int").alias("bin")
+    who = [F.col(f"a.{c}").alias(c) for c in (*keys, row_id)]
+    slim = points.select(*keys, row_id, *axes)
+    d = pairs_within(slim, slim, axes, bins * size, keys).groupBy(*who, near).agg(F.count("*").alias("d"))
+    w = pairs_within(slim, mask.select(*axes), axes, bins * size).groupBy(*who, near).agg(F.count("*").alias("w"))
+    power = len(axes)
+    open_space = (F.pow(F.col("bin") + 1, F.lit(power)) - F.pow("bin", F.lit(power))) * (pi if power == 2 else 4 * pi / 3) * size**power / per_mask_point
+    weighted = d.join(w, [*keys, row_id, "bin"]).groupBy(*keys, "bin").agg(F.sum(open_space * F.col("d") / F.col("w")).alias("h"))
+    counts = slim.groupBy(*keys).agg(F.count("*").alias("n"))
+    every = counts.crossJoin(F.broadcast(points.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))))  # sets of points times bins
+    order = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row a bin
+    whole = F.sum(F.coalesce("h", F.lit(0.0))).over(order)
+    return every.join(weighted, [*keys, "bin"], "left").select(*keys, "bin", ((F.col("bin") + 1) * size).alias("r"), (F.lit(float(area)) / (F.col("n") * F.col("n")) * whole).alias("K"))
+
+
+def ripley_envelope(k: DataFrame, points: int, mask: DataFrame, axes: Sequence[str], bins: int, size: float, area: float, per_mask_point: float, spacing: float, simulations: int = 20, significance: float = 0.05, seed: int = 0) -> DataFrame:
+    """bin, r, K, K_min, K_max, p_clustered, p_dispersed: K (columns bin, r, K) against sets of as many random points of the region.
+
+    All simulations are one job. A random point lies within half a spacing of one of the mask's points.
+    """
+    spark = mask.sparkSession
+    places = mask.select(F.row_number().over(Window.orderBy(*axes)).alias("_k"), *axes)  # the mask is small by nature: it is a grid of one region
+    total = places.count()
+    draws = spark.range(simulations * points).select((F.col("id") % simulations).alias("sim"), F.col("id").alias("row"), (F.floor(F.rand(seed) * total) + 1).cast("int").alias("_k"), *((F.rand(seed + 1 + i) - 0.5).alias(f"_{c}") for i, c in enumerate(axes)))
+    random = draws.join(places, "_k").select("sim", "row", *((F.col(c) + F.col(f"_{c}") * spacing).alias(c) for c in axes))
+    sims = masked_ripley(random, mask, axes, bins, size, "row", area, per_mask_point, ["sim"]).select("bin", F.col("K").alias("_K"))
+    both = k.join(sims, "bin").groupBy("bin", "r", "K")
+    chance = lambda hits: (F.sum(hits.cast("int")) + 1) / (simulations + 1)
+    return both.agg(
+        F.percentile("_K", F.lit(significance)).alias("K_min"), F.percentile("_K", F.lit(1 - significance)).alias("K_max"),
+        chance(F.col("_K") >= F.col("K")).alias("p_clustered"), chance(F.col("_K") <= F.col("K")).alias("p_dispersed"),
+    )
+
+
+def box_mask(spark, low: Sequence[float], high: Sequence[float], spacing: float, axes: Sequence[str]) -> DataFrame:
+    """Evenly spaced points of a box, from its low corner on, the high sides excluded."""
+    from math import ceil
+
+    steps = [max(1, ceil((b - a) / spacing)) for a, b in zip(low, high, strict=True)]
+    total, out, left = 1, [], F.col("id")
+    for n, a, c in zip(steps, low, axes, strict=True):
+        out.append((left % n * spacing + a).alias(c))
+        left, total = F.floor(left / n), total * n
+    return spark.range(total).select(*out)
+
+
+def distance_features(points: DataFrame, axes: Sequence[str], bins: int, size: float, row_id: str, normalise: bool = False) -> DataFrame:
+    """row_id, features: how many points, itself included, lie in each ring of `size` around a point; or their shares."""
+    slim = points.select(row_id, *axes)
+    near = F.floor(F.col("distance") / size).cast("int").alias("bin")
+    counts = pairs_within(slim, slim, axes, bins * size).groupBy(F.col(f"a.{row_id}").alias(row_id), near).agg(F.count("*").alias("n"))
+    held = counts.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))  # `bins` entries at most
+    features = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("double"))
+    if normalise:
+        features = F.transform(features, lambda v: v / F.aggregate(features, F.lit(0.0), lambda s, u: s + u))
+    return held.select(row_id, features.alias("features"))
+
+
 def local_density(points: DataFrame, axes: Sequence[str], neighbours: int, radius: float, row_id: str) -> DataFrame:
     """Density from the nearest neighbours within the radius: the least squares slope of their number against d ** D."""
     pairs = pairs_within(points.select(row_id, *axes), points.select(row_id, *axes), axes, radius).where(F.col(f"a.{row_id}") != F.col(f"b.{row_id}"))
@@ -127,6 +191,26 @@ def render_gaussian(df: DataFrame, x: str, y: str, sigma: str, x0: float, y0: fl
     return stamped.groupBy("ix", "iy").agg(F.sum(F.exp(-(dx * dx + dy * dy) / (2 * s2)) / (2 * pi * s2) * pixel * pixel).alias("value"))
 
 
+def render_histogram_3d(df: DataFrame, axes: Sequence[Column], origin: Sequence[float], pixel: float, depth: float) -> DataFrame:
+    """Points counted by voxel: `pixel` wide and high, `depth` deep."""
+    at = [F.floor((c - o) / step).cast("int").alias(f"i{n}") for c, o, step, n in zip(axes, origin, (pixel, pixel, depth), "xyz", strict=True)]
+    return df.groupBy(*at).agg(F.count("*").alias("n"))
+
+
+def render_gaussian_3d(df: DataFrame, axes: Sequence[str], sigma: str, sigma_z: str, origin: Sequence[float], pixel: float, depth: float, reach: int = 4) -> DataFrame:
+    """Each point as a normalised Gaussian (sigma in the plane, sigma_z along z) at the centres of the voxels within `reach`
+    deviations, summed by voxel: ix, iy, iz, value."""
+    parts = list(zip(axes, (sigma, sigma, sigma_z), origin, (pixel, pixel, depth), "xyz", strict=True))
+    out = df.select(*axes, sigma, sigma_z)
+    value = F.lit(1.0)
+    for c, s, o, step, n in parts:
+        low, high = (F.floor((F.col(c) + side * reach * F.col(s) - o) / step).cast("int") for side in (-1, 1))
+        out = out.withColumn(f"i{n}", F.explode(F.sequence(low, high)))
+        d = (F.col(f"i{n}") + 0.5) * step + o - F.col(c)
+        value = value * F.exp(-d * d / (2 * F.col(s) * F.col(s))) / (F.sqrt(F.lit(2 * pi)) * F.col(s)) * step
+    return out.groupBy("ix", "iy", "iz").agg(F.sum(value).alias("value"))
+
+
 def octree_cells(df: DataFrame, axes: Sequence[str], origin: Sequence[float], size: float, depth: int) -> DataFrame:
     """Counts of points in the cells of every level of an octree (or quadtree), the root being one cube of `size`."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")

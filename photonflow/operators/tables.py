@@ -92,8 +92,11 @@ def labels_from_image(points: DataFrame, pixels: DataFrame, origin: Sequence[flo
     return drop_small_labels(marked, label, minimum)
 
 
-def colour_filter(df: DataFrame, channel: str | None, channels: Sequence[str]) -> DataFrame:
-    """Rows that belong to a channel by their p_<channel> columns; an unknown channel (or None) selects all rows."""
+def colour_filter(df: DataFrame, channel: str | None, channels: Sequence[str], own: float = P_DYE, other: float = P_OTHER) -> DataFrame:
+    """Rows that belong to a channel by their p_<channel> columns: its share is above `own` and no other's reaches `other`.
+
+    An unknown channel (or None) selects all rows.
+    """
     if channel not in channels:
         return df
     total = P_NORM * F.col("ColourNorm")
@@ -101,7 +104,7 @@ def colour_filter(df: DataFrame, channel: str | None, channels: Sequence[str]) -
         total = total + F.col(f"p_{c}")
     others = [F.col(f"p_{c}") for c in channels if c != channel]
     most = F.lit(0.0) if not others else others[0] if len(others) == 1 else F.greatest(*others)
-    return df.where((F.try_divide(F.col(f"p_{channel}"), total) > P_DYE) & (F.try_divide(most, total) < P_OTHER))
+    return df.where((F.try_divide(F.col(f"p_{channel}"), total) > own) & (F.try_divide(most, total) < other))
 
 
 def time_blocks(df: DataFrame, size: int, t: str = "t") -> DataFrame:
@@ -128,11 +131,15 @@ def add_metadata(df: DataFrame, metadata: Mapping[str, object], keys: Mapping[st
     return df.withColumns({name: F.lit(cut(metadata[key])) for name, key in keys.items()})
 
 
-def random_subset(df: DataFrame, n: int, strict: bool = False, seed: int = 0) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement; strict and too few rows raise IndexError."""
+def random_subset(df: DataFrame, n: int, strict: bool = False, seed: int = 0, key: Column | None = None) -> DataFrame:
+    """Exactly min(n, rows) rows without replacement; strict and too few rows raise IndexError.
+
+    Rows are drawn in order of a hash of `key` (of the whole row, if None), so the layout does not matter.
+    """
     if strict and len(df.take(n)) < n:
         raise IndexError(f"fewer than {n} rows")
-    return df.orderBy(F.rand(seed)).limit(n)
+    key = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))) if key is None else key.cast("string")
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))).limit(n)
 
 
 def motion_flags(points: DataFrame, moves: DataFrame, frames: int, t: str = "t") -> DataFrame:
@@ -157,7 +164,8 @@ def numbered_rows(df: DataFrame, order: Sequence[str], name: str = "row_id") ->
 
     Rows are range partitioned and numbered inside ranges; the ranges' counts alone meet in one place.
     """
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # a fixed number of partitions, so that both readers below see the same ones
+    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
     parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = parts.groupBy("_part").count()
     before = before.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))

@@ -78,3 +78,21 @@ def resample(df: DataFrame, key: str, z: str, value: str, step: float) -> DataFr
     at = F.col("_z0") + F.col("k") * step
     share = (at - F.col(z)) / (F.col("_next") - F.col(z))
     return grid.select(key, "k", at.alias(z), (F.col(value) + share * (F.col("_to") - F.col(value))).alias(value))
+
+
+def tracks(df: DataFrame, clump: str, t: str, axes: Sequence[str]) -> DataFrame:
+    """A row a track: its first and last frame, points, path length, net displacement, and mean speed over its frames."""
+    w = Window.partitionBy(clump).orderBy(t)
+    square = lambda f: sum(((F.col(c) - f(c)) * (F.col(c) - f(c)) for c in axes), F.lit(0.0))
+    steps = df.withColumn("_step", F.coalesce(F.sqrt(square(lambda c: F.lag(c).over(w))), F.lit(0.0)))
+    ends = [F.struct(t, *axes)]
+    found = steps.groupBy(clump).agg(F.count("*").alias("n"), F.min(ends[0]).alias("_a"), F.max(ends[0]).alias("_b"), F.sum("_step").alias("path"))
+    net = F.sqrt(sum(((F.col(f"_b.{c}") - F.col(f"_a.{c}")) * (F.col(f"_b.{c}") - F.col(f"_a.{c}")) for c in axes), F.lit(0.0)))
+    return found.select(clump, "n", F.col(f"_a.{t}").alias("start"), F.col(f"_b.{t}").alias("stop"), "path", net.alias("displacement"), F.try_divide(F.col("path"), F.col(f"_b.{t}") - F.col(f"_a.{t}")).alias("speed"))
+
+
+def jump_histogram(df: DataFrame, clump: str, t: str, axes: Sequence[str], size: float) -> DataFrame:
+    """bin, n: lengths of the steps between consecutive points of a track, in bins of `size`."""
+    w = Window.partitionBy(clump).orderBy(t)
+    step = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in axes), F.lit(0.0)))
+    return df.select(F.floor(step / size).cast("long").alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, asof, clumping, images, kernels, kinetics, spatial, tables, windows
+from photonflow.operators import aggregates, asof, clumping, images, kernels, kinetics, localise, spatial, tables, vectors, windows
 from photonflow.plans.recipe import Recipe
 from photonflow.sources.tabular import metadata_value
 
@@ -120,11 +120,11 @@ def concat_tables(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS row_id, r_name AS name_region FROM region),
-    n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_id, n_name AS name_nation FROM nation WHERE n_nationkey < 5) SELECT * FROM r JOIN n USING (row_id)"""
+    n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_id, n_name AS name_nation FROM nation) SELECT * FROM r JOIN n USING (row_id)"""
 )
 def aggregate_tables_positional(spark, sf_dir):
     r = tables.numbered_rows(table(spark, sf_dir, "region"), ["r_regionkey"]).select("row_id", F.col("r_name").alias("name"))
-    n = tables.numbered_rows(table(spark, sf_dir, "nation").where("n_nationkey < 5"), ["n_nationkey"]).select("row_id", F.col("n_name").alias("name"))
+    n = tables.numbered_rows(table(spark, sf_dir, "nation"), ["n_nationkey"]).select("row_id", F.col("n_name").alias("name"))
     return tables.aggregate_positional([r, n], ["_region", "_nation"])
 
 
@@ -145,12 +145,12 @@ def labels_min_count(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT user_id, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS a, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS b FROM events GROUP BY 1)
-    SELECT user_id, round(a, 4) AS p_click FROM c WHERE 0.01 + a + b <> 0 AND a / (0.01 + a + b) > 0.1 AND b / (0.01 + a + b) < 0.1"""
+    SELECT user_id, round(a, 4) AS p_click FROM c WHERE 0.01 + a + b <> 0 AND a / (0.01 + a + b) > 0.5 AND b / (0.01 + a + b) < 0.5"""
 )
 def colour_filter(spark, sf_dir):
     total = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("value")).otherwise(0)).alias(f"p_{k}")
     wide = table(spark, sf_dir, "events").groupBy("user_id").agg(total("click"), total("view")).withColumn("ColourNorm", F.lit(1.0))
-    return rounded(tables.colour_filter(wide, "click", ["click", "view"]), "p_click", places=4).select("user_id", "p_click")
+    return rounded(tables.colour_filter(wide, "click", ["click", "view"], 0.5, 0.5), "p_click", places=4).select("user_id", "p_click")
 
 
 @query(f"WITH {EVENTS} SELECT event_id, CAST((t // 100) % 2 AS DOUBLE) AS p_block0, CAST(1 - (t // 100) % 2 AS DOUBLE) AS p_block1 FROM e")
@@ -159,18 +159,18 @@ def time_blocks(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EVENTS}, m AS (SELECT user_id, t AS frame FROM e WHERE event_type = 'error' AND user_id < 5), r AS (SELECT f AS t, count(*) AS n FROM (SELECT unnest(range(frame, frame + 30)) AS f FROM m) GROUP BY 1)
+    f"""WITH {EVENTS}, m AS (SELECT user_id, t AS frame FROM e WHERE event_type = 'error'), r AS (SELECT f AS t, count(*) AS n FROM (SELECT unnest(range(frame, frame + 30)) AS f FROM m) GROUP BY 1)
     SELECT event_id, 1 - coalesce(n, 0) AS piezoUnstable FROM e LEFT JOIN r USING (t)"""
 )
 def motion_flags(spark, sf_dir):
     e = frames_of(spark, sf_dir)
-    moves = e.where("event_type = 'error' and user_id < 5").select(F.col("t").alias("frame"))
+    moves = e.where("event_type = 'error'").select(F.col("t").alias("frame"))
     return tables.motion_flags(e, moves, 30).select("event_id", "piezoUnstable")
 
 
-@query()
+@query("SELECT * FROM part ORDER BY md5('0:' || p_partkey) LIMIT 100")
 def random_subset(spark, sf_dir):
-    return tables.random_subset(table(spark, sf_dir, "part"), 100)
+    return tables.random_subset(table(spark, sf_dir, "part"), 100, key=F.col("p_partkey"))
 
 
 @query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -1) AS k FROM events")
@@ -387,8 +387,9 @@ def nearest_neighbour(spark, sf_dir):
 
 @query(f"WITH {POINTS}, d AS (SELECT a.label, a.vec_id, b.vec_id AS o, {DIST} AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) SELECT label, vec_id, arg_min(o, (d, o)) AS pair, round(min(d), 9) AS distance FROM d GROUP BY 1, 2")
 def keep_pairs(spark, sf_dir):
+    _shared(spark)
     p = points_of(spark, sf_dir)
-    return rounded(spatial.keep_pairs(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", AXES, "vec_id"), "distance", places=9)
+    return rounded(spatial.keep_pairs(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", AXES, "vec_id", 0.1), "distance", places=9)
 
 
 @query(f"WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(i * 1e-2, 6) AS bin_left, coalesce(n, 0) AS n FROM range(0, 20) r(i) LEFT JOIN h ON bin = i")
@@ -728,7 +729,173 @@ def wavefront_activity(spark, sf_dir):
 def fiducial_corrected(spark, sf_dir):
     e = frames_of(spark, sf_dir)
     moved = kinetics.fiducial_trajectory(e, "event_type", "user_id", "t", ["value"], 3, 500)
-    return rounded(kinetics.fiducial_correction(e, moved, "event_type", "t", ["value"]).select("event_id", "value"), "value")
+    return rounded(kinetics.fiducial_correction(e, moved, "event_type", "t", ["value"], 5000).select("event_id", "value"), "value")
+
+# --- vectors, rendering in depth, region statistics, localisation ----------------------------------------------------
+@query(f"""WITH {POINTS} SELECT vec_id, round(atan2(y, x), 9) AS azimuth, round(atan2(sqrt(x * x + y * y), z), 9) AS zenith, round(sqrt(x * x + y * y + z * z), 9) AS r FROM p""")
+def spherical_coordinates(spark, sf_dir):
+    at = vectors.cartesian_to_spherical(*map(F.col, AXES))
+    return rounded(points_of(spark, sf_dir).select("vec_id", *(v.alias(n) for n, v in at.items())), *at, places=9)
+
+
+@query(f"""WITH {POINTS} SELECT vec_id, round((1 + abs(z)) * sin(y) * cos(x), 9) AS x, round((1 + abs(z)) * sin(y) * sin(x), 9) AS y, round((1 + abs(z)) * cos(y), 9) AS z FROM p""")
+def cartesian_coordinates(spark, sf_dir):
+    at = vectors.spherical_to_cartesian(F.col("x"), F.col("y"), 1 + F.abs("z"))
+    return rounded(points_of(spark, sf_dir).select("vec_id", *(v.alias(n) for n, v in at.items())), *at, places=9)
+
+
+@query(f"""WITH {POINTS} SELECT vec_id, round(2 * y, 9) AS a, round(0.5 * x, 9) AS b, round(-3 * z, 9) AS c FROM p""")
+def scaled_axes(spark, sf_dir):
+    at = vectors.scaled_projection(*map(F.col, AXES), (2.0, 0.5, 3.0), ((0, 1, 0), (1, 0, 0), (0, 0, -1)))
+    return rounded(points_of(spark, sf_dir).select("vec_id", *(v.alias(n) for n, v in zip("abc", at, strict=True))), *"abc", places=9)
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, round(1.38e-23 * 293 / (6e-3 * (l_quantity * 1e-9)) * 1e12, 9) AS diffusion, round(l_quantity / (2 * 4.0 * 2.0) * exp(-l_quantity * l_quantity / (4 * 4.0 * 2.0)), 12) AS jump,
+    round(4 * 0.5 * pow(l_quantity, 0.8), 9) AS msd FROM lineitem"""
+)
+def diffusion_scalars(spark, sf_dir):
+    q = F.col("l_quantity").cast("double")
+    outs = {"diffusion": vectors.stokes_einstein(q * 1e-9) * 1e12, "jump": vectors.jump_probability(q, F.lit(4.0), F.lit(2.0)), "msd": vectors.anomalous_msd(q, 0.5, 0.8)}
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(v.alias(n) for n, v in outs.items()))
+    return rounded(rounded(df, "diffusion", "msd", places=9), "jump", places=12)
+
+
+FIELD = f"WITH {PIXELS}, f AS (SELECT vec_id, CAST(pos AS INTEGER) AS pos, v AS a, lead(v, 32) OVER w AS b FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY pos))"
+
+
+@query(FIELD + " SELECT vec_id, pos, round(sqrt(a * a + b * b), 9) AS norm, round(atan2(b, a), 9) AS theta FROM f WHERE pos < 32")
+def vector_norm_angle(spark, sf_dir):
+    frames = image_frames(spark, sf_dir).select("vec_id", F.slice("pixels", 1, 32).alias("a"), F.slice("pixels", 33, 32).alias("b"))
+    out = frames.select("vec_id", vectors.norm(F.col("a"), F.col("b")).alias("norm"), vectors.angles(F.col("a"), F.col("b"))["theta"].alias("theta"))
+    each = out.select("vec_id", F.posexplode(F.arrays_zip("norm", "theta")).alias("pos", "v")).select("vec_id", "pos", "v.norm", "v.theta")
+    return rounded(each, "norm", "theta", places=9)
+
+
+@query(FIELD + " SELECT vec_id, pos, round((a * 3 + b * 4) / 5, 9) AS parallel, round((b * 3 - a * 4) / 5, 9) AS perpendicular FROM f WHERE pos < 32")
+def vector_projection(spark, sf_dir):
+    frames = image_frames(spark, sf_dir).select("vec_id", F.slice("pixels", 1, 32).alias("a"), F.slice("pixels", 33, 32).alias("b"))
+    along = [F.transform("a", lambda _, k=k: F.lit(k)) for k in (3.0, 4.0)]
+    out = vectors.project_on(F.col("a"), F.col("b"), *along)
+    each = frames.select("vec_id", F.posexplode(F.arrays_zip(*(v.alias(n) for n, v in out.items()))).alias("pos", "v"))
+    return rounded(each.select("vec_id", "pos", "v.parallel", "v.perpendicular"), "parallel", "perpendicular", places=9)
+
+
+@query(
+    f"""WITH {PIXELS}, n AS (SELECT vec_id, pos, v, lag(v) OVER r AS l, lead(v) OVER r AS g, lag(v) OVER c AS u, lead(v) OVER c AS d FROM u
+      WINDOW r AS (PARTITION BY vec_id, pos // 8 ORDER BY pos), c AS (PARTITION BY vec_id, pos % 8 ORDER BY pos))
+    SELECT vec_id, pos, round(CASE WHEN l IS NULL THEN g - v WHEN g IS NULL THEN v - l ELSE (g - l) / 2 END, 9) AS across, round(CASE WHEN u IS NULL THEN d - v WHEN d IS NULL THEN v - u ELSE (d - u) / 2 END, 9) AS down FROM n"""
+)
+def image_gradient(spark, sf_dir):
+    frames = image_frames(spark, sf_dir).select("vec_id", vectors.gradient(F.col("pixels"), 8).alias("across"), vectors.gradient(F.col("pixels"), 8, False).alias("down"))
+    each = frames.select("vec_id", F.posexplode(F.arrays_zip("across", "down")).alias("pos", "v")).select("vec_id", "pos", "v.across", "v.down")
+    return rounded(each, "across", "down", places=9)
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, round(sum(v), 6) AS checksum FROM u GROUP BY 1")
+def frame_checksums(spark, sf_dir):
+    return rounded(localise.checksums(image_frames(spark, sf_dir), ["vec_id"]), "checksum")
+
+
+@query(f"WITH {POINTS} SELECT CAST(floor((x + 1) / 0.1) AS INTEGER) AS ix, CAST(floor((y + 1) / 0.1) AS INTEGER) AS iy, CAST(floor((z + 1) / 0.25) AS INTEGER) AS iz, count(*) AS n FROM p GROUP BY 1, 2, 3")
+def render_hist3d(spark, sf_dir):
+    return spatial.render_histogram_3d(points_of(spark, sf_dir), [F.col(c) for c in AXES], (-1, -1, -1), 0.1, 0.25)
+
+
+@query(
+    f"""WITH {POINTS}, s AS (SELECT *, unnest(range(CAST(floor((x - 4 * 0.04 + 1) / 0.1) AS BIGINT), CAST(floor((x + 4 * 0.04 + 1) / 0.1) AS BIGINT) + 1)) AS ix FROM p),
+    t AS (SELECT *, unnest(range(CAST(floor((y - 4 * 0.04 + 1) / 0.1) AS BIGINT), CAST(floor((y + 4 * 0.04 + 1) / 0.1) AS BIGINT) + 1)) AS iy FROM s),
+    v AS (SELECT *, unnest(range(CAST(floor((z - 4 * 0.08 + 1) / 0.25) AS BIGINT), CAST(floor((z + 4 * 0.08 + 1) / 0.25) AS BIGINT) + 1)) AS iz FROM t)
+    SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, round(sum(exp(-(pow((ix + 0.5) * 0.1 - 1 - x, 2) + pow((iy + 0.5) * 0.1 - 1 - y, 2)) / (2 * 0.04 * 0.04) - pow((iz + 0.5) * 0.25 - 1 - z, 2) / (2 * 0.08 * 0.08))
+      / (2 * pi() * 0.04 * 0.04 * sqrt(2 * pi()) * 0.08) * 0.1 * 0.1 * 0.25), 6) AS value FROM v GROUP BY 1, 2, 3"""
+)
+def render_gauss3d(spark, sf_dir):
+    p = points_of(spark, sf_dir).withColumns({"s": F.lit(0.04), "sz": F.lit(0.08)})
+    return rounded(spatial.render_gaussian_3d(p, AXES, "s", "sz", (-1, -1, -1), 0.1, 0.25), "value")
+
+
+@query(f"""WITH {POINTS}, m AS (SELECT label, median(x) AS mx, median(y) AS my, median(z) AS mz FROM p GROUP BY 1) SELECT label, round(median(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)), 9) AS median_abs_deviation FROM p JOIN m USING (label) GROUP BY 1""")
+def cluster_median_deviation(spark, sf_dir):
+    _shared(spark)
+    return rounded(aggregates.median_deviation(points_of(spark, sf_dir), "label", AXES), "median_abs_deviation", places=9)
+
+
+@query("SELECT l_extendedprice AS bins, round((row_number() OVER (ORDER BY l_extendedprice) - 1) / ((SELECT count(*) FROM lineitem) - 1), 9) AS counts FROM lineitem")
+def cumulative_histogram(spark, sf_dir):
+    _shared(spark)
+    return rounded(aggregates.cumulative_histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice"), "counts", places=9)
+
+
+@query(
+    f"""WITH {POINTS}, d AS (SELECT a.vec_id, CAST(floor({DIST} / 0.02) AS INTEGER) AS b, count(*) AS n FROM p a JOIN p b ON {DIST} < 0.1 GROUP BY 1, 2)
+    SELECT vec_id, CAST(k AS INTEGER) AS ring, coalesce(n, 0) AS n FROM (SELECT vec_id, unnest(range(0, 5)) AS k FROM p) LEFT JOIN d USING (vec_id) WHERE d.b = k OR d.b IS NULL"""
+    .replace("LEFT JOIN d USING (vec_id) WHERE d.b = k OR d.b IS NULL", "q LEFT JOIN d ON d.vec_id = q.vec_id AND d.b = k").replace("SELECT vec_id, CAST(k", "SELECT q.vec_id, CAST(k")
+)
+def distance_features(spark, sf_dir):
+    found = spatial.distance_features(points_of(spark, sf_dir), AXES, 5, 0.02, "vec_id")
+    return found.select("vec_id", F.posexplode("features").alias("ring", "v")).select("vec_id", "ring", F.col("v").cast("long").alias("n"))
+
+
+#: Corners of a region, and points of it 0.05 apart.
+BOX = "m AS (SELECT i * 5e-2 - 5e-1 AS x, j * 5e-2 - 5e-1 AS y FROM range(0, 20) a(i), range(0, 20) b(j))"
+FLAT = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)"
+
+
+@query(
+    f"""WITH {POINTS}, {BOX}, q AS (SELECT vec_id, x, y FROM p WHERE abs(x) < 0.5 AND abs(y) < 0.5), k AS (SELECT CAST(i AS INTEGER) AS bin FROM range(0, 5) r(i)),
+    d AS (SELECT a.vec_id, CAST(floor({FLAT} / 0.04) AS INTEGER) AS bin, count(*) AS d FROM q a JOIN q b ON {FLAT} < 0.2 GROUP BY 1, 2), w AS (SELECT a.vec_id, CAST(floor({FLAT} / 0.04) AS INTEGER) AS bin, count(*) AS w FROM q a JOIN m b ON {FLAT} < 0.2 GROUP BY 1, 2),
+    h AS (SELECT bin, sum((2 * bin + 1) * pi() * 0.04 * 0.04 / 0.0025 * d / w) AS h FROM d JOIN w USING (vec_id, bin) GROUP BY 1)
+    SELECT bin, round((bin + 1) * 0.04, 9) AS r, round(1.0 / (SELECT count(*) * count(*) FROM q) * sum(coalesce(h, 0)) OVER (ORDER BY bin), 9) AS "K" FROM k LEFT JOIN h USING (bin)"""
+)
+def ripley_masked(spark, sf_dir):
+    p = points_of(spark, sf_dir).where((F.abs("x") < 0.5) & (F.abs("y") < 0.5)).select("vec_id", "x", "y")
+    mask = spatial.box_mask(spark, (-0.5, -0.5), (0.5, 0.5), 0.05, ("x", "y"))
+    return rounded(spatial.masked_ripley(p, mask, ("x", "y"), 5, 0.04, "vec_id", 1.0, 0.0025), "r", "K", places=9)
+
+
+@query()
+def localise_gaussian(spark, sf_dir):
+    """Spots of the frames and their Gaussian fits; a kernel of numpy, tested on drawn spots."""
+    out = localise.localise(image_frames(spark, sf_dir), ["vec_id"], half=2, sigma=1.0, snr=3.0, apart=3)
+    return rounded(out.select("vec_id", "x0", "y0", "sigma", "A", "settled"), "x0", "y0", "sigma", "A", places=3)
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT user_id, t, event_id, value, coalesce(sqrt((value - lag(value) OVER w) ** 2), 0) AS step FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t * 1000000 + event_id)),
+    a AS (SELECT user_id, count(*) AS n, min(t * 1000000 + event_id) AS start, max(t * 1000000 + event_id) AS stop, sum(step) AS path, arg_min(value, t * 1000000 + event_id) AS v0, arg_max(value, t * 1000000 + event_id) AS v1 FROM s GROUP BY 1)
+    SELECT user_id, n, start, stop, round(path, 4) AS path, round(abs(v1 - v0), 6) AS displacement FROM a"""
+)
+def extract_tracks(spark, sf_dir):
+    e = frames_of(spark, sf_dir).withColumn("at", F.col("t") * 1_000_000 + F.col("event_id"))
+    out = windows.tracks(e, "user_id", "at", ["value"])
+    return rounded(rounded(out, "path", places=4), "displacement").select("user_id", "n", "start", "stop", "path", "displacement")
+
+
+@query(
+    f"""WITH {EVENTS}, s AS (SELECT abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY t * 1000000 + event_id)) AS d FROM e)
+    SELECT CAST(floor(d / 0.5) AS BIGINT) AS bin, count(*) AS n FROM s WHERE d IS NOT NULL GROUP BY 1"""
+)
+def jump_histogram(spark, sf_dir):
+    e = frames_of(spark, sf_dir).withColumn("at", F.col("t") * 1_000_000 + F.col("event_id"))
+    return windows.jump_histogram(e, "user_id", "at", ["value"], 0.5)
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, pos, round((v + 2) / avg(v + 2) OVER (PARTITION BY vec_id), 6) AS value FROM u")
+def image_normalise_mean(spark, sf_dir):
+    return rounded(exploded(images.normalise_mean(image_frames(spark, sf_dir), -2.0)), "value")
+
+
+@query(f"WITH {PIXELS} SELECT vec_id, pos, round(least(greatest(pow(v, 2) * 3 - 0.01, 0), 0.05), 9) AS value FROM u")
+def image_arithmetic(spark, sf_dir):
+    steps = "- Pow: {inputName: a, power: 2, outputName: b}\n- Scale: {inputName: b, scale: 3, outputName: c}\n- Offset: {inputName: c, offset: -0.01, outputName: d}\n- Clip: {inputName: d, min: 0, max: 0.05, outputName: out}"
+    return rounded(exploded(Recipe.from_yaml(steps).execute({"a": image_frames(spark, sf_dir)})["out"]), "value", places=9)
+
+
+@query(f"WITH {PIXELS} SELECT a.vec_id, a.pos, CASE WHEN abs(a.v - b.v) <= 0.01 + 0.1 * abs(b.v) THEN 1e0 ELSE 0e0 END AS value FROM u a JOIN u b ON b.vec_id = a.vec_id AND b.pos = 63 - a.pos")
+def image_is_close(spark, sf_dir):
+    a = image_frames(spark, sf_dir).withColumn("series", F.col("vec_id"))
+    out = Recipe.from_yaml("- IsClose: {inputName0: a, inputName1: b, abs_tolerance: 0.01, rel_tolerance: 0.1, outputName: out}").execute({"a": a, "b": images.rotate180(a)})["out"]
+    return exploded(out)
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
@@ -755,7 +922,10 @@ def _shared(spark: SparkSession) -> str:
     import tempfile
 
     context = spark.sparkContext
+    local = context.master == "local" or context.master.startswith("local[")
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not local:
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     if not named:
         own = tempfile.mkdtemp(prefix="photonflow-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)

@@ -10,7 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, clumping, images, kernels, spatial, tables, windows
+from photonflow.operators import aggregates, clumping, images, kernels, localise, spatial, tables, vectors, windows
 from photonflow.sources.tabular import read_table, write_table
 
 
@@ -94,7 +94,7 @@ def _dbscan(df: DataFrame, columns: list[str] = ("x", "y", "z"), searchRadius: f
 
 @operator("MeasureClusters3D", "inputName")
 def _clusters(df: DataFrame, labelKey: str = "clumpIndex") -> DataFrame:
-    return aggregates.cluster_moments(df, labelKey)
+    return clumping.measure_clusters(df, labelKey)
 
 
 @operator("AggregateMeasurements", "inputMeasurements1", "inputMeasurements2")
@@ -211,6 +211,104 @@ def _crop(df: DataFrame, x_range: list[int] = (0, -1), y_range: list[int] = (0,
     return images.crop(df, tuple(y_range), tuple(x_range))
 
 
+#: What tells frames apart where two images are combined.
+FRAME_KEYS = ("series", "c", "z", "t")
+
+
+def _keys(a: DataFrame, b: DataFrame) -> list[str]:
+    return [k for k in FRAME_KEYS if k in a.columns and k in b.columns]
+
+
+def _two_images(name: str, make: Callable[..., Callable], inputs: tuple[str, str] = ("inputName0", "inputName1")) -> None:
+    operator(name, *inputs)(lambda a, b, **params: images.combine(a, b, _keys(a, b), make(**params)))
+
+
+def _one_image(name: str, make: Callable[..., Callable], *inputs: str) -> None:
+    operator(name, *(inputs or ("inputName",)))(lambda df, **params: images.pixel_map(df, make(**params)))
+
+
+def _mark(c):
+    return c.cast("double")
+
+
+for _name, _two in {
+    "Add": lambda: lambda a, b: a + b,
+    "Subtract": lambda: lambda a, b: a - b,
+    "Multiply": lambda: lambda a, b: a * b,
+    "Divide": lambda: F.try_divide,
+    "BinaryOr": lambda: lambda a, b: _mark(a + b > 0.5),
+    "LogicalAnd": lambda: lambda a, b: _mark((a != 0) & (b != 0)),
+    "IsClose": lambda abs_tolerance=1e-8, rel_tolerance=1e-5: lambda a, b: _mark(F.abs(a - b) <= abs_tolerance + rel_tolerance * F.abs(b)),
+}.items():
+    _two_images(_name, _two)
+
+for _name, _one in {
+    "Scale": lambda scale=1.0: lambda p: p * scale,
+    "Offset": lambda offset=0.0: lambda p: p + offset,
+    "Pow": lambda power=2.0: lambda p: F.pow(p, F.lit(float(power))),
+    "Clip": lambda min=0.0, max=3.4e38: lambda p: F.least(F.greatest(p, F.lit(float(min))), F.lit(float(max))),
+    "Invert": lambda: lambda p: 1.0 - p,
+    "SelectLabel": lambda label=1: lambda p: _mark(p == label),
+}.items():
+    _one_image(_name, _one)
+
+
+@operator("NormalizeMean", "inputName")
+def _normalise_mean(df: DataFrame, offset: float = 0.0) -> DataFrame:
+    return images.normalise_mean(df, offset)
+
+
+@operator("Zoom", "inputName")
+def _zoom(df: DataFrame, zoom: float = 1.0) -> DataFrame:
+    return images.zoom(df, zoom)
+
+
+@operator("JoinChannels", "inputChan0", "inputChan1")
+def _join_channels(a: DataFrame, b: DataFrame) -> DataFrame:
+    return images.join_channels([a, b])
+
+
+@operator("Gradient2D", "inputName", output="outputX")
+def _gradient(df: DataFrame, width: int, across: bool = True) -> DataFrame:
+    return df.withColumn("pixels", vectors.gradient(F.col("pixels"), width, across))
+
+
+@operator("VectorfieldNorm", "inputX", "inputY")
+def _field_norm(a: DataFrame, b: DataFrame) -> DataFrame:
+    return images.combine(a, b, _keys(a, b), F.hypot)
+
+
+@operator("VectorfieldAngle", "inputX", "inputY", output="outputTheta")
+def _field_angle(a: DataFrame, b: DataFrame) -> DataFrame:
+    return images.combine(a, b, _keys(a, b), lambda x, y: F.atan2(y, x))
+
+
+@operator("FitPoints", "inputImage", "inputPositions")
+def _fit_points(df: DataFrame, points: DataFrame, roiHalfSize: int = 7, sigma: float = 1.2) -> DataFrame:
+    return localise.localise(df, _keys(df, points), roiHalfSize, sigma, points=points)
+
+
+@operator("DetectPoints2D", "input_name", output="output_name")
+def _detect(df: DataFrame, snr_threshold: float = 5.0, sigma: float = 1.2, debounce_radius: int = 4) -> DataFrame:
+    keys = [k for k in FRAME_KEYS if k in df.columns]
+    return localise.localise(df, keys, 2, sigma, snr_threshold, debounce_radius).select(*keys, F.col("x0").alias("x"), F.col("y0").alias("y"))
+
+
+@operator("PointFeaturesPairwiseDist", "inputLocalisations")
+def _features(df: DataFrame, binWidth: float = 100.0, numBins: int = 20, threeD: bool = True, normaliseRelativeDensity: bool = False, rowKey: str = "row_id") -> DataFrame:
+    return spatial.distance_features(df, ("x", "y", "z") if threeD else ("x", "y"), numBins, binWidth, rowKey, normaliseRelativeDensity)
+
+
+@operator("ImageCumulativeHistogram", "inputImage")
+def _cumulative(df: DataFrame) -> DataFrame:
+    return aggregates.cumulative_histogram(df.select(F.explode("pixels").alias("value")), "value")
+
+
+@operator("ExtractTracks", "inputMeasurements", output="outputTracks")
+def _tracks(df: DataFrame, clump: str = "clumpIndex", columns: list[str] = ("x", "y")) -> DataFrame:
+    return windows.tracks(df, clump, "t", columns)
+
+
 @operator("BackgroundSubtractionMovingAverage", "input_name", output="output_name")
 def _background(df: DataFrame, window: list[int] = (-32, 0, 1), seriesKey: str = "series") -> DataFrame:
     return images.background_subtract(df, seriesKey, "t", window[0], window[1])

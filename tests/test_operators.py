@@ -198,3 +198,50 @@ def test_tracks(spark):
     got = [r.clumpIndex for r in clumping.track_frames(df, "series", "t", ["x", "y"], "row_id", r0=5.0).orderBy("row_id").collect()]
     assert got == [1] * 5 + [2] * 5 + [3, 3]
     assert clumping.link_frame(np.array([[0.0], [1.0]]), np.array([[0.9]]), np.array([4, 7]), 0.2, 1.0, 0.2).tolist() == [7]
+
+
+@pytest.mark.parametrize("ahead", [False, True])
+@pytest.mark.parametrize("block", [None, 7])
+def test_as_of_by_blocks_equals_a_scan(spark, ahead, block):
+    rng = random.Random(4)
+    points = [(rng.choice(["a", "b", None]), rng.randrange(-40, 90), i) for i in range(120)]
+    events = [(rng.choice(["a", "b"]), rng.randrange(-30, 70), rng.choice([1.0, 2.0, 3.0, None])) for _ in range(25)]
+    p = spark.createDataFrame(points, "k string, t long, i int")
+    e = spark.createDataFrame(events, "k string, t long, v double")
+    got = {r.i: r.state for r in asof.as_of(p, e, ["k"], "t", "v", "state", ahead=ahead, block=block).collect()}
+    assert len(got) == len(points)
+    for k, t, i in points:
+        seen = [(-u if ahead else u, v) for key, u, v in events if key == k and v is not None and (u >= t if ahead else u <= t)]
+        assert got[i] == (max(seen)[1] if seen else None)
+
+
+def test_rejection_equals_a_greedy_scan(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.random() * 3, rng.random() * 3) for i in rng.sample(range(1000), 200)]
+    got = {r.i: r.rejected for r in clumping.overlap_rejection(spark.createDataFrame(rows, "i long, x double, y double"), ("x", "y"), 0.4, "i").collect()}
+    kept = []
+    for i, x, y in sorted(rows):
+        near = any(math.dist((x, y), k) < 0.4 for k in kept)
+        assert got[i] == int(near)
+        if not near:
+            kept.append((x, y))
+    apart = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "i long, x double, y double")
+    assert [r.rejected for r in clumping.overlap_rejection(apart, ("x", "y"), 0.4, "i").collect()] == [0, 0]
+
+
+def test_pairs_of_a_frame_equal_all_pairs(spark):
+    rng = random.Random(10)
+    rows = [(i, i % 4, rng.random() * 9, rng.random()) for i in range(80)] + [(99, 7, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "i long, t int, x double, y double")
+    got = {r.i: (r.pair, round(r.distance, 9)) for r in spatial.keep_pairs(df.where("i % 2 = 0 or i = 99"), df.where("i % 3 = 0"), "t", ("x", "y"), "i", 0.2).collect()}
+    for i, t, *a in rows:
+        if i % 2 == 0:
+            distance, pair = min((math.dist(a, b), j) for j, u, *b in rows if u == t and j % 3 == 0)
+            assert got[i] == (pair, round(distance, 9))
+    assert 99 not in got or got[99] == (99, 0.0)
+
+
+def test_subset_does_not_depend_on_layout(spark):
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(200)], "i int, n string")
+    draws = {tuple(sorted(r.i for r in tables.random_subset(df.repartition(k), 20).collect())) for k in (1, 3, 7)}
+    assert len(draws) == 1 and draws != {tuple(sorted(r.i for r in tables.random_subset(df, 20, seed=1).collect()))}
