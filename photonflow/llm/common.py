@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: A-Z lowered; every ASCII byte outside 0-9 and a-z becomes a space; bytes from 0x80 stay.
 ALNUM = bytes(
@@ -22,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is named (tests, local runs)."""
+    """The folder that the cluster shares. A local session that names none gets one of its own; on a cluster that would be
+    another folder on every node, so there one has to be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         own = tempfile.mkdtemp(prefix="photonflow-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"
@@ -43,6 +49,24 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that cut() wrote and that nothing reads any more: what was made of them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if shared_dir(spark).split(":", 1)[-1].strip("/") not in path:
+                raise ValueError(f"{path} is no table of cut()")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that Spark's cleaner removes the shuffle files of tables that nothing refers to any more."""
+    gc.collect()
+    time.sleep(0.5)  # what Python lets go of is released in the JVM by another thread
+    spark._jvm.System.gc()
+
+
 def space_words(text: bytes | None) -> list[bytes]:
     r"""Words `[^\x20\x09-\x0D]+` of UTF-8 bytes."""
     return text.split() if text else []
@@ -65,3 +89,36 @@ def byte_rows(batch: pa.RecordBatch, key: str, text: str) -> Iterator[tuple[obje
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; whatever else the table has can't clash with ours."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """rows written in ranges of an order, with `_part`: the range's number. Rows of one place in the order share a range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def before_ranges(sums: DataFrame, group: str, value: str) -> DataFrame:
+    """sums (group, _part, value), a row for each group in each range, with `_before`: the group's sum over the ranges before."""
+    whole = F.sum(value).over(Window.partitionBy(group).orderBy("_part"))
+    return sums.withColumn("_before", whole - F.col(value))
+
+
+def numbered(rows: DataFrame, group: str, *order: str, out: str) -> DataFrame:
+    """rows with their gapless numbers from 0 inside each group (no nulls), in the given order; equal rows in any order.
+
+    Rows are dealt by range, so that a group of any size is numbered by many tasks and in the same way at any size.
+    """
+    placed = ranged(rows, group, *order)
+    counts = before_ranges(placed.groupBy(group, "_part").agg(F.count("*").alias("_n")), group, "_n").drop("_n")
+    # a row a range and one more a group at most
+    placed = placed.join(F.broadcast(counts), [group, "_part"])
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1
+    return placed.withColumn(out, (F.col("_before") + place).cast("long")).drop("_part", "_before")

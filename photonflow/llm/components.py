@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from photonflow.llm.common import cut
+from photonflow.llm.common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b"))
         small = small.unionAll(low.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), "edges")
+        last, edges = edges, cut(small.where("a <> b").distinct(), "edges")
+        discard(last)
         after = _state(edges)
         if after == before:
             break
