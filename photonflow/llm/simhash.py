@@ -2,7 +2,8 @@
 
 near_duplicates() links fingerprints of 64 bits within a few bits; their pieces make the blocks, so no pair is missed.
 Texts that share 0.8 of their shingles differ in about ten of 64 bits, too many for such pieces: near_copies() takes
-256 bits, which tell such texts from less alike ones, and blocks of texts that share a band of least shingle hashes.
+256 bits and a radius that hardly any such pair exceeds, in blocks of texts that share a band of least shingle hashes.
+What that comparison links are candidates: of each group of them, the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from photonflow.llm.common import byte_rows, cut, only, space_words
+from photonflow.llm.common import byte_rows, cut, discard, only, space_words
 from photonflow.llm.components import connected_components
 
 SHINGLE = 5
@@ -24,8 +25,13 @@ RADIUS = 4
 TILE = 2048
 #: Words of a wide fingerprint.
 WIDE = 4
-#: Differing bits of wide fingerprints: texts that share 0.8 of their shingles differ in 39 of 256 on average.
-WIDE_RADIUS = 44
+#: Differing bits of wide fingerprints within which pairs are candidates: texts that share 0.8 of their shingles differ in
+#: 39 of 256 on average, and in more than 63 in one of ten thousand cases (one of 150 for texts of five shingles).
+WIDE_RADIUS = 63
+#: The least share of common shingles (of two texts' distinct ones) of a near copy.
+ALIKE = 0.8
+#: Bytes of shingle hashes that are verified together; larger groups are dealt out as pairs of tiles.
+TILE_BYTES = 32 << 20
 #: Bands and least hashes of a band: texts that share 0.8 of their shingles share none in one of 38,000 cases.
 BANDS, BAND_ROWS = 20, 4
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, WIDE + BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,9 +67,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(_majority((hashes[i : i + 4096] for i in range(0, len(hashes), 4096)), 1).view(np.int64)[0])
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> tuple[bytes, np.ndarray]:
-    """SimHash of 256 bits over the distinct shingles, and the keys of the bands of their least hashes (none without words)."""
-    hashes = np.unique(shingle_hashes(text, shingle))
+def wide_fingerprint(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """SimHash of 256 bits over distinct shingles, and the keys of the bands of their least hashes (none without words)."""
     if not len(hashes):
         return bytes(8 * WIDE), np.zeros(0, np.int64)
     least = np.full(BANDS * BAND_ROWS, _ONES)
@@ -87,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = [(k, fingerprint(t, shingle)) for k, t in byte_rows(batch, "id", "text")]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["id", "fp"])
 
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return docs.mapInArrow(run, "id long, fp long")
 
 
@@ -160,9 +165,9 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def link_blocks(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS, items_at_once: int = 1 << 16) -> np.ndarray:
-    """For fingerprints laid out block by block (ends: where each lane's block ends), the root lane of each lane's tree of links."""
-    parent = np.arange(len(fps))
+def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, items_at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of lanes within the radius, some at a time, by their first lane. Fingerprints are laid out block by block
+    (ends: where each lane's block ends); lanes of different blocks are no pair."""
     fps = fps.reshape(len(fps), -1)
     planes = bit_planes(fps)
     lane = np.arange(len(fps))
@@ -185,11 +190,54 @@ def link_blocks(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS, items_a
                 bits = np.unpackbits(mask[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 item, bit = np.nonzero(bits)
                 at = found[i : i + (1 << 14)][item]
-                _unite(parent, who[at], block[at] * 64 + bit)
+                yield who[at], block[at] * 64 + bit
         done = stop
+
+
+def link_blocks(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS, items_at_once: int = 1 << 16) -> np.ndarray:
+    """The root lane of each lane's tree of links; the layout is close_pairs()'."""
+    parent = np.arange(len(fps))
+    for a, b in close_pairs(fps, ends, radius, items_at_once):
+        _unite(parent, a, b)
     return parent
 
 
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of hashes share at least so much of all they have. Two empty sets do."""
+    small, large = sorted((len(a), len(b)))
+    if small < least * large - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (small + large - both) - 1e-9
+
+
+def verified(fps: np.ndarray, sets: list[np.ndarray], ends: np.ndarray, radius: int, least: float) -> tuple[list[int], list[int]]:
+    """Pairs of lanes whose sets are alike, enough for their components. Pairs beyond the radius are not looked at, nor are
+    those that other links have joined already."""
+    parent = np.arange(len(fps))
+    left: list[int] = []
+    right: list[int] = []
+    for a, b in close_pairs(fps, ends, radius):
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            continue
+        order = np.argsort(a, kind="stable")
+        for lane, others in zip(np.unique(a).tolist(), np.split(b[order], np.flatnonzero(np.diff(a[order])) + 1), strict=True):
+            others = others[parent[others] != parent[lane]]
+            while len(others):
+                other = int(others[0])
+                if alike(sets[lane], sets[other], least):
+                    left.append(lane)
+                    right.append(other)
+                    low, high = sorted((parent[lane], parent[other]))
+                    parent[parent == high] = low
+                    others = others[parent[others] != parent[lane]]
+                else:
+                    others = others[1:]
+    return left, right
+
+
 def _masks(parts: int, equal: int) -> list[int]:
     """Bit masks of every choice of `equal` of `parts` near-equal pieces of 64 bits, as signed longs."""
     at = [round(64 * i / parts) for i in range(parts + 1)]
@@ -216,20 +264,25 @@ def band_links(classes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE)
     return block_links(classes.select("fp", "rep", F.posexplode("bands").alias("pick", "bits")), radius, tile)
 
 
-def block_links(keys: DataFrame, radius: int, tile: int) -> DataFrame:
-    """keys: fp, rep, and the block's pick and bits. Each block is compared whole, a large one as pairs of tiles."""
-    tiles = F.when(F.col("count") > tile, F.ceil(F.col("count") / (tile / 2)).cast("int")).alias("tiles")
-    shared = keys.groupBy("pick", "bits").count().where("count > 1").select("pick", "bits", tiles)
-    dealt = keys.join(shared, ["pick", "bits"])
+def _dealt(rows: DataFrame, key: list[str], tiles: DataFrame) -> DataFrame:
+    """rows of the keys in `tiles` with t1, t2: one pair a row, or where `tiles` is given, all pairs of tiles that have the row's
+    own (by a hash of fp). Rows meet by key and tiles."""
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     pairs = F.transform(
         F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: t != own),
         lambda t: F.struct(F.least(t, own).alias("t1"), F.greatest(t, own).alias("t2")),
     )
     single = F.array(F.struct(F.lit(0).alias("t1"), F.lit(0).alias("t2")))
-    dealt = dealt.select("pick", "bits", "fp", "rep", F.explode(F.when(F.col("tiles").isNull(), single).otherwise(pairs)).alias("t")).select("pick", "bits", "fp", "rep", "t.*")
-    # by the tiles too: the join's own partitioning would keep all tiles of a block in one task
-    blocks = dealt.repartition("pick", "bits", "t1", "t2").groupBy("pick", "bits", "t1", "t2").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")).where(F.size("fps") > 1).select("fps", "reps")
+    dealt = rows.join(tiles, key).withColumn("t", F.explode(F.when(F.col("tiles").isNull(), single).otherwise(pairs)))
+    # by the tiles too: the join's own partitioning would keep all tiles of a key in one task
+    return dealt.select(*rows.columns, "t.*").repartition(*key, "t1", "t2")
+
+
+def block_links(keys: DataFrame, radius: int, tile: int) -> DataFrame:
+    """keys: fp, rep, and the block's pick and bits. Each block is compared whole, a large one as pairs of tiles."""
+    tiles = F.when(F.col("count") > tile, F.ceil(F.col("count") / (tile / 2)).cast("int")).alias("tiles")
+    shared = keys.groupBy("pick", "bits").count().where("count > 1").select("pick", "bits", tiles)
+    blocks = _dealt(keys, ["pick", "bits"], shared).groupBy("pick", "bits", "t1", "t2").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")).where(F.size("fps") > 1).select("fps", "reps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,42 +308,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints form one class, represented by its smallest id; only classes are compared. Documents without
     words (null, empty or blank text) have fingerprint zero and link like any other. A row with a null id keeps its
     fingerprint and gets the component of its class, or null where the class has no id; it never represents others.
-    Repeated rows are returned as often as they came. An empty table gives no rows. Columns other than the two are not read.
+    Ids must be whole numbers; a string that is none counts as null. Repeated rows are returned as often as they came. An empty
+    table gives no rows. Columns other than the two are not read. A very long text is hashed in one task, a shingle at a time.
     """
     marks = cut(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = marks.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    found = _members(marks, classes, links(classes, radius))
+    found = _members(marks, classes, connected_components(links(classes, radius)))
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _members(marks: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+def _members(marks: DataFrame, classes: DataFrame, tied: DataFrame, key: str = "fp") -> DataFrame:
     """marks with the component_id of their class."""
-    found = connected_components(linked).withColumnRenamed("node", "rep")
-    return marks.join(classes.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "fp", "left")
+    found = tied.withColumnRenamed("node", "rep")
+    return marks.join(classes.join(found, "rep", "left").select(key, F.coalesce("component", "rep").alias("component_id")), key, "left")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
-    """One row per row of docs: id, fingerprint (64 hex digits), component_id, for a similarity of about 0.8 or more.
+def verified_links(members: DataFrame, radius: int = WIDE_RADIUS, least: float = ALIKE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """members: grp, rep, fp, hashes (a sorted set's bytes). Returns a, b: pairs of one group whose sets are alike, enough
+    for their components. A group of more than `tile` members or `tile_bytes` is dealt out as pairs of tiles."""
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("hashes")).alias("bytes"))
+    many = F.greatest(F.ceil(F.col("n") / (tile / 2)), F.ceil(F.col("bytes") / (tile_bytes / 2))).cast("int")
+    tiles = sizes.select("grp", F.when((F.col("n") > tile) | (F.col("bytes") > tile_bytes), many).alias("tiles"))
+    columns = ("fp", "rep", "hashes")
+    groups = _dealt(members, ["grp"], tiles).groupBy("grp", "t1", "t2").agg(*(F.collect_list(c).alias(c) for c in columns)).where(F.size("fp") > 1).select(*columns)
 
-    Fingerprints within the radius link if their texts share a band of least shingle hashes. Equal fingerprints form one
-    class, that of texts without words among them. Null ids, repeated rows and empty tables: as in near_duplicates().
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, totals = 0, np.cumsum(batch.column("fp").value_lengths().to_numpy(zero_copy_only=False))
+            while done < len(batch):
+                stop = max(done + 1, int(np.searchsorted(totals, (totals[done - 1] if done else 0) + 4096, "right")))
+                part = batch.slice(done, stop - done)
+                counts = part.column("fp").value_lengths().to_numpy(zero_copy_only=False)
+                fps = np.frombuffer(b"".join(part.column("fp").flatten().to_pylist()), np.uint64).reshape(counts.sum(), -1)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column("hashes").flatten().to_pylist()]
+                reps = part.column("rep").flatten().to_numpy(zero_copy_only=False)
+                a, b = verified(fps, sets, np.repeat(np.cumsum(counts), counts), radius, least)
+                yield pa.record_batch([pa.array(reps[a], pa.int64()), pa.array(reps[b], pa.int64())], names=["a", "b"])
+                done = stop
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = WIDE_RADIUS, least: float = ALIKE) -> DataFrame:
+    """One row per row of docs: id, fingerprint (64 hex digits), component_id: the smallest id reachable by links.
+
+    Two texts link if they share `least` of their distinct shingles (A-Z lowered). Texts of equal sets form one class,
+    that of texts without words among them; classes that share a band of least shingle hashes and whose fingerprints lie
+    within the radius are candidates, and of each group of candidates all pairs within the radius are decided by their sets,
+    but for those that other links have joined. Ids must be whole numbers (a string that is none counts as null). A row with a
+    null id gets its class's component, or null where the class has no id; different texts of one id may share its links. Repeated rows are returned
+    as often as they came; an empty table gives no rows. A very long text costs eight bytes a shingle.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text in byte_rows(batch, "id", "text"):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                rows.append((key, xxhash.xxh3_128_digest(hashes.tobytes()), *wide_fingerprint(hashes)))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "same", "fp", "bands"])
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *wide_fingerprint(t, shingle)) for k, t in byte_rows(batch, "id", "text")]
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "fp", "bands"])
-
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marks = cut(docs.mapInArrow(run, "id long, fp binary, bands array<long>"), "simhash")
-    classes = marks.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    found = _members(marks.drop("bands"), classes, band_links(classes, radius))
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                rows = [np.unique(shingle_hashes(text, shingle)) for _, text in byte_rows(part, "id", "text")]
+                yield pa.record_batch([part.column("grp"), part.column("id"), pa.array([wide_fingerprint(h)[0] for h in rows], pa.binary()), pa.array([h.tobytes() for h in rows], pa.binary())], names=["grp", "rep", "fp", "hashes"])
+
+    docs = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marks = cut(docs.mapInArrow(marked, "id long, same binary, fp binary, bands array<long>"), "simhash")
+    classes = marks.where("id is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    groups = cut(connected_components(band_links(classes, radius)).select(F.col("node").alias("id"), F.col("component").alias("grp")), "groups")
+    members = docs.join(groups, "id").mapInArrow(with_sets, "grp long, rep long, fp binary, hashes binary").dropDuplicates(["grp", "rep", "fp"])
+    members = cut(members, "members")
+    tied = connected_components(verified_links(members, radius, least))
+    discard(members, groups)
+    found = _members(marks.drop("bands"), classes, tied, "same")
     return found.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = WIDE_RADIUS) -> DataFrame:
-    """docs without the documents whose component of near_copies() has a smaller id; rows with a null id stay."""
-    found = near_copies(only(docs, id_col, text_col), id_col, text_col, shingle, radius)
-    extra = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(extra, id_col, "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = WIDE_RADIUS, least: float = ALIKE) -> DataFrame:
+    """docs without the documents whose component of near_copies() has a smaller id; rows with a null id stay, repeated rows of
+    an id that stays too. An empty table stays empty; all columns are kept."""
+    found = near_copies(only(docs, id_col, text_col), id_col, text_col, shingle, radius, least)
+    # written, so that Spark knows the size of what is mostly a small table
+    extra = cut(found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "copies")
+    return docs.join(extra, F.col(f"`{id_col}`").try_cast("long") == extra["id"], "left_anti")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from photonflow.llm import simhash
 
@@ -111,11 +112,35 @@ def test_wide_distances_equal_brute_force():
         assert got.tolist() == [want[i] for i in range(150)]
 
 
-def test_near_copies_find_similar_texts_and_no_others(spark, monkeypatch):
+def test_verified_pairs_equal_brute_force():
+    rng = random.Random(6)
+    sets, ends = [], []
+    for size in (1, 2, 90, 40):
+        seeds = [np.array(rng.sample(range(1 << 60), 60), np.uint64) for _ in range(5)]
+        start = len(sets)
+        for _ in range(size):
+            some = rng.choice(seeds).copy()
+            some[: rng.randrange(16)] = rng.sample(range(1 << 60), 1)[0]
+            sets.append(np.unique(some))
+        sets.append(np.zeros(0, np.uint64))
+        ends += [len(sets)] * (len(sets) - start)
+    fps = np.frombuffer(b"".join(simhash.wide_fingerprint(s)[0] for s in sets), np.uint64).reshape(-1, 4)
+    a, b = simhash.verified(fps, sets, np.array(ends), 256, 0.8)
+    assert all(len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j])) for i, j in zip(a, b))
+    want, got = list(range(len(sets))), list(range(len(sets)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if ends[i] == ends[j] and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+    for tree, some in ((want, pairs), (got, zip(a, b))):
+        for i, j in some:
+            low, high = sorted((tree[i], tree[j]))
+            tree[:] = [low if t == high else t for t in tree]
+    assert got == want and len(a) < len(pairs)
+
+
+def test_near_copies_link_from_the_limit_on(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     common = [rng.choice(words) for _ in range(100)]
-    rows = [(0, None), (1, ""), (2, "one Two"), (3, "ONE two"), (None, "one two"), (None, "lonely text here now")]
+    rows = [(0, None), (1, ""), (2, "one Two"), (3, "ONE two"), (None, "one two"), (None, "lonely text here now"), (4, " ".join(words)), (5, " ".join(words))]
     for i in range(10, 90):
         base = [rng.choice(words) for _ in range(rng.choice([60, 300, 900]))] + common * (i % 2)  # a passage of many texts
         rows.append((i, " ".join(base)))
@@ -125,10 +150,17 @@ def test_near_copies_find_similar_texts_and_no_others(spark, monkeypatch):
             for k in rng.sample(range(len(base)), max(1, len(base) // 100)):
                 base[k] = "edit"
             rows.append((i + 1000, "\n".join(base)))
+    for i in range(90, 130):  # one run of other words leaves 200 - n of 200 + n shingles: 0.8 at 22
+        base = [rng.choice(words) for _ in range(204)]
+        rows.append((i, " ".join(base)))
+        n = (20, 22, 23, 30)[i % 4]
+        rows.append((i + 1000, " ".join([*base[: 204 - n], *(f"e{k}" for k in range(n))])))
     docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, fp int, bands string")
     want = slow_near({a: b for a, b in rows if a is not None})
-    for tile in (2048, 4):
+    assert all((want[i + 1000] == i) == (i % 4 < 2) for i in range(90, 130))
+    for tile, size in ((2048, 1 << 25), (4, 1 << 25), (2048, 4000)):
         monkeypatch.setattr(simhash.band_links, "__defaults__", (simhash.WIDE_RADIUS, tile))
+        monkeypatch.setattr(simhash.verified_links, "__defaults__", (simhash.WIDE_RADIUS, simhash.ALIKE, tile, size))
         got = simhash.near_copies(docs).collect()
         assert len(got) == len(rows)
         assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
@@ -136,4 +168,7 @@ def test_near_copies_find_similar_texts_and_no_others(spark, monkeypatch):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {None} | {k for k, v in want.items() if k == v}
-    assert simhash.near_copies(docs.where("false")).count() == 0
+    assert simhash.near_copies(docs.where("false")).count() == 0 and simhash.one_of_each(docs.where("false")).count() == 0
+    named = docs.withColumn("doc_id", F.when(F.col("doc_id") < 9, F.lit("no number")).otherwise(F.col("doc_id").cast("string")))
+    assert simhash.near_copies(named).count() == simhash.near_duplicates(named).count() == len(rows)
+    assert simhash.one_of_each(named).where("doc_id = 'no number'").count() == 6
