@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 from math import log
 
 import pyarrow as pa
@@ -33,9 +32,7 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute this software for any purpose with or without fee",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
-#: Of each template, the words looked up among those that the file has, highest IDF first; insertions tolerated; aligned share of a
-#: template's IDF needed.
-RARE = 16
+#: Insertions tolerated; aligned share of a template's IDF needed.
 SLACK = 2
 SHARE = 0.6
 
@@ -46,7 +43,8 @@ def _words(text: str) -> list[bytes]:
 
 @dataclass
 class Index:
-    """Of every template, its words by falling IDF with their positions, and IDF weights of those words in the corpus."""
+    """Of every template, its words, their IDF weights, and the rarest words with their positions: those of the highest IDF
+    that together carry more than 1 - SHARE of it, so that no place with a share of SHARE lacks them all."""
 
     idf: dict[bytes, float]
     rarest: list[list[tuple[bytes, list[int]]]] = field(default_factory=list)
@@ -62,7 +60,14 @@ class Index:
             at: dict[bytes, list[int]] = defaultdict(list)
             for q, w in enumerate(self.words[-1]):
                 at[w].append(q)
-            self.rarest.append(sorted(at.items(), key=lambda x: (-self.idf[x[0]], x[0])))
+            whole = sum(self.idf[w] for w in self.words[-1])
+            some, carried = [], 0.0
+            for w, positions in sorted(at.items(), key=lambda x: (-self.idf[x[0]], x[0])):  # of equal IDF, by the alphabet
+                if carried > (1 - SHARE) * whole + 1e-9:
+                    break
+                some.append((w, positions))
+                carried += self.idf[w] * len(positions)
+            self.rarest.append(some)
         self.base = [(_words(p), label) for p, label in BASE.items()]
         self.weight = [sum(self.idf[w] for w in words) for words in self.words]
 
@@ -74,6 +79,12 @@ def places(words: list[bytes], where: dict[bytes, list[int]], phrase: list[bytes
     return [p for p in where.get(phrase[0], ()) if words[p : p + len(phrase)] == phrase]
 
 
+def aligned(words: list[bytes], start: int, t: int, index: Index) -> float:
+    """The share of a template's IDF whose words stand at their places from `start` on, or up to SLACK words later."""
+    stands = lambda at, w: any(0 <= at + s < len(words) and words[at + s] == w for s in range(SLACK + 1))
+    return sum(index.idf[w] for q, w in enumerate(index.words[t]) if stands(start + q, w)) / index.weight[t]
+
+
 def scan(text: bytes | None, index: Index) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of a text; a null text counts as empty."""
     words = alnum_words(text)
@@ -87,20 +98,14 @@ def scan(text: bytes | None, index: Index) -> tuple:
     found = [(p, label) for phrase, label in index.base for p in places(words, where, phrase)]
     base = {label for _, label in found}
     score, labels = 0.0, set(base)
-    votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)  # words of (template, relative position)
     for t, rarest in enumerate(index.rarest):
         if not all(places(words, where, p) for p in index.phrases[t]):
             continue
-        for w, at in islice((x for x in rarest if x[0] in known), RARE):
-            for p in where[w]:
-                for q in at:
-                    votes[t, p - q].add(w)
-    for t in {t for (t, _), ws in votes.items() if len(ws) > 1}:
-        for start in sorted({at for (k, at), ws in votes.items() if k == t and len(ws) > 1}):
-            share = sum(index.idf[w] for q, w in enumerate(index.words[t]) if any(start + q + s < len(words) and start + q + s >= 0 and words[start + q + s] == w for s in range(SLACK + 1))) / index.weight[t]
-            if share >= SHARE:
-                labels.add(index.labels[t])
-                score = max(score, min(1.0, share))
+        starts = {p - q - s for w, at in rarest for p in where.get(w, ()) for q in at for s in range(SLACK + 1)}
+        share = max((aligned(words, start, t, index) for start in starts), default=0.0)
+        if share >= SHARE:
+            labels.add(index.labels[t])
+            score = max(score, min(1.0, share))
     starts = [p for p, _ in found]
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
@@ -124,10 +129,10 @@ def inverse_frequencies(docs: DataFrame) -> dict[bytes, float]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base labels are those of the base phrases found. A template's label is added where at least two of its own rarest
-    words in the file agree on its place, its mandatory phrases stand in the file, and the aligned words carry SHARE of its
-    IDF; the score is the largest such share, 0 without any. A null text counts as empty. Repeated rows are scanned
-    alike; an empty table gives no rows; other columns are not read.
+    Base labels are those of the base phrases found. A template's label is added where its mandatory phrases stand in the
+    file and the words aligned at one place carry SHARE of its IDF; places to look at are those that one of the template's rarest
+    words tells. The score is the largest such share, 0 without any. A null text counts as empty. Repeated rows are scanned
+    alike; an empty table gives no rows; other columns are not read. A text is split whole, however long, in one task.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     index = Index(inverse_frequencies(docs))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from photonflow.llm import license
@@ -41,3 +42,33 @@ def test_every_notice_of_one_file_is_found(spark):
     got = {r.doc_id: r for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got[0].labels.split(",")) == {label for label, _, _ in license.TEMPLATES} | {"mit", "apache", "gpl"}
     assert got[1].labels == "" and got[0].score > 0.99
+
+
+def test_labels_equal_an_alignment_at_every_place(spark):
+    rng = random.Random(3)
+    vocabulary = sorted(w.decode() for w in license.VOCABULARY)
+    texts = []
+    for i in range(120):
+        parts = []
+        for _, text, phrases in rng.sample(license.TEMPLATES, rng.randrange(4)):
+            words = text.split()
+            for _ in range(rng.randrange(len(words) // 2)):
+                k = rng.randrange(len(words))
+                words[k : k + rng.randrange(2)] = rng.choice([[], ["inserted"], [rng.choice(vocabulary)]])
+            parts += [*words, *(rng.choice(vocabulary) for _ in range(rng.randrange(9))), *rng.choice([[], *(p.split() for p in phrases)])]
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = license.Index(license.inverse_frequencies(docs.withColumnRenamed("doc_id", "id")))
+    seen = set()
+    for r in license.scan_licenses(docs).collect():
+        words = [w.encode() for w in texts[r.doc_id].split()]
+        best, labels = 0.0, set(filter(None, r.base_labels.split(",")))
+        for t, (label, text, phrases) in enumerate(license.TEMPLATES):
+            if all(f" {p} " in f" {texts[r.doc_id]} " for p in phrases):
+                share = max(license.aligned(words, s, t, index) for s in range(-len(text.split()) - 2, len(words)))
+                if share >= license.SHARE:
+                    labels.add(label)
+                    best = max(best, share)
+        assert (set(filter(None, r.labels.split(","))), round(r.score, 9)) == (labels, round(min(1.0, best), 9))
+        seen |= labels
+    assert len(seen) > 10
