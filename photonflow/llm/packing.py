@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from photonflow.llm.common import cut, numbered
 
 MAX_TOKENS = 2048
 BUCKETS = 8
 BUDGET = 16384
-#: Pieces numbered together; a bucket of more is dealt into groups, each of which ends in at most one short batch.
-GROUP = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -43,13 +43,14 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Pieces of all documents: id, piece, start_token, n_tokens, bucket, bucket_tokens, grp, batch, slot.
+    """Pieces of all documents: id, piece, start_token, n_tokens, bucket, bucket_tokens, batch, slot.
 
-    Tokens are words between ASCII white space. A document of more than max_tokens is cut into consecutive pieces, so
-    nothing is lost; one without words (null or empty text) is one piece of no tokens. The histogram of piece lengths
+    Tokens are words between ASCII white space. A document of more than max_tokens, however long, is cut into consecutive
+    pieces, so nothing is lost; one without words (null or empty text) is one piece of no tokens. The histogram of piece lengths
     has at most max_tokens + 1 rows, whatever the corpus. A batch holds budget // bucket_tokens pieces (one at least) of
-    one bucket and group, named by (bucket, grp, batch). Groups deal large buckets out by a hash, so that numbering
-    never meets in one task. Rows of equal or null ids are packed as often as they come. An empty table gives no rows.
+    one bucket, in order of id and piece; it is named by bucket and batch, and each bucket ends in at most one short batch.
+    Ties: of boundaries that pad as little, the fewest, then the shortest. Rows of equal or null ids are packed as often as
+    they come, equal ones in any order. An empty table gives no rows.
     """
     if budget < max_tokens:
         raise ValueError("budget must hold the longest piece")
@@ -57,17 +58,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     pieces = sized.select("id", "total", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / max_tokens) - 1, F.lit(0)).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * max_tokens
     pieces = pieces.select("id", "piece", start.alias("start_token"), F.least(F.lit(max_tokens).cast("long"), F.col("total") - start).alias("n_tokens"))
+    pieces = cut(pieces, "pieces")
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     upper = boundaries(histogram, buckets) or [max_tokens]
-    members = [sum(n for x, n in histogram.items() if (upper[b - 1] if b else -1) < x <= upper[b]) for b in range(len(upper))]
     at = F.size(F.filter(F.array(*map(F.lit, upper)), lambda u: u < F.col("n_tokens")))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
-    pieces = pieces.withColumn("bucket", at)
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece", "n_tokens"), pick([-(-n // GROUP) or 1 for n in members])).cast("int"))
-    place = F.row_number().over(Window.partitionBy("bucket", "grp").orderBy("id", "piece", "n_tokens")) - 1
+    placed = numbered(pieces.withColumn("bucket", at), "bucket", "id", "piece", "n_tokens", out="place")
     held = pick([budget // max(1, u) for u in upper])
-    return pieces.withColumn("place", place).select(
-        F.col("id").alias(id_col), "piece", "start_token", "n_tokens", "bucket", pick(upper).cast("long").alias("bucket_tokens"), "grp",
+    return placed.select(
+        F.col("id").alias(id_col), "piece", "start_token", "n_tokens", "bucket", pick(upper).cast("long").alias("bucket_tokens"),
         F.floor(F.col("place") / held).cast("long").alias("batch"), (F.col("place") % held).cast("int").alias("slot"),
     )
 
@@ -95,6 +94,6 @@ k1 AS MATERIALIZED (SELECT j, l * cn - ct AS pad, [l] AS upper FROM c),
 placed AS (SELECT pieces.*, upper, CAST(len(list_filter(upper, lambda u: u < n_tokens)) AS INTEGER) AS bucket FROM pieces, ends),
 numbered AS (SELECT *, upper[bucket + 1] AS bucket_tokens, 16384 // greatest(1, upper[bucket + 1]) AS held,
   row_number() OVER (PARTITION BY bucket ORDER BY doc_id, piece) - 1 AS place FROM placed)
-SELECT doc_id, piece, start_token, n_tokens, bucket, bucket_tokens, 0 AS grp, place // held AS batch, CAST(place % held AS INTEGER) AS slot FROM numbered
+SELECT doc_id, piece, start_token, n_tokens, bucket, bucket_tokens, place // held AS batch, CAST(place % held AS INTEGER) AS slot FROM numbered
 """
 )

@@ -1,8 +1,6 @@
 import random
 from itertools import combinations
 
-import pytest
-
 from photonflow.llm import packing
 
 
@@ -28,9 +26,22 @@ def test_boundaries_are_optimal():
             assert sum(n * (min(e for e in ends if e >= x) - x) for x, n in h.items()) == slow_pad(h, k)
 
 
-@pytest.mark.parametrize("group", [50_000, 7])
-def test_pack(spark, monkeypatch, group):
-    monkeypatch.setattr(packing, "GROUP", group)
+def slow_pack(rows, upper):
+    """id, piece, bucket, batch, slot by plain numbering."""
+    pieces = []
+    for key, text in rows:
+        n = len((text or "").split())
+        pieces += [(key, i, min(2048, n - 2048 * i)) for i in range(max(1, -(-n // 2048)))]
+    out, place = [], {}
+    for key, i, n in sorted(pieces, key=lambda p: (p[0] is not None, p[0] or 0, *p[1:])):
+        b = sum(u < n for u in upper)
+        held = packing.BUDGET // max(1, upper[b])
+        k = place[b] = place.get(b, -1) + 1
+        out.append((key, i, n, b, k // held, k % held))
+    return sorted(out, key=str)
+
+
+def test_pack_equals_plain_numbering(spark):
     rng = random.Random(9)
     rows = [(0, None), (1, ""), (2, "a " * 4100), (3, "a " * 2048), (None, "b c"), (None, None), (5, "a b"), (5, "a b")] + [(i, "w " * rng.randrange(300)) for i in range(10, 150)]
     docs = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id long, text string, piece int, bucket string")
@@ -40,7 +51,9 @@ def test_pack(spark, monkeypatch, group):
     batches = {}
     for r in got:
         assert r.n_tokens <= r.bucket_tokens
-        batches.setdefault((r.bucket, r.grp, r.batch, r.bucket_tokens), []).append(r.slot)
-    for (_, _, _, upper), slots in batches.items():
+        batches.setdefault((r.bucket, r.batch, r.bucket_tokens), []).append(r.slot)
+    for (_, _, upper), slots in batches.items():
         assert sorted(slots) == list(range(len(slots))) and len(slots) * max(1, upper) <= packing.BUDGET
+    upper = sorted({r.bucket_tokens for r in got})
+    assert sorted(((r.doc_id, r.piece, r.n_tokens, r.bucket, r.batch, r.slot) for r in got), key=str) == slow_pack(rows, upper)
     assert packing.pack(docs.where("false")).count() == 0
