@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from photonflow.llm.common import ALNUM, alnum_words, byte_rows, only
+from photonflow.llm.common import ALNUM, alnum_words, byte_rows, cut, discard, only, unused
 
 WINDOW = 10
-#: Words of items in one automaton; more items are dealt over several automata, so what is sent to a task is bounded.
+#: Words of items in one automaton, about; more items are dealt over several automata, one of which is built and sent at a time.
 SHARD_WORDS = 400_000
 #: A document of which more than this share is hit goes as a whole in clean().
 COVERAGE = 0.8
@@ -132,71 +133,91 @@ def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[Automaton]:
-    """Automata of at most shard_words words each (one long item may exceed it) for all items with words.
+def _dealt(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Distinct items with words, dealt by a hash into shards of about shard_words words, a shard at a time (none: one empty one)."""
+    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").distinct()
+    words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(shards)))
+    for k in range(shards):
+        mine = [(r["name"], alnum_words(r["text"].encode())) for r in rows.where(F.col("shard") == k).toLocalIterator()]
+        yield sorted((x for x in mine if x[1]), key=lambda x: (x[0] or "", x[1]))
 
-    The items are benchmark tests: what is built on the driver grows with the benchmark, never with the corpus.
-    Items whose id or text is null have no window that could be named and are left out.
+
+def _past(docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str, window: int, shard_words: int, finish: Callable, schema: StructType) -> DataFrame:
+    """docs past the automaton of each shard of items, then finish(batch, texts' words, spans, items' names).
+
+    One automaton of about shard_words words (or one item) is on the driver and in a task at a time: with more shards than one, what was
+    found so far is written beside the documents between them.
     """
-    found: list[Automaton] = []
-    batch: list[tuple[str, list[bytes]]] = []
-    size = 0
-    rows = items.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    for name, text in sorted(set(map(tuple, rows.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).toLocalIterator()))):
-        words = alnum_words(text.encode())
-        if not words:
-            continue
-        if batch and size + len(words) > shard_words:
-            found.append(Automaton(batch, window))
-            batch, size = [], 0
-        batch.append((name, words))
-        size += len(words)
-    return [*found, Automaton(batch, window)] if batch else found
-
-
-def _all_spans(tries: list[Automaton], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    spans: list[tuple[int, int]] = []
-    names: set[str] = set()
-    for a in tries:
-        s, k = a.spans(words)
-        spans += s
-        names |= {a.names[i] for i in k}
-    return spans, names
-
-
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    spark = docs.sparkSession
+    so_far = unused(docs, "found")
+    plain = docs.schema
+    found_type = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("name", StringType())]))
+    with_found = StructType([*plain.fields, StructField(so_far, found_type)])
+    shards = iter(_dealt(items, item_col, item_text, shard_words))
+    batch, told = next(shards), None
+    while batch is not None:
+        after = next(shards, None)
+        made = spark.sparkContext.broadcast(Automaton(batch, window))
+
+        def run(batches: Iterator[pa.RecordBatch], made=made, last=after is None) -> Iterator[pa.RecordBatch]:
+            automaton = made.value
+            kind = to_arrow_type(found_type)
+            for part in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
+                texts = [alnum_words(t) for _, t in byte_rows(part, text_col, text_col)]
+                found = [automaton.spans(words) for words in texts]
+                spans, names = [f[0] for f in found], [{automaton.names[i] for i in f[1]} for f in found]
+                if so_far in part.schema.names:
+                    before = part.column(so_far).to_pylist()
+                    part = part.drop_columns([so_far])
+                    for s, n, rows in zip(spans, names, before, strict=True):
+                        s += [(r["start"], r["end"]) for r in rows if r["end"]]
+                        n |= {r["name"] for r in rows if not r["end"]}
+                if last:
+                    yield finish(part, texts, spans, names)
+                else:  # spans without names, then names without spans
+                    rows = [[{"start": a, "end": b} for a, b in s] + [{"start": 0, "end": 0, "name": x} for x in n] for s, n in zip(spans, names, strict=True)]
+                    yield part.append_column(so_far, pa.array(rows, kind))
+
+        if after is not None:
+            new = cut(docs.mapInArrow(run, with_found), "decontamination")
+            if told is not None:
+                discard(told)
+            docs = told = new
+        batch = after
+    return docs.mapInArrow(run, schema)
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per row of docs: id, n_words, n_hit, n_items, items (sorted ids), spans (merged, [start, end) in words).
 
     A word is hit if it lies in an occurrence of `window` consecutive words of an item, or of a whole item of fewer
-    words. A null or empty text has no words; without items nothing is hit. Repeated rows are judged alike. Other
-    columns of either table are not read.
+    words. Items of a null id hit as well; they count as one item, which has no name. A null or empty text has no words;
+    without items nothing is hit. Repeated rows are judged alike, repeated items count once; an empty table gives no
+    rows. Other columns of either table are not read. A text is read whole, however long, by one task.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    tries = docs.sparkSession.sparkContext.broadcast(automata(items, item_col, item_text, window))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for _, text in byte_rows(batch, "id", "text"):
-                words = alnum_words(text)
-                spans, names = _all_spans(tries.value, words)
-                hit = _covered(spans, len(words)) if spans else np.zeros(0, bool)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                rows.append((len(words), int(hit.sum()), len(names), sorted(names), edge.reshape(-1, 2).tolist()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column("id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["id", "n_words", "n_hit", "n_items", "items", "spans"])
+    def finish(part: pa.RecordBatch, texts: list, spans: list, names: list) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for words, s, n in zip(texts, spans, names, strict=True):
+            hit = _covered(s, len(words)) if s else np.zeros(0, bool)
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+            rows.append((len(words), int(hit.sum()), len(n), sorted(n - {None}), edge.reshape(-1, 2).tolist()))
+        return pa.record_batch([part.column("id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["id", "n_words", "n_hit", "n_items", "items", "spans"])
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items array<string>, spans array<array<long>>"
-    return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    number = LongType()
+    schema = StructType([docs.schema["id"], *(StructField(n, number) for n in ("n_words", "n_hit", "n_items")), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(ArrayType(number)))])
+    return _past(docs, "text", items, item_col, item_text, window, shard_words, finish, schema).withColumnRenamed("id", id_col)
 
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def without(text: bytes, tries: list[Automaton], coverage: float = COVERAGE) -> bytes | None:
+def without(text: bytes, words: list[bytes], spans: list[tuple[int, int]], coverage: float = COVERAGE) -> bytes | None:
     """The text without its hit spans; None if more than `coverage` of its words are hit."""
-    words = alnum_words(text)
-    spans, _ = _all_spans(tries, words)
     if not spans:
         return text
     hit = _covered(spans, len(words))
@@ -211,26 +232,25 @@ def without(text: bytes, tries: list[Automaton], coverage: float = COVERAGE) ->
     return b"".join([*out, text[place:]])
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with hit spans cut out of their texts and without documents of which more than `coverage` is hit.
 
-    Documents without a hit, null and empty texts among them, stay as they are. n_chars, where docs has it, follows.
+    Documents without a hit, null and empty texts among them, stay as they are; so do repeated rows, each by itself. n_chars,
+    where docs has it, follows. An empty table stays empty; all columns are kept.
     """
-    tries = docs.sparkSession.sparkContext.broadcast(automata(only(items, item_col, item_text), item_col, item_text, window))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                new = [without(t, tries.value, coverage) if t else t for _, t in byte_rows(part, text_col, text_col)]
-                yield part.append_column("_new", pa.array([x if x is None else x.decode() for x in new], pa.string()))
-
-    schema = StructType([*docs.schema.fields, StructField("_new", StringType())])
-    new = docs.mapInArrow(run, schema).where(f"_new is not null or `{text_col}` is null")
-    changed = ~F.col("_new").eqNullSafe(F.col(f"`{text_col}`"))
-    columns = {text_col: F.col("_new")} | ({"n_chars": F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return new.withColumns(columns).select(*(F.col(f"`{c}`") for c in docs.columns))
-
+    new = unused(docs, "new")
+    schema = StructType([*docs.schema.fields, StructField(new, StringType())])
+
+    def finish(part: pa.RecordBatch, texts: list, spans: list, names: list) -> pa.RecordBatch:
+        rows = zip(byte_rows(part, text_col, text_col), texts, spans, strict=True)
+        kept = [without(t, words, s, coverage) if t else t for (_, t), words, s in rows]
+        return part.append_column(new, pa.array([x if x is None else x.decode() for x in kept], pa.string()))
+
+    found = _past(docs, text_col, only(items, item_col, item_text), item_col, item_text, window, shard_words, finish, schema)
+    found = found.where(F.col(new).isNotNull() | F.col(f"`{text_col}`").isNull())
+    changed = ~F.col(new).eqNullSafe(F.col(f"`{text_col}`"))
+    columns = {text_col: F.col(new)} | ({"n_chars": F.when(changed, F.length(new).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return found.withColumns(columns).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: Every window's place in every document, by plain joins of its words.

@@ -19,25 +19,25 @@ def slow(text, items, window=10):
         for i in range(len(words) - size + 1):
             if tuple(words[i : i + size]) in grams:
                 hit |= set(range(i, i + size))
-                names.add(str(k))
-    return len(words), len(hit), sorted(names)
+                names.add(k)
+    return len(words), len(hit), len(names), sorted(str(k) for k in names if k is not None)
 
 
 def test_contamination_equals_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     some = lambda n, k=4: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
-    items = [(1, some(30, 8)), (2, some(12)), (3, some(4)), (10, "A"[:0]), (11, None), (12, some(10)), (4, some(3, 8) + " z"), (13, "Über Maß"), (14, some(40, 2)), (15, some(25, 2))]
+    items = [(1, some(30, 8)), (2, some(12)), (3, some(4)), (10, "A"[:0]), (11, None), (12, some(10)), (4, some(3, 8) + " z"), (13, "Über Maß"), (14, some(40, 2)), (15, some(25, 2)), (None, some(11, 8)), (None, "lost words"), (1, some(30, 8))]
     docs = [(0, None), (1, ""), (2, "x" * 50000), (None, items[0][1]), (7, some(3000)), (7, items[1][1])]
     for i in range(20, 60):
         at = rng.choice([t for _, t in items if t])
         docs.append((i, some(rng.randrange(15), 8) + ", " + at.upper()[: rng.randrange(1, 90)] + "! " + some(rng.randrange(15))))
-    docs.append((99, items[7][1] + " " + items[8][1]))
+    docs += [(99, items[7][1] + " " + items[8][1]), (100, "some LOST words"), (101, "x " + items[10][1] + " lost words")]
     d = spark.createDataFrame([(*r, "k") for r in docs], "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for most in (400_000, 20):
-        monkeypatch.setattr(decontam.automata, "__defaults__", ("item_id", "text", 10, most))
-        got = decontam.contamination(d, b).collect()
-        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted((str(k), *slow(t, [x for x in items if x[1]])) for k, t in docs)
+    want = sorted((str(k), *slow(t, items)) for k, t in docs)
+    for most in (400_000, 60, 8):
+        got = decontam.contamination(d, b, shard_words=most).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r["items"]) for r in got) == want
     assert decontam.contamination(d.where("false"), b).count() == 0
     assert {r.n_hit for r in decontam.contamination(d, b.where("false")).collect()} == {0}
 
