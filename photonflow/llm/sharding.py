@@ -2,118 +2,101 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from photonflow.llm.common import cut
+from photonflow.llm.common import before_ranges, cut, numbered, ranged, unused
 
 SHARDS = 8
-#: Bins of one histogram pass over all nodes of a level together, and the least for one node.
-BINS = 1 << 16
-LEAST_BINS = 8
-#: Rows numbered together.
-GROUP = 50_000
-#: Ordinals stay within this, so that differences of two never overflow.
-EDGE = 1 << 61
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+
 
+def _dimension(df: DataFrame, name: str) -> Column:
+    """A number as a double (null and NaN as 0), anything else as a string (null as empty)."""
+    kind = dict(df.dtypes)[name]
+    value = F.col(f"`{name}`")
+    if kind in NUMBERS or kind.startswith("decimal"):
+        return F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(value.cast("string"), F.lit(""))
 
-def _ordinal(values: Column, kind: str) -> Column:
-    """A dimension as a long: numbers as they are, anything else by its first bytes; null is 0."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        whole = F.coalesce(values.try_cast("long"), F.lit(0))
-    else:
-        whole = F.coalesce(F.conv(F.hex(F.substring(values.cast("string").cast("binary"), 1, 6)), 16, 10).cast("long"), F.lit(0))
-    return F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), whole))
 
+def _extent(rows: DataFrame, name: str) -> Column:
+    """How wide a dimension is: the range of numbers; of strings, how many there are, less one."""
+    return F.max(name) - F.min(name) if dict(rows.dtypes)[name] == "double" else F.approx_count_distinct(name, 0.02).cast("double") - 1
 
-def _pick(rows: DataFrame, ranges: dict[int, list[int]], weights: dict[int, tuple[float, int]], value: str) -> None:
-    """Narrow each node's [low, high] (in place) to the value at which its bytes reach the wanted share.
 
-    weights: by node, the bytes wanted on the left and those already left of low; gets updated. Each pass adds the bytes
-    of equal bins in Spark; a bounded number of sums comes to the driver.
+def _medians(told: DataFrame) -> DataFrame:
+    """node, at: of the nodes to be split, the first place (number, string, tie) up to which their bytes reach what is wanted.
+
+    One sort by range over all nodes of a level together. Bytes are added up by range; only the range in which a node's median lies
+    is then added up row by row.
     """
-    spark = rows.sparkSession
-    while open_ := {k: r for k, r in ranges.items() if r[0] < r[1]}:
-        bins = max(LEAST_BINS, min(1024, BINS // len(open_)))
-        steps = {k: max(1, -(-(r[1] - r[0] + 1) // bins)) for k, r in open_.items()}
-        told = F.broadcast(spark.createDataFrame([(k, *r, steps[k]) for k, r in open_.items()], "node long, low long, high long, step long"))
-        sums = rows.join(told, "node").where(F.col(value).between(F.col("low"), F.col("high")))
-        sums = sums.groupBy("node", F.expr(f"({value} - low) div step").alias("bin")).agg(F.sum("size").alias("w")).collect()
-        for k, r in open_.items():
-            want, left = weights[k]
-            mine = sorted((x["bin"], x["w"]) for x in sums if x["node"] == k)
-            for b, w in mine:
-                if left + w >= want or b == mine[-1][0]:
-                    low = r[0] + b * steps[k]
-                    ranges[k] = [low, min(r[1], low + steps[k] - 1)]
-                    break
-                left += w
-            weights[k] = (want, left)
+    placed = ranged(told, "node", "num", "str", "tie")
+    sums = before_ranges(placed.groupBy("node", "want", "_part").agg(F.sum("size").alias("w")), "node", "w")
+    # a row a node
+    here = sums.where("_before < want and want <= _before + w").select("node", "_part", "_before")
+    running = F.sum("size").over(Window.partitionBy("node").orderBy("num", "str", "tie"))  # rows of one place together
+    inside = placed.join(F.broadcast(here), ["node", "_part"]).withColumn("reached", F.col("_before") + running)
+    return inside.where("reached >= want").groupBy("node").agg(F.min(F.struct("num", "str", "tie")).alias("at"))
 
 
 def kd_shards(docs: DataFrame, dimensions: tuple[str, ...] = ("n_chars", "source", "lang"), id_col: str = "doc_id", text_col: str = "text", shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, shard, slot.
 
     size: UTF-8 bytes plus 1 (a null text has none). The tree starts from all documents. A node of k > 1 shards is split
-    where its bytes reach the share of k // 2 of them, along the dimension whose range is widest against the root's.
-    Rows of one value are divided by a hash of id and text, so ties and a value that most rows share split as evenly.
-    shards is given, or follows from target_bytes. Slots are gapless from 0. Equal rows (same id, same text) fall into
-    one shard; an empty table gives no rows. Dimensions that are null count as 0 or "".
+    where its bytes reach the share of k // 2 of them, along the dimension that is widest against the root's (of equally wide
+    ones, the first named). Rows of one value are divided by a hash of id, text and dimensions, so ties and a value that most
+    rows share split as evenly. Hence documents of equal texts may lie in several shards, as a group of copies may be larger
+    than one; only rows equal in id, text and dimensions always fall into one. Dimensions that are null count as 0 or "";
+    those that docs hasn't are left out. shards is given, or follows from target_bytes. Slots are gapless from 0, by tie. An empty
+    table gives no rows. Of a text, however long, only size and checksum are kept.
+
+    A level of the tree costs one sort by range, whatever the number of its nodes; what is broadcast has a row a node.
     """
-    kinds = dict(docs.dtypes)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    dims = F.array(*(_ordinal(F.col(f"`{d}`"), kinds[d]) for d in dimensions if d in kinds), F.lit(0).cast("long"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), dims.alias("dims"))
-    rows = cut(rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("id", "crc", "size"), 3)).withColumn("node", F.lit(0).cast("long")), "shards")
-    if not shards:
-        total = rows.agg(F.sum("size")).first()[0] or 1
-        shards = -(-total // target_bytes)
-    n = len(dims_of := rows.select("dims").first()["dims"]) if rows.take(1) else 0
-    spans: list[int] = []
-    first = {0: 0}  # by node, its first shard
-    held = {0: shards}
-    while any(k > 1 for k in held.values()) and n:
-        extent = [f(F.col("dims")[i]).alias(f"{f.__name__}{i}") for i in range(n) for f in (F.min, F.max)]
-        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *extent).collect()}
-        spans = spans or [max(1, stats[0][f"max{i}"] - stats[0][f"min{i}"]) for i in range(n)]
-        split = {k: s for k, s in stats.items() if held[k] > 1}
-        axis = {k: max(range(n), key=lambda i: ((s[f"max{i}"] - s[f"min{i}"]) / spans[i], -i)) for k, s in split.items()}
-        weights = {k: (s["w"] * (held[k] // 2) / held[k], 0) for k, s in split.items()}
-        spark = rows.sparkSession
-        told = F.broadcast(spark.createDataFrame([(k, a) for k, a in axis.items()], "node long, axis int"))
-        along = rows.join(told, "node", "left").withColumn("along", F.get("dims", F.col("axis")))
-        ranges = {k: [s[f"min{axis[k]}"], s[f"max{axis[k]}"]] for k, s in split.items()}
-        _pick(along.where("axis is not null"), ranges, weights, "along")
-        at = {k: r[0] for k, r in ranges.items()}
-        told = F.broadcast(spark.createDataFrame([(k, axis[k], v) for k, v in at.items()], "node long, axis int, at long"))
-        along = rows.join(told, "node", "left").withColumn("along", F.get("dims", F.col("axis")))
-        ties = {k: [0, (1 << 61) - 1] for k in split}
-        _pick(along.where("along = at"), ties, weights, "tie")
-        told = F.broadcast(spark.createDataFrame([(k, axis[k], at[k], ties[k][0]) for k in split], "node long, axis int, at long, tie_at long"))
-        along = rows.join(told, "node", "left").withColumn("along", F.get("dims", F.col("axis")))
-        right = (F.col("along") > F.col("at")) | ((F.col("along") == F.col("at")) & (F.col("tie") > F.col("tie_at")))
-        node = F.col("node") * 2 + F.when(right, 1).otherwise(0)
-        rows = cut(along.select("id", "size", "crc", "dims", "tie", node.cast("long").alias("node")), "shards")
-        first = {2 * k + s: first[k] + s * (held[k] // 2) for k in held for s in (0, 1) if s == 0 or held[k] > 1}
-        held = {2 * k + s: (held[k] - held[k] // 2 if s else held[k] // 2) if held[k] > 1 else held[k] for k in held for s in (0, 1) if s == 0 or held[k] > 1}
-    told = F.broadcast(rows.sparkSession.createDataFrame([(k, v) for k, v in first.items()], "node long, shard int"))
-    return numbered(rows.join(told, "node").select("id", "size", F.col("crc").alias("text_crc32"), "shard")).withColumnRenamed("id", id_col)
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows (id, size, text_crc32, shard) with slots: numbers inside groups of a shard, after the counts of the groups before."""
-    groups = max(1, rows.count() // GROUP)
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(groups)))
-    counts = rows.groupBy("shard", "grp").count()
-    before = counts.select("shard", "grp", (F.sum("count").over(Window.partitionBy("shard").orderBy("grp")) - F.col("count")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "grp").orderBy("id", "text_crc32", "size")) - 1
-    return rows.withColumn("place", place).join(before, ["shard", "grp"]).select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).cast("long").alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """docs as Parquet, a folder for each shard."""
-    id_col = options.get("id_col", "doc_id")
-    text_col = options.get("text_col", "text")
-    shards = kd_shards(docs, **options).select(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), "shard").distinct()
-    crc = F.crc32(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.withColumn("_crc32", crc)
-    keyed.join(shards, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_crc32") == F.col("_crc"))).drop("_id", "_crc", "_crc32").write.partitionBy("shard").parquet(path)
+    dims = {f"d{i}": _dimension(docs, d) for i, d in enumerate(d for d in dimensions if d in docs.columns)} or {"d0": F.lit(0.0)}
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), *(v.alias(n) for n, v in dims.items()))
+    rows = cut(rows.withColumn("tie", F.xxhash64("id", "crc", "size", *dims)), "shards")
+    extents = {n: _extent(rows, n) for n in dims}
+    whole = rows.agg(F.sum("size").alias("w"), *(v.alias(n) for n, v in extents.items())).first()
+    shards = shards or max(1, -(-(whole["w"] or 0) // target_bytes))
+    rows = rows.withColumns({"node": F.lit(0).cast("long"), "k": F.lit(shards), "first": F.lit(0)})
+    strings = [n for n in dims if dict(rows.dtypes)[n] == "string"]
+    for _ in range((shards - 1).bit_length()):
+        nodes = rows.where("k > 1").groupBy("node", "k").agg(F.sum("size").alias("w"), *(v.alias(n) for n, v in extents.items()))
+        share = F.array(*(F.col(n) / max(whole[n] or 0.0, 1e-9) for n in dims))
+        axis = F.array_position(share, F.array_max(share)) - 1
+        nodes = nodes.select("node", axis.alias("axis"), (F.col("w") * F.expr("k div 2") / F.col("k")).alias("want"))
+        nodes = cut(nodes, "nodes")
+        here = lambda names, none: reduce(lambda rest, n: F.when(F.col("axis") == list(dims).index(n), F.col(n)).otherwise(rest), names, F.lit(none))
+        told = rows.join(F.broadcast(nodes), "node", "left").withColumns({"num": here([n for n in dims if n not in strings], 0.0), "str": here(strings, "")})
+        medians = _medians(told.where("axis is not null").select("node", "want", "num", "str", "tie", "size"))
+        split = told.join(F.broadcast(medians), "node", "left")
+        right = F.coalesce(F.struct("num", "str", "tie") > F.col("at"), F.lit(False))
+        left = F.expr("k div 2")
+        split = split.select(
+            "id", "size", "crc", *dims, "tie", (F.col("node") * 2 + right.cast("long")).alias("node"),
+            F.when(F.col("k") == 1, 1).when(right, F.col("k") - left).otherwise(left).cast("int").alias("k"), (F.col("first") + F.when(right, left).otherwise(0)).cast("int").alias("first"),
+        )
+        rows = cut(split, "shards")
+    found = numbered(rows.select("id", "size", F.col("crc").alias("text_crc32"), *dims, F.col("first").alias("shard"), "tie"), "shard", "tie", out="slot")
+    return found.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, column: str = "shard", **options) -> None:
+    """docs as Parquet, a folder for each shard; rows are those of docs, each as often as it came, null ids and texts among them.
+
+    `column` names the folders' column (lengthened if docs has one of that name). An empty table writes no folders.
+    """
+    column = unused(docs, column)
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key = unused(docs, "key")
+    text = F.col(f"`{text_col}`").cast("string")
+    # the key stands for a whole row, so that rows apart in any column are apart here
+    keyed = docs.withColumn(key, F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))), 256))
+    dimensions = options.pop("dimensions", ("n_chars", "source", "lang"))
+    slim = keyed.select(F.col(key).alias("id"), text.alias("text"), *(F.col(f"`{d}`").alias(f"dim{i}") for i, d in enumerate(d for d in dimensions if d in docs.columns)))
+    rest = {k: v for k, v in options.items() if k not in ("id_col", "text_col")}
+    shards = kd_shards(slim, tuple(c for c in slim.columns if c.startswith("dim")), "id", "text", **rest).select(F.col("id").alias(key), F.col("shard").alias(column)).distinct()
+    keyed.join(shards, key).drop(key).write.partitionBy(column).parquet(path)

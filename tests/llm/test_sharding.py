@@ -2,19 +2,53 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from photonflow.llm import sharding
 
+DIMS = ("n_chars", "source", "lang")
 
-@pytest.mark.parametrize("shards", [8, 3, 1])
-def test_kd_shards(spark, monkeypatch, shards):
-    monkeypatch.setattr(sharding, "GROUP", 40)
+
+def table(spark):
     rng = random.Random(2)
-    rows = [(i, "é" * rng.randrange(40), "hot" if i % 3 else f"s{rng.randrange(9)}", None if i % 7 == 0 else "en", rng.randrange(90)) for i in range(600)]
+    rows = [(i, "é" * rng.randrange(40), "hot_source_a" if i % 3 else f"hot_source_{rng.randrange(9)}", None if i % 7 == 0 else "en", rng.randrange(90)) for i in range(600)]
     rows += [(None, None, None, None, None), (None, "", "hot", "en", 5), (9, "same", "hot", "en", 1), (9, "same", "hot", "en", 1)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long, size int")
+    return spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, lang string, n_chars long, size int")
+
+
+def slow_shards(docs, shards):
+    """id, size, crc and shard by a plain k-d tree over the collected rows."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    dims = {f"d{i}": sharding._dimension(docs, d) for i, d in enumerate(DIMS)}
+    rows = docs.select(F.col("doc_id").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), *(v.alias(k) for k, v in dims.items()))
+    rows = rows.withColumn("tie", F.xxhash64("id", "crc", "size", *dims)).collect()
+    wide = lambda some, d: max(r[d] for r in some) - min(r[d] for r in some) if isinstance(some[0][d], float) else len({r[d] for r in some}) - 1
+    root = {d: wide(rows, d) for d in dims}
+
+    def grow(some, k, first):
+        if k == 1 or not some:
+            return [(r.id, r.size, r.crc, first) for r in some]
+        axis = max(dims, key=lambda d: wide(some, d) / max(root[d], 1e-9))
+        place = lambda r: (r[axis], r.tie)
+        want, total = sum(r.size for r in some) * (k // 2) / k, 0
+        for r in sorted(some, key=place):
+            total += r.size
+            if total >= want:
+                at = place(r)
+                break
+        left = [r for r in some if place(r) <= at]
+        return grow(left, k // 2, first) + grow([r for r in some if place(r) > at], k - k // 2, first + k // 2)
+
+    return sorted(map(str, grow(rows, shards, 0)))
+
+
+@pytest.mark.parametrize("shards", [8, 3, 1])
+def test_kd_shards_equal_a_plain_tree(spark, shards):
+    docs = table(spark)
     got = sharding.kd_shards(docs, shards=shards).collect()
-    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(k), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t, *_ in rows)
+    rows = docs.collect()
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((str(r.doc_id), len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows)
+    assert sorted(str((r.doc_id, r["size"], r.text_crc32, r.shard)) for r in got) == slow_shards(docs, shards)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r)
@@ -26,7 +60,16 @@ def test_kd_shards(spark, monkeypatch, shards):
     assert sharding.kd_shards(docs.where("false")).count() == 0
 
 
-def test_target_bytes_and_one_value_everywhere(spark):
+def test_target_bytes_and_equal_texts_everywhere(spark):
     docs = spark.createDataFrame([(i, "a" * 9) for i in range(400)], "doc_id long, text string")
     sizes = [r["n"] for r in sharding.kd_shards(docs, shards=None, target_bytes=500).groupBy("shard").count().withColumnRenamed("count", "n").collect()]
     assert len(sizes) == 8 and max(sizes) - min(sizes) <= 3
+    assert sharding.kd_shards(docs.where("false"), shards=None, target_bytes=500).count() == 0
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    docs = table(spark).withColumns({"shard": F.lit("mine"), "key": F.lit(1), "id": F.lit(None).cast("string")})
+    sharding.write_shards(docs, f"{tmp_path}/out", shards=4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {r[0] for r in back.select("shard_").distinct().collect()} == {0, 1, 2, 3}
