@@ -17,8 +17,6 @@ ORDERS = (1, 2, 3)
 CENTROIDS = 4
 #: The classifier is fitted on about so many labelled texts of each language at most; IDF counts take all of them.
 SAMPLE = 500
-#: Languages with a model of their own: those of most labelled texts. It bounds what reaches the driver.
-LANGUAGES = 200
 #: Below the cosine that this share of a centroid's own texts exceed, less a margin, a text is too far from it.
 NEAR = 0.99
 MARGIN = 0.15
@@ -47,8 +45,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number and feature of all n-grams of the texts, and which texts have a letter. N-grams of two spaces or more don't count."""
     decoded = [t.decode() for t in texts]
     points = np.frombuffer((" " + "  ".join(decoded) + " ").encode("utf-32-le"), np.uint32)
-    # letters beyond the BMP count as themselves
-    letters = np.where(points < 1 << 16, LETTERS[np.minimum(points, (1 << 16) - 1)], points)
+    letters = LETTERS[np.minimum(points, (1 << 16) - 1)]
+    far = np.flatnonzero(points >= 1 << 16)
+    if len(far):
+        kinds, which = np.unique(points[far], return_inverse=True)
+        letters[far] = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in kinds], np.uint32)[which]
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in decoded])
     keep = (letters != 32) | np.concatenate([[True], letters[:-1] != 32]) | np.concatenate([[True], owner[1:] != owner[:-1]])
     letters, owner = letters[keep], owner[keep]
@@ -129,14 +130,12 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: id, text, lang without nulls. Document frequencies come from all of it, centroids from a bounded sample.
+    """labelled: id, text, lang without nulls. Document frequencies come from all of it, centroids from a bounded sample of each
+    language, which is clustered by itself; a few centroids a language reach the driver.
 
     The sample takes the rows whose hash falls in the lowest share that gives about `sample` texts of a language, so it
     doesn't depend on how rows are laid out.
     """
-    known = [r for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not known:
-        return Model([], np.zeros(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros(0))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(FEATURES + 1, np.int64)
@@ -149,8 +148,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in labelled.select("id", "text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
     idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1).astype(np.float32)
-    share = F.create_map(*(F.lit(x) for r in known for x in (r["lang"], float(min(1.0, sample / r["count"])))))
-    drawn = labelled.where(F.shiftrightunsigned(F.xxhash64("id", "lang", "text"), 11) / float(1 << 53) < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    shares = labelled.groupBy(F.col("lang").alias("known")).agg((sample / F.count("*")).alias("share"))
+    place = F.xxhash64("id", "lang", "text")
+    drawn = labelled.withColumn("place", place).join(shares, F.col("lang") == F.col("known"))
+    drawn = drawn.where(F.shiftrightunsigned("place", 11) / float(1 << 53) < F.col("share"))
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,33 +159,33 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 part = batch.slice(i, 64)
                 table, has = counts([t or b"" for _, t in byte_rows(part, "id", "text")])
                 v = vectors(table, idf).astype(np.float16)
-                yield pa.record_batch([part.column("lang"), pa.array(has), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "has", "v"])
-
-    rows = drawn.select("id", "lang", "text").mapInArrow(vectorise, "lang string, has boolean, v binary").where("has").toArrow()
-    langs = np.array(rows.column("lang").to_pylist(), object)
-    v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float16).astype(np.float32).reshape(-1, FEATURES)
-    names, centroids, language, least = [], [], [], []
-    for name in sorted({r["lang"] for r in known}):
-        mine = v[langs == name]
-        if not len(mine):
-            continue
-        c = cluster(mine, CENTROIDS)
-        near = (mine @ c.T).max(axis=1)
-        own = (mine @ c.T).argmax(axis=1)
-        names.append(name)
-        centroids.append(c)
-        language += [len(names) - 1] * len(c)
-        least += [float(np.quantile(near[own == i], 1 - NEAR)) - MARGIN if (own == i).any() else 0.0 for i in range(len(c))]
-    return Model(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, FEATURES), np.float32), np.array(language, int), np.array(least))
+                yield pa.record_batch([part.column("lang"), part.column("place"), pa.array(has), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "place", "has", "v"])
+
+    def centre(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float16).astype(np.float32).reshape(-1, FEATURES)
+        c = cluster(v, CENTROIDS)
+        near = v @ c.T
+        own = near.argmax(axis=1)
+        least = [float(np.quantile(near[own == i].max(axis=1), 1 - NEAR)) - MARGIN if (own == i).any() else 0.0 for i in range(len(c))]
+        return pa.table({"lang": [rows.column("lang")[0].as_py()] * len(c), "c": pa.array([x.tobytes() for x in c], pa.binary()), "least": least})
+
+    found = drawn.select("id", "lang", "text", "place").mapInArrow(vectorise, "lang string, place long, has boolean, v binary").where("has")
+    found = sorted(found.groupBy("lang").applyInArrow(centre, "lang string, c binary, least double").collect())
+    names = sorted({r["lang"] for r in found})
+    c = np.frombuffer(b"".join(bytes(r["c"]) for r in found), np.float32).reshape(-1, FEATURES)
+    number = {n: i for i, n in enumerate(names)}
+    return Model(names, idf, c, np.array([number[r["lang"]] for r in found], int), np.array([r["least"] for r in found]))
 
 
 def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: id, lang_pred, score, rejected.
 
     training: which rows may be learned from; of these, only text and non-null languages are. lang_pred is the language
-    of the nearest centroid, or `und` where the text is null or has no letter (or nothing was learned); score is the
-    cosine, rejected tells that the text is farther than the centroid's own texts are. Equal texts get equal results;
-    an empty table gives no rows; no other column is read.
+    of the nearest centroid (of equally near ones, the first by language), or `und` where the text is null or has no letter
+    (or nothing was learned); score is the cosine, rejected tells that the text is farther than the centroid's own texts are.
+    Equal texts get equal results; an empty table gives no rows; no other column is read. A text is read whole, however
+    long, and takes some 30 bytes a character while it is.
     """
     text = F.col(f"`{text_col}`").cast("string")
     labelled = docs.where(training & F.col(f"`{lang_col}`").isNotNull() & text.isNotNull())

@@ -54,7 +54,7 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.remainder(F.col("doc_id"), 5) == 0
+    held_out = langid.remainder(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 5) == 0
     return langid.identify(docs, ~held_out).withColumn("held_out", held_out)
 
 
