@@ -15,14 +15,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from photonflow.llm.common import byte_rows, cut, only, space_words
+from photonflow.llm.common import byte_rows, cut, only, space_words, unused
 
 WINDOW = 50
 GRAM = 8
 #: Windows of one packed string at most; a longer run of one minimiser is cut.
 RUN = 256
-#: A minimiser that more documents share is dealt by whole windows instead.
-HOT = 5000
+#: A minimiser of more packed strings than this is dealt by whole windows instead.
+HOT = 1000
 _EMPTY = hashlib.sha256(b"").digest()
 
 
@@ -52,7 +52,7 @@ def runs(marks: np.ndarray, most: int = RUN) -> list[tuple[int, int]]:
 
 
 def _profile(docs: DataFrame, window: int) -> DataFrame:
-    """id, raw (hash of the text), n_words, digest (SHA-256 of the words joined by one space), minis: the distinct minimisers."""
+    """id, raw (hash of the text), n_words, digest (SHA-256 of the words joined by one space), minis: the minimiser of each packed string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,8 @@ def _profile(docs: DataFrame, window: int) -> DataFrame:
                 words = space_words(text)
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
-                minis.append(np.unique(minimisers(words, window)) if len(words) >= window else np.zeros(0, np.int64))
+                marks = minimisers(words, window) if len(words) >= window else np.zeros(0, np.int64)
+                minis.append(marks[[first for first, _ in runs(marks)]] if len(marks) else marks)
             flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, minis)]).astype(np.int32), np.concatenate(minis)) if minis else pa.array([], pa.list_(pa.int64()))
             yield pa.record_batch([batch.column("id"), batch.column("raw"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), flat], names=["id", "raw", "n_words", "digest", "minis"])
 
@@ -235,9 +236,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A word is removed if it lies in a window of `window` consecutive words that also starts in a document of smaller id,
     judged on the texts as they came. Documents of fewer words (null and empty texts too) lose nothing. A null id is
     neither smaller nor larger than another: such rows lose nothing and take nothing. Rows of one id don't take from
-    each other. Repeated rows are returned as often as they came; an empty table gives no rows.
+    each other. Ids must be whole numbers; a string that is none counts as null. Repeated rows are returned as often as they
+    came; an empty table gives no rows; other columns are not read. A text is split whole, however long, in one task.
     """
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows, changed = _changes(docs, window, False)
     copy = _copy(window)
     found = rows.join(changed, ["id", "digest"], "left")
@@ -250,19 +252,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs whose texts have lost their repeated passages; the rest of a text stays as it was, white space too.
 
-    Documents that lose all their words go; documents that had none stay. n_chars, where docs has it, follows.
+    Documents that lose all their words go; documents that had none stay. A null id loses and takes nothing; rows of one id
+    don't take from each other; repeated rows stay or go together. n_chars, where docs has it, follows. An empty table stays
+    empty; all columns are kept.
     """
-    plain = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    plain = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").try_cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows, changed = _changes(plain, window, True)
     found = rows.join(changed, ["id", "digest"], "left")
     gone = _copy(window) | F.coalesce(F.col("kept_digest") == F.lit(_EMPTY), F.lit(False))
     edits = found.where(gone | F.col("kept").isNotNull())
-    edits = edits.select(F.col("id").alias("_id"), F.col("raw").alias("_raw"), F.when(~gone, F.col("kept")).alias("_kept"), gone.alias("_gone")).dropDuplicates(["_id", "_raw"])
-    same = (F.col("_id") == F.col(f"`{id_col}`")) & (F.col("_raw") == F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    joined = docs.join(edits, same, "left").where("not coalesce(_gone, false)")
-    columns = {text_col: F.coalesce(F.col("_kept"), F.col(f"`{text_col}`"))}
+    row, raw, kept, lost = (unused(docs, name) for name in ("row", "raw", "kept", "lost"))
+    edits = edits.select(F.col("id").alias(row), F.col("raw").alias(raw), F.when(~gone, F.col("kept")).alias(kept), gone.alias(lost)).dropDuplicates([row, raw])
+    same = (F.col(row) == F.col(f"`{id_col}`").try_cast("long")) & (F.col(raw) == F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    joined = docs.join(edits, same, "left").where(~F.coalesce(F.col(lost), F.lit(False)))
+    columns = {text_col: F.coalesce(F.col(kept), F.col(f"`{text_col}`"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+        columns["n_chars"] = F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumns(columns).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

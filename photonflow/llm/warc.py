@@ -293,10 +293,10 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """Records of pages (page_id, url, html), one for each row; null html counts as empty.
 
     Of rows with equal payloads of at least `least` bytes, those with the smallest page_id are responses and the others
-    revisit it. A row with a null page_id is a response and is never referred to. Payloads are dealt by page, so that
+    revisit it. A row with a null page_id (or one that is no whole number) is a response and is never referred to. Payloads are dealt by page, so that
     a group of many copies meets nowhere; what is grouped by digest are digests.
     """
-    spread = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    spread = pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     spread = spread.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
     marks = spread.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     first = marks.groupBy("payload_digest").agg(F.min("page_id").alias("first"))
