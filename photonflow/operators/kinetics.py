@@ -178,4 +178,4 @@ def fit_jumps(histogram: DataFrame, size: float, step: float, species: int = 2)
         d, share = jump_mixture(np.bincount(rows["bin"].to_numpy(int), rows["n"].to_numpy(float)), size, step, species)
         return pd.DataFrame({"species": np.arange(species), "diffusion": d, "share": share})
 
-    return histogram.groupBy(F.lit(0)).applyInPandas(fit, "species int, diffusion double, share double")
+    return histogram.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "species int, diffusion double, share double")

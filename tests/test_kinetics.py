@@ -57,3 +57,14 @@ def test_fronts_and_pieces(spark):
     assert [(r.front, r.active) for r in got] == [([0, 0, 0], 0), ([1, 0, 0], 1)]
     t = spark.createDataFrame([(-1.0,), (5.0,), (15.0,)], "t double")
     assert [r[0] for r in t.select(kinetics.piecewise_linear(F.col("t"), [0, 10], [1.0, -2.0])).collect()] == [0.0, 5.0, 0.0]
+
+
+def test_two_species_of_jumps_are_told_apart(spark):
+    rng = np.random.default_rng(5)
+    jumps = np.concatenate([np.hypot(*rng.normal(0, np.sqrt(2 * d * 0.1), (2, n))) for d, n in ((0.2, 6000), (5.0, 3000))])
+    n = np.bincount((jumps / 0.05).astype(int))
+    df = spark.createDataFrame([(i, int(k)) for i, k in enumerate(n) if k], "bin long, n long")
+    slow, fast = kinetics.fit_jumps(df, 0.05, 0.1).orderBy("species").collect()
+    assert abs(slow.diffusion / 0.2 - 1) < 0.1 and abs(fast.diffusion / 5 - 1) < 0.1 and abs(slow.share - 2 / 3) < 0.05
+    one, = kinetics.fit_jumps(df, 0.05, 0.1, 1).collect()
+    assert slow.diffusion < one.diffusion < fast.diffusion and one.share == 1

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photonflow.operators import aggregates, clumping, spatial, vectors
+from photonflow.operators import aggregates, clumping, images, spatial, vectors, windows
 
 
 @pytest.fixture(autouse=True)
@@ -86,3 +86,22 @@ def test_rendering_in_depth(spark):
     assert got == pytest.approx(2, abs=1e-3)
     counts = spatial.render_histogram_3d(df, [F.col(c) for c in "xyz"], (-5, -5, -5), 1.0, 2.0).collect()
     assert {(r.ix, r.iy, r.iz, r.n) for r in counts} == {(5, 5, 2, 1), (8, 6, 1, 1)}
+
+
+def test_tracks_and_whole_columns(spark):
+    rows = [(1, 0, 0.0, 0.0), (1, 2, 3.0, 4.0), (1, 3, 3.0, 0.0), (2, 5, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "c int, t int, x double, y double")
+    got = {r.c: r for r in windows.tracks(df, "c", "t", ["x", "y"]).collect()}
+    assert (got[1].n, got[1].start, got[1].stop, got[1].path, got[1].displacement, got[1].speed) == (3, 0, 3, 9.0, 3.0, 3.0)
+    assert (got[2].n, got[2].path, got[2].speed) == (1, 0.0, None)
+    assert {r.bin: r.n for r in windows.jump_histogram(df, "c", "t", ["x", "y"], 1.0).collect()} == {5: 1, 4: 1}
+    assert {(r.m, r.s) for r in vectors.whole_column(df, "x", m="mean", s="sum").collect()} == {(1.75, 7.0)}
+
+
+def test_zoom_and_means(spark):
+    frames = spark.createDataFrame([(1, 2, 2, [0.0, 2.0, 4.0, 6.0])], "t int, height int, width int, pixels array<double>")
+    r = images.zoom(frames, 2.0).first()
+    assert (r.height, r.width) == (4, 4) and np.allclose(np.reshape(r.pixels, (4, 4))[0], np.linspace(0, 2, 4)) and r.pixels[-1] == 6
+    assert images.normalise_mean(frames).first().pixels == [0.0, 2 / 3, 4 / 3, 2.0]
+    both = images.join_channels([frames, images.rotate180(frames)]).orderBy("c").collect()
+    assert [(b.c, b.pixels[0]) for b in both] == [(0, 0.0), (1, 6.0)]
