@@ -3,7 +3,8 @@
 One head looks back over the window and predicts the next subword's class; a table of class odds after the previous
 subword is added to its logits. Which member of the class follows is told by a table of shares after the previous
 subword. Classes are cut from the most frequent subwords by spectral bisection; all rarer ones form one more class.
-Windows of 16 subwords overlap by 8, and each scores its last 8, so every subword is scored once with 8 to 15 before it.
+Windows of 16 subwords overlap by 8, and each scores its last 8, so every target is scored once with 8 to 16 subwords
+in sight.
 """
 
 from __future__ import annotations
@@ -47,18 +48,17 @@ def named(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(ranks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid out one after the other (starts: where each begins; none is empty): (windows, 16) inputs, and the place
-    of each window's 8 targets in `ranks`, -1 beyond a text's end."""
-    lengths = np.diff(np.append(starts, len(ranks)))
+def windows(before: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences laid out one after the other (starts: where each begins; none is empty), by the rank that stands before
+    each target: (windows, 16) inputs, and the place of each window's 8 targets, -1 beyond a sequence's end."""
+    lengths = np.diff(np.append(starts, len(before)))
     blocks = -(-lengths // STRIDE)
     offsets = np.concatenate([[0], np.cumsum((blocks + 1) * STRIDE)[:-1]])
-    at = np.arange(len(ranks)) + np.repeat(offsets - starts + STRIDE, lengths)
-    padded = np.full(int(((blocks + 1) * STRIDE).sum()), START, np.int32)
-    padded[at[1:]] = ranks[:-1]
-    padded[offsets + STRIDE] = START
-    places = np.full(len(padded), -1, np.int64)
-    places[at] = np.arange(len(ranks))
+    at = np.arange(len(before)) + np.repeat(offsets - starts + STRIDE, lengths)
+    padded = np.full(int(((blocks + 1) * STRIDE).sum()), START, np.uint16)
+    padded[at] = before
+    places = np.full(len(padded), -1, np.int32)
+    places[at] = np.arange(len(before))
     first = STRIDE * (np.arange(int(blocks.sum())) + np.repeat(np.arange(len(blocks)), blocks))
     return padded[first[:, None] + np.arange(WINDOW)], places[first[:, None] + np.arange(STRIDE, WINDOW)]
 
@@ -86,13 +86,13 @@ class Outputs:
 
     @classmethod
     def of(cls, table: np.ndarray, back: float = 4.0) -> Outputs:
-        """table: (RANKS + 1, OUTPUTS + 1) counts of the next subword's rank after a subword's."""
+        """table: (RANKS + 1, OUTPUTS + 1) counts of the next subword's rank among the outputs after a subword's among the inputs."""
         whole = table.sum(axis=0) + 0.5
         whole /= whole.sum()
         kinds = (table > 0).sum(axis=1, keepdims=True) + back  # the more kinds follow, the more goes to the general shares
         p = (table + kinds * whole) / (table.sum(axis=1, keepdims=True) + kinds)
-        near = table[:OUTPUTS, :OUTPUTS].T + table[:OUTPUTS, :OUTPUTS]
-        rows = np.sqrt((near + 0.1) / (near + 0.1).sum(axis=1, keepdims=True))
+        near = table[:, :OUTPUTS].T + 0.1
+        rows = np.sqrt(near / near.sum(axis=1, keepdims=True))
         order = np.append(np.concatenate(_bisect(rows, np.arange(OUTPUTS), GROUPS)), OUTPUTS)
         place = np.empty(OUTPUTS + 1, np.int64)
         place[order] = np.arange(OUTPUTS + 1)
@@ -138,50 +138,56 @@ class Scorer:
         return out
 
 
-def gradient(flat: np.ndarray, outputs: Outputs, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean cross entropy of the live targets' classes, and its gradient by the weights. Tables are not trained."""
+def gradient(flat: np.ndarray, outputs: Outputs, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each target's class, and the gradient of their weighted mean cross entropy. Tables are not trained."""
     p, g = named(flat), named(grad := np.zeros_like(flat))
     scale = np.float32(WIDTH**-0.5)
     flat2 = lambda t: t.reshape(-1, t.shape[-1])
     before, group = x[:, STRIDE:].ravel(), y.ravel() // MEMBERS
-    share = live.ravel().astype(flat.dtype) / flat.dtype.type(max(1, int(live.sum())))
+    share = (weight.ravel() / max(weight.sum(), 1e-9)).astype(flat.dtype)
     e = p["e"][x]
-    eq = e[:, STRIDE:]
+    eq = np.ascontiguousarray(e[:, STRIDE:])
     q, k, v = eq @ p["q"] * scale, e @ p["k"], e @ p["v"]
-    a = np.matmul(q, k.transpose(0, 2, 1)) + p["r"][np.maximum(_DISTANCE, 0)] + _MASK.astype(flat.dtype)
-    a = np.exp(a - a.max(axis=2, keepdims=True))
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += (p["r"][np.maximum(_DISTANCE, 0)] + _MASK).astype(flat.dtype)
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
     u = flat2(eq + np.matmul(a, v))
     s = u @ p["w"] + p["b"]
-    h = s / (1 + np.abs(s))
-    logits = h @ p["o"] + outputs.odds[before]
-    logits -= logits.max(axis=1, keepdims=True)
-    d = np.exp(logits)
-    total = d.sum(axis=1, keepdims=True)
+    soft = 1 + np.abs(s)
+    h = s / soft
+    d = h @ p["o"] + outputs.odds[before]
+    d -= d.max(axis=1, keepdims=True)
     at = np.arange(len(group))
-    loss = -float(((logits[at, group] - np.log(total[:, 0])) * share).sum())
+    found = d[at, group]
+    np.exp(d, out=d)
+    total = d.sum(axis=1, keepdims=True)
+    found -= np.log(total[:, 0])
     d /= total
     d[at, group] -= 1
     d *= share[:, None]
     g["o"] += h.T @ d
-    dh = (d @ p["o"].T) / (1 + np.abs(s)) ** 2
+    dh = (d @ p["o"].T) / (soft * soft)
     g["w"] += u.T @ dh
     g["b"] += dh.sum(axis=0)
     du = (dh @ p["w"].T).reshape(eq.shape)
     da = np.matmul(du, v.transpose(0, 2, 1))
     dv = np.matmul(a.transpose(0, 2, 1), du)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    np.add.at(g["r"], np.maximum(_DISTANCE, 0).ravel(), np.where(_DISTANCE < 0, 0, ds.sum(axis=0)).ravel())
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
+    da -= (da * a).sum(axis=2, keepdims=True)
+    da *= a
+    np.add.at(g["r"], np.maximum(_DISTANCE, 0).ravel(), np.where(_DISTANCE < 0, 0, da.sum(axis=0)).ravel())
+    dq, dk = np.matmul(da, k) * scale, np.matmul(da.transpose(0, 2, 1), q)
     g["q"] += flat2(eq).T @ flat2(dq)
     g["k"] += flat2(e).T @ flat2(dk)
     g["v"] += flat2(e).T @ flat2(dv)
-    de = dk @ p["k"].T + dv @ p["v"].T
+    de = dk @ p["k"].T
+    de += dv @ p["v"].T
     de[:, STRIDE:] += dq @ p["q"].T + du
     order = np.argsort(x, axis=None, kind="stable")
     seen, first = np.unique(x.ravel()[order], return_index=True)
     g["e"][seen] += np.add.reduceat(flat2(de)[order], first, axis=0)
-    return loss, grad
+    return found, grad
 
 
 @dataclass

@@ -1,40 +1,53 @@
-"""LM scoring: a word unigram base over exact corpus counts, and a causal self-attention model over subword ids."""
+"""LM scoring: a word unigram base over exact corpus counts, and a causal self-attention model over subword ids.
+
+Texts are numbered once: a chunk of texts becomes parts of word numbers beside a dictionary of its distinct words. Words are
+counted, cut into subwords and scored from the inside once each, whatever their frequency; what is told of them goes back
+to the chunks, whose tokens are then scored in their places.
+
+A word's probability has three parts. Outside: attention over what ended the words before it tells its first subword
+(windows of 16 words that overlap by 8). Inside: attention over the word's own subwords tells the next of them, or the
+word's end. And the corpus: the word's share of all training tokens, mixed in by a weight that training tokens choose, each with
+itself left out of the share.
+"""
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from photonflow.llm import attention
-from photonflow.llm.common import byte_rows, cut, space_words
+from photonflow.llm.common import byte_rows, cut, discard, settle, space_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Subword pattern of the byte-level vocabulary: fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A word of at least 1 / HEAVY of all training tokens is counted apart. There are HEAVY such words at most.
-HEAVY = 1 << 20
-#: Words counted together in a task.
+#: Tokens of a chunk, whose texts share a dictionary, and of a part of it, which is a row. One long text may exceed them.
 CHUNK = 1 << 23
-#: One training text in so many teaches the network: all of them. Counts of words, subwords and their pairs take all at any value.
-TRAIN_EVERY = 1
+PART = 1 << 17
+#: Words of a dictionary in a row, and words computed together.
+ENTRIES = 1 << 16
+SOME = 1 << 16
+#: Words whose telling goes back to the chunks together.
+TOGETHER = 1 << 18
+#: Rounds of training: each takes every so many parts, and each part is learned from in one of them.
 ROUNDS = 2
-STEP = 192
-#: Words whose subwords a task remembers.
-REMEMBER = 700_000
+#: Windows of a step.
+STEP = 1024
+RATE = 0.01
 
 
 class Subwords:
-    """Subword ids of words, each after a space; END is one more than the largest id."""
+    """Subword ids of words, each after a space; END is one more than the largest id, and what the empty word is made of."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -43,9 +56,21 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
+        self.opens = np.zeros(self.end + 1, bool)
+        self.opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
     def ids(self, word: bytes) -> list[int]:
-        return self.encoder.encode_ordinary(" " + word.decode())
+        return self.encoder.encode_ordinary(" " + word.decode()) if word else [self.end]
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all the words' subwords, and where each word begins."""
+        if b"" not in words:
+            ids = np.array(self.encoder.encode_ordinary(" " + b" ".join(words).decode()), np.int32)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) == len(words):
+                return ids, starts
+        each = [self.ids(w) for w in words]
+        return np.array([i for e in each for i in e], np.int32), np.cumsum([0, *map(len, each[:-1])])
 
 
 @lru_cache(maxsize=2)
@@ -56,7 +81,7 @@ def subwords_of(path: str) -> Subwords:
 
 @dataclass
 class Vocabulary:
-    """Rank of each subword id (from the most frequent), and log10 of its share among the ids that are predicted together."""
+    """Rank of each subword id (from the most frequent), and ln of its share among the ids that are predicted together."""
 
     rank: np.ndarray
     share: np.ndarray
@@ -68,276 +93,443 @@ class Vocabulary:
         rank[order] = np.arange(len(counts))
         share = np.zeros(len(counts))
         rest = order[attention.OUTPUTS :]
-        share[rest] = np.log10((counts[rest] + 1) / (counts[rest] + 1).sum())  # every id keeps some chance
+        share[rest] = np.log((counts[rest] + 1) / (counts[rest] + 1).sum())  # every id keeps some chance
         return cls(rank, share)
 
+    def inputs(self, ids: np.ndarray) -> np.ndarray:
+        return np.minimum(self.rank[ids], attention.RANKS - 1)
+
+    def outputs(self, ids: np.ndarray) -> np.ndarray:
+        return np.minimum(self.rank[ids], attention.OUTPUTS)
+
+
+@dataclass
+class Net:
+    """An attention model: what it predicts, its tables and its weights."""
+
+    vocabulary: Vocabulary
+    outputs: attention.Outputs
+    weights: np.ndarray
+
+    def log_probability(self, scorer: attention.Scorer, before: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """ln of the probability of each id, given the input rank before each, in sequences that begin at starts."""
+        inputs, places = attention.windows(before, starts)
+        targets = self.outputs.targets(self.vocabulary.rank[ids])
+        live = places >= 0
+        out = np.empty(len(ids))
+        out[places[live]] = scorer.log_probability(inputs, targets[places])[live]
+        return out + self.vocabulary.share[ids]
+
 
 class _Known(dict):
-    """Numbers of words, in the order in which they were first seen."""
+    """Numbers of words, in the order in which they were first seen; END, the empty word, is 0."""
 
-    def __init__(self, add):
-        self.add = add
+    def __init__(self):
+        self[b""] = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
-        self.add(word)
         return n
 
 
-class Encoder:
-    """Words to subword ids, a whole batch of texts at once, remembering words already seen.
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
-    value: two numbers for each word, looked up when it is first seen, and summed over each text.
-    """
 
-    def __init__(self, path: str, value=lambda word: (0.0, 0)):
-        self.subwords, self.value = subwords_of(path), value
-        self._forget()
-
-    def _forget(self) -> None:
-        self.flat, self.begin, self.values = array("i"), array("q", [0]), array("d")
-        self.known = _Known(self._add)
-        self.known[b""]  # END stands for the empty word
-
-    def _add(self, word: bytes) -> None:
-        self.flat.extend(self.subwords.ids(word) if word else (self.subwords.end,))
-        self.begin.append(len(self.flat))
-        self.values.extend(self.value(word))
-
-    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Subword ids of all texts, each with END after it; where each text begins; the sums of its words' values."""
-        if len(self.known) > REMEMBER:
-            self._forget()
-        get = self.known.__getitem__
-        index: list[int] = []
-        ends = []
-        for words in texts:
-            index += map(get, words)
-            index.append(0)
-            ends.append(len(index))
-        which, words_before = np.array(index), np.array([0, *ends[:-1]])
-        begin, ids, values = np.frombuffer(self.begin, np.int64), np.frombuffer(self.flat, np.int32), np.frombuffer(self.values).reshape(-1, 2)
-        at = begin[which]
-        lengths = begin[which + 1] - at
-        after = np.cumsum(lengths)
-        places = np.arange(int(after[-1])) + np.repeat(at - after + lengths, lengths)
-        return ids[places], np.concatenate([[0], after[np.array(ends[:-1], int) - 1]]), np.add.reduceat(values[which], words_before, axis=0)
-
-
-def _texts(batches: Iterator[pa.RecordBatch], words_at_once: int = 1 << 15) -> Iterator[tuple[list[int], pa.RecordBatch, list[list[bytes]]]]:
-    """Rows of batches with their words, some at a time."""
-    for batch in batches:
-        rows: list[int] = []
-        texts: list[list[bytes]] = []
-        size = 0
-        for i, (_, text) in enumerate(byte_rows(batch, "key", "text")):
-            rows.append(i)
-            texts.append(space_words(text.lower() if text else text))
-            size += len(texts[-1])
-            if size > words_at_once:
-                yield rows, batch, texts
-                rows, texts, size = [], [], 0
-        if rows:
-            yield rows, batch, texts
-
-
-def _sighted(training: DataFrame, path: str) -> DataFrame:
-    """word, subword, n of the training texts: counts of the words that are frequent in some chunk, of all subwords
-    (word is null), and of all tokens and texts (both null: subword -1 and -2)."""
+def _plain(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane, which pack better, and packed."""
+    return _squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _from_planes(data: bytes, kind: type = np.int32) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_plain(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds. Parts: chunk, and of some texts the ids, which of them teach, their tokens (END included) and the
+    tokens' word numbers. Entries: chunk, the number of the first word, packed words (space-joined) and how often each occurs in texts that teach."""
+    kind = docs.schema["id"].dataType
+    kinds = {"chunk": pa.int64(), "ids": pa.list_(to_arrow_type(kind)), "train": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "index": pa.binary(), "place": pa.int32(), "words": pa.binary(), "counts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = subwords_of(path)
-        subwords: Counter[int] = Counter()
-        frequent: list[tuple[bytes, int]] = []
-        words: Counter[bytes] = Counter()
-        size = tokens = docs = 0
-
-        def settle() -> None:
-            floor = -(-size // HEAVY)
-            for w, n in words.items():
-                for s in encoder.ids(w):
-                    subwords[s] += n
-                if n >= floor:
-                    frequent.append((w, n))
-            words.clear()
-
-        for _, _, texts in _texts(batches):
-            for t in texts:
-                words.update(t)
-                size += len(t)
-                docs += 1
-            if size > CHUNK:
-                settle()
-                tokens, size = tokens + size, 0
-        settle()
-        subwords[encoder.end] += docs
-        rows = [*((w, None, n) for w, n in frequent), *((None, s, n) for s, n in subwords.items()), (None, -1, tokens + size + docs), (None, -2, docs)]
-        for i in range(0, len(rows), 1 << 16):
-            part = rows[i : i + (1 << 16)]
-            yield pa.record_batch([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int64()))], names=["word", "subword", "n"])
-
-    return training.mapInArrow(run, "word binary, subword int, n long").groupBy("word", "subword").agg(F.sum("n").alias("n"))
-
-
-def _rare_rows(docs: DataFrame, heavy) -> DataFrame:
-    """word, key, tf, head, train: a row for each rare word of each text (head: the text's first), and for each heavy
-    word of a chunk one without a key, with its count in training texts."""
+        chunk = TaskContext.get().partitionId() << 24
+        ids: list = []
+        train: list[bool] = []
+        sizes: list[int] = []
+        index, known, counts, tokens = array("i"), _Known(), np.zeros(1, np.int64), 0
+
+        def row(**values: object) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([values.get(n)], k) for n, k in kinds.items()], names=list(kinds))
+
+        def part() -> pa.RecordBatch:
+            nonlocal counts
+            which = np.frombuffer(index, np.int32)
+            more = np.bincount(which[np.repeat(np.array(train), sizes)], minlength=len(known))
+            counts = np.append(counts, np.zeros(len(known) - len(counts), np.int64)) + more
+            return row(chunk=chunk, ids=ids, train=train, sizes=sizes, index=_planes(which))
+
+        def entries() -> Iterator[pa.RecordBatch]:
+            words = list(known)
+            for i in range(0, len(words), ENTRIES):
+                yield row(chunk=chunk, place=i, words=_squeezed(b" ".join(words[i : i + ENTRIES])), counts=_planes(counts[i : i + ENTRIES]))
+
+        for batch in batches:
+            for (key, text), teaches in zip(byte_rows(batch, "id", "text"), batch.column("train").to_pylist(), strict=True):
+                words = space_words(text.lower() if text else text)
+                index.extend(map(known.__getitem__, words))
+                index.append(0)
+                ids.append(key)
+                train.append(teaches)
+                sizes.append(len(words) + 1)
+                if len(index) >= PART:
+                    tokens += len(index)
+                    yield part()
+                    ids, train, sizes, index = [], [], [], array("i")
+                    if tokens >= CHUNK:
+                        yield from entries()
+                        chunk, known, counts, tokens = chunk + 1, _Known(), np.zeros(1, np.int64), 0
+        if ids:
+            yield part()
+        if ids or tokens:
+            yield from entries()
+
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind.simpleString()}>, train array<boolean>, sizes array<int>, index binary, place int, words binary, counts binary")
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    """word, chunk, place, c, head: each chunk's words with their counts in the whole corpus; head is true once a word.
+
+    A word has a row a chunk at most, so none weighs much more than another, however frequent it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = heavy.value
-        total: Counter[bytes] = Counter()
-
-        def out(words, keys, tfs, heads, trains) -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            return pa.record_batch([pa.array(c, k) for c, k in zip((words, keys, tfs, heads, trains), kinds, strict=True)], names=["word", "key", "tf", "head", "train"])
-
-        for at, batch, texts in _texts(batches):
-            keys, trains = batch.column("key"), batch.column("train")
-            columns: tuple[list, ...] = ([], [], [], [], [])
-            for i, words in zip(at, texts, strict=True):
-                key, train = keys[i].as_py(), trains[i].as_py()
-                rare = Counter(filterfalse(often.__contains__, words))
-                if train:
-                    total.update(filter(often.__contains__, words))
-                n = len(rare)
-                if n:
-                    columns[0].extend(rare)
-                    columns[1].extend([key] * n)
-                    columns[2].extend(rare.values())
-                    columns[3].extend([1] + [0] * (n - 1))
-                    columns[4].extend([train] * n)
-            yield out(*columns)
-        words = list(total)
-        yield out(words, [None] * len(words), list(total.values()), [0] * len(words), [True] * len(words))
-
-    return docs.mapInArrow(run, "word binary, key long, tf int, head int, train boolean")
-
-
-def _ranked(batches: Iterator[pa.RecordBatch], encoder: Encoder, vocabulary: Vocabulary):
-    for at, batch, texts in _texts(batches):
-        ids, starts, sums = encoder.encode(texts)
-        ranks = vocabulary.rank[ids]
-        inputs, places = attention.windows(np.minimum(ranks, attention.RANKS - 1), starts)
-        yield at, batch, texts, ids, starts, sums, inputs, ranks, places
-
-
-def _outputs(training: DataFrame, vocabulary, path: str) -> attention.Outputs:
-    """Tables of what follows a subword, from counts over all training texts: each task adds up its own first."""
-    width = attention.OUTPUTS + 1
+        for batch in batches:
+            for chunk, place, words, counts in zip(*(batch.column(c) for c in ("chunk", "place", "words", "counts")), strict=True):
+                blob = _plain(words.as_py())
+                gaps = np.flatnonzero(np.frombuffer(blob, np.uint8) == 32)
+                data = blob.replace(b" ", b"")
+                n = len(gaps) + 1
+                offsets = np.concatenate([[0], gaps - np.arange(n - 1), [len(data)]]).astype(np.int32)
+                column = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.record_batch([column, pa.array(np.full(n, chunk.as_py())), pa.array(np.arange(n, dtype=np.int32) + np.int32(place.as_py())), pa.array(_from_planes(counts.as_py(), np.int64))], names=["word", "chunk", "place", "n"])
+
+    rows = chunks.where("words is not null").select("chunk", "place", "words", "counts").mapInArrow(run, "word binary, chunk long, place int, n long")
+    word = W.partitionBy("word").orderBy("chunk")
+    whole = F.sum("n").over(word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return rows.withColumns({"c": whole, "head": F.row_number().over(word) == 1}).drop("n")
+
+
+def _some(batches: Iterator[pa.RecordBatch], encoder: Subwords) -> Iterator[tuple[np.ndarray, ...]]:
+    """Words some at a time: counts, subword ids and where each word begins; END itself is left out."""
+    for batch in batches:
+        for at in range(0, len(batch), SOME):
+            part = batch.slice(at, SOME)
+            words, c = part.column("word").to_pylist(), part.column("c").to_numpy(zero_copy_only=False)
+            if b"" in words:
+                keep = [i for i, w in enumerate(words) if w]
+                words, c = [words[i] for i in keep], c[keep]
+            if words:
+                yield (c, *encoder.encode(words))
+
+
+def _sums(df: DataFrame, task: Callable, size: int) -> np.ndarray:
+    """Element-wise sums of the arrays that `task` makes of each partition. A task's own is pre-aggregated; `size` bounds all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        table = np.zeros((attention.RANKS + 1) * width, np.int64)
-        for *_, inputs, ranks, places in _ranked(batches, encoder, vocabulary.value):
-            live = places >= 0
-            pairs = inputs[:, attention.STRIDE :][live].astype(np.int64) * width + np.minimum(ranks[places[live]], attention.OUTPUTS)
-            seen, n = np.unique(pairs, return_counts=True)
-            table[seen] += n
-        seen = np.flatnonzero(table)
-        for i in range(0, len(seen), 1 << 16):
-            part = seen[i : i + (1 << 16)]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["i", "n"])
-
-    table = np.zeros((attention.RANKS + 1) * width)
-    found = training.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    table[found.column("i").to_numpy()] = found.column("n").to_numpy()
-    return attention.Outputs.of(table.reshape(-1, width))
-
-
-def _train(sample: DataFrame, vocabulary, outputs, path: str) -> np.ndarray:
-    """Weights after some rounds: each task trains on its own texts, and the results are averaged by their tokens."""
-    context = sample.sparkSession.sparkContext
-    weights = attention.start_weights()
+        total = task(batches)
+        for i in range(0, size, 1 << 16):
+            seen = i + np.flatnonzero(total[i : i + (1 << 16)])
+            if len(seen):
+                yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["i", "v"])
+
+    out = np.zeros(size)
+    found = df.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    out[found.column("i").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def _ranks(words: DataFrame, path: str) -> tuple[Vocabulary, Vocabulary, Vocabulary]:
+    """Vocabularies of all subwords (inputs), of first ones and END (outside), of further ones and a word's end (inside)."""
+    size = subwords_of(path).end + 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        encoder = subwords_of(path)
+        total = np.zeros((2, size))
+        for c, ids, starts in _some(batches, encoder):
+            lengths = np.diff(np.append(starts, len(ids)))
+            total[0] += np.bincount(ids[starts], c, size)
+            rest = np.ones(len(ids), bool)
+            rest[starts] = False
+            roots = np.sqrt(c)
+            total[1] += np.bincount(ids[rest], np.repeat(roots, lengths)[rest], size)
+            total[1, encoder.end] += roots.sum()
+        return total.ravel()
+
+    outside, inside = _sums(words, task, 2 * size).reshape(2, size)
+    ends = words.where("word = X''").select(F.sum("c")).first()[0] or 0
+    outside[size - 1] = ends
+    return Vocabulary.of(outside + inside), Vocabulary.of(outside), Vocabulary.of(inside)
+
+
+def _inside(ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """What follows each subword of each word (END after its last), and its place's word."""
+    after = np.append(ids[1:], end)
+    after[np.append(starts[1:], len(ids)) - 1] = end
+    return after, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+
+
+WIDE = attention.OUTPUTS + 1
+CELLS = (attention.RANKS + 1) * WIDE
+
+
+def _fitted(rows: DataFrame, parts: Callable, vocabulary: Vocabulary, more: int = 0) -> tuple[Net, np.ndarray]:
+    """A net trained on all parts: tables from one pass over their counts, weights from ROUNDS rounds in which each task trains on
+    its own and the results are averaged by what they were taught. `parts` gives (input ranks before, ids, starts, weights,
+    tell) for each part of a partition; tell gets the log probabilities of a part's targets as they are learned and returns
+    `more` numbers, whose sums come back."""
+    context = rows.sparkSession.sparkContext
+
+    def table(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(CELLS)
+        for before, ids, _, weight, _ in parts(batches):
+            np.add.at(total, before.astype(np.int64) * WIDE + vocabulary.outputs(ids), weight)
+        return total
+
+    outputs = attention.Outputs.of(_sums(rows, table, CELLS).reshape(-1, WIDE))
+    weights, told, size = attention.start_weights(), np.zeros(more), attention.SIZE
+    made = context.broadcast(outputs)
     for turn in range(ROUNDS):
         now = context.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
-            encoder = Encoder(path)
-            adam = attention.Adam(now.value, 0.01 / (1 + 2 * turn))
+        def learn(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> np.ndarray:
+            adam = attention.Adam(now.value, RATE / (1 + 2 * turn))
             rng = np.random.default_rng(turn)
-            tokens = 0
-            for *_, inputs, ranks, places in _ranked(batches, encoder, vocabulary.value):
+            taught, extra = 0.0, np.zeros(more)
+            for at, (before, ids, starts, weight, tell) in enumerate(parts(batches)):
+                if at % ROUNDS != turn:
+                    continue
+                inputs, places = attention.windows(before, starts)
                 live = places >= 0
-                targets = np.where(live, outputs.value.targets(ranks[places]), 0)
+                targets = np.where(live, made.value.targets(vocabulary.rank[ids])[places], 0)
+                teach = np.where(live, weight[places], 0).astype(np.float32)
+                logs = np.empty(len(ids))
                 order = rng.permutation(len(inputs))
                 for i in range(0, len(order), STEP):
                     pick = order[i : i + STEP]
-                    adam.step(attention.gradient(adam.weights, outputs.value, inputs[pick], targets[pick], live[pick])[1])
-                tokens += int(live.sum())
-            values = np.append(adam.weights.astype(np.float64), 1.0) * tokens
-            yield pa.record_batch([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "w"])
+                    x, y = inputs[pick], targets[pick]
+                    found, grad = attention.gradient(adam.weights, made.value, x, y, teach[pick])
+                    adam.step(grad)
+                    if more:
+                        found = found + made.value.members[x[:, attention.STRIDE :].ravel(), y.ravel()]
+                        logs[places[pick][live[pick]]] = found[live[pick].ravel()]
+                taught += float(teach.sum())
+                if more:
+                    extra += tell(logs + vocabulary.share[ids])
+            return np.concatenate([np.append(adam.weights.astype(np.float64), 1.0) * taught, extra])
+
+        found = _sums(rows, learn, size + 1 + more)
+        told += found[size + 1 :]
+        if found[size]:
+            weights = (found[:size] / found[size]).astype(np.float32)
+        now.unpersist()
+    return Net(vocabulary, outputs, weights), told
+
+
+def _inner(words: DataFrame, inputs: Vocabulary, inside: Vocabulary, path: str) -> Net:
+    """The net inside words, from every distinct training word; a word weighs as the square root of its count."""
+    end = subwords_of(path).end
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for c, ids, starts in _some(batches, subwords_of(path)):
+            after, owner = _inside(ids, starts, end)
+            yield inputs.inputs(ids), after, starts, np.sqrt(c)[owner], None
+
+    return _fitted(words, parts, inside)[0]
+
 
-        found = sample.mapInArrow(run, "i int, w double").groupBy("i").agg(F.sum("w").alias("w")).toArrow()
-        summed = np.zeros(attention.SIZE + 1)
-        summed[found.column("i").to_numpy()] = found.column("w").to_numpy()
-        if summed[-1]:
-            weights = (summed[:-1] / summed[-1]).astype(np.float32)
-    return weights
+#: What is told of a word: its count, ln of its inside's probability, first and last subword; and its number in its chunk.
+TOLD = {"c": np.int64, "own": np.float32, "first": np.int32, "last": np.int32}
+PLACED = {"place": np.int32} | TOLD
+
+
+def _told(words: DataFrame, inputs: Vocabulary, inner, path: str) -> DataFrame:
+    """Rows of chunk and, as arrays, what is told of some of its words: as many as a task meets together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, net = subwords_of(path), inner.value
+        scorer = attention.Scorer(net.weights, net.outputs)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> pa.RecordBatch:
+            chunk, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(chunk, kind="stable")
+            chunk = chunk[order]
+            edges = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            binaries = [pa.array([_planes(v[order[i:j]]) for i, j in zip(edges, edges[1:], strict=False)], pa.binary()) for v in values]
+            return pa.record_batch([pa.array(chunk[edges[:-1]]), *binaries], names=["chunk", *PLACED])
+
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            ids, starts = encoder.encode(distinct)
+            after, owner = _inside(ids, starts, encoder.end)
+            logs = np.bincount(owner, net.log_probability(scorer, inputs.inputs(ids), after, starts), len(distinct))
+            first, last = ids[starts], ids[np.append(starts[1:], len(ids)) - 1]
+            logs[first == encoder.end] = 0
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            chunk, place, c = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("chunk", "place", "c"))
+            held.append((chunk, place, c, logs[which].astype(np.float32), first[which], last[which]))
+            if sum(len(h[0]) for h in held) >= TOGETHER:
+                yield out()
+        if held:
+            yield out()
+
+    return words.select("word", "chunk", "place", "c").mapInArrow(run, ", ".join(["chunk long", *(f"{n} binary" for n in PLACED)]))
+
+
+def _complete(chunks: DataFrame, told: DataFrame) -> DataFrame:
+    """The parts of all chunks, each with a dictionary of its own: what is told of its distinct words, by new word numbers."""
+    kept = ["ids", "train", "sizes"]
+
+    def run(parts: pa.Table, words: pa.Table) -> pa.Table:
+        told = {n: np.concatenate([_from_planes(x.as_py(), kind) for x in words.column(n)]) for n, kind in PLACED.items()}
+        at = np.empty_like(told["place"])
+        at[told["place"]] = np.arange(len(at))
+        number = np.zeros(len(at), np.int32)
+        out = []
+        for batch in parts.select([*kept, "index"]).to_batches(max_chunksize=1):
+            index = _from_planes(batch.column("index")[0].as_py())
+            here = np.flatnonzero(np.bincount(index))
+            number[here] = np.arange(len(here))
+            binaries = [_planes(number[index]), *(_planes(told[n][at[here]]) for n in TOLD)]
+            out.append(pa.record_batch([*(batch.column(n) for n in kept), *(pa.array([x], pa.binary()) for x in binaries)], names=[*kept, "index", *TOLD]))
+        return pa.Table.from_batches(out)
+
+    kinds = dict(chunks.dtypes)
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in kept), *(f"{n} binary" for n in ("index", *TOLD))])
+    rows = chunks.where("index is not null").select("chunk", *kept, "index")
+    # a chunk is a task's work, and seldom shares one
+    partitions = min(4 * rows.select("chunk").distinct().count() + 1, 1 << 15)
+    one, many = rows.repartition(partitions, "chunk"), told.repartition(partitions, "chunk")
+    return one.groupBy("chunk").cogroup(many.groupBy("chunk")).applyInArrow(run, schema)
+
+
+@dataclass
+class Part:
+    """Some texts, token by token (a text's last is END): where each begins, the input rank before each token, and what is told of it."""
+
+    starts: np.ndarray
+    before: np.ndarray
+    first: np.ndarray
+    own: np.ndarray
+    c: np.ndarray
+
+
+def _parts(batches: Iterator[pa.RecordBatch], inputs: Vocabulary, taught: bool) -> Iterator[tuple[pa.RecordBatch, Part]]:
+    """Each row, and the part that it is: of all its texts, or of those that teach."""
+    for batch in batches:
+        for k in range(len(batch)):
+            row = batch.slice(k, 1)
+            told = {n: _from_planes(row.column(n)[0].as_py(), kind) for n, kind in TOLD.items()}
+            index = _from_planes(row.column("index")[0].as_py())
+            sizes = row.column("sizes").flatten().to_numpy(zero_copy_only=False)
+            if taught:
+                teaches = row.column("train").flatten().to_numpy(zero_copy_only=False).astype(bool)
+                index, sizes = index[np.repeat(teaches, sizes)], sizes[teaches]
+                if not len(sizes):
+                    continue
+            starts = np.cumsum(sizes, dtype=np.int64) - sizes
+            before = np.empty(len(index), np.uint16)
+            before[1:] = inputs.inputs(told["last"]).astype(np.uint16)[index[:-1]]
+            before[starts] = attention.START
+            yield row, Part(starts, before, told["first"][index], told["own"][index], told["c"][index])
+
+
+def _outer(complete: DataFrame, inputs: Vocabulary, outside: Vocabulary, n: int) -> tuple[Net, float]:
+    """The net of first subwords, from every training token; and the weight of the corpus's shares, by expectation and
+    maximisation over each part's tokens, each of which is left out of its own share."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, p in _parts(batches, inputs, True):
+
+            def tell(logs: np.ndarray, p=p) -> np.ndarray:
+                odds = (p.c - 1) / max(1, n - 1) * np.exp(-np.maximum(logs + p.own, -600.0))
+                weight = 0.5
+                for _ in range(8):
+                    weight = float((weight * odds / (weight * odds + 1 - weight)).mean())
+                return np.array([weight * len(odds), len(odds)])
+
+            yield p.before, p.first, p.starts, np.ones(len(p.first)), tell
+
+    net, told = _fitted(complete, parts, outside, 2)
+    return net, float(np.clip(told[0] / told[1], 0.01, 0.99)) if told[1] else 0.5
+
+
+@dataclass
+class Model:
+    """What texts are scored by: the net of first subwords, the corpus's weight, training tokens and distinct ones."""
+
+    inputs: Vocabulary
+    outer: Net
+    corpus: float
+    n: int
+    v: int
+
+    def scores(self, scorer: attention.Scorer, p: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text of a part: known tokens, base score, score."""
+        logs = self.outer.log_probability(scorer, p.before, p.first, p.starts) + p.own
+        with np.errstate(divide="ignore"):
+            shares = np.log(p.c / max(1, self.n))
+        mixed = np.logaddexp(np.log(1 - self.corpus) + logs, np.log(self.corpus) + shares) / np.log(10)
+        base = np.log10(p.c + 1) - np.log10(self.n + self.v + 1)
+        return tuple(np.add.reduceat(x, p.starts) for x in ((p.c > 0).astype(np.int64), base, mixed))
+
+
+def _score(complete: DataFrame, model: Model) -> DataFrame:
+    kind = complete.schema["ids"].dataType.elementType
+    id_type = to_arrow_type(kind)
+    made = complete.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = made.value
+        scorer = attention.Scorer(m.outer.weights, m.outer.outputs)
+        for row, p in _parts(batches, m.inputs, False):
+            known, base, score = m.scores(scorer, p)
+            ids, sizes = row.column("ids").flatten(), row.column("sizes").flatten()
+            columns = [ids.cast(id_type), sizes.cast(pa.int64()), pa.array(known), pa.array(base), pa.array(score)]
+            yield pa.record_batch(columns, names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    return complete.mapInArrow(run, f"id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """One row per row of docs: id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words between ASCII white space, A-Z lowered, then one end; a null text has the end alone. base_score
-    adds up log10((c + 1) / (N + V + 1)) over them, with c, N, V counted over all training texts, exactly. score is
-    log10 of the probability that the attention model gives the text's subwords and its end. Rows are told apart by a
-    hash of id and text, so ids may repeat or be null and equal rows get equal scores; an empty table gives no rows.
+    adds up log10((c + 1) / (N + V + 1)) over them, with c, N, V counted over all training texts, exactly. score is log10
+    of the model's probability of the text; the model learns from all training texts. Rows where `training` is null don't
+    teach. Ids may repeat or be null; equal texts get equal scores; an empty table gives no rows; other columns are not read.
+    A text is held whole by the task that scores it: beside its bytes, a very long one takes some 60 bytes a token.
 
-    Frequent words (at most HEAVY of them) are counted by themselves; the others are dealt by word, each of which is too
-    rare to weigh on one task. path names a byte-level vocabulary file that every node has.
+    Words are dealt by word, with a row for each chunk of texts that has it. path names a byte-level vocabulary file
+    that every node has.
     """
-    spark = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("key"), text.alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    seen = rows.where("train").select("key", "text")
-    sights = cut(_sighted(seen, path), "sights")
-    whole = {r["subword"]: r["n"] for r in sights.where("word is null and subword < 0").collect()}
-    n, ends = whole.get(-1, 0), whole.get(-2, 0)
-    heavy = {bytes(r["word"]) for r in sights.where((F.col("word").isNotNull()) & (F.col("n") * HEAVY >= n)).select("word").toLocalIterator()}
-    size = subwords_of(path).end + 1
-    counts = np.zeros(size)
-    for r in sights.where("word is null and subword >= 0").collect():  # bounded by the vocabulary
-        counts[r["subword"]] = r["n"]
-    vocabulary = spark.sparkContext.broadcast(Vocabulary.of(counts))
-    outputs = spark.sparkContext.broadcast(_outputs(seen, vocabulary, path))
-    sample = seen.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(TRAIN_EVERY)) == 0)
-    weights = spark.sparkContext.broadcast(_train(sample, vocabulary, outputs, path))
-
-    rare = _rare_rows(rows.select("key", "text", "train"), spark.sparkContext.broadcast(heavy))
-    word = W.partitionBy("word").orderBy("key").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rare = rare.withColumn("c", F.sum(F.when(F.col("train"), F.col("tf")).otherwise(0)).over(word))
-    rare = rare.withColumn("new", (F.row_number().over(W.partitionBy("word").orderBy("key")) == 1) & (F.col("c") > 0))
-    sums = rare.groupBy("key", F.when(F.col("key").isNull(), F.col("word")).alias("word")).agg(
-        F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum("head").alias("copies"), F.sum(F.col("new").cast("int")).alias("new"),
-    )
-    sums = cut(sums, "sums")
-    v = (sums.agg(F.sum("new")).first()[0] or 0) + (1 if ends else 0)
-    # all of a heavy word's rows are training ones, so what is known of it is its count
-    exact = {bytes(r["word"]): (float(np.log10(r["known"] + 1)), 1) for r in sums.where("key is null").select("word", "known").toLocalIterator()} | {b"": (float(np.log10(ends + 1)), int(ends > 0))}
-    exact = spark.sparkContext.broadcast(exact)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, vocab, out = exact.value, vocabulary.value, outputs.value
-        encoder = Encoder(path, lambda word: told.get(word, (0.0, 0)))
-        scorer = attention.Scorer(weights.value, out)
-        for at, batch, texts, ids, starts, words, inputs, ranks, places in _ranked(batches, encoder, vocab):
-            live = places >= 0
-            logs = np.empty(len(ids))
-            logs[places[live]] = scorer.log_probability(inputs, out.targets(ranks[places]))[live]
-            scores = np.add.reduceat(logs / np.log(10) + vocab.share[ids], starts)
-            rows_at = pa.array(at)
-            counts = pa.array([len(t) + 1 for t in texts], pa.int64())
-            yield pa.record_batch(
-                [batch.column("id").take(rows_at), batch.column("key").take(rows_at), pa.array(words[:, 0]), pa.array(words[:, 1].astype(np.int64)), counts, pa.array(scores)],
-                names=["id", "key", "heavy", "sure", "n_tokens", "score"],
-            )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.select("id", "key", "text").mapInArrow(run, f"id {kind}, key long, heavy double, sure long, n_tokens long, score double")
-    found = scored.join(sums.where("key is not null").select("key", "logs", "known", "copies"), "key", "left")
-    each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    return found.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("sure") + F.round(each("known")).cast("long")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("heavy") + each("logs") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), "score",
-    )
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    chunks = cut(_numbered(rows), "chunks")
+    words = cut(_words(chunks), "words")
+    settle(docs.sparkSession)
+    known = words.where("head and c > 0").select("word", "c")
+    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    inputs, outside, inside = _ranks(known, path)
+    inner = docs.sparkSession.sparkContext.broadcast(_inner(known, inputs, inside, path))
+    complete = cut(_complete(chunks, _told(words, inputs, inner, path)), "complete")
+    discard(chunks, words)
+    settle(docs.sparkSession)
+    outer, corpus = _outer(complete, inputs, outside, n)
+    found = _score(complete, Model(inputs, outer, corpus, n, v))
+    return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
