@@ -7,7 +7,7 @@ from photonflow.llm import langid
 
 
 def test_counts_equal_one_text_at_a_time():
-    texts = ["", "a", "Ab cd", "  é!!ß \n x", "日本 語", "𝔸𝔹c", "123"]
+    texts = ["", "a", "Ab cd", "  é!!ß \n x", "日本 語", "𝔸𝔹c", "123", "😀 😀", "𐐀😀"]
     whole, has = langid.counts([t.encode() for t in texts])
     assert list(has) == [any(ch.isalpha() for ch in t) for t in texts]
     for t, row in zip(texts, whole, strict=True):

@@ -51,3 +51,23 @@ def test_run_equals_brute_force(spark, tmp_path):
         sums[r.doc_id] = sums.get(r.doc_id, 0) + r.n_tokens
         assert r.n_tokens <= r.bucket_tokens <= packing.MAX_TOKENS
     assert sums == totals
+
+
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, tmp_path):
+    rng = random.Random(12)
+    pool = ["".join(rng.choice(["ka", "to", "mi", "re", "su"]) for _ in range(rng.randrange(1, 5))) for _ in range(900)]
+    texts = [" ".join(rng.choice(pool) for _ in range(120)) for _ in range(30)]
+    rows = [(i, t, "xx", "s", len(t)) for i, t in enumerate(texts)] + [(40, texts[0], "xx", None, None), (40, texts[0], "xx", None, None), (None, texts[1], None, "s", 1), (41, None, None, None, None)]
+    names = ("_key", "key", "_new", "new", "found", "_id", "row", "raw", "_raw", "kept", "_kept", "lost", "_gone", "id", "fp", "hash")
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, " ".join(texts[2].split()[:15]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, some, str(tmp_path))
+            assert after.columns == docs.columns
+            found = after.collect()
+            assert all(r[n] == n for r in found for n in names)
+            some = spark.createDataFrame(found, docs.schema)
+        assert {r.doc_id for r in found} <= {*range(30), None} and len(found) in (0, 31)
+        packed = corpus_pipeline.STAGES[-1][1](spark, some, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in found}
