@@ -146,19 +146,37 @@ def two_opt(xy: np.ndarray, epsilon: float = 1e-3, rounds: int = 60) -> np.ndarr
     return r
 
 
-def route_order(points: DataFrame, x: str, y: str, chunk: float, row_id: str, epsilon: float = 1e-3) -> DataFrame:
-    """Points in the order of a route: grid cells of size `chunk` in boustrophedon rows, a 2-opt route inside each."""
+def route_order(points: DataFrame, x: str, y: str, chunk: float, row_id: str, epsilon: float = 1e-3, most: int = 1000, depth: int = 24) -> DataFrame:
+    """Points in the order of a route: grid cells of size `chunk` in boustrophedon rows, a 2-opt route inside each.
+
+    Cells of more than `most` points are quartered, again and again, so that no task gets a large one; `within` is the way through the
+    quarters. Only points of one place may stay together beyond it.
+    """
+    kind = dict(points.dtypes)[row_id]
     cells = points.select(F.col(row_id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.floor(F.col(x) / chunk).alias("cx"), F.floor(F.col(y) / chunk).alias("cy"))
+    cells = cells.withColumns({"within": F.array().cast("array<int>"), "left": F.col("cx") * chunk, "low": F.col("cy") * chunk})
+    size, cell = float(chunk), ["cx", "cy", "within"]
+    for _ in range(depth):
+        crowded = cells.groupBy(*cell).count().where(F.col("count") > most).select(*cell, F.lit(True).alias("split"))
+        if not crowded.take(1):
+            break
+        size /= 2
+        up, right = (F.col("y") >= F.col("low") + size).cast("int"), (F.col("x") >= F.col("left") + size).cast("int")
+        step = F.array(up, F.when(up == 0, right).otherwise(1 - right))
+        found = cells.join(crowded, cell, "left")
+        cells = found.select(
+            "id", "x", "y", "cx", "cy", F.when(F.col("split"), F.concat("within", step)).otherwise(F.col("within")).alias("within"),
+            (F.col("left") + F.when(F.col("split"), right * size).otherwise(0.0)).alias("left"), (F.col("low") + F.when(F.col("split"), up * size).otherwise(0.0)).alias("low"),
+        ).checkpoint()
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["x", "y", "id"]).reset_index(drop=True)
         part = part.iloc[two_opt(part[["x", "y"]].to_numpy(), epsilon)]
-        return part.assign(place=np.arange(len(part)))[["id", "cx", "cy", "place"]]
+        return part.assign(place=np.arange(len(part)))[["id", "cx", "cy", "within", "place"]]
 
-    kind = dict(points.dtypes)[row_id]
-    routed = cells.groupBy("cx", "cy").applyInPandas(scan, f"id {kind}, cx long, cy long, place long")
+    routed = cells.select("id", "x", "y", *cell).groupBy(*cell).applyInPandas(scan, f"id {kind}, cx long, cy long, within array<int>, place long")
     across = F.when(F.col("cy") % 2 == 0, F.col("cx")).otherwise(-F.col("cx"))
-    return routed.select(F.col("id").alias(row_id), "cy", across.alias("across"), "place").orderBy("cy", "across", "place")
+    return routed.select(F.col("id").alias(row_id), "cy", across.alias("across"), "within", "place").orderBy("cy", "across", "within", "place")
 
 
 def link_frame(before: np.ndarray, now: np.ndarray, ids: np.ndarray, p_new: float, r0: float, cutoff: float) -> np.ndarray:

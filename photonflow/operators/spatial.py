@@ -1,7 +1,7 @@
 """Distance joins on a grid of cells, and the statistics that follow from them.
 
 Points meet only in equal or neighbouring cells, so a join is on cell keys. Crowded cells are no worse than the pairs
-they really hold; callers choose the radius.
+they really hold; callers choose the radius. The join is one that Spark's adaptive execution splits where a partition is skewed.
 """
 
 from __future__ import annotations

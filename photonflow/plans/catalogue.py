@@ -471,6 +471,7 @@ def gmm_label(spark, sf_dir):
 
 @query()
 def tsp_order(spark, sf_dir):
+    _shared(spark)
     return clumping.route_order(points_of(spark, sf_dir), "x", "y", 0.2, "vec_id")
 
 
@@ -775,8 +776,8 @@ def vector_norm_angle(spark, sf_dir):
 @query(FIELD + " SELECT vec_id, pos, round((a * 3 + b * 4) / 5, 9) AS parallel, round((b * 3 - a * 4) / 5, 9) AS perpendicular FROM f WHERE pos < 32")
 def vector_projection(spark, sf_dir):
     frames = image_frames(spark, sf_dir).select("vec_id", F.slice("pixels", 1, 32).alias("a"), F.slice("pixels", 33, 32).alias("b"))
-    along = [F.transform("a", lambda _, k=k: F.lit(k)) for k in (3.0, 4.0)]
-    out = vectors.project_on(F.col("a"), F.col("b"), *along)
+    along_x, along_y = F.transform("a", lambda _: F.lit(3.0)), F.transform("a", lambda _: F.lit(4.0))
+    out = vectors.project_on(F.col("a"), F.col("b"), along_x, along_y)
     each = frames.select("vec_id", F.posexplode(F.arrays_zip(*(v.alias(n) for n, v in out.items()))).alias("pos", "v"))
     return rounded(each.select("vec_id", "pos", "v.parallel", "v.perpendicular"), "parallel", "perpendicular", places=9)
 

@@ -245,3 +245,15 @@ def test_subset_does_not_depend_on_layout(spark):
     df = spark.createDataFrame([(i, f"n{i}") for i in range(200)], "i int, n string")
     draws = {tuple(sorted(r.i for r in tables.random_subset(df.repartition(k), 20).collect())) for k in (1, 3, 7)}
     assert len(draws) == 1 and draws != {tuple(sorted(r.i for r in tables.random_subset(df, 20, seed=1).collect()))}
+
+
+@pytest.mark.parametrize("most", [1000, 6])
+def test_routes_visit_every_point_once(spark, most):
+    rng = random.Random(11)
+    rows = [(i, rng.random() * 4, rng.random() * 4) for i in range(150)] + [(200 + i, 1.5, 1.5) for i in range(9)]
+    df = spark.createDataFrame(rows, "i long, x double, y double")
+    got = [r.i for r in clumping.route_order(df, "x", "y", 2.0, "i", most=most, depth=6).collect()]
+    assert sorted(got) == sorted(r[0] for r in rows)
+    at = {r[0]: r[1:] for r in rows}
+    length = lambda order: sum(math.dist(at[a], at[b]) for a, b in zip(order, order[1:]))
+    assert length(got) < 0.35 * length([r[0] for r in rows])
