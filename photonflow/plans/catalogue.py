@@ -382,14 +382,14 @@ DIST = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
 def nearest_neighbour(spark, sf_dir):
     _shared(spark)
     p = points_of(spark, sf_dir).select("vec_id", *AXES)
-    return rounded(spatial.nearest(p, p, AXES, 0.02, "vec_id", same=True), "distance", places=9)
+    return rounded(spatial.nearest(p, p, AXES, 0.05, "vec_id", same=True), "distance", places=9)
 
 
 @query(f"WITH {POINTS}, d AS (SELECT a.label, a.vec_id, b.vec_id AS o, {DIST} AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1) SELECT label, vec_id, arg_min(o, (d, o)) AS pair, round(min(d), 9) AS distance FROM d GROUP BY 1, 2")
 def keep_pairs(spark, sf_dir):
     _shared(spark)
     p = points_of(spark, sf_dir)
-    return rounded(spatial.keep_pairs(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", AXES, "vec_id", 0.1), "distance", places=9)
+    return rounded(spatial.keep_pairs(p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1"), "label", AXES, "vec_id", 0.2), "distance", places=9)
 
 
 @query(f"WITH {POINTS}, h AS (SELECT CAST(floor({DIST} / 0.01) AS INTEGER) AS bin, count(*) AS n FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2 GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, round(i * 1e-2, 6) AS bin_left, coalesce(n, 0) AS n FROM range(0, 20) r(i) LEFT JOIN h ON bin = i")
