@@ -23,6 +23,8 @@ SHINGLE = 5
 RADIUS = 4
 #: Fingerprints compared in one tile of a block; larger blocks are dealt out as pairs of tiles.
 TILE = 2048
+#: Different fingerprints of an average block at most.
+BLOCK = 64
 #: Words of a wide fingerprint.
 WIDE = 4
 #: Differing bits of wide fingerprints within which pairs are candidates: texts that share 0.8 of their shingles differ in
@@ -246,16 +248,20 @@ def _masks(parts: int, equal: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(classes: DataFrame, radius: int = RADIUS, tile: int = TILE, equal: int | None = None) -> DataFrame:
     """classes: fp, rep, one row per fingerprint. Returns a, b: enough links for the components at this radius, all exact.
 
-    64 bits are cut into radius + 2 pieces; two fingerprints within the radius agree on two of them at least, so every
-    pair meets in the block of some choice of two pieces. A block of more than `tile` fingerprints is dealt out as
-    pairs of tiles, which keeps each task's work bounded and loses no pair.
+    64 bits are cut into radius + `equal` pieces; two fingerprints within the radius agree on `equal` of them at least, so every
+    pair meets in the block of some choice of so many pieces. The more fingerprints there are, the more pieces a block takes, so that
+    blocks of different fingerprints stay small: an average one has BLOCK of them at most (or 5 pieces, of 9 or more). A block of more than
+    `tile` is dealt out as pairs of tiles, which keeps each task's work bounded and loses no pair.
     """
     if not 0 <= radius <= 6:
         raise ValueError("radius must be 0 to 6")
-    masks = F.array(*(F.struct(F.lit(i).alias("pick"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(_masks(radius + 2, 2))))
+    if equal is None:
+        n = classes.count()
+        equal = next((k for k in range(2, 5) if n >> (64 * k // (radius + k)) <= BLOCK), 5)
+    masks = F.array(*(F.struct(F.lit(i).alias("pick"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(_masks(radius + equal, equal))))
     return block_links(classes.select("fp", "rep", F.explode(masks).alias("key")).select("fp", "rep", "key.*"), radius, tile)
 
 

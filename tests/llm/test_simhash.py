@@ -50,6 +50,20 @@ def test_link_blocks_equals_brute_force():
             start = c
 
 
+def test_pieces_of_any_number_cover_all_bits():
+    for radius in range(7):
+        for equal in range(2, 6):
+            masks = [m % (1 << 64) for m in simhash._masks(radius + equal, equal)]
+            assert len(set(masks)) == len(masks)
+            rng = random.Random(radius)
+            for _ in range(20):
+                x = rng.getrandbits(64)
+                y = x
+                for b in rng.sample(range(64), radius):
+                    y ^= 1 << b
+                assert any(x & m == y & m for m in masks)
+
+
 def test_near_duplicates_on_awkward_rows(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
@@ -63,8 +77,8 @@ def test_near_duplicates_on_awkward_rows(spark, monkeypatch):
             base[rng.randrange(300)] = "edit"
             rows.append((i + 1000, " ".join(base)))
     docs = spark.createDataFrame([(a, b, 1, "q") for a, b in rows], "doc_id long, text string, fp int, id string")
-    for tile in (2048, 4):
-        monkeypatch.setattr(simhash.links, "__defaults__", (4, tile))
+    for tile, equal in ((2048, None), (4, 3)):
+        monkeypatch.setattr(simhash.links, "__defaults__", (4, tile, equal))
         got = simhash.near_duplicates(docs, shingle=4).collect()
         assert len(got) == len(rows)
         fps = {a: slow_fingerprint(b) for a, b in rows if a is not None}
