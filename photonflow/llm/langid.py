@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from photonflow.llm.common import byte_rows
+from photonflow.llm.common import byte_rows, cut
 
 #: Hashed features; n-gram orders; centroids of a language.
 FEATURES = 2048
@@ -148,7 +148,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     for r in labelled.select("id", "text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
     idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1).astype(np.float32)
-    shares = labelled.groupBy(F.col("lang").alias("known")).agg((sample / F.count("*")).alias("share"))
+    # written, so that Spark knows the size of what has a row a language: texts stay where they are while it is small
+    shares = cut(labelled.groupBy(F.col("lang").alias("known")).agg((sample / F.count("*")).alias("share")), "shares")
     place = F.xxhash64("id", "lang", "text")
     drawn = labelled.withColumn("place", place).join(shares, F.col("lang") == F.col("known"))
     drawn = drawn.where(F.shiftrightunsigned("place", 11) / float(1 << 53) < F.col("share"))
