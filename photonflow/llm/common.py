@@ -114,11 +114,13 @@ def before_ranges(sums: DataFrame, group: str, value: str) -> DataFrame:
 def numbered(rows: DataFrame, group: str, *order: str, out: str) -> DataFrame:
     """rows with their gapless numbers from 0 inside each group (no nulls), in the given order; equal rows in any order.
 
-    Rows are dealt by range, so that a group of any size is numbered by many tasks and in the same way at any size.
+    Rows are dealt by range, so that a group of any size, or rows of one place in the order, are numbered by many tasks and in the same
+    way at any size. rows should be scanned tables or what cut() gives, so that a task that is run again deals them alike.
     """
-    placed = ranged(rows, group, *order)
-    counts = before_ranges(placed.groupBy(group, "_part").agg(F.count("*").alias("_n")), group, "_n").drop("_n")
-    # a row a range and one more a group at most
-    placed = placed.join(F.broadcast(counts), [group, "_part"])
+    tie = unused(rows, "_tie")
+    placed = ranged(rows.withColumn(tie, F.monotonically_increasing_id()), group, *order, tie).drop(tie)
+    # a row a range and one more a group at most; written, so that Spark knows their size
+    counts = cut(before_ranges(placed.groupBy(group, "_part").agg(F.count("*").alias("_n")), group, "_n").drop("_n"), "counts")
+    placed = placed.join(counts, [group, "_part"])
     place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1
     return placed.withColumn(out, (F.col("_before") + place).cast("long")).drop("_part", "_before")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from photonflow.llm import decontam, exact, langid, license, packing, quality, scoring, sharding, simhash, substring, warc
+from photonflow.llm import decontam, exact, langid, license, merkle, packing, quality, resample, scoring, sharding, simhash, substring, warc
 from photonflow.llm.common import table
 
 
@@ -58,13 +58,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, ~held_out).withColumn("held_out", held_out)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": substring.SQL, "op5_packing": packing.SQL, "op6_warc": warc.SQL, "op7_decontamination": decontam.SQL, "op12_exact_dedup": exact.SQL}
+    return {"op4_substring": substring.SQL, "op5_packing": packing.SQL, "op6_warc": warc.SQL, "op7_decontamination": decontam.SQL, "op11_importance": resample.SQL, "op12_exact_dedup": exact.SQL, "op13_merkle": merkle.SQL}
