@@ -100,16 +100,16 @@ def frame_filter(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray])
 
 
 def gaussian(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
-    """A Gaussian blur with reflected edges, four deviations wide."""
+    """A Gaussian blur of a frame, or of each frame of a stack, with reflected edges, four deviations wide."""
     reach = max(1, int(4 * sigma + 0.5))
     k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     k /= k.sum()
 
     def blur(image: np.ndarray) -> np.ndarray:
-        for axis in (0, 1):
-            padded = np.pad(image, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+        for axis in (image.ndim - 2, image.ndim - 1):
+            padded = np.pad(image, [(reach, reach) if a == axis else (0, 0) for a in range(image.ndim)], mode="symmetric")
             n = image.shape[axis]
-            parts = (padded[i : i + n] if axis == 0 else padded[:, i : i + n] for i in range(2 * reach + 1))
+            parts = (padded[..., i : i + n, :] if axis == image.ndim - 2 else padded[..., i : i + n] for i in range(2 * reach + 1))
             image = sum(w * part for w, part in zip(k, parts, strict=True))
         return image
 

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from photonflow.sources.shared import shared_dir
+
 #: Fixed values of the channel filter: least share of the channel, most of another, weight of the normaliser.
 P_DYE, P_OTHER, P_NORM = 0.1, 0.1, 0.01
 #: Ids listed in a filter as literals; longer lists become a join.
@@ -162,11 +164,12 @@ def in_cylinder(x: Column, y: Column, z: Column, centre: Sequence[float], axis:
 def numbered_rows(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """A gapless row number over all rows in the given order, from 0.
 
-    Rows are range partitioned and numbered inside ranges; the ranges' counts alone meet in one place.
+    Rows are range partitioned once, and kept so: bounds are sampled, so two exchanges would deal rows differently. They are numbered inside
+    ranges; the ranges' counts alone meet in one place.
     """
-    # a fixed number of partitions, so that both readers below see the same ones
-    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    shared_dir(df.sparkSession)
+    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     before = parts.groupBy("_part").count()
     before = before.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return parts.join(before, "_part").withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_before")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.join(before, "_part").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_before")

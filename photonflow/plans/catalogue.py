@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, asof, clumping, images, kernels, kinetics, localise, spatial, tables, vectors, windows
+from photonflow.operators import aggregates, asof, camera, clumping, images, kernels, kinetics, localise, spatial, tables, vectors, windows
 from photonflow.plans.recipe import Recipe
+from photonflow.sources.shared import scratch as _scratch, shared_dir as _shared
 from photonflow.sources.tabular import metadata_value
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -854,13 +855,39 @@ def ripley_masked(spark, sf_dir):
     return rounded(spatial.masked_ripley(p, mask, ("x", "y"), 5, 0.04, "vec_id", 1.0, 0.0025), "r", "K", places=9)
 
 
+def cameras_of(frames: DataFrame, electrons_per_count: float, noise_factor: float = 1.0, em_gain: float = 1.0) -> DataFrame:
+    """A camera for each label: its dark and variance maps from the label's own frames, an uneven flat map."""
+    maps = camera.maps_from_dark_frames(frames, "label", 8, 8, electrons_per_count=electrons_per_count)
+    return maps.withColumns({"flat": F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 1 + i / 128.0), "noise_factor": F.lit(noise_factor), "em_gain": F.lit(em_gain)})
+
+
+@query(
+    f"""WITH {PIXELS}, m AS (SELECT label, pos, avg(v) AS d, var_pop(v) * 0.25 AS s FROM u GROUP BY 1, 2),
+    c AS (SELECT vec_id, u.pos, s, (v - d) * (1 + u.pos / 128e0) AS c FROM u JOIN m ON m.label = u.label AND m.pos = u.pos)
+    SELECT vec_id, CAST((pos // 8 - 2) * 7 + pos % 8 - 1 AS INTEGER) AS pos, round(c, 6) AS value, round(sqrt(s + 1.96 * (0.5 * 2 * greatest(c, 1) + 4)) / 0.5, 6) AS sigma FROM c WHERE pos // 8 >= 2 AND pos % 8 >= 1"""
+)
+def camera_corrected(spark, sf_dir):
+    """Regions of frames, corrected by their part of the chip's maps, with the noise of each pixel."""
+    frames = image_frames(spark, sf_dir)
+    regions = images.crop(frames, (2, -1), (1, -1)).withColumns({"camera": F.col("label"), "roi_x": F.lit(1), "roi_y": F.lit(2)})
+    out = camera.correct(regions, cameras_of(frames, 0.5, 1.4, 2.0))
+    return rounded(out.select("vec_id", F.posexplode(F.arrays_zip("pixels", "sigma")).alias("pos", "p")).select("vec_id", "pos", F.col("p.pixels").alias("value"), F.col("p.sigma").alias("sigma")), "value", "sigma")
+
+
 @query()
 def localise_gaussian(spark, sf_dir):
-    """Spots of the frames and their Gaussian fits; a kernel of numpy, tested on drawn spots."""
-    out = localise.localise(image_frames(spark, sf_dir), ["vec_id"], half=2, sigma=1.0, snr=3.0, apart=3)
+    """Spots of the frames and their Gaussian fits, weighed by the maps of the frames' cameras; tested on drawn spots."""
+    frames = image_frames(spark, sf_dir).withColumns({"camera": F.col("label"), "roi_x": F.lit(0), "roi_y": F.lit(0)})
+    out = localise.localise(camera.correct(frames, cameras_of(frames, 1000.0)), ["vec_id"], half=2, sigma=1.0, snr=2.0, apart=3)
     return rounded(out.select("vec_id", "x0", "y0", "sigma", "A", "settled"), "x0", "y0", "sigma", "A", places=3)
 
 
+@query()
+def detect_points(spark, sf_dir):
+    """Places of point-like objects in the frames, held against a plain model in the tests."""
+    return rounded(localise.detect_points(image_frames(spark, sf_dir), ["vec_id"], 0.05, snr=False, radius=2, edge=1), "x", "y")
+
+
 @query(
     f"""WITH {EVENTS}, s AS (SELECT user_id, t, event_id, value, coalesce(sqrt((value - lag(value) OVER w) ** 2), 0) AS step FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t * 1000000 + event_id)),
     a AS (SELECT user_id, count(*) AS n, min(t * 1000000 + event_id) AS start, max(t * 1000000 + event_id) AS stop, sum(step) AS path, arg_min(value, t * 1000000 + event_id) AS v0, arg_max(value, t * 1000000 + event_id) AS v1 FROM s GROUP BY 1)
@@ -914,30 +941,3 @@ def stream_merge_clumps(spark, sf_dir):
     last = clumps.merge_by_label(stream, "user_id", "t", "value").writeStream.outputMode("complete").option("checkpointLocation", f"{target}-state").trigger(availableNow=True)
     last.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(target)).start().awaitTermination()
     return rounded(spark.read.parquet(target), "total", places=4)
-
-
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named."""
-    import atexit
-    import shutil
-    import tempfile
-
-    context = spark.sparkContext
-    local = context.master == "local" or context.master.startswith("local[")
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not local:
-        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-    if not named:
-        own = tempfile.mkdtemp(prefix="photonflow-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        named = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"

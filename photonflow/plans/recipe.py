@@ -10,7 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, clumping, images, kernels, localise, spatial, tables, vectors, windows
+from photonflow.operators import aggregates, camera, clumping, images, kernels, localise, spatial, tables, vectors, windows
 from photonflow.sources.tabular import read_table, write_table
 
 
@@ -289,9 +289,14 @@ def _fit_points(df: DataFrame, points: DataFrame, roiHalfSize: int = 7, sigma: f
 
 
 @operator("DetectPoints2D", "input_name", output="output_name")
-def _detect(df: DataFrame, snr_threshold: float = 5.0, sigma: float = 1.2, debounce_radius: int = 4) -> DataFrame:
+def _detect(df: DataFrame, threshold: float = 1.0, debounce_radius: int = 4, snr_threshold: bool = True, multithreshold: bool = False, edge_mask_width: int = 5, filter_radius_lowpass: float = 1.0, filter_radius_highpass: float = 3.0, blur_radius: float = 1.5) -> DataFrame:
     keys = [k for k in FRAME_KEYS if k in df.columns]
-    return localise.localise(df, keys, 2, sigma, snr_threshold, debounce_radius).select(*keys, F.col("x0").alias("x"), F.col("y0").alias("y"))
+    return localise.detect_points(df, keys, threshold, snr_threshold, multithreshold, filter_radius_lowpass, filter_radius_highpass, debounce_radius, edge_mask_width, blur_radius)
+
+
+@operator("FlatfiledAndDarkCorrect", "inputImage", "inputCameras")
+def _camera(df: DataFrame, cameras: DataFrame) -> DataFrame:
+    return camera.correct(df, cameras)
 
 
 @operator("PointFeaturesPairwiseDist", "inputLocalisations")

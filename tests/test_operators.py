@@ -257,3 +257,13 @@ def test_routes_visit_every_point_once(spark, most):
     at = {r[0]: r[1:] for r in rows}
     length = lambda order: sum(math.dist(at[a], at[b]) for a, b in zip(order, order[1:]))
     assert length(got) < 0.35 * length([r[0] for r in rows])
+
+
+def test_row_numbers_are_distinct_beyond_a_sample(spark):
+    """Enough rows that range bounds are sampled, and a payload that one of the two readers doesn't need."""
+    n = 2_000_000
+    rows = spark.range(0, n, 1, 16).selectExpr("(id * 7919) % 1000003 + id / 4e6 AS v", "concat('payload-', id) AS payload")
+    got = tables.numbered_rows(rows, ["v"])
+    told = got.selectExpr("count(distinct row_id) AS d", "min(row_id) AS low", "max(row_id) AS high", "count(distinct payload) AS p").first()
+    assert (told.d, told.low, told.high, told.p) == (n, 0, n - 1, n)
+    assert got.selectExpr("v - lag(v) over (partition by row_id div 1000 order by row_id) AS step").where("step < 0").count() == 0
