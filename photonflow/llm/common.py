@@ -124,3 +124,19 @@ def numbered(rows: DataFrame, group: str, *order: str, out: str) -> DataFrame:
     placed = placed.join(counts, [group, "_part"])
     place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1
     return placed.withColumn(out, (F.col("_before") + place).cast("long")).drop("_part", "_before")
+
+
+#: Groups of more than one row in so many are joined by broadcast; there can't be more of them than this.
+HEAVY = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with what is told of their group: groups has a row for each key (no nulls) and `count`, its number of rows.
+
+    The heavy groups, fewer than HEAVY, are joined by broadcast, the rest as Spark sees fit, so that no task gets a large group.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    heavy = F.broadcast(groups.where(F.col(count) * HEAVY > total))
+    one = rows.join(heavy, key)
+    other = rows.join(heavy.select(key), key, "left_anti").join(groups, key)
+    return one.unionByName(other)

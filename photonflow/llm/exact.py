@@ -9,13 +9,10 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from photonflow.llm.common import cut, discard, shared_path
+from photonflow.llm.common import cut, discard, join_groups, shared_path
 
 #: What doesn't count in a text: `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\x0c\r"
-#: Groups of more than one row in so many are joined by broadcast; there can't be more of them than this.
-HEAVY = 10_000
-
 
 def digest(text: Column) -> Column:
     """Lower-case hex SHA-256 of a text without ASCII white space; null counts as empty."""
@@ -91,13 +88,9 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     placed = heads.repartition(index.buckets, "digest").join(index.best().hint("merge"), "digest")
     found = cut(placed.select("digest", "keep_id", F.when(F.col("id").eqNullSafe(F.col("keep_id")), F.col("row")).alias("keep_row"), "group_size"), "found")
     discard(heads)
-    rows = found.agg(F.sum("group_size")).first()[0] or 0
-    heavy = F.broadcast(found.where(F.col("group_size") * HEAVY > rows))
-    told = told.select("id", "digest", "row")
-    one = told.join(heavy, "digest")
-    other = told.join(heavy.select("digest"), "digest", "left_anti").join(found, "digest")
+    told = join_groups(told.select("id", "digest", "row"), found, "digest", "group_size")
     kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))
-    return one.unionByName(other).select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    return told.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 SQL = r"""
