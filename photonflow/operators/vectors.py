@@ -74,13 +74,14 @@ def project_on(x: Column, y: Column, along_x: Column, along_y: Column) -> dict[s
     return {"parallel": F.zip_with(dot, unit, F.try_divide), "perpendicular": F.zip_with(cross, unit, F.try_divide)}
 
 
-def gradient(pixels: Column, width: int, across: bool = True) -> Column:
+def gradient(pixels: Column, width: int | Column, across: bool = True) -> Column:
     """Central differences of a frame (an array, row by row) along its rows, or down its columns; one-sided at the edges."""
-    step = 1 if across else width
+    width = F.lit(width) if isinstance(width, int) else width
+    step = F.lit(1) if across else width
     at = lambda i: F.element_at(pixels, i + 1)
     last = (lambda i: i % width == width - 1) if across else (lambda i: i + width >= F.size(pixels))
     first = (lambda i: i % width == 0) if across else (lambda i: i < width)
-    only = F.size(pixels) <= (1 if across else width)
+    only = F.size(pixels) <= step
 
     def slope(_: Column, i: Column) -> Column:
         low, high = F.when(first(i), i).otherwise(i - step), F.when(last(i), i).otherwise(i + step)

@@ -10,17 +10,21 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, camera, clumping, images, kernels, localise, spatial, tables, vectors, windows
+from photonflow.operators import aggregates, camera, clumping, flow, images, kernels, localise, registration, shells, spatial, tables, vectors, volumes, windows
 from photonflow.sources.tabular import read_table, write_table
 
 
 @dataclass(frozen=True)
 class Operator:
-    """inputs: parameter names that hold table names; run takes the tables and the other parameters."""
+    """inputs: parameter names that hold table names; run takes the tables and the other parameters. Inputs named in `optional` may be left out (None).
+
+    output: the parameter that names the result, or several for an operator of several results, in order; results that are not named are not kept.
+    """
 
     inputs: tuple[str, ...]
-    run: Callable[..., DataFrame]
-    output: str = "outputName"
+    run: Callable[..., DataFrame | tuple[DataFrame, ...]]
+    output: str | tuple[str, ...] = "outputName"
+    optional: tuple[str, ...] = ()
 
 
 OPERATORS: dict[str, Operator] = {}
@@ -28,9 +32,9 @@ OPERATORS: dict[str, Operator] = {}
 LEGACY = {"tablefilters.FilterTable": "FilterTable", "tablefilters.Mapping": "Mapping", "localisations.MergeClumps": "MergeClumps"}
 
 
-def operator(name: str, *inputs: str, output: str = "outputName"):
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        OPERATORS[name] = Operator(inputs, f, output)
+def operator(name: str, *inputs: str, output: str | tuple[str, ...] = "outputName", optional: tuple[str, ...] = ()):
+    def add(f: Callable[..., Any]) -> Callable[..., Any]:
+        OPERATORS[name] = Operator((*inputs, *optional), f, output, optional)
         return f
 
     return add
@@ -268,9 +272,76 @@ def _join_channels(a: DataFrame, b: DataFrame) -> DataFrame:
     return images.join_channels([a, b])
 
 
-@operator("Gradient2D", "inputName", output="outputX")
-def _gradient(df: DataFrame, width: int, across: bool = True) -> DataFrame:
-    return df.withColumn("pixels", vectors.gradient(F.col("pixels"), width, across))
+@operator("Gradient2D", "inputName", output=("outputNameX", "outputNameY"))
+def _gradient(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.withColumn("pixels", vectors.gradient(F.col("pixels"), F.col("width"), across)) for across in (True, False))
+
+
+def _volume_keys(df: DataFrame) -> list[str]:
+    return [k for k in FRAME_KEYS if k in df.columns and k != "z"]
+
+
+@operator("Gradient3D", "inputName", output=("outputNameX", "outputNameY", "outputNameZ"))
+def _gradient3d(df: DataFrame, units: str = "intensity/pixel", voxelsize: list[float] = (1000.0, 1000.0, 1000.0)) -> tuple[DataFrame, ...]:
+    """voxelsize (nm) counts where units are intensity/um."""
+    size = [v / 1e3 for v in voxelsize] if units == "intensity/um" else (1.0, 1.0, 1.0)
+    found = volumes.gradient3d(df, _volume_keys(df), size)
+    return tuple(found.withColumn("pixels", F.col(f"grad_{c}")).drop("grad_x", "grad_y", "grad_z") for c in "xyz")
+
+
+@operator("OpticalFlow", "inputName", output=("outputNameX", "outputNameY"))
+def _flow(df: DataFrame, filterRadius: float = 1.0, supportRadius: float = 10.0, regularizationLambda: float = 0.0, seriesKey: str = "series") -> tuple[DataFrame, DataFrame]:
+    found = flow.optical_flow(df, seriesKey, "t", filterRadius, supportRadius, regularizationLambda)
+    return tuple(found.withColumn("pixels", F.col(f"flow_{c}")).drop("flow_x", "flow_y") for c in "xy")
+
+
+@operator("Watershed", "inputImage", "inputMarkers", optional=("inputMask",))
+def _watershed(df: DataFrame, markers: DataFrame, mask: DataFrame | None) -> DataFrame:
+    return flow.watershed(df, markers, _keys(df, markers), mask)
+
+
+@operator("ColocalisationEDT", "inputImage", "inputMask", output="outputTable", optional=("inputImageB", "inputRoiMask"))
+def _coloc_edt(df: DataFrame, mask: DataFrame, other: DataFrame | None, roi: DataFrame | None, minimumDistanceNM: float = -500.0, maximumDistanceNM: float = 2000.0, binSizeNM: float = 100.0, voxelsize: list[float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    keys = [k for k in _volume_keys(df) if k in mask.columns]
+    stripes = volumes.feature_transform(mask, keys, voxelsize)
+    told = lambda image: volumes.distance_colocalisation(image, stripes, keys, minimumDistanceNM, binSizeNM, maximumDistanceNM, roi)
+    if other is None:
+        return told(df)
+    return told(df).join(told(other).select(*keys, "bins", F.col("enrichment").alias("enrichment_m"), F.col("enclosed").alias("enclosed_m")), [*keys, "bins"])
+
+
+@operator("CalibrateShifts", "input_name", output="output_name")
+def _calibrate(df: DataFrame, search_radius_nm: float = 250.0, clump: str = "clumpIndex", channel: str = "multiviewChannel") -> DataFrame:
+    return registration.calibrate_shifts(df, channel, clump, ("x", "y"), search_radius_nm)
+
+
+@operator("ShiftCorrect", "input_name", "shift_map", output="output_name")
+def _shift(df: DataFrame, shifts: DataFrame, channel: str = "multiviewChannel") -> DataFrame:
+    return registration.shift_correct(df, shifts, channel)
+
+
+@operator("FindClumpsWithinChannel", "input_name", output="output_name")
+def _channel_clumps(df: DataFrame, time_gap_tolerance: int = 1, radius_scale: float = 2.0, radius_offset_nm: float = 0.0, probe: str = "probe", rowKey: str = "row_id") -> DataFrame:
+    near = df.withColumn("_radius", F.col("error_x") * radius_scale + radius_offset_nm)
+    return registration.find_clumps_within_channel(near, probe, "t", "x", "y", "_radius", time_gap_tolerance, rowKey).drop("_radius")
+
+
+@operator("SphericalHarmonicShell", "input_name", output=("output_name", "output_name_mapped"))
+def _shell(df: DataFrame, max_n_mode: int = 3, max_iterations: int = 2, init_tolerance: float = 0.3, name_inside_shell: str = "inside_shell", name_distance_to_shell: str = "distance_to_shell", d_angles: float = 0.1, labels: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """labels: columns of which each value has a shell of its own."""
+    found = shells.fit_shells(df, labels, degree=max_n_mode, rounds=max_iterations, tolerance=init_tolerance)
+    placed = shells.shell_coordinates(df, found, labels).select(*df.columns, F.col("inside_shell").alias(name_inside_shell))
+    return found, shells.distance_to_shell(placed, found, labels, step=d_angles).withColumnRenamed("distance_to_shell", name_distance_to_shell)
+
+
+@operator("AddSphericalHarmonicShellMappedCoords", "input_localizations", "input_shell", output="output_mapped")
+def _shell_mapped(df: DataFrame, found: DataFrame, labels: list[str] = ()) -> DataFrame:
+    return shells.shell_coordinates(df, found, labels).drop("shell_radius", "inside_shell", "radial_distance")
+
+
+@operator("SHShellRadiusDensityEstimate", "input_shell", output="output")
+def _shell_density(found: DataFrame, r_bin_spacing: float = 0.05, sampling_nm: float = 75.0, labels: list[str] = ()) -> DataFrame:
+    return shells.radius_density(found, labels, sampling_nm, r_bin_spacing)
 
 
 @operator("VectorfieldNorm", "inputX", "inputY")
@@ -323,7 +394,7 @@ class Recipe:
     """Steps in any order of a YAML list of {operator: parameters}. Names are checked when the recipe is made."""
 
     def __init__(self, steps: list[Mapping[str, Mapping[str, Any]]]):
-        self.steps: list[tuple[Operator, dict[str, Any], str]] = []
+        self.steps: list[tuple[Operator, dict[str, Any], tuple[str | None, ...]]] = []
         outputs: set[str] = set()
         for step in steps:
             (name, given), = step.items()
@@ -331,11 +402,15 @@ class Recipe:
             if not found:
                 raise KeyError(f"no operator {name}")
             params = dict(given)
-            out = params.pop(found.output)
-            if out in outputs:
-                raise ValueError(f"two steps write {out}")
-            outputs.add(out)
-            self.steps.append((found, params, out))
+            names = (found.output,) if isinstance(found.output, str) else found.output
+            outs = tuple(params.pop(n) if len(names) == 1 else params.pop(n, None) for n in names)
+            if not any(outs):
+                raise KeyError(f"{name} needs one of {', '.join(names)}")
+            for out in filter(None, outs):
+                if out in outputs:
+                    raise ValueError(f"two steps write {out}")
+                outputs.add(out)
+            self.steps.append((found, params, outs))
 
     @classmethod
     def from_yaml(cls, text: str) -> Recipe:
@@ -346,12 +421,15 @@ class Recipe:
         known = dict(namespace)
         waiting = list(self.steps)
         while waiting:
-            ready = [s for s in waiting if all(s[1].get(i) in known for i in s[0].inputs)]
+            wanted = lambda s: [s[1].get(i) for i in s[0].inputs if i not in s[0].optional or s[1].get(i)]
+            ready = [s for s in waiting if all(i in known for i in wanted(s))]
             if not ready:
-                raise KeyError(f"no table for {sorted({s[1].get(i) for s in waiting for i in s[0].inputs} - set(known), key=str)}")
-            for op, params, out in ready:
+                raise KeyError(f"no table for {sorted({i for s in waiting for i in wanted(s)} - set(known), key=str)}")
+            for op, params, outs in ready:
                 rest = {k: v for k, v in params.items() if k not in op.inputs}
-                known[out] = op.run(*(known[params[i]] for i in op.inputs), **rest)
+                found = op.run(*(known[params[i]] if params.get(i) else None for i in op.inputs), **rest)
+                found = found if isinstance(found, tuple) else (found,)
+                known |= {out: df for out, df in zip(outs, found, strict=True) if out}
             waiting = [s for s in waiting if s not in ready]
         return known
 

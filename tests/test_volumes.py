@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from photonflow.operators import flow, volumes
+from photonflow.plans.recipe import Recipe
 
 
 def frames(spark, stack, key="k", zs=None):
@@ -165,3 +166,23 @@ def test_watershed_equals_a_plain_heap_and_splits_basins(spark):
     assert np.array_equal(np.array(got.pixels).reshape(20, 40)[:, :19], np.ones((20, 19))) and np.array_equal(np.array(got.pixels).reshape(20, 40)[:, 22:], np.full((20, 18), 2))
     (masked,) = flow.watershed(one, frames(spark, markers[None]), ["key", "z"], frames(spark, (x < 25)[None])).collect()
     assert set(np.array(masked.pixels).reshape(20, 40)[:, 25:].ravel()) == {0.0}
+
+
+def test_recipes_of_several_outputs(spark):
+    rng = np.random.default_rng(6)
+    stack = rng.random((3, 5, 6))
+    image = frames(spark, stack).withColumnRenamed("key", "series")
+    steps = """
+- Gradient2D: {inputName: image, outputNameX: gx, outputNameY: gy}
+- Gradient3D: {inputName: image, outputNameZ: gz}
+- SimpleThreshold: {inputName: image, threshold: 0.7, outputName: mask}
+- ColocalisationEDT: {inputImage: image, inputMask: mask, inputImageB: gx, minimumDistanceNM: -2, maximumDistanceNM: 4, binSizeNM: 1, outputTable: coloc}
+- Watershed: {inputImage: image, inputMarkers: mask, outputName: basins}
+"""
+    found = Recipe.from_yaml(steps).execute({"image": image})
+    told = lambda n: np.array([r.pixels for r in sorted(found[n].collect(), key=lambda r: r.z)]).reshape(stack.shape)
+    for name, axis in (("gx", 2), ("gy", 1), ("gz", 0)):
+        assert np.allclose(told(name), np.gradient(stack, axis=axis))
+    assert found["coloc"].count() == 5 and set(found["coloc"].columns) >= {"enrichment_m", "enclosed_m"} and (told("basins") == 1).all()
+    with pytest.raises(KeyError):
+        Recipe.from_yaml("- Gradient3D: {inputName: image}")
