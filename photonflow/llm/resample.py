@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from photonflow.llm.common import ALNUM, numbered
+from photonflow.llm.common import ALNUM, cut, numbered
 
 BUCKETS = 10_000
 ORDERS = 2
@@ -235,7 +235,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, least_words:
 
     Only bucket counts pass the driver; ranks are dealt by ranges of the score.
     """
-    found = weigh(docs, gains(bucket_counts(docs, text_col, size, orders), bucket_counts(target, target_text, size, orders)), id_col, text_col, orders)
+    gain = gains(bucket_counts(docs, text_col, size, orders), bucket_counts(target, target_text, size, orders))
+    found = cut(weigh(docs, gain, id_col, text_col, orders), "weights")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
