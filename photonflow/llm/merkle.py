@@ -103,8 +103,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group_col: str = "
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.concat(F.lit("g"), group), F.lit("")).alias("grp"),
         leaf([F.col(f"`{f}`") for f in fields]).alias("node"), *(also[name].alias(own) for own, name in named.items()),
     )
-    placed = numbered(rows, "grp", "id", "node", out="pos")
-    placed = cut(placed, "leaves")
+    placed = cut(numbered(cut(rows, "leaves"), "grp", "id", "node", out="pos"), "leaves")
     sizes = cut(placed.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
     levels, last = _levels(placed.join(sizes, "grp"))
     last = cut(last, "subroots")
