@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from photonflow.operators.spatial import self_pairs
+from photonflow.sources.shared import shared_dir
 
 
 @dataclass
@@ -67,11 +68,11 @@ def find_clumps(df: DataFrame, series: str, t: str, x: str, y: str, radius: str,
     return df.join(numbers, row_id)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component (the least id reachable) of nodes (id) by edges (a, b): least labels spread and are shortened every round."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (the least id reachable) of nodes (id) by edges (a, b): least labels spread and are shortened every round, until none changes."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     state = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(state, both["b"] == state["id"]).groupBy("a").agg(F.min("component").alias("low"))
         low = state.join(near, state["id"] == near["a"], "left").select("id", F.least("component", F.coalesce("low", "component")).alias("component"))
         up = low.select(F.col("id").alias("component"), F.col("component").alias("root"))
@@ -80,7 +81,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         state = new
         if not changed:
             return state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def dbscan(points: DataFrame, axes: Sequence[str], radius: float, minimum: int, row_id: str, out: str = "dbscanClumpID") -> DataFrame:
@@ -100,24 +100,39 @@ def dbscan(points: DataFrame, axes: Sequence[str], radius: float, minimum: int,
     return points.join(labels, row_id, "left").fillna(0, [out])
 
 
-def overlap_rejection(points: DataFrame, axes: Sequence[str], distance: float, row_id: str, out: str = "rejected", rounds: int = 500) -> DataFrame:
+def overlap_rejection(points: DataFrame, axes: Sequence[str], distance: float, row_id: str, out: str = "rejected", block: float = 32.0) -> DataFrame:
     """Greedy in order of row_id: a point is rejected if a kept earlier point is closer than the distance.
 
-    In rounds over the pairs that are still open: a point without an open earlier neighbour is kept and rejects its later
-    ones. No group of points is ever gathered; rounds are as many as the longest chain of decisions.
+    Pairs go to the block (a square of `block` distances) of their later point, and a task decides a block's points in order, as far as their
+    earlier neighbours are decided. What waits for a point of another block is left to the next round, so rounds follow the number of times that a
+    chain of decisions crosses blocks, not its length; the first open point is decided in every round.
     """
-    pairs = self_pairs(points.select(row_id, *axes), axes, distance, row_id).select(F.col(f"a.{row_id}").alias("a"), F.col(f"b.{row_id}").alias("b"))
-    open_ = pairs.checkpoint()
-    gone = None
-    for _ in range(rounds):
-        later = open_.select(F.col("b").alias("a")).distinct()
-        lost = open_.join(later, "a", "left_anti").select(F.col("b").alias("id")).distinct().checkpoint()
+    shared_dir(points.sparkSession)
+    pairs = self_pairs(points.select(row_id, *axes), axes, distance, row_id)
+    where = F.array(*(F.floor(F.col(f"b.{c}") / (block * distance)).cast("long") for c in axes))
+    open_ = pairs.select(F.col(f"a.{row_id}").alias("a"), F.col(f"b.{row_id}").alias("b"), where.alias("block")).checkpoint()
+    kind, gone = dict(open_.dtypes)["b"], None
+
+    def decide(group: pd.DataFrame) -> pd.DataFrame:
+        known: dict[object, bool | None] = {}
+        group = group.sort_values("b", kind="stable")
+        for b, a, waits in zip(group["b"], group["a"], group["waits"], strict=True):
+            earlier = known.get(a) if waits else True  # None: not decided yet, here or elsewhere
+            if known.get(b, True) is not False:
+                known[b] = False if earlier else None if earlier is None or known.get(b, True) is None else True
+        told = {b: v for b, v in known.items() if v is not None}
+        return pd.DataFrame({"id": list(told), "kept": list(told.values())}).astype({"kept": bool})
+
+    while open_.take(1):
+        later = open_.select(F.col("b").alias("a")).distinct().withColumn("waits", F.lit(True))
+        flagged = open_.join(later, "a", "left").fillna(False, ["waits"])
+        decided = flagged.groupBy("block").applyInPandas(decide, f"id {kind}, kept boolean").checkpoint()
+        lost = decided.where("not kept").select("id")
         gone = lost if gone is None else gone.unionAll(lost)
-        firm = open_.join(lost, open_["b"] == lost["id"], "left_anti")
-        open_ = firm.join(lost, firm["a"] == lost["id"], "left_anti").join(later, "a", "left_semi").checkpoint()
-        if not open_.take(1):
-            return points.join(gone.select(F.col("id").alias(row_id), F.lit(1).alias(out)), row_id, "left").fillna(0, [out])
-    raise RuntimeError(f"rejection did not settle in {rounds} rounds")
+        open_ = open_.join(decided.select(F.col("id").alias("b")), "b", "left_anti").join(lost.select(F.col("id").alias("a")), "a", "left_anti").checkpoint()
+    if gone is None:
+        return points.withColumn(out, F.lit(0))
+    return points.join(gone.select(F.col("id").alias(row_id), F.lit(1).alias(out)), row_id, "left").fillna(0, [out])
 
 
 def two_opt(xy: np.ndarray, epsilon: float = 1e-3, rounds: int = 60) -> np.ndarray:

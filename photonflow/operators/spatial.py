@@ -10,8 +10,11 @@ from collections.abc import Sequence
 from itertools import product
 from math import pi
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from photonflow.sources.shared import shared_dir
+
 
 def _cells(axes: Sequence[str], size: float) -> list[Column]:
     return [F.floor(F.col(c) / size).cast("long") for c in axes]
@@ -48,7 +51,8 @@ def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: fl
     """row_id, neighbour, distance: of each point, the nearest of the others of equal keys (the least id of equally near ones).
 
     Points that find none within the radius try again at twice of it, so each round joins fewer points, on larger
-    cells. If `same`, others are the points themselves and a point is not its own neighbour. Points whose keys no other has are left out.
+    cells. If `same`, others are the points themselves and a point is not its own neighbour. Points whose keys no other has are left out;
+    points that are still open after `max_rounds` (none, unless `start` is far too small) raise RuntimeError.
     """
     found, open_, radius = None, points, start
     if keys:
@@ -65,7 +69,49 @@ def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: fl
         if not open_.take(1) or len(others.take(2)) < 1 + same:
             return found
         radius *= 2
-    return found
+    raise RuntimeError(f"points without a neighbour within {radius:g}")
+
+
+def nearest_k(points: DataFrame, others: DataFrame, axes: Sequence[str], k: int, start: float, row_id: str, other_id: str) -> DataFrame:
+    """row_id, near: of each point, the k nearest of the others as an array of (distance, neighbour), nearest first (ties by id); all of them where
+    there are fewer.
+
+    Points with fewer than k within the radius try again at twice of it. Those that still lack some when the radius spans all points have
+    met everything. Others are counted in cells first, so that a point is only joined at a radius whose cells hold k of them.
+    """
+    shared_dir(points.sparkSession)
+    ends = [f(F.col(c).cast("double")).alias(f"{n}{c}") for c in axes for n, f in (("low_", F.min), ("high_", F.max))]
+    a, b = points.agg(*ends).first(), others.agg(F.count("*").alias("n"), *ends).first()
+    slim = others.select(F.col(other_id).alias("_other"), *(F.col(c).cast("double").alias(c) for c in axes))
+    open_ = points.select(F.col(row_id).alias("_row"), *(F.col(c).cast("double").alias(c) for c in axes)).checkpoint()
+    none = F.array().cast(f"array<struct<distance:double,neighbour:{dict(slim.dtypes)['_other']}>>")
+    if not b["n"] or a[f"low_{axes[0]}"] is None:
+        return open_.select(F.col("_row").alias(row_id), none.alias("near"))
+    span = sum((max(a[f"high_{c}"], b[f"high_{c}"]) - min(a[f"low_{c}"], b[f"low_{c}"])) ** 2 for c in axes) ** 0.5
+    wanted, found, radius = min(k, b["n"]), None, start
+    while True:
+        last = radius > span
+        cells = _spread(slim, axes, radius).groupBy("_cell").agg(F.count("*").alias("_n")).where(F.col("_n") >= wanted)
+        likely = open_ if last else open_.withColumn("_cell", F.array(*_cells(axes, radius))).join(cells.select("_cell"), "_cell", "left_semi").drop("_cell")
+        pairs = pairs_within(likely, slim, axes, radius)
+        best = pairs.groupBy(F.col("a._row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("distance", F.col("b._other").alias("neighbour")))).alias("near"))
+        best = best.where(F.size("near") >= wanted).select("_row", F.slice("near", 1, k).alias("near")).checkpoint()
+        found = best if found is None else found.unionByName(best)
+        open_ = open_.join(best, "_row", "left_anti").checkpoint()
+        if last or not open_.take(1):
+            return found.withColumnRenamed("_row", row_id)
+        radius *= 2
+
+
+def direction_to_nearest(queries: DataFrame, points: DataFrame, axes: Sequence[str], n: int, start: float, row_id: str, point_id: str) -> DataFrame:
+    """row_id, azimuth, zenith, r, ux, uy, uz: from each query point to the mean of its n nearest points; a unit vector, null where it has no length."""
+    near = nearest_k(queries, points, axes, n, start, row_id, point_id).select(row_id, F.explode("near.neighbour").alias("_p"))
+    held = points.select(F.col(point_id).alias("_p"), *(F.col(c).cast("double").alias(f"_{c}") for c in axes))
+    mean = near.join(held, "_p").groupBy(row_id).agg(*(F.avg(f"_{c}").alias(f"_{c}") for c in axes))
+    moved = queries.select(row_id, *(F.col(c).cast("double").alias(c) for c in axes)).join(mean, row_id)
+    x, y, z = (F.col(f"_{c}") - F.col(c) for c in axes)
+    r = F.sqrt(x * x + y * y + z * z)
+    return moved.select(row_id, F.atan2(y, x).alias("azimuth"), F.acos(F.try_divide(z, r)).alias("zenith"), r.alias("r"), *(F.try_divide(v, r).alias(f"u{c}") for v, c in zip((x, y, z), "xyz", strict=True)))
 
 
 def keep_pairs(first: DataFrame, second: DataFrame, t: str, axes: Sequence[str], row_id: str, start: float) -> DataFrame:
@@ -191,6 +237,44 @@ def render_gaussian(df: DataFrame, x: str, y: str, sigma: str, x0: float, y0: fl
     return stamped.groupBy("ix", "iy").agg(F.sum(F.exp(-(dx * dx + dy * dy) / (2 * s2)) / (2 * pi * s2) * pixel * pixel).alias("value"))
 
 
+#: Fixed value of the likelihood rendering: the least likelihood of a point at a pixel.
+LEAST_LIKELIHOOD = 1e-4
+
+
+def render_likelihood(df: DataFrame, x: str, y: str, sigma: str, x0: float, y0: float, pixel: float, width: int, height: int, reach: int | None = None) -> DataFrame:
+    """ix, iy, value of each of width x height pixels: the log likelihood of all points there, each a Gaussian cut at LEAST_LIKELIHOOD.
+
+    Pixels are sampled at their corner x0 + ix * pixel. Deviations count as a pixel at least. A point adds to the pixels within `reach` of its own, six median
+    deviations if none is given. Logarithms add up, so points are dealt to pixels and summed; pixels without a point near have the floor of all points.
+    """
+    spread = F.greatest(F.col(sigma).cast("double"), F.lit(float(pixel)))
+    near = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), spread.alias("_s")).dropna()
+    told = near.agg(F.count("*").alias("n"), F.percentile_approx("_s", 0.5, 100_000).alias("mid")).first()
+    reach = reach if reach is not None else int(6 * (told["mid"] or 0) / pixel)
+    floor = float(np.log(LEAST_LIKELIHOOD))
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    each = near.withColumn("ix", F.explode(F.transform(step, lambda d: (F.rint((F.col("_x") - x0) / pixel) + d).cast("int")))).where((F.col("ix") >= 0) & (F.col("ix") < width))
+    each = each.withColumn("iy", F.explode(F.transform(step, lambda d: (F.rint((F.col("_y") - y0) / pixel) + d).cast("int")))).where((F.col("iy") >= 0) & (F.col("iy") < height))
+    dx, dy = F.col("ix") * pixel + x0 - F.col("_x"), F.col("iy") * pixel + y0 - F.col("_y")
+    value = -F.log(F.col("_s") * float(np.sqrt(2 * pi))) - (dx * dx + dy * dy) / (2 * F.col("_s") * F.col("_s"))
+    above = each.groupBy("ix", "iy").agg(F.sum(F.greatest(value, F.lit(floor)) - floor).alias("_more"))
+    return _grid(df, width, height).join(above, ["ix", "iy"], "left").select("ix", "iy", (F.coalesce("_more", F.lit(0.0)) + told["n"] * floor).alias("value"))
+
+
+def _grid(df: DataFrame, width: int, height: int) -> DataFrame:
+    return df.sparkSession.range(width * height).select((F.col("id") % width).cast("int").alias("ix"), F.floor(F.col("id") / width).cast("int").alias("iy"))
+
+
+def render_density(df: DataFrame, x: str, y: str, row_id: str, x0: float, y0: float, pixel: float, width: int, height: int, n: int = 10) -> DataFrame:
+    """ix, iy, value of each of width x height pixels: the slope of the count of points (from 0) over the squared distances of the pixel's n nearest."""
+    at = _grid(df, width, height).withColumns({"_pixel": F.col("iy").cast("long") * width + F.col("ix"), "x": (F.col("ix") + 0.5) * pixel + x0, "y": (F.col("iy") + 0.5) * pixel + y0})
+    near = nearest_k(at, df.select(F.col(row_id).alias("_id"), F.col(x).alias("x"), F.col(y).alias("y")), ("x", "y"), n, pixel, "_pixel", "_id")
+    square = F.transform("near", lambda v: v["distance"] * v["distance"])
+    total = lambda f: F.aggregate(F.transform(square, f), F.lit(0.0), lambda a, v: a + v)
+    value = F.coalesce(F.try_divide(total(lambda d, i: d * i), total(lambda d: d * d)), F.lit(0.0))
+    return near.select((F.col("_pixel") % width).cast("int").alias("ix"), F.floor(F.col("_pixel") / width).cast("int").alias("iy"), value.alias("value"))
+
+
 def render_histogram_3d(df: DataFrame, axes: Sequence[Column], origin: Sequence[float], pixel: float, depth: float) -> DataFrame:
     """Points counted by voxel: `pixel` wide and high, `depth` deep."""
     at = [F.floor((c - o) / step).cast("int").alias(f"i{n}") for c, o, step, n in zip(axes, origin, (pixel, pixel, depth), "xyz", strict=True)]

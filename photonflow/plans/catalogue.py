@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, asof, camera, clumping, flow, images, kernels, kinetics, localise, registration, shells, spatial, tables, vectors, volumes, windows
+from photonflow.operators import aggregates, asof, astigmatism, camera, clumping, flow, images, kernels, kinetics, localise, registration, shells, spatial, surfaces, tables, vectors, volumes, windows
 from photonflow.plans.recipe import Recipe
 from photonflow.sources.shared import scratch as _scratch, shared_dir as _shared
 from photonflow.sources.tabular import metadata_value
@@ -516,7 +516,20 @@ def image_background(spark, sf_dir):
     return rounded(out.select("vec_id", F.posexplode("pixels").alias("pos", "value")), "value")
 
 
-@query()
+def mirrored(place: str) -> str:
+    """A row or column of a frame of 8, reflected at the edges as often as it takes."""
+    return f"least((({place}) % 16 + 16) % 16, 15 - (({place}) % 16 + 16) % 16)"
+
+
+def blur_sql(sigma: float, source: str, name: str) -> str:
+    """Tables: a Gaussian blur of `source` (vec_id, pos, v), columns first."""
+    reach = max(1, int(4 * sigma + 0.5))
+    weights = f"(SELECT d, exp(-0.5 * (d / {sigma}::DOUBLE) ** 2) / sum(exp(-0.5 * (d / {sigma}::DOUBLE) ** 2)) OVER () AS k FROM (SELECT unnest(range({-reach}, {reach + 1})) AS d))"
+    return f"""{name}_y AS (SELECT s.vec_id, s.pos, sum(k * q.v) AS v FROM {source} s CROSS JOIN {weights} w JOIN {source} q ON q.vec_id = s.vec_id AND q.pos = {mirrored("s.pos // 8 + d")} * 8 + s.pos % 8 GROUP BY 1, 2),
+    {name} AS (SELECT s.vec_id, s.pos, sum(k * q.v) AS v FROM {name}_y s CROSS JOIN {weights} w JOIN {name}_y q ON q.vec_id = s.vec_id AND q.pos = s.pos // 8 * 8 + {mirrored("s.pos % 8 + d")} GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PIXELS}, {blur_sql(1.0, 'u', 'g')} SELECT vec_id, pos, CASE WHEN round(v, 6) = 0 THEN 0e0 ELSE round(v, 6) END AS value FROM g")
 def image_gaussian(spark, sf_dir):
     return rounded(exploded(images.frame_filter(image_frames(spark, sf_dir), images.gaussian(1.0))), "value")
 
@@ -526,7 +539,13 @@ def image_median(spark, sf_dir):
     return exploded(images.frame_filter(image_frames(spark, sf_dir), images.median3))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PIXELS}, m AS (SELECT vec_id, pos, v FROM u WHERE v > 0.1),
+    e AS (SELECT a.vec_id, a.pos AS a, b.pos AS b FROM m a JOIN m b ON b.vec_id = a.vec_id AND abs(a.pos // 8 - b.pos // 8) + abs(a.pos % 8 - b.pos % 8) = 1),
+    r AS (SELECT vec_id, pos AS a, pos AS b FROM m UNION SELECT r.vec_id, r.a, e.b FROM r JOIN e ON e.vec_id = r.vec_id AND e.a = r.b),
+    l AS (SELECT vec_id, b AS pos, min(a) AS root FROM r GROUP BY 1, 2)
+    SELECT vec_id, dense_rank() OVER (PARTITION BY vec_id ORDER BY root) AS label, round(sum(v * (pos % 8)) / sum(v), 6) AS x, round(sum(v * (pos // 8)) / sum(v), 6) AS y, round(sum(v), 6) AS A, count(*) AS area FROM l JOIN m USING (vec_id, pos) GROUP BY vec_id, root"""
+)
 def detect_spots(spark, sf_dir):
     return rounded(images.detect_spots(image_frames(spark, sf_dir), 0.1, ["vec_id"]), "x", "y", "A")
 
@@ -563,12 +582,17 @@ def image_median_filter(spark, sf_dir):
     return filtered(spark, sf_dir, kernels.neighbourhood(np.median))
 
 
-@query()
+@query(f"WITH {PIXELS}, {blur_sql(1.0, 'u', 'a')}, {blur_sql(2.0, 'u', 'b')} SELECT vec_id, pos, CASE WHEN round(a.v - b.v, 6) = 0 THEN 0e0 ELSE round(a.v - b.v, 6) END AS value FROM a JOIN b USING (vec_id, pos)")
 def image_dog(spark, sf_dir):
     return filtered(spark, sf_dir, kernels.difference_of_gaussians(1.0, 2.0))
 
 
-@query()
+def disc_sql(how: str, source: str) -> str:
+    """The least or greatest pixel of the five of a disc of radius 1, edges reflected."""
+    return f"SELECT s.vec_id, s.pos, {how}(q.v) AS v FROM {source} s CROSS JOIN (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx) JOIN {source} q ON q.vec_id = s.vec_id AND q.pos = {mirrored('s.pos // 8 + dy')} * 8 + {mirrored('s.pos % 8 + dx')} GROUP BY 1, 2"
+
+
+@query(f"WITH {PIXELS}, e AS ({disc_sql('min', 'u')}), d AS ({disc_sql('max', 'e')}) SELECT vec_id, pos, round(u.v - d.v, 6) AS value FROM u JOIN d USING (vec_id, pos)")
 def image_tophat(spark, sf_dir):
     return filtered(spark, sf_dir, kernels.white_tophat(1.0))
 
@@ -926,6 +950,73 @@ def image_is_close(spark, sf_dir):
     return exploded(out)
 
 
+@query(
+    f"""WITH {POINTS}, k AS (SELECT a.vec_id, b.vec_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON b.label = 1 AND a.label = 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM k) SELECT vec_id, CAST(r AS INTEGER) AS place, other AS neighbour, round(d, 6) AS distance FROM o WHERE r <= 5"""
+)
+def nearest_five(spark, sf_dir):
+    p = points_of(spark, sf_dir)
+    near = spatial.nearest_k(p.where("label = 0"), p.where("label = 1"), AXES, 5, 0.02, "vec_id", "vec_id")
+    each = near.select("vec_id", F.posexplode("near").alias("place", "n"))
+    return rounded(each.select("vec_id", (F.col("place") + 1).alias("place"), F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance")), "distance")
+
+
+@query(
+    f"""WITH {POINTS}, k AS (SELECT a.vec_id, a.x AS ax, a.y AS ay, a.z AS az, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), b.vec_id) AS r FROM p a JOIN p b ON b.label = 3 AND a.label = 2),
+    m AS (SELECT vec_id, avg(x) - any_value(ax) AS dx, avg(y) - any_value(ay) AS dy, avg(z) - any_value(az) AS dz FROM k WHERE r <= 4 GROUP BY 1), l AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS r FROM m)
+    SELECT vec_id, round(atan2(dy, dx), 6) AS azimuth, round(acos(dz / r), 6) AS zenith, round(r, 6) AS r, round(dx / r, 6) AS ux, round(dy / r, 6) AS uy, round(dz / r, 6) AS uz FROM l"""
+)
+def direction_to_nearest(spark, sf_dir):
+    p = points_of(spark, sf_dir)
+    return rounded(spatial.direction_to_nearest(p.where("label = 2"), p.where("label = 3"), AXES, 4, 0.05, "vec_id", "vec_id"), "azimuth", "zenith", "r", "ux", "uy", "uz")
+
+
+@query(
+    f"""WITH {POINTS}, g AS (SELECT CAST(i % 20 AS INTEGER) AS ix, CAST(i // 20 AS INTEGER) AS iy FROM (SELECT unnest(range(0, 400)) AS i)),
+    k AS (SELECT ix, iy, (x - ((ix + 0.5) * 0.05 - 0.5)) ** 2 + (y - ((iy + 0.5) * 0.05 - 0.5)) ** 2 AS d, row_number() OVER (PARTITION BY ix, iy ORDER BY d, vec_id) - 1 AS r FROM p, g)
+    SELECT ix, iy, round(sum(d * r) / sum(d * d), 3) AS value FROM k WHERE r < 10 GROUP BY 1, 2"""
+)
+def render_density(spark, sf_dir):
+    return rounded(spatial.render_density(points_of(spark, sf_dir), "x", "y", "vec_id", -0.5, -0.5, 0.05, 20, 20), "value", places=3)
+
+
+@query(
+    f"""WITH {POINTS}, g AS (SELECT CAST(i % 30 AS INTEGER) AS ix, CAST(i // 30 AS INTEGER) AS iy FROM (SELECT unnest(range(0, 900)) AS i)),
+    s AS (SELECT x, y, greatest(0.02 + abs(z) / 10, 0.03) AS s FROM p), f AS (SELECT ln(0.0001) AS f)
+    SELECT ix, iy, round((SELECT count(*) * ln(0.0001) FROM p) + coalesce(sum(greatest(-ln(s * sqrt(2 * pi())) - ((ix * 0.03 - 0.45 - x) ** 2 + (iy * 0.03 - 0.45 - y) ** 2) / (2 * s * s), f) - f)
+      FILTER (WHERE abs(round_even((x + 0.45) / 0.03, 0) - ix) <= 4 AND abs(round_even((y + 0.45) / 0.03, 0) - iy) <= 4), 0), 5) AS value FROM g, s, f GROUP BY 1, 2"""
+)
+def render_likelihood(spark, sf_dir):
+    points = points_of(spark, sf_dir).withColumn("s", 0.02 + F.abs("z") / 10)
+    return rounded(spatial.render_likelihood(points, "x", "y", "s", -0.45, -0.45, 0.03, 30, 30, reach=4), "value", places=5)
+
+
+#: Widths of an astigmatic lens along x and y by depth: exact parabolas, so that a spline through them is they.
+WIDTHS = {"sigmax": (150.0, 0.1, 3e-4), "sigmay": (150.0, -0.1, 3e-4)}
+
+
+@query(
+    f"""WITH {POINTS}, t AS (SELECT vec_id, 150 + 0.1 * (x * 400) + 3e-4 * (x * 400) ** 2 + 8 * y AS sx, 150 - 0.1 * (x * 400) + 3e-4 * (x * 400) ** 2 + 8 * z AS sy, 4 + 3 * abs(y) AS ex, 5 + 2 * abs(z) AS ey FROM p),
+    d AS (SELECT CAST(unnest(range(-390, 390)) AS DOUBLE) AS d), c AS (SELECT vec_id, d, ((sx - (150 + 0.1 * d + 3e-4 * d * d)) ** 2 / ex ** 2 + (sy - (150 - 0.1 * d + 3e-4 * d * d)) ** 2 / ey ** 2) / (1 / ex ** 2 + 1 / ey ** 2) AS c FROM t, d)
+    SELECT vec_id, 0 - arg_min(d, c) AS astigmatic_z, round(sqrt(min(c)), 5) AS error, 0 - arg_min(d, c) AS z FROM c GROUP BY 1"""
+)
+def map_astigmatic_z(spark, sf_dir):
+    wide = lambda z, c: c[0] + c[1] * z + c[2] * z * z
+    depth = F.col("x") * 400
+    points = points_of(spark, sf_dir).select("vec_id", (wide(depth, WIDTHS["sigmax"]) + 8 * F.col("y")).alias("sigmax"), (wide(depth, WIDTHS["sigmay"]) + 8 * F.col("z")).alias("sigmay"), (4 + 3 * F.abs("y")).alias("error_sigmax"), (5 + 2 * F.abs("z")).alias("error_sigmay"))
+    lens = spark.range(-40, 41).select(F.lit(0).alias("channel"), (F.col("id") * 10.0).alias("z"), *(wide(F.col("id") * 10.0, c).alias(n) for n, c in WIDTHS.items()), F.lit(-390.0).alias("z_low"), F.lit(390.0).alias("z_high"))
+    out = astigmatism.map_astigmatic_z(points, lens)
+    return rounded(out.select("vec_id", "astigmatic_z", F.col("astigmatic_z_lookup_error").alias("error"), "z"), "error", places=5)
+
+
+@query()
+def surface_patches(spark, sf_dir):
+    """Quadratic patches around the points; curvatures of known surfaces are found in the tests."""
+    _shared(spark)
+    found = surfaces.aligned_patches(surfaces.fit_patches(points_of(spark, sf_dir), 0.2, "vec_id"), 0.2, "vec_id", 0.3)
+    return rounded(found.select("vec_id", "n", "curvature1", "curvature2", "residual"), "curvature1", "curvature2", "residual", places=4)
+
+
 # --- channels, shells, volumes ----------------------------------------------------------------------------------------
 #: A known shift of the channels 1 and 2 against 0, in the order of registration.TERMS, for coordinates over a unit of 1.
 SHIFTS = {1: ([0.02, -0.01, 0.03, 0.01, -0.02, 0.01, 0.0, 0.02, 0.05], [0.01, 0.0, 0.0, -0.03, 0.02, 0.0, 0.01, 0.0, -0.04]), 2: ([0.0, 0.01, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.1], [0.0, -0.02, 0.0, 0.0, 0.01, 0.0, 0.0, 0.0, 0.0])}
