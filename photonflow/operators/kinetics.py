@@ -153,12 +153,13 @@ def fiducial_correction(points: DataFrame, trajectory: DataFrame, series: str, t
     return points.join(shifts, [series, t], "left").withColumns({c: F.col(c) - F.col(f"_{c}") for c in axes}).drop(*(f"_{c}" for c in axes))
 
 
-def jump_mixture(counts: np.ndarray, size: float, step: float, species: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Diffusion coefficients (rising) and shares of species whose plane jumps over a time `step` make a histogram (bins of `size` from 0).
+def jump_mixture(counts: np.ndarray, size: float, step: float, species: int, rounds: int = 500, bins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Diffusion coefficients (rising) and shares of species whose plane jumps over a time `step` make a histogram (bins of `size` from 0; `bins` tells
+    which, if not all).
 
     Squared jumps of one species are exponential, so expectation and maximisation over the bins has closed steps.
     """
-    square = (((np.arange(len(counts)) + 0.5) * size) ** 2)[:, None]
+    square = (((np.arange(len(counts)) if bins is None else bins) + 0.5) * size)[:, None] ** 2
     mean = np.average(square[:, 0], weights=counts)
     d = mean / (4 * step) * np.geomspace(0.2, 5, species) if species > 1 else np.array([mean / (4 * step)])
     share = np.full(species, 1 / species)
@@ -175,7 +176,7 @@ def fit_jumps(histogram: DataFrame, size: float, step: float, species: int = 2)
     """species, diffusion, share from a histogram (bin, n) of jumps: its rows are few, whatever the tracks were."""
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        d, share = jump_mixture(np.bincount(rows["bin"].to_numpy(int), rows["n"].to_numpy(float)), size, step, species)
+        d, share = jump_mixture(rows["n"].to_numpy(float), size, step, species, bins=rows["bin"].to_numpy(float))
         return pd.DataFrame({"species": np.arange(species), "diffusion": d, "share": share})
 
     return histogram.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fit, "species int, diffusion double, share double")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, asof, astigmatism, camera, clumping, flow, images, kernels, kinetics, localise, registration, shells, spatial, surfaces, tables, vectors, volumes, windows
+from photonflow.operators import aggregates, asof, astigmatism, camera, clumping, emitters, flow, images, kernels, kinetics, localise, registration, shells, spatial, surfaces, tables, vectors, volumes, windows
 from photonflow.plans.recipe import Recipe
 from photonflow.sources.shared import scratch as _scratch, shared_dir as _shared
 from photonflow.sources.tabular import metadata_value
@@ -84,6 +84,16 @@ def filter_range_open(spark, sf_dir):
     return tables.filter_table(table(spark, sf_dir, "events"), {"value": (10, 50)}).select("event_id", "user_id", "value")
 
 
+@query(
+    """WITH m AS (SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS sd FROM orders), d AS (SELECT o_orderkey, o_totalprice, o_totalprice - lag(o_totalprice) OVER (ORDER BY o_orderkey) AS step FROM orders)
+    SELECT o_orderkey, round((o_totalprice - mean) / sd, 6) AS z, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) / 1e6, 4) AS total, round(step, 2) AS step, round(step - avg(step) OVER (), 3) AS rest FROM d, m"""
+)
+def mapping_whole_columns(spark, sf_dir):
+    maps = {"z": "(o_totalprice - mean(o_totalprice)) / std(o_totalprice)", "total": "cumsum(o_totalprice) / 1000000", "step": "diff(o_totalprice)", "rest": "step - mean(diff(o_totalprice))"}
+    out = with_mappings(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice")), maps, order=["o_orderkey"])
+    return rounded(rounded(rounded(rounded(out, "z"), "total", places=4), "step", places=2), "rest", places=3).select("o_orderkey", *maps)
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (1, 5, 9, 100)")
 def filter_by_ids(spark, sf_dir):
     return tables.filter_by_ids(table(spark, sf_dir, "events"), "user_id", [1, 5, 9, 100]).select("event_id", "user_id")
@@ -906,6 +916,14 @@ def localise_gaussian(spark, sf_dir):
     return rounded(out.select("vec_id", "x0", "y0", "sigma", "A", "settled"), "x0", "y0", "sigma", "A", places=3)
 
 
+@query()
+def multi_emitters(spark, sf_dir):
+    """Regions of the frames, each fitted by as many Gaussians as it calls for; tested on drawn emitters."""
+    frames = images.pixel_map(image_frames(spark, sf_dir), lambda p: (p + 0.5) * 200)
+    out = emitters.fit_regions(frames, ["vec_id"], sigma=1.0, snr=2.0, most=3, margin=2)
+    return rounded(out.select("vec_id", "region", "emitter", "n_emitters", "x", "y", "A", "sigma"), "x", "y", "A", "sigma", places=3)
+
+
 @query()
 def detect_points(spark, sf_dir):
     """Places of point-like objects in the frames, held against a plain model in the tests."""

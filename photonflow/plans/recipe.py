@@ -10,7 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, camera, clumping, flow, images, kernels, localise, registration, shells, spatial, tables, vectors, volumes, windows
+from photonflow.operators import aggregates, camera, clumping, emitters, flow, images, kernels, localise, registration, shells, spatial, tables, vectors, volumes, windows
 from photonflow.sources.tabular import read_table, write_table
 
 
@@ -41,8 +41,9 @@ def operator(name: str, *inputs: str, output: str | tuple[str, ...] = "outputNam
 
 
 @operator("Mapping", "inputName")
-def _mapping(df: DataFrame, mappings: Mapping[str, str]) -> DataFrame:
-    return with_mappings(df, mappings)
+def _mapping(df: DataFrame, mappings: Mapping[str, str], order: list[str] = ()) -> DataFrame:
+    """order: columns that name each row, for cumsum and diff."""
+    return with_mappings(df, mappings, order=order)
 
 
 @operator("FilterTable", "inputName")
@@ -359,6 +360,17 @@ def _fit_points(df: DataFrame, points: DataFrame, roiHalfSize: int = 7, sigma: f
     return localise.localise(df, _keys(df, points), roiHalfSize, sigma, points=points)
 
 
+@operator("MultifitBlobs", "inputImage")
+def _multifit(df: DataFrame, blobSigma: float = 1.2, threshold: float = 5.0) -> DataFrame:
+    """blobSigma in pixels; threshold in units of the noise."""
+    return emitters.fit_regions(df, [k for k in FRAME_KEYS if k in df.columns], blobSigma, threshold)
+
+
+@operator("FitDumbells", "inputImage", "inputPositions")
+def _dumbbells(df: DataFrame, points: DataFrame, roiHalfSize: int = 7, sigma: float = 1.2, pointKey: str = "point_id") -> DataFrame:
+    return emitters.fit_dumbbells(df, points, _keys(df, points), roiHalfSize, sigma, pointKey)
+
+
 @operator("DetectPoints2D", "input_name", output="output_name")
 def _detect(df: DataFrame, threshold: float = 1.0, debounce_radius: int = 4, snr_threshold: bool = True, multithreshold: bool = False, edge_mask_width: int = 5, filter_radius_lowpass: float = 1.0, filter_radius_highpass: float = 3.0, blur_radius: float = 1.5) -> DataFrame:
     keys = [k for k in FRAME_KEYS if k in df.columns]

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,20 @@ def test_nothing_else_compiles(source):
 
 def test_names():
     assert names("exp(x) + numpy.pi * y") == {"x", "y"}
+
+
+def test_whole_columns_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.permutation(500) / 7.0
+    rows = [(i, float(v) if i % 50 else None, float(i % 3)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i long, x double, y double").repartition(7)
+    maps = {"a": "x - mean(x)", "b": "cumsum(x)", "c": "diff(a * 2)", "d": "max(cumsum(x - mean(x))) + numpy.sum(y)", "e": "min(x) + std(y)"}
+    got = sorted(map(tuple, with_mappings(df, maps, order=["i"]).select("i", *maps).collect()))
+    v = np.array([np.nan if r[1] is None else r[1] for r in rows])
+    a = v - np.nanmean(v)
+    want = [a, np.nancumsum(v), np.concatenate([[np.nan], np.diff(a * 2)]), np.full(500, np.nancumsum(v - np.nanmean(v)).max() + sum(r[2] for r in rows)), np.full(500, np.nanmin(v) + np.std([r[2] for r in rows]))]
+    for k, w in enumerate(want):
+        assert np.allclose([np.nan if g[k + 1] is None else g[k + 1] for g in got], w, equal_nan=True)
+    with pytest.raises(ValueError):
+        with_mappings(df, {"b": "cumsum(x)"})
+    assert with_mappings(df.where("false"), maps, order=["i"]).count() == 0
