@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -32,3 +34,66 @@ def test_identify_held_out_and_awkward_rows(spark):
     assert all(0 <= r.score <= 1 for r in got) and by[305].rejected and sum(r.rejected for r in got) < 20
     assert langid.identify(docs.where("false"), F.lit(True)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False)).collect()} == {"und"}
+
+
+def plain_counts(text):
+    """Hashed features of a text's n-grams of one to three letters and spaces, a run of spaces being one; n-grams by hand."""
+    folded = "".join(c.lower()[0] if c.isalpha() else " " for c in f" {text} ")
+    letters = "".join(c for i, c in enumerate(folded) if c != " " or i == 0 or folded[i - 1] != " ")
+    out = Counter()
+    for i in range(len(letters)):
+        code = 0
+        for n, c in enumerate(letters[i : i + 3], 1):
+            code = (ord(c) * 2654435761 if n == 1 else (code ^ (ord(c) + n)) * 2246822519) % 2**32
+            out[code >> 21] += 1
+    return out
+
+
+def plain_vector(count, idf):
+    v = np.zeros(2048)
+    for f, n in count.items():
+        v[f] = math.log1p(n) * idf[f]
+    return v / max(np.linalg.norm(v), 1e-9)
+
+
+def plain_clusters(v):
+    centres = [v.mean(axis=0) / np.linalg.norm(v.mean(axis=0))]
+    while len(centres) < min(4, len(v)):
+        centres.append(min(v, key=lambda x: max(x @ c for c in centres)))
+    for _ in range(12):
+        own = [max(range(len(centres)), key=lambda i: x @ centres[i]) for x in v]
+        sums = [sum(x for x, o in zip(v, own) if o == i) for i in sorted(set(own))]
+        centres = [s / np.linalg.norm(s) for s in sums]
+    sizes = Counter(max(range(len(centres)), key=lambda i: x @ centres[i]) for x in v)
+    return [c for i, c in enumerate(centres) if sizes[i] >= min(max(sizes.values()), max(2, len(v) / 50))]
+
+
+def test_predictions_equal_plain_centroids(spark):
+    import pyspark.sql.functions as F
+
+    rng = random.Random(8)
+    sounds = {"aa": ["ka", "lo", "mi", "É"], "bb": ["sch", "ung", "ber"], "cc": ["è", "eau", "tion", "日本"]}
+    word = lambda lang: "".join(rng.choice(sounds[lang]) for _ in range(3))
+    rows = [(i, ", ".join(word(lang) for _ in range(rng.randrange(3, 20))), lang) for i in range(150) for lang in [rng.choice(list(sounds))]]
+    rows += [(i, " ".join(word(rng.choice(list(sounds))) for _ in range(9)), None) for i in range(200, 230)] + [(300, "12 -- 3", "aa"), (301, None, "bb"), (302, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    training = F.col("doc_id") % 3 != 0
+    place = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64("doc_id", "lang", "text").alias("p")).collect()}
+    learned = sorted((r for r in rows if r[0] % 3 and r[2] and r[1] is not None), key=lambda r: place[r[0]])
+    has = lambda t: any(c.isalpha() for c in t or "")
+    df = Counter(f for _, t, _ in learned for f in plain_counts(t))
+    idf = [math.log((len(learned) + 1) / (df[f] + 1)) + 1 for f in range(2048)]
+    centres = []
+    for lang in sorted(sounds):
+        v = np.array([plain_vector(plain_counts(t), idf).astype(np.float16).astype(float) for _, t, k in learned if k == lang and has(t)])
+        centres += [(lang, c) for c in plain_clusters(v)]
+    got = {r.doc_id: r for r in langid.identify(docs, training).collect()}
+    same = 0
+    for k, t, _ in rows:
+        if not has(t):
+            assert got[k].lang_pred == "und" and got[k].score == 0
+            continue
+        cosines = sorted(((float(plain_vector(plain_counts(t), idf) @ c), lang) for lang, c in centres), reverse=True)
+        assert abs(got[k].score - cosines[0][0]) < 5e-3
+        same += got[k].lang_pred == cosines[0][1]
+    assert same == sum(has(t) for _, t, _ in rows)
