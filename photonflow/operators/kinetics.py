@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from photonflow.operators.asof import as_of
 from photonflow.operators.spatial import self_pairs
+from photonflow.operators.windows import frame_means
 
 
 def area_fractions(df: DataFrame, a: Column, b: Column, t_a: float, t_b: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -131,12 +132,13 @@ def wavefronts(frames: DataFrame, series: str, t: str, pixels: str, least: float
 def fiducial_trajectory(fiducials: DataFrame, series: str, clump: str, t: str, axes: Sequence[str], least: int, half: int) -> DataFrame:
     """series, t, d_<axis>: mean place of the series' fiducials about their own centres, smoothed over t - half to t + half.
 
-    Clumps of fewer than `least` rows don't count. Only a row for each series and frame is ordered in a window.
+    Clumps of fewer than `least` rows don't count. Frames are added up first; a series is smoothed in blocks of time, by many tasks.
     """
     centres = fiducials.groupBy(series, clump).agg(F.count("*").alias("_n"), *(F.avg(c).alias(f"_{c}") for c in axes)).where(F.col("_n") >= least)
-    moved = fiducials.join(centres, [series, clump]).groupBy(series, t).agg(*(F.avg(F.col(c) - F.col(f"_{c}")).alias(f"_{c}") for c in axes))
-    w = Window.partitionBy(series).orderBy(t).rangeBetween(-half, half)
-    return moved.select(series, t, *(F.avg(f"_{c}").over(w).alias(f"d_{c}") for c in axes))
+    moved = fiducials.join(centres, [series, clump]).where(F.col(t).isNotNull()).groupBy(series, t)
+    moved = moved.agg(*(F.avg(F.col(c) - F.col(f"_{c}")).alias(f"sum_{c}") for c in axes))
+    moved = moved.withColumns({f"n_{c}": F.col(f"sum_{c}").isNotNull().cast("int") for c in axes})
+    return frame_means(moved, [series], t, axes, -half, half).withColumnsRenamed({f"mean_{c}": f"d_{c}" for c in axes})
 
 
 def fiducial_correction(points: DataFrame, trajectory: DataFrame, series: str, t: str, axes: Sequence[str], block: int | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -30,10 +32,62 @@ def offtime_cdf(df: DataFrame, site: str, frame: str) -> DataFrame:
     return counts.select(site, "off", (running / F.sum("_k").over(w)).alias("cdf"))
 
 
-def sliding_mean(df: DataFrame, key: str, t: str, value: str, start: int, stop: int) -> DataFrame:
-    """background: mean of the series' values at start <= frame - t < stop; corrected: value less background."""
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(start, stop - 1)
-    return df.withColumn("background", F.avg(value).over(w)).withColumn("corrected", F.col(value) - F.col("background"))
+def frame_means(frames: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], low: int, high: int, block: int | None = None) -> DataFrame:
+    """keys, t, mean_<value>: of each frame (a row for each of keys and t), the mean of the values at t + low <= time <= t + high.
+
+    values are pairs of columns sum_<value> and n_<value>, so that a frame may stand for many rows. Series are cut into blocks of `block` (eight
+    times the reach, if none is given), each with the frames around it that its own reach to; a block's means are differences of its running sums, so
+    a series of any length is done by many tasks and no frame is added up twice. A mean over nothing is null. Times are not null.
+    """
+    block = block or 8 * max(1, high - low, abs(low), abs(high))
+    slim = frames.select(*keys, F.col(t).alias("_t"), *(F.col(f"{p}_{v}").cast("double").alias(f"{p}_{v}") for v in values for p in ("sum", "n")))
+    place = lambda d: F.floor((F.col("_t") - d) / block).cast("long")
+    dealt = slim.withColumn("_own", place(0)).withColumn("_block", F.explode(F.sequence(F.least(place(0), place(high)), F.greatest(place(0), place(low)))))
+
+    names, reach = [*keys, "_block"], abs(low) + abs(high) + 1
+
+    def means(group: pd.DataFrame) -> pd.DataFrame:
+        """Of whole blocks in order: blocks are set so far apart on one axis that no reach crosses from one to the next."""
+        change = group[names].ne(group[names].shift()) & ~(group[names].isna() & group[names].shift().isna())
+        at = group["_t"].to_numpy()
+        at = at - at.min() + change.any(axis=1).cumsum().to_numpy() * (np.ptp(at) + 2 * reach)
+        mine = (group["_own"] == group["_block"]).to_numpy()
+        begin, end = np.searchsorted(at, at[mine] + low, "left"), np.searchsorted(at, at[mine] + high, "right")
+        out = group.loc[mine, [*keys, "_t"]].copy()
+        for v in values:
+            total, n = (np.concatenate([[0.0], np.cumsum(np.nan_to_num(group[f"{p}_{v}"].to_numpy(float)))]) for p in ("sum", "n"))
+            count = n[end] - n[begin]
+            out[f"mean_{v}"] = np.where(count > 0, (total[end] - total[begin]) / np.where(count > 0, count, 1), np.nan)
+        return out
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            last = part[names].iloc[-1]
+            same = np.logical_and.reduce([part[c].eq(last[c]) | (part[c].isna() & pd.isna(last[c])) for c in names])
+            begin = len(part) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if begin:
+                yield means(part.iloc[:begin])
+            rest = part.iloc[begin:]
+        if rest is not None and len(rest):
+            yield means(rest)
+
+    kinds = dict(slim.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"_t {kinds['_t']}", *(f"mean_{v} double" for v in values)])
+    found = dealt.repartition(*names).sortWithinPartitions(*names, "_t").mapInPandas(run, schema)
+    return found.select(*keys, F.col("_t").alias(t), *(F.when(~F.isnan(f"mean_{v}"), F.col(f"mean_{v}")).alias(f"mean_{v}") for v in values))
+
+
+def sliding_mean(df: DataFrame, key: str, t: str, value: str, start: int, stop: int, block: int | None = None) -> DataFrame:
+    """background: mean of the series' values at start <= frame - t < stop; corrected: value less background. Frames are whole numbers; both are null
+    where the frame or the series is.
+
+    Rows are added up by frame before they are shuffled, means are those of frame_means(), and come back by a join on series and frame.
+    """
+    frames = df.where(F.col(key).isNotNull() & F.col(t).isNotNull()).groupBy(key, t).agg(F.sum(F.col(value).cast("double")).alias("sum_v"), F.count(value).alias("n_v"))
+    means = frame_means(frames, [key], t, ["v"], start, stop - 1, block).withColumnRenamed("mean_v", "background")
+    return df.join(means, [key, t], "left").select(*df.columns, "background", (F.col(value) - F.col("background")).alias("corrected"))
 
 
 def sliding_percentile(df: DataFrame, key: str, t: Sequence[str], value: str, before: int, after: int, share: float) -> DataFrame:

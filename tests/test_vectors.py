@@ -105,3 +105,18 @@ def test_zoom_and_means(spark):
     assert images.normalise_mean(frames).first().pixels == [0.0, 2 / 3, 4 / 3, 2.0]
     both = images.join_channels([frames, images.rotate180(frames)]).orderBy("c").collect()
     assert [(b.c, b.pixels[0]) for b in both] == [(0, 0.0), (1, 6.0)]
+
+
+def test_frame_means_equal_plain_sums(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randrange(-40, 90), rng.choice([None, rng.random()])) for _ in range(400)] + [(None, 1, 1.0), ("a", None, 2.0), ("lone", 5, 3.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, k string, t int, v double")
+    for start, stop, block in ((-7, 0, 5), (-3, 4, 1), (2, 30, None), (0, 1, 50)):
+        got = {r.i: (r.background, r.corrected) for r in windows.sliding_mean(df, "k", "t", "v", start, stop, block).collect()}
+        assert len(got) == len(rows)
+        for i, (k, t, v) in enumerate(rows):
+            near = [w for a, u, w in rows if a == k and k is not None and None not in (t, u, w) and start <= u - t < stop]
+            if not near:
+                assert got[i] == (None, None)
+            else:
+                assert got[i][0] == pytest.approx(sum(near) / len(near)) and (v is None) == (got[i][1] is None)
