@@ -78,3 +78,24 @@ def backlash_corrected(events: DataFrame, keys: Sequence[str], t: str, value: st
     moved = events.withColumn("_d", F.signum(F.col(value) - F.lag(value).over(w)))
     way = F.last(F.when(F.col("_d") != 0, F.col("_d")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return moved.withColumn(value, F.col(value) - F.when(way < 0, F.lit(backlash)).otherwise(F.lit(0.0))).drop("_d")
+
+
+def focus_events(events: DataFrame, keys: Sequence[str], t: str, name: str = "name", description: str = "description", block: float | None = None) -> DataFrame:
+    """keys, t, focus: what the focus was set to, or where it landed.
+
+    A ProtocolFocus event tells its target as the second token of its description. A PiezoOnTarget event tells a landing position, from which the offset
+    in force is taken: the first token of the last PiezoOffsetUpdate at or before it, of the series' first one before any, 0 where the series
+    has none. Descriptions that hold no number are left out; of events at one time both are told.
+    """
+    told = lambda kind, position: events.where(F.col(name) == kind).select(*keys, t, event_value(F.col(description), position).alias("_v")).where("_v is not null")
+    offsets, landed = told("PiezoOffsetUpdate", 0), told("PiezoOnTarget", 0)
+    first = offsets.groupBy(*keys).agg(F.min(F.struct(F.col(t).alias("t"), F.col("_v").alias("v")))["v"].alias("_first"))
+    at = as_of(landed.withColumnRenamed("_v", "_position"), offsets, keys, t, "_v", "_offset", block=block)
+    at = at.join(first, list(keys), "left") if keys else at.join(F.broadcast(first), how="cross")
+    landed = at.select(*keys, t, (F.col("_position") - F.coalesce("_offset", "_first", F.lit(0.0))).alias("focus"))
+    return told("ProtocolFocus", 1).select(*keys, t, F.col("_v").alias("focus")).unionByName(landed)
+
+
+def corrected_focus(points: DataFrame, events: DataFrame, keys: Sequence[str], t: str, start: float = 0.0, name: str = "name", description: str = "description", out: str = "focus", block: float | None = None) -> DataFrame:
+    """points with the focus in force: the last of focus_events() at or before t (of several at one time the largest), `start` before the first."""
+    return as_of(points, focus_events(events, keys, t, name, description, block), keys, t, "focus", out, F.lit(float(start)), block=block)

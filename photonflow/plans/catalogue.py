@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from photonflow.functions.expr import with_mappings
-from photonflow.operators import aggregates, asof, astigmatism, camera, clumping, emitters, flow, images, kernels, kinetics, localise, registration, shells, spatial, surfaces, tables, vectors, volumes, windows
+from photonflow.operators import aggregates, asof, astigmatism, camera, clumping, emitters, flow, images, kernels, kinetics, localise, metadata, registration, shells, spatial, surfaces, tables, vectors, volumes, windows
 from photonflow.plans.recipe import Recipe
 from photonflow.sources.shared import scratch as _scratch, shared_dir as _shared
 from photonflow.sources.tabular import metadata_value
@@ -1035,6 +1035,55 @@ def surface_patches(spark, sf_dir):
     return rounded(found.select("vec_id", "n", "curvature1", "curvature2", "residual"), "curvature1", "curvature2", "residual", places=4)
 
 
+#: Events of a focus drive: targets, landings and offsets, told by kind.
+FOCUS_SQL = f"""{EVENTS}, k AS (SELECT user_id % 50 AS drive, t * 1000000 + event_id AS tm, event_type AS kind, value AS v, event_id FROM e),
+    o AS (SELECT drive, tm, v AS off FROM k WHERE kind = 'error'), f AS (SELECT drive, arg_min(off, tm) AS first FROM o GROUP BY 1),
+    l AS (SELECT drive, tm, max(v) - coalesce(arg_max(off, otm), any_value(first), 0) AS focus FROM (SELECT k.drive, k.tm, v, off, o.tm AS otm, first FROM k LEFT JOIN o ON o.drive = k.drive AND o.tm <= k.tm LEFT JOIN f ON f.drive = k.drive WHERE kind = 'purchase') GROUP BY 1, 2),
+    x AS (SELECT drive, tm, v AS focus FROM k WHERE kind = 'view' UNION ALL SELECT * FROM l)"""
+
+
+def focus_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = frames_of(spark, sf_dir).select("event_id", (F.col("user_id") % 50).alias("drive"), (F.col("t") * 1_000_000 + F.col("event_id")).alias("at"), "event_type", "value")
+    name = F.element_at(F.create_map(F.lit("view"), F.lit("ProtocolFocus"), F.lit("purchase"), F.lit("PiezoOnTarget"), F.lit("error"), F.lit("PiezoOffsetUpdate")), F.col("event_type"))
+    number = F.col("value").cast("string")
+    told = F.when(F.col("event_type") == "view", F.concat(F.lit("0, "), number)).otherwise(F.concat(number, F.lit(", 0")))
+    return e, e.select("drive", "at", name.alias("name"), told.alias("description")).where("name is not null")
+
+
+@query(f"WITH {FOCUS_SQL} SELECT k.event_id, round(coalesce(arg_max(x.focus, x.tm), 7), 6) AS focus FROM k LEFT JOIN x ON x.drive = k.drive AND x.tm <= k.tm WHERE kind = 'click' GROUP BY 1")
+def corrected_focus(spark, sf_dir):
+    """The focus in force at each click: targets and landings less the offset of their time."""
+    e, log = focus_log(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").select("event_id", "drive", "at")
+    return rounded(asof.corrected_focus(clicks, log, ["drive"], "at", 7.0, block=2e9).select("event_id", "focus"), "focus")
+
+
+ENTRIES_SQL = """a AS (SELECT n_nationkey AS source, 'voxelsize.x' AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_nationkey, 'name', '"' || n_name || '"' FROM nation),
+    b AS (SELECT s_nationkey AS source, 'voxelsize.x' AS key, CAST(count(*) AS VARCHAR) AS value FROM supplier GROUP BY 1 UNION ALL SELECT s_nationkey, 'voxelsize.y', CAST(max(s_suppkey) AS VARCHAR) FROM supplier GROUP BY 1
+      UNION ALL SELECT s_nationkey, 'Camera.ROIPosX', CAST(min(s_suppkey) AS VARCHAR) FROM supplier GROUP BY 1)"""
+
+
+def entry_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = metadata.entries_of(table(spark, sf_dir, "nation"), "n_nationkey", voxelsize__x=F.col("n_nationkey"), name=F.col("n_name"))
+    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.max("s_suppkey").alias("high"), F.min("s_suppkey").alias("low"))
+    return n, metadata.entries_of(s, "s_nationkey", voxelsize__x=F.col("n"), voxelsize__y=F.col("high"), Camera__ROIPosX=F.col("low"))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT source, key, coalesce(b.value, a.value) AS value FROM a FULL JOIN b USING (source, key)")
+def metadata_copied(spark, sf_dir):
+    return metadata.copy_entries(*entry_tables(spark, sf_dir))
+
+
+@query(f"WITH {ENTRIES_SQL}, m AS (SELECT source, key, coalesce(a.value, b.value) AS value FROM a FULL JOIN b USING (source, key)) SELECT source, '{{' || string_agg('\"' || key || '\": ' || value, ', ' ORDER BY key) || '}}' AS json FROM m GROUP BY 1")
+def metadata_json(spark, sf_dir):
+    return metadata.to_json(metadata.merge_entries(*entry_tables(spark, sf_dir)))
+
+
+@query(f"WITH {ENTRIES_SQL} SELECT source, CAST(x.value AS DOUBLE) * 1000 * (CAST(p.value AS DOUBLE) - 1) AS x, 0e0 AS y, 0e0 AS z FROM b x JOIN b p USING (source) WHERE x.key = 'voxelsize.x' AND p.key = 'Camera.ROIPosX'")
+def metadata_origins(spark, sf_dir):
+    return metadata.origins(metadata.copy_entries(*entry_tables(spark, sf_dir)))
+
+
 # --- channels, shells, volumes ----------------------------------------------------------------------------------------
 #: A known shift of the channels 1 and 2 against 0, in the order of registration.TERMS, for coordinates over a unit of 1.
 SHIFTS = {1: ([0.02, -0.01, 0.03, 0.01, -0.02, 0.01, 0.0, 0.02, 0.05], [0.01, 0.0, 0.0, -0.03, 0.02, 0.0, 0.01, 0.0, -0.04]), 2: ([0.0, 0.01, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.1], [0.0, -0.02, 0.0, 0.0, 0.01, 0.0, 0.0, 0.0, 0.0])}
