@@ -1242,7 +1242,7 @@ def watershed(spark, sf_dir):
 
 
 @query()
-def optical_flow(spark, sf_dir):
+def frame_motion(spark, sf_dir):
     """Motion between the frames of each label; known motions are found in the tests."""
     out = flow.optical_flow(image_frames(spark, sf_dir), "label", "vec_id", 1.0, 2.0, 0.001)
     each = out.select("vec_id", F.posexplode(F.arrays_zip("flow_x", "flow_y")).alias("pos", "g"))
