@@ -80,6 +80,65 @@ def fit_decays(histograms: DataFrame, keys: Sequence[str], at: str = "at", n: st
     return histograms.groupBy(*keys).applyInPandas(fit, f"{kinds}, amplitude double, rate double, offset double")
 
 
+def _off_curve(q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of off-times up to t, and its slopes by q: one exponential (root of its time), or a share of a short one beside a long one. All
+    parameters are squares of q, so that none is negative."""
+    p = q * q
+    falls = [np.exp(-t / p[i]) for i in range(len(q) == 3, len(q))]
+    slopes = [-f * t / p[i] ** 2 * 2 * q[i] for f, i in zip(falls, range(len(q) == 3, len(q)), strict=True)]
+    if len(q) == 1:
+        return 1 - falls[0], np.stack(slopes, axis=1)
+    a, b = falls
+    return p[0] * (1 - a) + (1 - p[0]) * (1 - b), np.stack([2 * q[0] * (b - a), p[0] * slopes[0], (1 - p[0]) * slopes[1]], axis=1)
+
+
+def off_times(t: np.ndarray, share: np.ndarray, components: int, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Parameters ([time] or [share of the first, its time, the other's]; first the shorter) of off-times' cumulative shares, and the root mean square left."""
+    middle = max(float(np.interp(1 - np.exp(-1), share, t)), 1e-6)
+    q = np.sqrt([middle] if components == 1 else [0.5, middle / 5, middle * 2])
+    damp, cost = 1e-2, np.inf
+    for _ in range(rounds):
+        c, j = _off_curve(q, t)
+        r = share - c
+        square = j.T @ j
+        step = np.linalg.solve(square + np.diag(damp * (np.diag(square) + 1e-12) + 1e-15), j.T @ r)
+        new = np.maximum(np.abs(q + step), 1e-6)
+        after = float(((share - _off_curve(new, t)[0]) ** 2).sum())
+        now = float((r * r).sum())
+        if after <= now:
+            done, q, damp, cost = now - after <= 1e-14 * (1 + now), new, max(damp / 5, 1e-12), after
+            if done:
+                break
+        else:
+            damp, cost = damp * 4, now
+            if damp > 1e12:
+                break
+    p = q * q
+    if components == 2 and p[1] > p[2]:
+        p = np.array([1 - p[0], p[2], p[1]])
+    return p, float(np.sqrt(cost / len(t)))
+
+
+def fit_off_times(cdf: DataFrame, site: str, components: int = 1, off: str = "off", share: str = "cdf") -> DataFrame:
+    """site, off_time, and of two components share, off_short and off_long; residual, n: exponential blinking fitted to cumulative shares of off-times.
+
+    cdf is offtime_cdf()'s: a row for each off-time of a site, so a site has as many rows as it has different off-times. Sites of fewer
+    rows than parameters are left out.
+    """
+    names = ["off_time"] if components == 1 else ["share", "off_short", "off_long"]
+    kind = dict(cdf.dtypes)[site]
+    columns = [site, *names, "residual", "n"]
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(off)
+        if len(group) < len(names):
+            return pd.DataFrame([], columns=columns)
+        p, rest = off_times(group[off].to_numpy(float), group[share].to_numpy(float), components)
+        return pd.DataFrame([[group[site].iloc[0], *p, rest, len(group)]], columns=columns)
+
+    return cdf.groupBy(site).applyInPandas(fit, f"`{site}` {kind}, {', '.join(f'{n} double' for n in names)}, residual double, n long")
+
+
 def vector_pair_histogram(points: DataFrame, bins: int, size: float, angle_bins: int, row_id: str) -> DataFrame:
     """r_bin, theta_bin, phi_bin, n over pairs (x, y, z) closer than bins * size.
 

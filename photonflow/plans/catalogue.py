@@ -718,6 +718,12 @@ def decay_fits(spark, sf_dir):
     return kinetics.fit_decays(kinetics.decay_histogram(frames_of(spark, sf_dir), "t", ["event_type"]), ["event_type"])
 
 
+@query()
+def off_time_fits(spark, sf_dir):
+    """Blinking of each user's events; known times are found in the tests."""
+    return rounded(kinetics.fit_off_times(windows.offtime_cdf(frames_of(spark, sf_dir), "user_id", "t"), "user_id"), "off_time", "residual", places=3)
+
+
 @query(
     f"""WITH {POINTS}, d AS (SELECT {DIST} AS r, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE {DIST} < 0.2),
     q AS (SELECT r, coalesce(CASE WHEN dx <> 0 THEN atan(dy / dx) END, sign(dy) * pi() / 2) + pi() / 2 AS theta, coalesce(CASE WHEN dx <> 0 OR dy <> 0 THEN atan(dz / sqrt(dx * dx + dy * dy)) END, sign(dz) * pi() / 2) + pi() / 2 AS phi FROM d)

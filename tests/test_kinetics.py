@@ -68,3 +68,19 @@ def test_two_species_of_jumps_are_told_apart(spark):
     assert abs(slow.diffusion / 0.2 - 1) < 0.1 and abs(fast.diffusion / 5 - 1) < 0.1 and abs(slow.share - 2 / 3) < 0.05
     one, = kinetics.fit_jumps(df, 0.05, 0.1, 1).collect()
     assert slow.diffusion < one.diffusion < fast.diffusion and one.share == 1
+
+
+def test_off_times_are_recovered(spark):
+    from photonflow.operators import windows
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for site, times in (("one", rng.exponential(300, 4000)), ("two", np.where(rng.random(6000) < 0.4, rng.exponential(20, 6000), rng.exponential(900, 6000)))):
+        rows += [(site, int(f)) for f in np.cumsum(np.ceil(times).astype(int) + 1)]
+    rows += [("short", 1), ("short", 9), ("none", 4)]
+    cdf = windows.offtime_cdf(spark.createDataFrame(rows, "site string, frame int"), "site", "frame")
+    one = {r.site: r for r in kinetics.fit_off_times(cdf, "site").collect()}
+    assert set(one) == {"one", "two", "short"} and abs(one["one"].off_time - 300) < 12 and one["one"].residual < 0.02 and one["two"].residual > 0.03
+    two = {r.site: r for r in kinetics.fit_off_times(cdf, "site", 2).collect()}
+    assert set(two) == {"one", "two"} and two["two"].residual < 0.02
+    assert abs(two["two"]["share"] - 0.4) < 0.05 and abs(two["two"].off_short - 20) < 4 and abs(two["two"].off_long - 900) < 60
