@@ -21,13 +21,13 @@ WINDOW = 50
 GRAM = 8
 #: Windows of one packed string at most; a longer run of one minimiser is cut.
 RUN = 256
-#: A minimiser of more packed strings than this is dealt by whole windows instead.
+#: A minimiser of more packed strings than this is dealt by a second one besides.
 HOT = 1000
 _EMPTY = hashlib.sha256(b"").digest()
 
 
-def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """The least gram hash of each window of the words (as signed longs)."""
+def gram_hashes(words: list[bytes], gram: int = GRAM) -> np.ndarray:
+    """Hash of each run of `gram` words."""
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     n = len(words) - gram + 1
     with np.errstate(over="ignore"):
@@ -36,13 +36,33 @@ def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np
             grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
         grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         grams ^= grams >> np.uint64(32)
-    span, width = 1, window - gram + 1
+    return grams
+
+
+def _least(grams: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` hashes in a row."""
+    span = 1
     while 2 * span <= width:
         grams = np.minimum(grams[:-span], grams[span:])
         span *= 2
     if span < width:
         grams = np.minimum(grams[: span - width], grams[width - span :])
-    return grams.view(np.int64)
+    return grams
+
+
+def minimisers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """The least gram hash of each window of the words (as signed longs)."""
+    return _least(gram_hashes(words, gram), window - gram + 1).view(np.int64)
+
+
+def second_minimisers(grams: np.ndarray, first: int, n: int, mini: int, width: int) -> np.ndarray:
+    """Of n windows from `first` on, which share a minimiser, the gram that is least in another order once that one is left out."""
+    part = grams[first : first + n + width - 1]
+    with np.errstate(over="ignore"):
+        other = (part ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
+        other ^= other >> np.uint64(32)
+    other[part.view(np.int64) == mini] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return _least(other, width).view(np.int64)
 
 
 def runs(marks: np.ndarray, most: int = RUN) -> list[tuple[int, int]]:
@@ -72,7 +92,7 @@ def _profile(docs: DataFrame, window: int) -> DataFrame:
 def _packed(shared: DataFrame, window: int, texts: bool) -> DataFrame:
     """Super-k-mers of the shared minimisers: id, digest, start, key (of the packed string), and with texts mini, packed.
 
-    Windows of hot minimisers travel one by one, in the bucket that their own words' hash names.
+    Windows of a hot minimiser travel by runs of a second one, in the bucket that both name: what stands about a common passage tells them apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +107,19 @@ def _packed(shared: DataFrame, window: int, texts: bool) -> DataFrame:
                     if len(words) < window or hashlib.sha256(joined).digest() != digest:
                         continue  # another text of the same id
                     ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-                    marks = minimisers(words, window)
-                    chosen, single = set(minis), set(hot)
+                    grams, width = gram_hashes(words), window - GRAM + 1
+                    marks = _least(grams, width).view(np.int64)
+                    chosen, crowded = set(minis), set(hot)
                     for first, n in runs(marks):
                         mini = int(marks[first])
                         if mini not in chosen:
                             continue
-                        for i, k in ((j, 1) for j in range(first, first + n)) if mini in single else ((first, n),):
+                        pieces = [(first, n, mini)]
+                        if mini in crowded:
+                            seconds = second_minimisers(grams, first, n, mini, width)
+                            pieces = [(first + i, k, hash((mini, int(seconds[i])))) for i, k in runs(seconds)]
+                        for i, k, bucket in pieces:
                             packed = joined[ends[i - 1] + 1 if i else 0 : ends[i + k + window - 2]]
-                            bucket = xxhash.xxh3_64_intdigest(packed) - (1 << 63) if mini in single else mini
                             rows.append((key, digest, i, xxhash.xxh3_128_digest(packed), bucket, packed))
                 kinds = [("id", pa.int64()), ("digest", pa.binary()), ("start", pa.int32()), ("key", pa.binary()), ("mini", pa.int64()), ("packed", pa.binary())]
                 pick = (0, 4, 5) if texts else (0, 1, 2, 3)
