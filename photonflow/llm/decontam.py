@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from photonflow.llm.common import ALNUM, alnum_words, byte_rows, cut, discard, only, unused
+from photonflow.llm.common import ALNUM, alnum_words, byte_rows, only, shared_path, unused
 
 WINDOW = 10
-#: Words of items in one automaton, about; more items are dealt over several automata, one of which is built and sent at a time.
+#: Words of items in one automaton, about; more items are dealt over several automata, of which a task has one at a time.
 SHARD_WORDS = 400_000
+#: Bytes of texts that a task takes through all automata together, where there are several.
+HELD = 32 << 20
 #: A document of which more than this share is hit goes as a whole in clean().
 COVERAGE = 0.8
 
@@ -133,59 +137,80 @@ def _covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def _dealt(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Distinct items with words, dealt by a hash into shards of about shard_words words, a shard at a time (none: one empty one)."""
+def _dealt(items: DataFrame, id_col: str, text_col: str, shard_words: int) -> tuple[DataFrame, int]:
+    """Distinct items (name, text, shard), dealt by a hash into shards of about shard_words words, and how many shards there are."""
     rows = items.select(F.col(f"`{id_col}`").cast("string").alias("name"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").distinct()
     words = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(shards)))
-    for k in range(shards):
-        mine = [(r["name"], alnum_words(r["text"].encode())) for r in rows.where(F.col("shard") == k).toLocalIterator()]
-        yield sorted((x for x in mine if x[1]), key=lambda x: (x[0] or "", x[1]))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("name", "text"), F.lit(shards))), shards
+
+
+def _automaton(rows: Iterable[tuple[str | None, str]], window: int) -> Automaton:
+    items = [(name, alnum_words(text.encode())) for name, text in rows]
+    return Automaton(sorted((x for x in items if x[1]), key=lambda x: (x[0] or "", x[1])), window)
+
+
+def _built(dealt: DataFrame, window: int) -> list[str]:
+    """Where each shard's automaton was written in the shared folder, by the task that built it; a task that is run again writes the same."""
+    folder = shared_path(dealt.sparkSession, "automata")
+
+    def build(shard: pa.Table) -> pa.Table:
+        store, path = FileSystem.from_uri(folder)
+        store.create_dir(path)
+        name = f"{shard.column('shard')[0].as_py()}-{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{path}/{name}") as out:
+            out.write(pickle.dumps(_automaton(zip(shard.column("name").to_pylist(), shard.column("text").to_pylist(), strict=True), window), pickle.HIGHEST_PROTOCOL))
+        return pa.table({"name": [name]})
+
+    return [f"{folder}/{r['name']}" for r in dealt.groupBy("shard").applyInArrow(build, "name string").collect()]
+
+
+def _read(uri: str) -> Automaton:
+    store, path = FileSystem.from_uri(uri)
+    with store.open_input_stream(path) as f:
+        return pickle.loads(f.read())
 
 
 def _past(docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str, window: int, shard_words: int, finish: Callable, schema: StructType) -> DataFrame:
     """docs past the automaton of each shard of items, then finish(batch, texts' words, spans, items' names).
 
-    One automaton of about shard_words words (or one item) is on the driver and in a task at a time: with more shards than one, what was
-    found so far is written beside the documents between them.
+    The texts are read once. Items of one shard make one automaton, which is broadcast. More are built by tasks and written to the shared folder
+    (which pyarrow.fs must open on every node); a task then takes HELD bytes of texts through one automaton after the other, so it has one
+    of about shard_words words (or of one item) at a time.
     """
-    spark = docs.sparkSession
-    so_far = unused(docs, "found")
-    plain = docs.schema
-    found_type = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("name", StringType())]))
-    with_found = StructType([*plain.fields, StructField(so_far, found_type)])
-    shards = iter(_dealt(items, item_col, item_text, shard_words))
-    batch, told = next(shards), None
-    while batch is not None:
-        after = next(shards, None)
-        made = spark.sparkContext.broadcast(Automaton(batch, window))
-
-        def run(batches: Iterator[pa.RecordBatch], made=made, last=after is None) -> Iterator[pa.RecordBatch]:
-            automaton = made.value
-            kind = to_arrow_type(found_type)
-            for part in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
-                texts = [alnum_words(t) for _, t in byte_rows(part, text_col, text_col)]
-                found = [automaton.spans(words) for words in texts]
-                spans, names = [f[0] for f in found], [{automaton.names[i] for i in f[1]} for f in found]
-                if so_far in part.schema.names:
-                    before = part.column(so_far).to_pylist()
-                    part = part.drop_columns([so_far])
-                    for s, n, rows in zip(spans, names, before, strict=True):
-                        s += [(r["start"], r["end"]) for r in rows if r["end"]]
-                        n |= {r["name"] for r in rows if not r["end"]}
-                if last:
-                    yield finish(part, texts, spans, names)
-                else:  # spans without names, then names without spans
-                    rows = [[{"start": a, "end": b} for a, b in s] + [{"start": 0, "end": 0, "name": x} for x in n] for s, n in zip(spans, names, strict=True)]
-                    yield part.append_column(so_far, pa.array(rows, kind))
-
-        if after is not None:
-            new = cut(docs.mapInArrow(run, with_found), "decontamination")
-            if told is not None:
-                discard(told)
-            docs = told = new
-        batch = after
+    dealt, shards = _dealt(items, item_col, item_text, shard_words)
+    if shards == 1:
+        made = docs.sparkSession.sparkContext.broadcast(_automaton([(r["name"], r["text"]) for r in dealt.toLocalIterator()], window))
+        paths = None
+    else:
+        made, paths = None, _built(dealt, window)
+
+    def told(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = [[[] for _ in range(len(p))] for p in parts]
+        names: list[list[set]] = [[set() for _ in range(len(p))] for p in parts]
+        cut_up = lambda p: (alnum_words(t) for _, t in byte_rows(p, text_col, text_col))
+        words = [list(cut_up(p)) for p in parts] if paths is None else None  # kept for the one small batch, else cut up each time
+        for automaton in (made.value,) if paths is None else map(_read, paths):
+            for k, (s, n) in enumerate(zip(spans, names, strict=True)):
+                for i, text in enumerate(words[k] if words else cut_up(parts[k])):
+                    found, who = automaton.spans(text)
+                    s[i] += found
+                    n[i] |= {automaton.names[w] for w in who}
+        for k, (s, n) in enumerate(zip(spans, names, strict=True)):
+            yield finish(parts[k], words[k] if words else list(cut_up(parts[k])), s, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for part in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
+            held.append(part)
+            size += part.column(text_col).nbytes
+            if paths is None or size > HELD:
+                yield from told(held)
+                held, size = [], 0
+        if held:
+            yield from told(held)
+
     return docs.mapInArrow(run, schema)
 
 
@@ -235,8 +260,8 @@ def without(text: bytes, words: list[bytes], spans: list[tuple[int, int]], cover
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with hit spans cut out of their texts and without documents of which more than `coverage` is hit.
 
-    Documents without a hit, null and empty texts among them, stay as they are; so do repeated rows, each by itself. n_chars,
-    where docs has it, follows. An empty table stays empty; all columns are kept.
+    Documents without a hit, null and empty texts among them, stay as they are; so do repeated rows, each by itself, and rows of a
+    null id. n_chars, where docs has it, follows. An empty table stays empty; all columns are kept. A text is read whole by one task, however long.
     """
     new = unused(docs, "new")
     schema = StructType([*docs.schema.fields, StructField(new, StringType())])
