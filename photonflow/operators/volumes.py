@@ -79,25 +79,6 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return "".join(f"`{n}` {kinds[n]}, " for n in names)
 
 
-def _grown(bits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, z, grown: packed masks grown by the voxels that share a face with them. Each slice tells its neighbours what it covers."""
-    columns = [*keys, "z", "grown"]
-
-    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            masks = [np.unpackbits(np.frombuffer(b, np.uint8), count=h * w).astype(bool).reshape(h, w) for b, h, w in zip(part["bits"], part["height"], part["width"], strict=True)]
-            yield part.assign(grown=[np.packbits(_cross(m)).tobytes() for m in masks])[columns]
-            for step in (-1, 1):
-                yield part.assign(z=part["z"] + step, grown=part["bits"])[columns]
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in group["grown"]])
-        return group.iloc[:1].assign(grown=[whole.tobytes()])
-
-    schema = f"{_kinds(bits, [*keys, 'z'])}grown binary"
-    return bits.mapInPandas(told, schema).groupBy(*keys, "z").applyInPandas(joined, schema)
-
-
 def feature_transform(mask: DataFrame, keys: Sequence[str] = (), voxel: Sequence[float] = (1.0, 1.0, 1.0), grow: bool = True) -> DataFrame:
     """keys, z, height, width, stripe (first pixel), and of a stripe's pixels: distance, near_x, near_y, near_z.
 
@@ -117,14 +98,21 @@ def feature_transform(mask: DataFrame, keys: Sequence[str] = (), voxel: Sequence
             yield part[own].assign(bits=[np.packbits(np.asarray(p, bool)).tobytes() for p in part["pixels"]])
 
     bits = held.mapInPandas(pack, f"{_kinds(held, own)}bits binary")
-    bits = bits.join(_grown(bits, keys), [*keys, "z"]) if grow else bits.withColumn("grown", F.col("bits"))
+    beside = ["_before", "_after"] if grow else []
+    for name, step in zip(beside, (1, -1), strict=False):  # a slice's neighbours, packed
+        near = bits.select(*(F.col(k).alias(f"_{k}_") for k in keys), (F.col("z") + step).alias("_z_"), F.col("bits").alias(name))
+        same = [F.col("z") == F.col("_z_"), *(F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys)]
+        bits = bits.join(near, same, "left").drop("_z_", *(f"_{k}_" for k in keys))
+    # packed slices are small beside the work that they mean, so they are dealt by number and not by size
+    bits = bits.repartition(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "z")
     sides = ("in", "out")
     packed = [f"{n}_{s}" for s in sides for n in ("cost", "y", "x")]
 
     def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for i, (b, g, h, w) in enumerate(zip(part["bits"], part["grown"], part["height"], part["width"], strict=True)):
-                inside, grown = (np.unpackbits(np.frombuffer(v, np.uint8), count=h * w).astype(bool).reshape(h, w) for v in (b, g))
+            for i, (b, h, w, *sides_) in enumerate(zip(*(part[c] for c in ("bits", "height", "width", *beside)), strict=True)):
+                inside, *near = (np.unpackbits(np.frombuffer(v, np.uint8), count=h * w).astype(bool).reshape(h, w) for v in (b, *(v for v in sides_ if v is not None)))
+                grown = np.logical_or.reduce([_cross(inside), *near]) if grow else inside
                 found = [v.ravel() for target in (~inside, grown) for v in nearest_in_slice(target, vy, vx)]
                 first = np.arange(0, h * w, STRIPE)
                 cut = {n: [v[a : a + STRIPE].tobytes() for a in first] for n, v in zip(packed, found, strict=True)}
