@@ -3,35 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import product
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from photonflow.operators.spatial import pairs_within
+from photonflow.operators.tiles import Tile, distances, fine, gathered, lists, meetings, tiles
 from photonflow.sources.shared import kept
 
 #: Terms of a patch over its plane, by powers of u and v.
 TERMS = ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2))
+#: Powers of x, y and z up to the fourth degree.
+POWERS = [p for p in product(range(5), repeat=3) if sum(p) <= 4]
 
 
-def _frames(near: DataFrame, row_id: str) -> DataFrame:
-    """row_id, n, frame (9: two directions in the plane and the normal, by rows) from the spread of each point's neighbourhood about its mean."""
-    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
-    spread = near.groupBy(row_id).agg(F.count("*").alias("n"), F.array(*(F.covar_pop(f"d{a}", f"d{b}") for a, b in pairs)).alias("_spread"))
-    kind = dict(spread.dtypes)[row_id]
+def _shifted(sums: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of the POWERS of neighbours' coordinates (n, 35), told about the points x (n, 3) instead of the origin."""
+    power = [np.ones_like(x)]
+    for _ in range(4):
+        power.append(power[-1] * -x)
+    out = np.zeros_like(sums)
+    for k, alpha in enumerate(POWERS):
+        for beta in product(*(range(a + 1) for a in alpha)):
+            factor = float(np.prod([comb(a, b) for a, b in zip(alpha, beta, strict=True)]))
+            rest = [power[a - b][:, i] for i, (a, b) in enumerate(zip(alpha, beta, strict=True))]
+            out[:, k] += factor * sums[:, POWERS.index(beta)] * rest[0] * rest[1] * rest[2]
+    return out
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            half = np.zeros((len(part), 3, 3))
-            values = np.nan_to_num(np.array(part["_spread"].tolist(), float).reshape(-1, 6))
-            for k, (i, j) in enumerate(zip(*np.triu_indices(3), strict=True)):
-                half[:, i, j] = half[:, j, i] = values[:, k]
-            axes = np.linalg.eigh(half)[1].transpose(0, 2, 1)[:, ::-1]  # the least spread last
-            axes[:, 2] = np.cross(axes[:, 0], axes[:, 1])
-            yield part[[row_id, "n"]].assign(frame=list(axes.reshape(-1, 9)))
 
-    return spread.mapInPandas(run, f"`{row_id}` {kind}, n long, frame array<double>")
+def _moments(points: DataFrame, radius: float) -> DataFrame:
+    """_row, m: of the points (_row, x, y, z), sums of the POWERS of the displacements (over the radius) to all points closer than it, itself included.
+
+    A pair of tiles is a product of matrices: which points are near, times the powers of the second tile's coordinates about the first's middle.
+    """
+    cell = fine(radius)
+    held = tiles(points, "_row", ("x", "y", "z"), cell)
+
+    def start(a: Tile) -> tuple[np.ndarray, np.ndarray]:
+        return a.at.mean(axis=1), np.zeros((len(a.ids), len(POWERS)))
+
+    def add(state: tuple[np.ndarray, np.ndarray], a: Tile, b: Tile) -> None:
+        middle, sums = state
+        up = [np.stack([v**k for k in range(5)]) for v in (b.at - middle[:, None]) / radius]
+        powers = np.stack([up[0][i] * up[1][j] * up[2][k] for i, j, k in POWERS], axis=1)
+        for part, d in distances(a, b, 3):
+            sums[part] += (d < radius).astype(float) @ powers
+
+    def finish(a: Tile, state: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        middle, sums = state
+        return pa.record_batch([pa.array(a.ids), lists(_shifted(sums, (a.at - middle[:, None]).T / radius))], names=["_row", "m"])
+
+    kind = dict(points.dtypes)["_row"]
+    found = meetings(held, held, radius, cell).mapInArrow(gathered(radius, 3, start, add, finish), f"_row {kind}, m array<double>")
+    return found.groupBy("_row").agg(F.array(*(F.sum(F.col("m")[k]) for k in range(len(POWERS)))).alias("m"))
+
+
+def _turned(m: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Frames (n, 9: two directions in the plane and the normal, by rows) by the spread of neighbourhoods, and the tensors of orders 0 to 4 of
+    their moments along them."""
+    tensors = [np.stack([m[:, POWERS.index(tuple(at.count(k) for k in range(3)))] for at in product(range(3), repeat=order)], axis=1).reshape(-1, *(3,) * order) for order in range(5)]
+    n = tensors[0]
+    half = tensors[2] / n[:, None, None] - tensors[1][:, :, None] * tensors[1][:, None, :] / (n * n)[:, None, None]
+    axes = np.linalg.eigh(half)[1].transpose(0, 2, 1)[:, ::-1]  # the least spread last
+    axes[:, 2] = np.cross(axes[:, 0], axes[:, 1])
+    for order in range(1, 5):
+        for _ in range(order):  # the first index is turned and goes last
+            tensors[order] = np.einsum("nui,ni...->n...u", axes, tensors[order])
+    return axes.reshape(-1, 9), tensors
 
 
 def _fitted(gram: np.ndarray, right: np.ndarray, square: np.ndarray, n: np.ndarray, frame: np.ndarray, through: bool) -> dict[str, np.ndarray]:
@@ -57,30 +98,27 @@ def fit_patches(points: DataFrame, radius: float, row_id: str, axes: Sequence[st
 
     The patch is a quadratic height over the plane of least spread of all points closer than the radius, fitted to them by least squares;
     `through` makes it pass through the point itself (offset 0). Points of fewer than `least` neighbours (themselves included) have no
-    patch. A normal's side is arbitrary. Neighbours meet on a grid, and only sums of their powers are grouped, added up before they are shuffled.
+    patch. A normal's side is arbitrary. Neighbours meet in tiles, and only sums of their powers are shuffled: each task adds up 35 a point, whatever
+    its number of neighbours; they are turned into the patch's frame after.
     """
     near = points.select(F.col(row_id).alias("_row"), *(F.col(c).cast("double").alias(a) for c, a in zip(axes, "xyz", strict=True))).dropna()
     near = kept(near, "points")
-    pairs = pairs_within(near, near, ("x", "y", "z"), radius).select(F.col("a._row").alias("_row"), *((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"d{c}") for c in "xyz"))
-    frames = kept(_frames(pairs, "_row").where(F.col("n") >= least), "frames")
-    turned = pairs.join(frames.select("_row", "frame"), "_row")
-    u, v, w = (sum((F.col(f"d{c}") * F.col("frame")[3 * k + i] for i, c in enumerate("xyz")), F.lit(0.0)) / radius for k in range(3))
-    turned = turned.select("_row", u.alias("u"), v.alias("v"), w.alias("w"))
-    power = lambda p, q: F.pow("u", F.lit(float(p))) * F.pow("v", F.lit(float(q)))
-    moments = sorted({(a + c, b + d) for a, b in TERMS for c, d in TERMS})
-    sums = turned.groupBy("_row").agg(F.array(*(F.sum(power(*m)) for m in moments)).alias("m"), F.array(*(F.sum(F.col("w") * power(*t)) for t in TERMS)).alias("r"), F.sum(F.col("w") * F.col("w")).alias("s"))
-    joined = sums.join(frames, "_row").join(near, "_row")
-    place = [[moments.index((a + c, b + d)) for c, d in TERMS] for a, b in TERMS]
+    joined = _moments(near, radius).where(F.col("m")[0] >= least).join(near, "_row")
+    along = lambda p, q, r=0: (*(0,) * p, *(1,) * q, *(2,) * r)
     out = ["nx", "ny", "nz", "curvature1", "curvature2", "offset", "residual"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if not len(part):
                 continue
-            stack = lambda c: np.array(part[c].tolist(), float)  # noqa: B023, E731
-            found = _fitted(stack("m")[:, place], stack("r"), part["s"].to_numpy(float), part["n"].to_numpy(float), stack("frame"), through)
+            m = np.array(part["m"].tolist(), float)
+            frame, turned = _turned(m)
+            of = lambda p, q, r=0: turned[p + q + r][(slice(None), *along(p, q, r))]  # noqa: B023, E731
+            gram = np.stack([np.stack([of(a + c, b + d) for c, d in TERMS], axis=1) for a, b in TERMS], axis=1)
+            right = np.stack([of(a, b, 1) for a, b in TERMS], axis=1)
+            found = _fitted(gram, right, of(0, 0, 2), m[:, 0], frame, through)
             found |= {"curvature1": found["curvature1"] / radius, "curvature2": found["curvature2"] / radius, "offset": found["offset"] * radius, "residual": found["residual"] * radius}
-            yield part[["_row", "x", "y", "z", "n"]].assign(**found)[["_row", "x", "y", "z", "n", *out]]
+            yield part[["_row", "x", "y", "z"]].assign(n=np.rint(m[:, 0]).astype(np.int64), **found)[["_row", "x", "y", "z", "n", *out]]
 
     kinds = dict(joined.dtypes)
     found = joined.mapInPandas(run, f"_row {kinds['_row']}, x double, y double, z double, n long, {', '.join(f'{o} double' for o in out)}")
@@ -90,10 +128,30 @@ def fit_patches(points: DataFrame, radius: float, row_id: str, axes: Sequence[st
 def aligned_patches(patches: DataFrame, radius: float, row_id: str, threshold: float = 0.85) -> DataFrame:
     """Patches whose normal agrees with those of the patches closer than the radius: the median of the cosines (without sign, itself included) reaches the threshold."""
     patches = kept(patches, "patches")
-    pairs = pairs_within(patches, patches, ("x", "y", "z"), radius)
-    cosine = F.abs(sum((F.col(f"a.n{c}") * F.col(f"b.n{c}") for c in "xyz"), F.lit(0.0)))
-    good = pairs.groupBy(F.col(f"a.{row_id}").alias(row_id)).agg(F.median(cosine).alias("_m")).where(F.col("_m") >= threshold).select(row_id)
-    return patches.join(good, row_id, "left_semi")
+    cell = fine(radius)
+    held = tiles(patches, row_id, ("x", "y", "z"), cell, values=("nx", "ny", "nz"))
+
+    def add(state: np.ndarray, a: Tile, b: Tile) -> None:
+        n, agree, low, high = state
+        for part, d in distances(a, b, 3):
+            near = d < radius
+            cosine = np.abs(a.at[3, part, None] * b.at[3] + a.at[4, part, None] * b.at[4] + a.at[5, part, None] * b.at[5])
+            good = near & (cosine >= threshold)
+            n[part] += near.sum(axis=1)
+            agree[part] += good.sum(axis=1)
+            high[part] = np.minimum(high[part], np.where(good, cosine, np.inf).min(axis=1))
+            low[part] = np.maximum(low[part], np.where(near & ~good, cosine, -np.inf).max(axis=1))
+
+    def finish(a: Tile, state: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a.ids), *map(pa.array, state)], names=[row_id, *names])
+
+    names = ["_n", "_agree", "_low", "_high"]
+    start = lambda a: np.concatenate([np.zeros((2, len(a.ids))), np.full((1, len(a.ids)), -np.inf), np.full((1, len(a.ids)), np.inf)])
+    told = meetings(held, held, radius, cell).mapInArrow(gathered(radius, 3, start, add, finish), f"`{row_id}` {dict(patches.dtypes)[row_id]}, {', '.join(f'{n} double' for n in names)}")
+    told = told.groupBy(row_id).agg(F.sum("_n").alias("_n"), F.sum("_agree").alias("_agree"), F.max("_low").alias("_low"), F.min("_high").alias("_high"))
+    # more than half reach the threshold; or just half, and the median is the mean of the values on both sides of it
+    good = told.where((2 * F.col("_agree") > F.col("_n")) | ((2 * F.col("_agree") == F.col("_n")) & ((F.col("_low") + F.col("_high")) / 2 >= threshold)))
+    return patches.join(good.select(row_id), row_id, "left_semi")
 
 
 def reconstructed(patches: DataFrame, radius: float, spacing: float, row_id: str) -> DataFrame:

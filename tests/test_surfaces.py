@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from photonflow.operators import astigmatism, clumping, spatial, surfaces
+from photonflow.operators import astigmatism, clumping, spatial, surfaces, tiles
 
 
 def test_curvature_of_a_sphere_and_a_saddle(spark):
@@ -85,3 +85,28 @@ def test_rejection_along_a_chain_takes_few_rounds(spark):
             assert again[i] == near
             if not near:
                 kept.append((i, x, y))
+
+
+def test_patches_of_crowded_tiles_equal_least_squares(spark, monkeypatch):
+    """Neighbourhoods meet as tiles: cells of more than MOST points, some of them of one place, are parted and dealt."""
+    monkeypatch.setattr(tiles, "MOST", 16)
+    monkeypatch.setattr(tiles, "HELD", 1)
+    rng = np.random.default_rng(5)
+    p = rng.normal(0, 0.3, (300, 3)) * (1, 1, 0.05)
+    p[:40] = p[0]
+    points = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)], "i long, x double, y double, z double")
+    found = {r.i: r for r in surfaces.fit_patches(points, 0.25, "i").collect()}
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    assert set(found) == set(np.flatnonzero((d < 0.25).sum(axis=1) >= 8).tolist())
+    for i, r in found.items():
+        q = p[d[i] < 0.25] - p[i]
+        axes = np.linalg.eigh(np.cov(q.T, bias=True))[1].T[::-1]
+        u, v, w = (axes @ q.T) / 0.25
+        terms = np.stack([u, v, u * u, u * v, v * v], axis=1)
+        c = np.linalg.lstsq(terms, w, rcond=1e-8)[0]
+        assert r.n == len(q) and r.residual == pytest.approx(0.25 * np.sqrt(np.mean((w - terms @ c) ** 2)), abs=1e-6)
+    patches = spark.createDataFrame([(i, *map(float, q), *map(float, n)) for i, (q, n) in enumerate(zip(p, rng.normal(size=p.shape)))], "i long, x double, y double, z double, nx double, ny double, nz double")
+    rows = patches.orderBy("i").collect()
+    n = np.array([(r.nx, r.ny, r.nz) for r in rows])
+    agree = {i for i in range(len(p)) if np.median(np.abs(n[d[i] < 0.25] @ n[i])) >= 0.8}
+    assert 0 < len(agree) < len(p) and {r.i for r in surfaces.aligned_patches(patches, 0.25, "i", 0.8).collect()} == agree
