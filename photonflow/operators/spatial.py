@@ -13,6 +13,7 @@ from math import pi
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from photonflow.operators.tiles import Tile, fine, meetings, neighbour_counts, pair_counts, tiles
 from photonflow.sources.shared import shared_dir
 
 
@@ -121,9 +122,17 @@ def keep_pairs(first: DataFrame, second: DataFrame, t: str, axes: Sequence[str],
 
 
 def pair_histogram(points: DataFrame, axes: Sequence[str], bins: int, size: float, row_id: str) -> DataFrame:
-    """bin, bin_left, n: distances of all unordered pairs below bins * size, truncated to bins."""
-    pairs = self_pairs(points.select(row_id, *axes), axes, bins * size, row_id)
-    counts = pairs.groupBy(F.floor(F.col("distance") / size).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    """bin, bin_left, n: distances of all unordered pairs (of different row_id) below bins * size, truncated to bins.
+
+    Every distance is worked out, so time grows with the pairs of near tiles; a task holds two tiles and its counts.
+    """
+    radius, cell = bins * size, fine(bins * size)
+    held = tiles(points, row_id, axes, cell)
+
+    def count(total: np.ndarray, d: np.ndarray, a: Tile, b: Tile, part: slice) -> None:
+        total += np.bincount((d[d < radius] / size).astype(np.int64), minlength=bins + 1)
+
+    counts = meetings(held, held, radius, cell, once=True).mapInArrow(pair_counts(radius, len(axes), bins + 1, count), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     out = points.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0, ["n"])
     return out.select("bin", (F.col("bin") * size).alias("bin_left"), "n")
 

@@ -155,6 +155,29 @@ def gathered(radius: float, dims: int, start: Callable[[Tile], object], add: Cal
     return run
 
 
+def pair_counts(radius: float, dims: int, bins: int, count: Callable[[np.ndarray, np.ndarray, Tile, Tile, slice], None]) -> Callable:
+    """What a task does with rows of meetings(..., once=True): bin, n. `count` adds a run's pairs to the task's counts, by the run's distances; those
+    of points of one id are infinite. Within a tile pairs come in both orders, a.at - b.at and back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, twice = np.zeros((2, bins), np.int64)
+        for a, whole in read(batches):
+            b = beside(a, whole, radius, dims)
+            if not len(b.ids):
+                continue
+            same = a.number == b.number
+            shared = same or len(np.intersect1d(a.ids, b.ids))
+            for part, d in distances(a, b, dims):
+                if shared:
+                    d[a.ids[part, None] == b.ids] = np.inf
+                count(twice if same else total, d, a, b, part)
+        total += twice // 2
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], names=["bin", "n"])
+
+    return run
+
+
 def lists(rows: np.ndarray) -> pa.ListArray:
     """A list for each row of a matrix."""
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
