@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from photonflow.operators.asof import as_of
-from photonflow.operators.spatial import self_pairs
+from photonflow.operators.tiles import Tile, fine, meetings, pair_counts, tiles
 from photonflow.operators.windows import frame_means
 
 
@@ -145,15 +145,25 @@ def vector_pair_histogram(points: DataFrame, bins: int, size: float, angle_bins:
     theta = atan(dy / dx) + pi / 2 and phi = atan(dz / hypot(dx, dy)) + pi / 2, each over pi in angle_bins; a pair with
     no finite quotient takes pi / 2 of the numerator's sign. Only bins with pairs are returned.
     """
-    d = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz"}
-    flat = F.hypot(d["x"], d["y"])
-
-    def angle(up: Column, along: Column) -> Column:
-        turned = F.coalesce(F.atan(F.try_divide(up, along)), F.signum(up) * (pi / 2)) + pi / 2
-        return F.least(F.floor(turned * angle_bins / pi), F.lit(angle_bins - 1)).cast("int")
-
-    pairs = self_pairs(points.select("x", "y", "z", row_id), ("x", "y", "z"), bins * size, row_id)
-    return pairs.select(F.floor(F.col("distance") / size).cast("int").alias("r_bin"), angle(d["y"], d["x"]).alias("theta_bin"), angle(d["z"], flat).alias("phi_bin")).groupBy("r_bin", "theta_bin", "phi_bin").agg(F.count("*").alias("n"))
+    radius, cell = bins * size, fine(bins * size)
+    held = tiles(points, row_id, ("x", "y", "z"), cell)
+
+    def angle(up: np.ndarray, along: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            turned = np.where(along != 0, np.arctan(up / along), np.sign(up) * (pi / 2)) + pi / 2
+        return np.minimum(turned * angle_bins / pi, angle_bins - 1).astype(np.int64)
+
+    def count(total: np.ndarray, d: np.ndarray, a: Tile, b: Tile, part: slice) -> None:
+        row, column = np.nonzero(d < radius)
+        way = np.where(a.ids[part][row] < b.ids[column], 1.0, -1.0)  # from the lower id to the higher one
+        dx, dy, dz = ((b.at[k][column] - a.at[k, part][row]) * way for k in range(3))
+        ring = (d[row, column] / size).astype(np.int64)
+        total += np.bincount((ring * angle_bins + angle(dy, dx)) * angle_bins + angle(dz, np.hypot(dx, dy)), minlength=len(total))
+
+    places = (bins + 1) * angle_bins * angle_bins
+    found = meetings(held, held, radius, cell, once=True).mapInArrow(pair_counts(radius, 3, places, count), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    part = lambda step, c: (F.floor(F.col("bin") / step) % c).cast("int")
+    return found.select(part(angle_bins**2, bins + 1).alias("r_bin"), part(angle_bins, angle_bins).alias("theta_bin"), part(1, angle_bins).alias("phi_bin"), "n")
 
 
 def central_difference(df: DataFrame, order: str, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
