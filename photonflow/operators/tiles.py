@@ -73,13 +73,15 @@ def fine(radius: float) -> float:
     return radius * (1 + 1e-9)
 
 
-def meetings(left: DataFrame, right: DataFrame, radius: float, size: float, once: bool = False) -> DataFrame:
+def meetings(left: DataFrame, right: DataFrame, radius: float, size: float, once: bool = False, apart: bool = False) -> DataFrame:
     """Rows of two tiles (columns _a, a_ids, a_at and _b, b_ids, b_at) in cells that are near, of equal keys where `right` has any; with `once`, of the
-    tiles of one table each unordered pair once, a tile with itself too."""
+    tiles of one table each unordered pair once, a tile with itself too; with `apart`, none of one cell."""
     keys = [c for c in right.columns if c.startswith("_key_")]
     first = right.select("_cell").first()
     moves = reach(radius, size, len(first["_cell"])) if first else [(0,)]
     near = right.select(*keys, F.col("_tile").alias("_b"), F.col("_box").alias("_b_box"), "_cell", F.explode(F.array(*(F.array(*(F.lit(k).cast("long") for k in m)) for m in moves))).alias("_move"))
+    if apart:
+        near = near.where(F.exists("_move", lambda m: m != 0))
     near = near.withColumn("_cell", F.zip_with("_cell", "_move", lambda c, m: c + m)).drop("_move")
     pairs = left.select(*keys, "_cell", F.col("_tile").alias("_a"), F.col("_box").alias("_a_box")).join(near, [*keys, "_cell"])
     gaps = F.zip_with("_a_box", "_b_box", lambda a, b: F.greatest(a[0] - b[1], b[0] - a[1], F.lit(0.0)))

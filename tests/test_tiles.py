@@ -57,3 +57,25 @@ def test_rejection_looks_at_first_points_of_crowded_cells(spark, monkeypatch):
             kept.append(i)
     for block in (2.0, 32.0):
         assert {r.i for r in clumping.overlap_rejection(df, ("x", "y"), 0.3, "i", block=block).where("rejected = 0").collect()} == {*kept, 900, 901}
+
+
+@pytest.mark.parametrize("minimum", [1, 4, 9])
+def test_dbscan_by_cells_equals_all_pairs(spark, monkeypatch, minimum):
+    """Crowded cells, points of one place, chains, borders between clusters, noise."""
+    monkeypatch.setattr(tiles, "MOST", 12)
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.normal(0, 0.1, (90, 2)), rng.normal((0.8, 0), 0.12, (60, 2)), np.full((40, 2), 0.4), rng.uniform(-1, 2, (60, 2))])
+    near = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)) < 0.1
+    core = near.sum(axis=1) >= minimum
+    label = np.where(core, np.arange(len(p)), len(p))
+    while True:
+        new = np.where(core, np.where(near & core[None] & core[:, None], label[None], len(p)).min(axis=1), len(p))
+        if (new == label).all():
+            break
+        label = new
+    border = np.where(near & core[None], label[None], len(p)).min(axis=1)
+    want = np.where(border < len(p), border + 1, 0)
+    df = spark.createDataFrame([(i, *map(float, q)) for i, q in enumerate(p)] + [(900, None, 0.0)], "i long, x double, y double")
+    found = {r.i: r.dbscanClumpID for r in clumping.dbscan(df, ("x", "y"), 0.1, minimum, "i").collect()}
+    assert found.pop(900) == (901 if minimum == 1 else 0)
+    assert [found[i] for i in range(len(p))] == want.tolist()
