@@ -154,11 +154,9 @@ def masked_ripley(points: DataFrame, mask: DataFrame, axes: Sequence[str], bins:
 
     `mask`: evenly spaced points of the region, of which each stands for per_mask_point. `keys` tells sets of points (simulations) apart.
     """
-    near = F.floor(F.col("distance") / size).cast("int").alias("bin")
-    who = [F.col(f"a.{c}").alias(c) for c in (*keys, row_id)]
     slim = points.select(*keys, row_id, *axes)
-    d = pairs_within(slim, slim, axes, bins * size, keys).groupBy(*who, near).agg(F.count("*").alias("d"))
-    w = pairs_within(slim, mask.select(*axes), axes, bins * size).groupBy(*who, near).agg(F.count("*").alias("w"))
+    d = neighbour_counts(slim, None, axes, bins, size, row_id, "d", keys)
+    w = neighbour_counts(slim, mask.select(*axes), axes, bins, size, row_id, "w", keys)
     power = len(axes)
     open_space = (F.pow(F.col("bin") + 1, F.lit(power)) - F.pow("bin", F.lit(power))) * (pi if power == 2 else 4 * pi / 3) * size**power / per_mask_point
     weighted = d.join(w, [*keys, row_id, "bin"]).groupBy(*keys, "bin").agg(F.sum(open_space * F.col("d") / F.col("w")).alias("h"))
@@ -203,8 +201,7 @@ def box_mask(spark, low: Sequence[float], high: Sequence[float], spacing: float,
 def distance_features(points: DataFrame, axes: Sequence[str], bins: int, size: float, row_id: str, normalise: bool = False) -> DataFrame:
     """row_id, features: how many points, itself included, lie in each ring of `size` around a point; or their shares."""
     slim = points.select(row_id, *axes)
-    near = F.floor(F.col("distance") / size).cast("int").alias("bin")
-    counts = pairs_within(slim, slim, axes, bins * size).groupBy(F.col(f"a.{row_id}").alias(row_id), near).agg(F.count("*").alias("n"))
+    counts = neighbour_counts(slim, None, axes, bins, size, row_id, "n")
     held = counts.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))  # `bins` entries at most
     features = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("double"))
     if normalise:

@@ -79,3 +79,32 @@ def test_dbscan_by_cells_equals_all_pairs(spark, monkeypatch, minimum):
     found = {r.i: r.dbscanClumpID for r in clumping.dbscan(df, ("x", "y"), 0.1, minimum, "i").collect()}
     assert found.pop(900) == (901 if minimum == 1 else 0)
     assert [found[i] for i in range(len(p))] == want.tolist()
+
+
+def test_ring_counts_of_crowded_tiles_equal_all_pairs(spark, cloud):
+    points, ids, p, d = cloud
+    want = {(int(ids[i]), b): int(n) for i in range(250) for b, n in enumerate(np.bincount((d[i][d[i] < 0.5] / 0.1).astype(int), minlength=5)) if n}
+    assert {(r.i, r.bin): r.n for r in tiles.neighbour_counts(points, None, ("x", "y", "z"), 5, 0.1, "i", "n").collect()} == want
+    mask = spark.createDataFrame(p[:100:3].tolist(), "x double, y double, z double")
+    e = d[:, :100:3]
+    want = {(int(ids[i]) % 2, int(ids[i]), b): int(n) for i in range(250) for b, n in enumerate(np.bincount((e[i][e[i] < 0.5] / 0.1).astype(int), minlength=5)) if n}
+    keyed = points.selectExpr("*", "i % 2 AS k")
+    assert {(r.k, r.i, r.bin): r.w for r in tiles.neighbour_counts(keyed, mask, ("x", "y", "z"), 5, 0.1, "i", "w", ["k"]).collect()} == want
+    want = {(int(ids[i]) % 2, int(ids[i])): int(n) for i, n in enumerate(((d < 0.5) & (ids[:, None] % 2 == ids % 2)).sum(axis=1))}
+    found: dict[tuple, int] = {}
+    for r in tiles.neighbour_counts(keyed, None, ("x", "y", "z"), 5, 0.1, "i", "n", ["k"]).collect():
+        found[r.k, r.i] = found.get((r.k, r.i), 0) + r.n
+    assert found == want
+
+
+def test_density_of_crowded_tiles_equals_all_pairs(cloud):
+    points, ids, _, d = cloud
+    found = {r.i: (r.n, r.density) for r in spatial.local_density(points, ("x", "y", "z"), 7, 0.5, "i").collect()}
+    for i in range(250):
+        near = np.sort(np.delete(d[i], i)[np.delete(d[i], i) < 0.5])[:7]
+        if not len(near):
+            assert int(ids[i]) not in found
+            continue
+        n, density = found[int(ids[i])]
+        total = (near**6).sum()
+        assert n == len(near) and (density == pytest.approx((near**3 * np.arange(1, len(near) + 1)).sum() / total) if total else density is None)
