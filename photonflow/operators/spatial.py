@@ -11,9 +11,10 @@ from itertools import product
 from math import pi
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from photonflow.operators.tiles import Tile, fine, meetings, neighbour_counts, pair_counts, tiles
+from photonflow.operators.tiles import Tile, distances, fine, gathered, lists, meetings, neighbour_counts, pair_counts, tiles
 from photonflow.sources.shared import shared_dir
 
 
@@ -211,9 +212,22 @@ def distance_features(points: DataFrame, axes: Sequence[str], bins: int, size: f
 
 def local_density(points: DataFrame, axes: Sequence[str], neighbours: int, radius: float, row_id: str) -> DataFrame:
     """Density from the nearest neighbours within the radius: the least squares slope of their number against d ** D."""
-    pairs = pairs_within(points.select(row_id, *axes), points.select(row_id, *axes), axes, radius).where(F.col(f"a.{row_id}") != F.col(f"b.{row_id}"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    near = pairs.select(F.col(f"a.{row_id}").alias("id"), F.col(f"b.{row_id}").alias("other"), "distance").withColumn("k", rank).where(F.col("k") <= neighbours)
+    cell, dims, kind = fine(radius), len(axes), dict(points.dtypes)[row_id]
+    held = tiles(points, row_id, axes, cell)
+
+    def add(best: np.ndarray, a: Tile, b: Tile) -> None:
+        for part, d in distances(a, b, dims):
+            d[(d >= radius) | (a.ids[part, None] == b.ids)] = np.inf
+            if d.shape[1] > neighbours:
+                d = np.partition(d, neighbours - 1, axis=1)[:, :neighbours]
+            best[part] = np.sort(np.concatenate([best[part], d], axis=1), axis=1)[:, :neighbours]
+
+    def finish(a: Tile, best: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a.ids), lists(best)], names=["id", "near"])
+
+    told = meetings(held, held, radius, cell).mapInArrow(gathered(radius, dims, lambda a: np.full((len(a.ids), neighbours), np.inf), add, finish), f"id {kind}, near array<double>")
+    near = told.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))  # `neighbours` for each state of the point's tile
+    near = near.select("id", F.posexplode(F.slice("near", 1, neighbours)).alias("k", "distance")).where(F.col("distance") < float("inf")).withColumn("k", F.col("k") + 1)
     d = F.pow("distance", F.lit(len(axes)))
     return near.groupBy(F.col("id").alias(row_id)).agg(F.count("*").alias("n"), F.try_divide(F.sum(d * F.col("k")), F.sum(d * d)).alias("density"))
 
