@@ -7,8 +7,10 @@ they really hold; callers choose the radius. The join is one that Spark's adapti
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 from math import pi
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +54,42 @@ def self_pairs(points: DataFrame, axes: Sequence[str], radius: float, row_id: st
 def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: float, row_id: str, same: bool = False, max_rounds: int = 40, keys: Sequence[str] = ()) -> DataFrame:
     """row_id, neighbour, distance: of each point, the nearest of the others of equal keys (the least id of equally near ones).
 
-    Points that find none within the radius try again at twice of it, so each round joins fewer points, on larger
-    cells. If `same`, others are the points themselves and a point is not its own neighbour. Points whose keys no other has are left out;
-    points that are still open after `max_rounds` (none, unless `start` is far too small) raise RuntimeError.
+    Points that find none within the radius try again at twice of it, so each round takes fewer points, on larger
+    cells. The first radius is `start`, or less where the others would hold many points within it if they were spread evenly. If `same`, others are the
+    points themselves and a point is not its own neighbour. Points whose keys no other has are left out; points that are still open
+    after `max_rounds` (none, unless `start` is far too small) raise RuntimeError.
     """
-    found, open_, radius = None, points, start
+    found, open_, dims, kind, other = None, points, len(axes), dict(points.dtypes)[row_id], dict(others.dtypes)[row_id]
+    shared_dir(points.sparkSession)
     if keys:
         held = others.groupBy(*keys).agg(F.count("*").alias("_held")).where(F.col("_held") > int(same)).drop("_held")
         open_ = points.join(held, list(keys), "left_semi")
-    for _ in range(max_rounds):
-        pairs = pairs_within(open_, others, axes, radius, keys)
-        if same:
-            pairs = pairs.where(F.col(f"a.{row_id}") != F.col(f"b.{row_id}"))
-        best = pairs.groupBy(F.col(f"a.{row_id}").alias(row_id)).agg(F.min(F.struct("distance", F.col(f"b.{row_id}").alias("neighbour"))).alias("m"))
+    radius, more = _spread_radius(others, axes, start, keys)
+
+    def add(state: list[np.ndarray], a: Tile, b: Tile) -> None:
+        if len(state) == 1:
+            state.append(np.full(len(a.ids), b.ids[0], b.ids.dtype))
+        least, which = state
+        order = np.argsort(b.ids, kind="stable")
+        b = Tile(b.number, b.ids[order], b.at[:, order])
+        for part, d in distances(a, b, dims):
+            if same:
+                d[a.ids[part, None] == b.ids] = np.inf
+            at = d.argmin(axis=1)  # the first, so the least id
+            new, ids = d[np.arange(len(d)), at], b.ids[at]
+            better = (new < radius) & ((new < least[part]) | ((new == least[part]) & (ids < which[part])))
+            least[part] = np.where(better, new, least[part])
+            which[part] = np.where(better, ids, which[part])
+
+    def finish(a: Tile, state: list[np.ndarray]) -> pa.RecordBatch:
+        some = np.isfinite(state[0])
+        return pa.record_batch([pa.array(a.ids[some]), pa.array(state[0][some]), pa.array(state[-1][some])], names=["id", "distance", "neighbour"])
+
+    for _ in range(max_rounds + more):
+        cell = fine(radius)
+        pairs = meetings(tiles(open_, row_id, axes, cell, keys), tiles(others, row_id, axes, cell, keys), radius, cell)
+        best = pairs.mapInArrow(gathered(radius, dims, lambda a: [np.full(len(a.ids), np.inf)], add, finish), f"id {kind}, distance double, neighbour {other}")
+        best = best.groupBy(F.col("id").alias(row_id)).agg(F.min(F.struct("distance", "neighbour")).alias("m"))
         best = best.select(row_id, "m.neighbour", "m.distance").checkpoint()
         found = best if found is None else found.unionByName(best)
         open_ = open_.join(best, row_id, "left_anti").checkpoint()
@@ -74,6 +99,19 @@ def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: fl
     raise RuntimeError(f"points without a neighbour within {radius:g}")
 
 
+def _spread_radius(points: DataFrame, axes: Sequence[str], start: float, keys: Sequence[str] = ()) -> tuple[float, int]:
+    """`start` halved as long as a ball of it would hold more than one of the points if each key's were spread evenly over their box, and how often."""
+    ends = [f(F.col(c).cast("double")) for c in axes for f in (F.min, F.max)]
+    told = points.where(reduce(and_, [F.abs(F.col(c).cast("double")) < float("inf") for c in axes])).agg(F.count("*").alias("n"), *(e.alias(f"_{i}") for i, e in enumerate(ends))).first()
+    sets = points.select(*keys).distinct().count() if keys else 1
+    if not told["n"]:
+        return start, 0
+    room = float(np.prod([max(told[f"_{2 * i + 1}"] - told[f"_{2 * i}"], start) for i in range(len(axes))]))
+    apart = (room * sets / told["n"]) ** (1 / len(axes))
+    more = max(0, int(np.floor(np.log2(start / apart))))
+    return start / 2**more, more
+
+
 def nearest_k(points: DataFrame, others: DataFrame, axes: Sequence[str], k: int, start: float, row_id: str, other_id: str) -> DataFrame:
     """row_id, near: of each point, the k nearest of the others as an array of (distance, neighbour), nearest first (ties by id); all of them where
     there are fewer.

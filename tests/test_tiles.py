@@ -108,3 +108,16 @@ def test_density_of_crowded_tiles_equals_all_pairs(cloud):
         n, density = found[int(ids[i])]
         total = (near**6).sum()
         assert n == len(near) and (density == pytest.approx((near**3 * np.arange(1, len(near) + 1)).sum() / total) if total else density is None)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_nearest_among_crowded_tiles_equals_all_pairs(spark, cloud, kind):
+    """A start that spans all points is halved first; equally near ones (points of one place) are told by the least id."""
+    points, ids, _, d = cloud
+    name = (lambda i: int(i)) if kind == "int" else str
+    df = points.where("i < 900").selectExpr(f"cast(i AS {kind}) AS i", "x", "y", "z")
+    found = {r.i: (r.neighbour, r.distance) for r in spatial.nearest(df, df, ("x", "y", "z"), 4.0, "i", same=True).collect()}
+    for i in range(250):
+        e = np.where(np.arange(250) == i, np.inf, d[i])
+        assert found[name(ids[i])] == (min(name(ids[j]) for j in np.flatnonzero(e == e.min())), pytest.approx(e.min()))
+    assert len(found) == 250 and spatial._spread_radius(df, ("x", "y", "z"), 4.0)[1] > 0
