@@ -83,7 +83,8 @@ def nearest(points: DataFrame, others: DataFrame, axes: Sequence[str], start: fl
 
     def finish(a: Tile, state: list[np.ndarray]) -> pa.RecordBatch:
         some = np.isfinite(state[0])
-        return pa.record_batch([pa.array(a.ids[some]), pa.array(state[0][some]), pa.array(state[-1][some])], names=["id", "distance", "neighbour"])
+        which = state[1] if len(state) > 1 else a.ids  # nothing was near: no rows, of the ids' kind
+        return pa.record_batch([pa.array(a.ids[some]), pa.array(state[0][some]), pa.array(which[some])], names=["id", "distance", "neighbour"])
 
     for _ in range(max_rounds + more):
         cell = fine(radius)

@@ -121,3 +121,9 @@ def test_nearest_among_crowded_tiles_equals_all_pairs(spark, cloud, kind):
         e = np.where(np.arange(250) == i, np.inf, d[i])
         assert found[name(ids[i])] == (min(name(ids[j]) for j in np.flatnonzero(e == e.min())), pytest.approx(e.min()))
     assert len(found) == 250 and spatial._spread_radius(df, ("x", "y", "z"), 4.0)[1] > 0
+
+
+def test_nearest_of_points_whose_first_tiles_hold_nothing_near(spark):
+    """The two meet by their cells in the first round, but are not near."""
+    a, b = (spark.createDataFrame([(i, *map(float, p))], "i long, x double, y double") for i, p in ((1, (0.1, 0.1)), (2, (1.9, 1.9))))
+    assert [(r.i, r.neighbour) for r in spatial.nearest(a, b, ("x", "y"), 1.0, "i").collect()] == [(1, 2)]
