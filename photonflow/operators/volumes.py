@@ -1,6 +1,7 @@
 """Volumes as frames (keys, z, height, width, pixels) of one size a volume: nearest mask voxels, signed distances, and what follows from them.
 
-A volume is never gathered. Slices are searched by themselves, then cut into stripes of pixels; a stripe of all slices is searched along z.
+A volume is never gathered. Slices are searched by themselves, then cut into stripes of pixels; tiles of a stripe, some slices deep, are searched
+along z, each with the slices of other tiles that may hold something nearer.
 """
 
 from __future__ import annotations
@@ -9,21 +10,27 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from photonflow.sources.shared import kept
+
 #: Pixels of a slice that are searched along z together.
 STRIPE = 4096
+#: Voxels of a stripe that are searched along z together, about.
+VOXELS = 1 << 18
 NONE = np.int32(-1)
 
 
-def nearest_along(cost: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of cost (rows, n) and each of its n places: the least of cost + squared distance to a place, and where it is.
+def nearest_along(cost: np.ndarray, places: np.ndarray, to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of cost (rows, n) and each place of `to`, ascending like the n places and these where it is None: the least of cost + squared distance to a place, and where it is.
 
     The lower envelope of parabolas is built for all rows side by side. Of equally near places any one is told, the same each time; where a row
     has no finite cost, the least is infinite and the place -1.
     """
     rows, n = cost.shape
     places = np.asarray(places, float)
+    to = places if to is None else np.asarray(to, float)
     hull, start = np.zeros((rows, n), np.int32), np.full((rows, n + 1), np.inf)
     top = np.full(rows, -1)
     lifted = cost + places * places
@@ -41,36 +48,36 @@ def nearest_along(cost: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.
         hull[live, top[live]] = q
         start[live, top[live]] = cross[live]
         start[live, top[live] + 1] = np.inf
-    at, best, where = np.zeros(rows, np.int64), np.full((rows, n), np.inf), np.full((rows, n), NONE)
+    at, best, where = np.zeros(rows, np.int64), np.full((rows, len(to)), np.inf), np.full((rows, len(to)), NONE)
     some = np.flatnonzero(top >= 0)
-    for p in range(n):
-        while len(on := some[start[some, at[some] + 1] < places[p]]):
+    for p in range(len(to)):
+        while len(on := some[start[some, at[some] + 1] < to[p]]):
             at[on] += 1
         q = hull[some, at[some]]
-        best[some, p], where[some, p] = cost[some, q] + (places[p] - places[q]) ** 2, q
+        best[some, p], where[some, p] = cost[some, q] + (to[p] - places[q]) ** 2, q
     return best, where
 
 
 def nearest_in_slice(mask: np.ndarray, voxel_y: float, voxel_x: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared distance of each pixel to the nearest one of the mask, and that one's row and column; infinite and -1 where the mask is empty."""
-    h, w = mask.shape
+    """Squared distance of each pixel of masks (..., height, width) to the nearest one of its mask, and that one's row and column; infinite and -1 where the mask is empty."""
+    h, w = mask.shape[-2:]
     rows = np.arange(h)[:, None]
-    above = np.maximum.accumulate(np.where(mask, rows, -(1 << 30)), axis=0)
-    below = np.minimum.accumulate(np.where(mask, rows, 1 << 30)[::-1], axis=0)[::-1]
+    above = np.maximum.accumulate(np.where(mask, rows, -(1 << 30)), axis=-2)
+    below = np.flip(np.minimum.accumulate(np.flip(np.where(mask, rows, 1 << 30), -2), axis=-2), -2)
     near = np.where(rows - above <= below - rows, above, below)
-    cost = np.where(mask.any(axis=0), ((rows - near) * voxel_y) ** 2, np.inf)
-    best, column = nearest_along(cost, np.arange(w) * voxel_x)
-    row = np.where(column >= 0, np.take_along_axis(near, np.maximum(column, 0), axis=1), NONE)
+    cost = np.where(mask.any(axis=-2, keepdims=True), ((rows - near) * voxel_y) ** 2, np.inf)
+    best, column = (v.reshape(mask.shape) for v in nearest_along(cost.reshape(-1, w), np.arange(w) * voxel_x))
+    row = np.where(column >= 0, np.take_along_axis(near, np.maximum(column, 0), axis=-1), NONE)
     return best, row.astype(np.int32), column
 
 
 def _cross(mask: np.ndarray) -> np.ndarray:
-    """A mask and the pixels beside it."""
+    """Masks (..., height, width) and the pixels beside them."""
     out = mask.copy()
-    out[1:] |= mask[:-1]
-    out[:-1] |= mask[1:]
-    out[:, 1:] |= mask[:, :-1]
-    out[:, :-1] |= mask[:, 1:]
+    out[..., 1:, :] |= mask[..., :-1, :]
+    out[..., :-1, :] |= mask[..., 1:, :]
+    out[..., 1:] |= mask[..., :-1]
+    out[..., :-1] |= mask[..., 1:]
     return out
 
 
@@ -79,6 +86,30 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return "".join(f"`{n}` {kinds[n]}, " for n in names)
 
 
+def _sources(first: np.ndarray, last: np.ndarray, ends: np.ndarray, near: np.ndarray, bare: np.ndarray, vz: float) -> list[tuple[int, int, float, float]]:
+    """(tile, other tile, lowest z, highest z): slices of other tiles of a stripe that may hold something nearer than what is known, for one side.
+
+    A row for each tile, by z. first, last: its first and last slice with something to be found (nan: none), ends: the most that any pixel is from it
+    there, squared. near: the z between which slices matter to slices that have something themselves, bare: the first and last slice that
+    have nothing but look for it. What is nearest to such a slice is no further than the known ends of the tiles about it.
+    """
+    some = np.flatnonzero(~np.isnan(first))
+    first, last, ends = first[some], last[some], ends[some]
+    out = []
+
+    def known(z: float) -> float:
+        k = np.searchsorted(first, z)
+        at = [(p[i], ends[i, e]) for i in (k - 1, k) if 0 <= i < len(some) for e, p in enumerate((first, last))]
+        return np.sqrt(min(a + ((z - p) * vz) ** 2 for p, a in at)) / vz * (1 + 1e-9)
+
+    for tile in range(len(near)) if len(some) else ():
+        low, high = (np.inf, -np.inf) if np.isnan(near[tile, 0]) else near[tile]
+        if not np.isnan(bare[tile, 0]):
+            low, high = min(low, bare[tile, 0] - known(bare[tile, 0])), max(high, bare[tile, 1] + known(bare[tile, 1]))
+        out += [(tile, int(i), low, high) for i in some[np.searchsorted(last, low) : np.searchsorted(first, high, "right")] if i != tile]
+    return out
+
+
 def feature_transform(mask: DataFrame, keys: Sequence[str] = (), voxel: Sequence[float] = (1.0, 1.0, 1.0), grow: bool = True) -> DataFrame:
     """keys, z, height, width, stripe (first pixel), and of a stripe's pixels: distance, near_x, near_y, near_z.
 
@@ -87,9 +118,13 @@ def feature_transform(mask: DataFrame, keys: Sequence[str] = (), voxel: Sequence
     0. near_* is the voxel that was found. voxel: sizes along x, y and z; z are whole numbers, and slices may be missing. Where there is no voxel
     to be found the distance is infinite and near_* is -1. Volumes of no pixels give no rows, frames with null pixels are left out.
 
-    A slice is one row, so it must fit in a task; a volume need not. Each slice is shuffled once, in stripes.
+    A slice is one row, so it must fit in a task; a volume need not. Slices are numbered by ranges of z, so that a tile is some VOXELS of
+    a stripe, however many slices a volume has. What a tile knows of its own slices tells how far along z something nearer may be, and the
+    slices up to there are sent to it, which are few unless a slice's pixels are further from its mask than a tile is deep; they are read
+    block by block. Of a tile's costs only their bounds meet with those of the volume's other tiles.
     """
     vx, vy, vz = map(float, voxel)
+    parts = int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = mask.where(F.col("pixels").isNotNull()).select(*keys, F.col("z").cast("long").alias("z"), "height", "width", F.transform("pixels", lambda p: p > 0.5).alias("pixels"))
     own = [*keys, "z", "height", "width"]
 
@@ -104,39 +139,125 @@ def feature_transform(mask: DataFrame, keys: Sequence[str] = (), voxel: Sequence
         same = [F.col("z") == F.col("_z_"), *(F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys)]
         bits = bits.join(near, same, "left").drop("_z_", *(f"_{k}_" for k in keys))
     # packed slices are small beside the work that they mean, so they are dealt by number and not by size
-    bits = bits.repartition(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "z")
+    bits = bits.repartitionByRange(parts, *keys, "z").sortWithinPartitions(*keys, "z")
     sides = ("in", "out")
     packed = [f"{n}_{s}" for s in sides for n in ("cost", "y", "x")]
 
-    def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i, (b, h, w, *sides_) in enumerate(zip(*(part[c] for c in ("bits", "height", "width", *beside)), strict=True)):
-                inside, *near = (np.unpackbits(np.frombuffer(v, np.uint8), count=h * w).astype(bool).reshape(h, w) for v in (b, *(v for v in sides_ if v is not None)))
-                grown = np.logical_or.reduce([_cross(inside), *near]) if grow else inside
-                found = [v.ravel() for target in (~inside, grown) for v in nearest_in_slice(target, vy, vx)]
-                first = np.arange(0, h * w, STRIPE)
-                cut = {n: [v[a : a + STRIPE].tobytes() for a in first] for n, v in zip(packed, found, strict=True)}
-                cut["inside"] = [np.packbits(inside.ravel()[a : a + STRIPE]).tobytes() for a in first]
-                yield part[own].iloc[[i] * len(first)].assign(stripe=first, **cut)
-
-    def along(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("z")
-        z = group["z"].to_numpy()
-        read = lambda n, kind: np.stack([np.frombuffer(v, kind) for v in group[n]])
-        count = len(group["cost_in"].iloc[0]) // 8
-        inside = np.stack([np.unpackbits(np.frombuffer(v, np.uint8), count=count).astype(bool) for v in group["inside"]])
-        out = {}
-        for side in sides:
-            best, where = nearest_along(np.ascontiguousarray(read(f"cost_{side}", np.float64).T), z * vz)
-            best, where = best.T, where.T
-            spot = lambda v: np.where(where >= 0, np.take_along_axis(v, np.maximum(where, 0), axis=0), NONE)  # noqa: B023, E731
-            out[side] = (np.sqrt(best), spot(read(f"x_{side}", np.int32)), spot(read(f"y_{side}", np.int32)), np.where(where >= 0, z[np.maximum(where, 0)], -1))
-        chosen = [np.where(inside, a, b) for a, b in zip(out["in"], out["out"], strict=True)]
-        chosen[0] = np.where(inside, -chosen[0], chosen[0])
-        return group[[*own, "stripe"]].assign(**{n: list(v) for n, v in zip(("distance", "near_x", "near_y", "near_z"), chosen, strict=True)})
-
-    stripes = bits.mapInPandas(slices, f"{_kinds(bits, own)}stripe long, {', '.join(f'{n} binary' for n in packed)}, inside binary")
-    return stripes.groupBy(*keys, "stripe").applyInPandas(along, f"{_kinds(stripes, [*own, 'stripe'])}distance array<double>, near_x array<int>, near_y array<int>, near_z array<long>")
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, filled = TaskContext.get().partitionId() << 40, 0
+        for batch in batches:
+            h, w = batch["height"].to_numpy(), batch["width"].to_numpy()
+            a = 0
+            while a < len(batch):
+                area = int(h[a] * w[a])
+                other = np.flatnonzero((h[a:] != h[a]) | (w[a:] != w[a]))
+                b = a + min(other[0] if len(other) else len(batch) - a, max(1, VOXELS // max(1, area)))
+                part, a = batch.iloc[a:b], b
+                if not area:
+                    continue
+                size = (len(part), int(h[b - 1]), int(w[b - 1]))
+                read = lambda c: np.unpackbits(np.frombuffer(b"".join(v or bytes((area + 7) // 8) for v in part[c]), np.uint8).reshape(len(part), -1), axis=1, count=area).astype(bool).reshape(size)  # noqa: B023, E731
+                inside = read("bits")
+                grown = np.logical_or.reduce([_cross(inside), *map(read, beside)]) if grow else inside
+                found = [v.reshape(len(part), area) for target in (~inside, grown) for v in nearest_in_slice(target, vy, vx)]
+                inside = inside.reshape(len(part), area)
+                tiles = []
+                for _ in range(len(part)):
+                    tile, filled = (tile + 1, 0) if filled >= VOXELS else (tile, filled)
+                    tiles.append(tile)
+                    filled += min(area, STRIPE)
+                first = np.arange(0, area, STRIPE)
+                cut = {n: [r[c : c + STRIPE].tobytes() for r in v for c in first] for n, v in zip(packed, found, strict=True)}
+                cut["inside"] = [np.packbits(r[c : c + STRIPE]).tobytes() for r in inside for c in first]
+                for side, cost, looks in zip(sides, found[::3], (inside, ~inside), strict=True):
+                    cut[f"most_{side}"] = [r[c : c + STRIPE].max() for r in cost for c in first]
+                    cut[f"need_{side}"] = [r[c : c + STRIPE].max() for r in np.where(looks, cost, -1.0) for c in first]
+                yield part[own].iloc[np.repeat(np.arange(len(part)), len(first))].assign(_tile=np.repeat(tiles, len(first)), stripe=np.tile(first, len(part)), **cut)
+
+    bounds = [f"{n}_{s}" for s in sides for n in ("most", "need")]
+    kinds = f"{_kinds(bits, own)}_tile long, stripe long, {', '.join(f'{n} binary' for n in (*packed, 'inside'))}, {', '.join(f'{n} double' for n in bounds)}"
+    stripes = kept(bits.mapInPandas(slices, kinds), "stripes")
+
+    told = [F.min("z").alias("z")]
+    for s in sides:
+        has, looks, away = F.col(f"most_{s}") < float("inf"), F.col(f"need_{s}") >= 0, F.sqrt(f"need_{s}") / vz * (1 + 1e-9)
+        there, bare = F.when(has, F.col("z")), F.when(looks & ~has, F.col("z"))
+        ends = [F.min_by(f"most_{s}", there), F.max_by(f"most_{s}", there)]
+        each = [F.min(there), F.max(there), *ends, F.min(F.when(has & looks, F.col("z") - away)), F.max(F.when(has & looks, F.col("z") + away)), F.min(bare), F.max(bare)]
+        told += [v.cast("double").alias(f"{s}{i}") for i, v in enumerate(each)]
+    several = stripes.groupBy(*keys, "stripe", "_tile").agg(*told).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "stripe"))).where("_n > 1")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("z").reset_index(drop=True)
+        found: dict[tuple[int, int], tuple[float, float]] = {}
+        for s in sides:
+            v = group[[f"{s}{i}" for i in range(8)]].to_numpy(float)
+            for i, k, low, high in _sources(v[:, 0], v[:, 1], v[:, 2:4], v[:, 4:6], v[:, 6:8], vz):
+                a, b = found.get((i, k), (low, high))
+                found[i, k] = min(a, low), max(b, high)
+        to, of = (np.array([p[e] for p in found], np.int64) for e in (0, 1))
+        tile = group["_tile"].to_numpy()
+        return group[[*keys, "stripe"]].iloc[to].assign(_to=tile[to], _tile=tile[of], _low=[v[0] for v in found.values()], _high=[v[1] for v in found.values()])
+
+    pairs = several.groupBy(*keys, "stripe").applyInPandas(meet, f"{_kinds(several, keys)}stripe long, _to long, _tile long, _low double, _high double")
+    pairs = pairs.select(*(F.col(n).alias(f"_{n}_") for n in (*keys, "stripe", "_tile")), "_to", "_low", "_high")
+    same = [F.col(n) == F.col(f"_{n}_") for n in ("stripe", "_tile")] + [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys]
+    use = [*own, "stripe", "_to", "_mine", *packed, "inside"]
+    others = stripes.join(pairs, [*same, F.col("z").between(F.col("_low"), F.col("_high"))]).withColumn("_mine", F.lit(False)).select(use)
+    met = stripes.withColumns({"_to": F.col("_tile"), "_mine": F.lit(True)}).select(use).unionAll(others)
+    met = met.repartition(parts, *keys, "stripe", "_to").sortWithinPartitions(*keys, "stripe", "_to", F.desc("_mine"), "z")  # a tile's own slices come first
+
+    class Nearest:
+        """What is known of a tile's voxels."""
+
+        def __init__(self, rows: pd.DataFrame, count: int):
+            self.rows, self.z = rows, rows["z"].to_numpy()
+            self.inside = np.stack([np.unpackbits(np.frombuffer(v, np.uint8), count=count).astype(bool) for v in rows["inside"]])
+            self.best = np.full(self.inside.shape, np.inf)
+            self.near = [np.full(self.inside.shape, NONE, kind) for kind in (np.int32, np.int32, np.int64)]
+
+        def take(self, block: pd.DataFrame) -> None:
+            for side, looks in zip(sides, (self.inside, ~self.inside), strict=True):
+                cost = np.stack([np.frombuffer(v, np.float64) for v in block[f"cost_{side}"]])
+                some = np.flatnonzero(np.isfinite(cost[:, 0]))  # a slice has something for all of its pixels or for none
+                if not len(some) or not looks.any():
+                    continue
+                z = block["z"].to_numpy()[some]
+                best, where = (v.T for v in nearest_along(np.ascontiguousarray(cost[some].T), z * vz, self.z * vz))
+                better = looks & ((best < self.best) | (best == self.best) & (z[where] < self.near[2]))
+                self.best[better] = best[better]
+                row, pixel = where[better], np.nonzero(better)[1]
+                for at, n in zip(self.near, ("x", "y"), strict=False):
+                    at[better] = np.stack([np.frombuffer(v, np.int32) for v in block[f"{n}_{side}"].iloc[some]])[row, pixel]
+                self.near[2][better] = z[row]
+
+        def told(self) -> pd.DataFrame:
+            away = np.sqrt(self.best)
+            away = np.where(self.inside, -away, away)
+            return self.rows[[*own, "stripe"]].assign(distance=list(away), **{f"near_{c}": list(v) for c, v in zip("xyz", self.near, strict=True)})
+
+    def along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, held = None, None
+
+        def taken(block: pd.DataFrame) -> None:
+            nonlocal known
+            if known is None:
+                known = Nearest(block[block["_mine"]], len(block["cost_in"].iloc[0]) // 8)
+            elif block["_mine"].any():
+                raise RuntimeError("a tile's own slices did not come first")
+            known.take(block.sort_values("z"))
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            most = max(1, 2 * VOXELS // (len(held["cost_in"].iloc[0]) // 8)) if len(held) else 1  # holds a tile at least
+            while len(held) > most:
+                taken(held.iloc[:most])
+                held = held.iloc[most:]
+        if len(held):
+            taken(held)
+        yield known.told()
+
+    return met.groupBy(*keys, "stripe", "_to").applyInPandas(along, f"{_kinds(met, [*own, 'stripe'])}distance array<double>, near_x array<int>, near_y array<int>, near_z array<long>")
 
 
 def _values(stripes: DataFrame, image: DataFrame, keys: Sequence[str], roi: DataFrame | None) -> DataFrame:

@@ -65,6 +65,43 @@ def test_distances_equal_all_pairs(spark, monkeypatch, grow):
                 assert (nx, ny, nz) == (-1, -1, -1)
 
 
+def test_tiles_of_a_deep_volume_meet_where_something_nearer_may_be(spark, monkeypatch):
+    monkeypatch.setattr(volumes, "STRIPE", 12)
+    monkeypatch.setattr(volumes, "VOXELS", 36, raising=False)
+    plain = volumes.nearest_along
+
+    def shallow(cost, *places):  # no task searches more than two tiles at once
+        if cost.size > 72:
+            raise ValueError(f"{cost.size} voxels at once")
+        return plain(cost, *places)
+
+    monkeypatch.setattr(volumes, "nearest_along", shallow)
+    rng = np.random.default_rng(7)
+    shape, voxel = (32, 4, 5), (1.0, 1.5, 0.25)
+    zs = sorted(rng.choice(60, 32, replace=False).tolist())
+    cases = {k: np.zeros(shape, bool) for k in ("first", "ends", "corners", "none")} | {"sparse": rng.random(shape) > 0.99, "dense": rng.random(shape) > 0.3, "all": np.ones(shape, bool), "holes": rng.random(shape) < 0.995}
+    cases["first"][0, 1, 2] = cases["ends"][0, 0, 0] = cases["ends"][-2, 3] = True
+    cases["corners"][:, 0, 0] = True
+    whole = None
+    for k, m in cases.items():
+        whole = frames(spark, m, k, zs) if whole is None else whole.unionByName(frames(spark, m, k, zs))
+    whole = whole.unionByName(frames(spark, cases["sparse"], None, zs))
+    found = volumes.feature_transform(whole, ["key"], voxel).collect()
+    for k, mask in (cases | {None: cases["sparse"]}).items():
+        own = [r for r in found if r.key == k]
+        assert len(own) == 64
+        got, near = collected(own, shape, zs), [collected(own, shape, zs, f"near_{c}") for c in "xyz"]
+        assert np.allclose(got, plain_distance(mask, zs, voxel))
+        sides = grown(mask, zs), ~mask
+        for z, y, x in itertools.product(*map(range, shape)):
+            nx, ny, nz = (int(n[z, y, x]) for n in near)
+            if math.isfinite(got[z, y, x]):
+                assert sides[int(mask[z, y, x])][zs.index(nz), ny, nx]
+                assert math.isclose(abs(got[z, y, x]), math.hypot((nx - x) * voxel[0], (ny - y) * voxel[1], (nz - zs[z]) * voxel[2]), abs_tol=1e-9)
+            else:
+                assert (nx, ny, nz) == (-1, -1, -1)
+
+
 def test_a_slice_by_itself():
     rng = np.random.default_rng(2)
     for shape in ((1, 1), (1, 9), (9, 1), (40, 31)):
